@@ -7,7 +7,10 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import packing, sharding, token_files
+from lakeloom.llm import packing, pii, sharding, simhash, token_files
+
+#: Key of the surrogates. Production jobs pass one of their own.
+PII_KEY = "lakeloom"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +27,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op4_range_coded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
