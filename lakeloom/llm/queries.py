@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import packing, pii, sharding, simhash, token_files
+from lakeloom.llm import packing, pii, quality, sharding, simhash, token_files
 
 #: Key of the surrogates. Production jobs pass one of their own.
 PII_KEY = "lakeloom"
@@ -39,6 +39,11 @@ def op4_range_coded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "lang", "perplexity", "limit", "keep")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")).drop("ids")
 
