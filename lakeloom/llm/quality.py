@@ -258,27 +258,33 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= TRUSTED_IDS else ids
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, margin: float = 1.1, method: str | None = None) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, margin: float = 1.2, prior: int = 30, method: str | None = None) -> DataFrame:
     """The documents with ``perplexity``, ``limit`` and ``keep``.
 
-    ``limit`` is ``margin`` times the ``quantile`` of the perplexities of trusted documents in the
-    document's language; languages without trusted documents (null is one) share the limit over all of them.
+    A perplexity counts ``prior`` characters of the mean trusted loss of the language besides the
+    document's own, so a few characters of text prove little. ``limit`` is ``margin`` times the
+    ``quantile`` of the perplexities of trusted documents in the language; languages without trusted
+    documents (null is one) share the mean and the limit over all of them.
     Null and empty texts have a null perplexity and are kept, there being nothing to hold against
     them. Without trusted text at all every document is kept. Repeated rows each keep their row.
     """
     ids = trusted_ids(labels)
     trusted = docs.join(ids, "doc_id", "left_semi").where("text is not null")
     model = build_model(written(count_grams(trusted), f"grams{ORDER}"))
-    perplexity = F.when(F.col("_scored") > 0, F.exp(F.col("_loss") / F.col("_scored")))
-    known = written(scored(trusted.select("lang", "text"), model, method).select("lang", perplexity.alias("perplexity")), "trusted-perplexity")
-    at = F.percentile_approx("perplexity", quantile, 10_000) * margin
-    limits = written(known.groupBy("lang").agg(at.alias("_limit")).where("_limit is not null").select(F.col("lang").alias("_lang"), "_limit"), "limits")
-    pooled = known.agg(at.alias("x")).first()["x"]
-    out = scored(docs, model, method).withColumn("perplexity", perplexity).join(limits, F.col("lang") == F.col("_lang"), "left")
+    perplexity = F.when(F.col("_scored") > 0, F.exp((F.col("_loss") + prior * F.col("_mean")) / (F.col("_scored") + prior)))
+    known = written(scored(trusted.select("lang", "text"), model, method).where("_scored > 0").select("lang", "_loss", "_scored"), "trusted-loss")
+    mean = F.sum("_loss") / F.sum("_scored")
+    means = known.groupBy(F.col("lang").alias("_lang")).agg(mean.alias("_mean"))
+    at = F.percentile_approx(perplexity, quantile, 10_000) * margin
+    limits = known.join(means, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang").groupBy("lang", "_mean").agg(at.alias("_limit"))
+    limits = written(limits.where("lang is not null").select(F.col("lang").alias("_lang"), F.col("_mean").alias("_own_mean"), "_limit"), "limits")
+    whole = known.agg(mean.alias("x")).first()["x"]
+    pooled = known.withColumn("_mean", F.lit(whole).cast("double")).agg(at.alias("x")).first()["x"]
+    out = scored(docs, model, method).join(limits, F.col("lang") == F.col("_lang"), "left").withColumn("_mean", F.coalesce("_own_mean", F.lit(whole).cast("double"))).withColumn("perplexity", perplexity)
     limit = F.coalesce("_limit", F.lit(pooled).cast("double"))
     return out.select(*docs.columns, "perplexity", limit.alias("limit"), F.coalesce(F.col("perplexity") <= limit, F.lit(True)).alias("keep"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, margin: float = 1.1) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, margin: float = 1.2) -> DataFrame:
     """The documents that ``classify`` keeps, with their own columns."""
     return classify(docs, labels, quantile, margin).where("keep").select(*docs.columns)
