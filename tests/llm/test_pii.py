@@ -1,0 +1,79 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lakeloom.llm import pii
+
+SECRET = "812088970e66a6345cee33dd6a12088970e66a63"
+TEXT = (
+    "Mail Anna.Smith+x9@mail3.example.com or anna.smith+X9@MAIL3.example.com, call +1 (521) 555-6210 or +1 521 555 6210, host 193.195.198.107, card 4316 5226 7852 5456 and 4316522678525456, "
+    f'token = "{SECRET}"; IBAN DE89 3704 0044 0532 0130 00, SSN 123-45-6789. Frau Anna Schmidt met Mr. Schmidt, Herr JONAS, Mrs. Schmidt and Госпожа Анна Петрова. Version 1.2.3, in 1999, 3.5% of 12345 rows.'
+)
+
+
+def run(spark, rows, key="k"):
+    return [r.asDict() for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), key).orderBy("doc_id").collect()]
+
+
+def test_every_kind_is_replaced_in_its_format(spark):
+    out = run(spark, [(1, TEXT)])[0]
+    new = out["text"]
+    for gone in ["Anna.Smith", "anna.smith", "mail3", "521", "6210", "193.195", "4316", "5456", SECRET, "3704", "123-45", "Schmidt", "Петрова", "Anna"]:
+        assert gone not in new, gone
+    assert new.endswith("Version 1.2.3, in 1999, 3.5% of 12345 rows.")
+    m = re.search(r"call (\+1 \(\d{3}\) \d{3}-\d{4}) or (\+1 \d{3} \d{3} \d{4}),", new)
+    assert re.sub(r"\D", "", m[1]) == re.sub(r"\D", "", m[2])
+    m = re.search(r"card (\d{4} \d{4} \d{4} \d{4}) and (\d{16}),", new)
+    assert m[1].replace(" ", "") == m[2]
+    digits = [int(c) for c in m[2]][::-1]
+    assert sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
+    m = re.search(r"Mail (\S+@\S+\.com) or (\S+@\S+\.com),", new)
+    assert m[1].lower() == m[2].lower()
+    assert re.search(r'token = "[0-9a-f]{40}"', new) and re.search(r"IBAN DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d,", new) and re.search(r"SSN \d{3}-\d\d-\d{4}\.", new)
+    m = re.search(r"Frau (\w+) (\w+) met Mr\. (\w+), Herr (\w+), Mrs\. (\w+) and Госпожа (\w+) (\w+)\.", new)
+    assert m[2] == m[3] == m[5] and re.search("(a|ina|elle)$", m[1]) and re.fullmatch("[а-яА-Я]+", m[6] + m[7])
+    assert out["n_entities"] == 14
+
+
+def test_one_entity_one_surrogate_and_no_two_share_one(spark):
+    rows = [(i, f"a{i % 500}@x.example.com 10.0.{i % 250}.1 (55{i % 10}) 555-{1000 + i % 700} Mr. {chr(65 + i % 26)}{chr(97 + i // 26 % 26)}son") for i in range(1500)]
+    out = run(spark, rows)
+    pairs = {}
+    for (i, old), r in zip(rows, out, strict=True):
+        for a, b in zip(re.findall(r"\S+@\S+|\d+\.\d+\.\d+\.\d+|\(\d+\) \d+-\d+|(?<=Mr\. )\w+", old), re.findall(r"\S+@\S+|\d+\.\d+\.\d+\.\d+|\(\d+\) \d+-\d+|(?<=Mr\. )\w+", r["text"]), strict=True):
+            assert pairs.setdefault(a, b) == b
+    assert len(set(pairs.values())) == len(pairs)
+    assert not set(pairs.values()) & set(pairs)
+
+
+def test_collisions_try_again(spark, monkeypatch):
+    plain = pii.surrogate
+    monkeypatch.setattr(pii, "surrogate", lambda kind, value, attempt, key: F.when(attempt == 0, F.lit("10.0.0.9")).otherwise(plain(kind, value, attempt, key)))
+    entities = spark.createDataFrame([("ip", f"1.2.3.{i}") for i in range(20)] + [("ip", "10.0.0.9")], "kind string, value string")
+    got = pii.assign(entities, "k").collect()
+    assert len(got) == 21 and len({r["surrogate"] for r in got}) == 21
+    assert not {r["surrogate"] for r in got} & {r["value"] for r in got}
+
+
+def test_the_key_decides(spark):
+    a, b, c = (run(spark, [(1, TEXT)], k)[0]["text"] for k in ("k", "k", "other"))
+    assert a == b != c
+
+
+def test_edges(edge_docs, no_docs, small_docs):
+    out = pii.replace_pii(edge_docs, "k")
+    assert out.columns == [*edge_docs.columns, "n_entities"]
+    assert sorted((r["text"] or "") for r in out.collect()) == sorted((r["text"] or "") for r in edge_docs.collect())
+    assert pii.replace_pii(no_docs, "k").count() == 0
+    both = pii.replace_pii(small_docs, "k").select("doc_id", F.col("text").alias("new"), "n_entities").join(small_docs, "doc_id").collect()
+    assert len(both) == small_docs.count()
+    for r in both:
+        found = re.findall(r"[\w.]+@[\w.]+\w|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])|\b\d{16}\b|\+1 \(\d{3}\) \d{3}-\d{4}|\b[0-9a-f]{40}\b", r["text"] or "")
+        assert r["n_entities"] == len(found), (r["doc_id"], found)
+        assert not any(f in r["new"] for f in found)
+
+
+def test_long_runs_scan_in_linear_time(spark):
+    rows = [(1, "x" * 300_000), (2, "1" * 300_000), (3, "a." * 100_000 + "@"), (4, "12-" * 100_000), (5, "1.2." * 100_000)]
+    assert [r["n_entities"] for r in run(spark, rows)] == [0] * 5
