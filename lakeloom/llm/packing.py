@@ -110,7 +110,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, end = PieceEncoder(tokenizer, keeps_blanks=False), end_id.to_bytes(4, "little")
+        encoder, end = PieceEncoder.shared(tokenizer, keeps_blanks=False), end_id.to_bytes(4, "little")
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in text_batches(batches):
             out = {f.name: [] for f in PIECE}

@@ -48,41 +48,90 @@ class PieceEncoder:
     seen before come from a table. Other texts are encoded whole. The ids equal those of encoding
     the whole text. Strings of special tokens are ordinary text.
 
-    ``keep``: pieces held at most; the table is emptied beyond, so memory stays bounded.
+    ``keeps_blanks``: white space is part of the next piece, else the tokenizer drops it and lower-
+    cases. ``keep``: pieces held at most. They are in two tables; when the younger is full it becomes
+    the older one, and what is met again moves up, so rare pieces go and memory stays bounded.
     """
 
-    def __init__(self, path: str, keeps_blanks: bool, width: str = "I", keep: int = 1_000_000):
+    def __init__(self, path: str, keeps_blanks: bool, width: str = "I", keep: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.width, self.keep, self.known = width, keep, {}
+        self.width, self.half, self.young, self.old = width, keep // 2, {}, {}
+        self.glue = "" if keeps_blanks else " "
         blank, gap = ("[ \n]*", "|[ \n]*[^ \n{0}]+|[ \n]+") if keeps_blanks else ("", "|[^ \n{0}]+")
         self.fine = re.compile(f"{blank}[{_LETTERS}]+" + gap.format(_LETTERS)).findall
         self.coarse = re.compile(r"[ \n]*[^ \n]+|[ \n]+" if keeps_blanks else r"[^ \n]+").findall
+        self.word = re.compile(f"{' ' if keeps_blanks else ''}[{_LETTERS}]+").fullmatch
+        self.lower = not keeps_blanks
+
+    @classmethod
+    def shared(cls, path: str, keeps_blanks: bool, width: str = "I") -> PieceEncoder:
+        """The encoder of this Python worker; its tables serve all tasks that the worker runs."""
+        if (path, width) not in _ENCODERS:
+            _ENCODERS[path, width] = cls(path, keeps_blanks, width)
+        return _ENCODERS[path, width]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array.array(self.width, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of single words, encoded many in one text; the library tells which word a token is of."""
+        import numpy as np
+
+        out: list[bytes] = []
+        kind, size = (np.uint16, 2) if self.width == "H" else (np.uint32, 4)
+        groups = [words[k : k + 2000] for k in range(0, len(words), 2000)]
+        for group, e in zip(groups, self.tokenizer.encode_batch([self.glue.join(g) for g in groups], add_special_tokens=False), strict=True):
+            of = np.array(e.word_ids, dtype=np.int64)
+            cuts = np.searchsorted(of, np.arange(len(group) + 1)).tolist()
+            if not len(of) or of[-1] + 1 != len(group):  # not cut as expected: one by one
+                out += self._ids(group)
+                continue
+            data = np.array(e.ids, dtype=kind).tobytes()
+            out += [data[size * a : size * b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.young) + len(new) > self.half:
+            self.old, self.young = self.young, {}
+        young, old, words, others = self.young, self.old, [], []
+        for w in new:
+            ids = old.get(w)
+            if ids is not None:
+                young[w] = ids
+            else:
+                (words if self.word(w) else others).append(w)
+        young.update(zip(words, self._words(words), strict=True))
+        young.update(zip(others, self._ids(others), strict=True))
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``width``; None: as an empty text."""
         cut: list[list[str] | None] = []
         for t in texts:
-            odd = t and _ODD.search(t)
-            cut.append([] if not t else None if odd else self.coarse(t) if "'" in t else self.fine(t))
-        if len(self.known) > self.keep:
-            self.known.clear()
+            if not t:
+                cut.append([])
+            elif _ODD.search(t):
+                cut.append(None)
+            else:
+                t = t.lower() if self.lower else t
+                cut.append(self.coarse(t) if "'" in t else self.fine(t))
         new: set[str] = set()
         for pieces in cut:
             if pieces:
-                new.update(itertools.filterfalse(self.known.__contains__, pieces))
-        fresh = list(new)
-        self.known.update(zip(fresh, self._ids(fresh), strict=True))
-        get = self.known.__getitem__
+                new.update(itertools.filterfalse(self.young.__contains__, pieces))
+        if len(self.young) + len(new) > self.half:
+            new = set().union(*(p for p in cut if p))
+        self._learn(new)
+        get = self.young.__getitem__
         whole = iter(self._ids([t for t, p in zip(texts, cut, strict=True) if p is None]))
         return [next(whole) if p is None else b"".join(map(get, p)) for p in cut]
 
 
+_ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
+
+
 def text_batches(batches, rows: int = 500, chars: int = 8_000_000):
     """Record batches cut into slices of at most so many rows and about so many characters of ``text``."""
     import pyarrow as pa

@@ -130,7 +130,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, end, part, run, last = PieceEncoder(tokenizer, keeps_blanks=True, width="H"), end_id.to_bytes(2, "little"), TaskContext.get().partitionId(), 0, None
+        encoder, end, part, run, last = PieceEncoder.shared(tokenizer, keeps_blanks=True, width="H"), end_id.to_bytes(2, "little"), TaskContext.get().partitionId(), 0, None
         for batch in text_batches(batches):
             out = {f.name: [] for f in TOKENS}
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(batch.column("text").to_pylist()), strict=True):
