@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import decontamination, packing, pii, quality, sharding, simhash, token_files
+from lakeloom.llm import decontamination, html_text, packing, pii, quality, sharding, simhash, token_files
 
 #: Key of the surrogates. Production jobs pass one of their own.
 PII_KEY = "lakeloom"
@@ -39,6 +39,10 @@ def op4_range_coded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
