@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import decontamination, html_text, packing, pii, quality, sharding, simhash, token_files
+from lakeloom.llm import decontamination, html_text, media, packing, pii, quality, sharding, simhash, token_files
 
 #: Key of the surrogates. Production jobs pass one of their own.
 PII_KEY = "lakeloom"
@@ -47,6 +47,10 @@ def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(spark, sf_dir, "documents"))
+
+
 def op8_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "lang", "perplexity", "limit", "keep")
