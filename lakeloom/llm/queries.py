@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import decontamination, html_text, media, packing, pii, quality, sharding, simhash, token_files
+from lakeloom.llm import decontamination, html_text, media, packing, pii, quality, sharding, simhash, suffixes, token_files
 
 #: Key of the surrogates. Production jobs pass one of their own.
 PII_KEY = "lakeloom"
@@ -35,6 +35,10 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_range_coded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 

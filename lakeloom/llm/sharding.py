@@ -53,25 +53,15 @@ def size_code(column: Column, bits: int) -> Column:
     return F.least(F.floor(F.log2(column.cast("double")) * 8), F.lit((1 << bits) - 1)).cast("long")
 
 
-def order_along_curve(rows: DataFrame, codes: list[str], ties: list[str], bits: int = 8) -> DataFrame:
-    """Add ``curve`` (the Hilbert index of the code columns) and ``place`` (0, 1, ... along curve, then ties).
+def number_in_order(rows: DataFrame, by: list, name: str) -> DataFrame:
+    """Add column ``name``, 0, 1, ... in the order of ``by``.
 
-    The rows are dealt out by ranges of (curve, ties), so a value that many rows share is split by
-    the ties. Places inside a range are counted as its task streams by; only a count for each range
-    is then summed up.
+    The rows are dealt out by ranges of ``by``, so with a unique last key a value that many rows share
+    is split. Places inside a range are counted as its task streams by; only a count for each range is
+    then summed up.
     """
-
-    @F.pandas_udf("long")
-    def curve(points):
-        import numpy as np
-
-        values = np.stack(points.to_numpy()) if len(points) else np.zeros((0, len(codes)), dtype=np.int64)
-        return __import__("pandas").Series(hilbert_index(values, bits))
-
-    table = written(rows.withColumn("curve", curve(F.array(*[F.col(c).cast("long") for c in codes]))), "curve")
-    by = ["curve", *ties]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = T.StructType([*table.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType())])
 
     def number(batches):
         import numpy as np
@@ -84,14 +74,29 @@ def order_along_curve(rows: DataFrame, codes: list[str], ties: list[str], bits:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(m, part, dtype=np.int32)), pa.array(np.arange(seen, seen + m, dtype=np.int64))], names=schema.names)
             seen += m
 
-    numbered = written(table.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(number, schema), "places")
-    counts = numbered.groupBy("part").agg(F.count("*").alias("n")).collect()  # one row for each range
+    numbered = written(rows.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(number, schema), "places")
+    counts = numbered.groupBy("_part").agg(F.count("*").alias("n")).collect()  # one row for each range
     before, offsets = 0, []
-    for r in sorted(counts, key=lambda r: r["part"]):
-        offsets.append((r["part"], before))
+    for r in sorted(counts, key=lambda r: r["_part"]):
+        offsets.append((r["_part"], before))
         before += r["n"]
-    starts = rows.sparkSession.createDataFrame(offsets, "part int, before long")
-    return numbered.join(F.broadcast(starts), "part").withColumn("place", F.col("before") + F.col("at")).drop("part", "at", "before")
+    starts = rows.sparkSession.createDataFrame(offsets, "_part int, _before long")
+    return numbered.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def order_along_curve(rows: DataFrame, codes: list[str], ties: list[str], bits: int = 8) -> DataFrame:
+    """Add ``curve`` (the Hilbert index of the code columns) and ``place`` (0, 1, ... along curve, then ties)."""
+
+    @F.pandas_udf("long")
+    def curve(points):
+        import numpy as np
+        import pandas as pd
+
+        values = np.stack(points.to_numpy()) if len(points) else np.zeros((0, len(codes)), dtype=np.int64)
+        return pd.Series(hilbert_index(values, bits))
+
+    table = written(rows.withColumn("curve", curve(F.array(*[F.col(c).cast("long") for c in codes]))), "curve")
+    return number_in_order(table, ["curve", *ties], "place")
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, bits: int = 8) -> DataFrame:
