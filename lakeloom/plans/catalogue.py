@@ -1,11 +1,718 @@
-"""The registered queries and their SQL."""
+"""The registered queries: each operator bound to the star-schema and event tables, with its SQL.
+
+Roles: an order line with its part is a listing (make: brand, model: type, price: extended price,
+mileage: quantity, date: ship date), the event table is a log in order of event_id.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakeloom.functions import expressions as X
+from lakeloom.operators import baseline, comparables, evaluation, expectations, ledger, models, monitoring, profile, rules, splitting, statistics
+from lakeloom.operators.expectations import Expectation
+from lakeloom.operators.rules import RowRule
+from lakeloom.sources.tables import Tables
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of the tables as a query, with its SQL."""
+
+    def register(f):
+        _QUERIES[f.__name__] = lambda spark, path: f(Tables(spark, path))
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+RATIOS = [("train", 0.6), ("validation", 0.1), ("calibration", 0.1), ("test", 0.2)]
+REFERENCE = "2000-01-01"
+
+
+def listings(t: Tables) -> DataFrame:
+    part = t.part.select("p_partkey", F.col("p_brand").alias("make"), F.col("p_type").alias("model"))
+    line = t.lineitem.select(*ID, F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("mileage"), F.col("l_shipdate").alias("date"))
+    return line.join(part, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
+
+
+LISTINGS = "listings AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS price, l_quantity AS mileage, l_shipdate AS date, p_brand AS make, p_type AS model FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+# ---- rules, funnel, deduplication
+
+
+def _rules() -> list[RowRule]:
+    return [
+        RowRule("scope", (F.col("l_returnflag") != "R") & (F.col("l_linestatus") == "F")),
+        RowRule("date", F.col("l_shipdate").isNull() | (F.col("l_shipdate") <= F.lit("1998-06-01").cast("timestamp"))),
+        RowRule("price", F.col("l_extendedprice").between(2000.0, 80000.0)),
+    ]
+
+
+@query("""
+WITH f AS (SELECT *, (l_returnflag <> 'R' AND l_linestatus = 'F') AS a, (l_shipdate IS NULL OR l_shipdate <= TIMESTAMP '1998-06-01') AS b, l_extendedprice BETWEEN 2000 AND 80000 AS c FROM lineitem),
+s AS (SELECT 0 AS step, 'raw' AS name, count(*) AS rows FROM f UNION ALL SELECT 1, 'scope', count(*) FROM f WHERE a UNION ALL SELECT 2, 'date', count(*) FROM f WHERE a AND b
+ UNION ALL SELECT 3, 'price', count(*) FROM f WHERE a AND b AND c UNION ALL SELECT 4, 'duplicates', count(*) FROM (SELECT DISTINCT l_partkey, l_quantity FROM f WHERE a AND b AND c))
+SELECT step, name, rows, coalesce(lag(rows) OVER (ORDER BY step) - rows, 0) AS removed FROM s""")
+def funnel_counts(t):
+    return rules.funnel(t.lineitem, _rules(), ["l_partkey", "l_quantity"])
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_partkey, l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) = 1""")
+def dedup_keep_first(t):
+    return rules.keep_first(t.lineitem.select(*ID, "l_quantity", "l_extendedprice"), ["l_partkey", "l_quantity"], ID)
+
+
+@query("""
+SELECT count(*) AS rows, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS repeats_of_key,
+ count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)) AS repeats_of_row FROM lineitem""")
+def duplicate_counts(t):
+    return rules.duplicate_counts(t.lineitem.select(*ID), ["l_orderkey", "l_linenumber"])
+
+
+# ---- keys and splits
+
+
+@query("""
+SELECT c_custkey, substr(sha256(CASE WHEN c_custkey % 3 = 0 THEN 'private|' || coalesce(n_name, '??') || '|' || c_mktsegment || '|?' ELSE c_name END), 1, 16) AS seller_group
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
+def group_key_hash(t):
+    company = F.when(F.col("c_custkey") % 3 != 0, F.col("c_name"))
+    key = X.group_key(company, (F.col("n_name"), "??"), (F.col("c_mktsegment"), "?????"), (F.lit(None).cast("string"), "?"))
+    return t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", X.short_hash(key).alias("seller_group"))
+
+
+_POSITION = "('0x' || substr(sha256('{seed}|' || {key}), 1, 8))::BIGINT % 10000 / 10000.0"
+_SPLIT = "CASE WHEN {p} < 0.6 THEN 'train' WHEN {p} < 0.7 THEN 'validation' WHEN {p} < 0.8 THEN 'calibration' ELSE 'test' END".format(p=_POSITION.format(seed="20251108", key="o_custkey"))
+
+
+@query(f"SELECT o_orderkey, round({_POSITION.format(seed='20251108', key='o_custkey')}, 4) AS position, {_SPLIT} AS split FROM orders")
+def hash_split_assign(t):
+    p = X.hash_position("20251108", F.col("o_custkey"))
+    return splitting.split_by_group(t.orders, "o_custkey", "20251108", RATIOS).select("o_orderkey", F.round(p, 4).alias("position"), "split")
+
+
+@query(f"""
+SELECT o_orderkey, (n_name = (SELECT min(n_name) FROM nation)) AND {_POSITION.format(seed="20251108|' || (SELECT min(n_name) FROM nation) || '", key="o_custkey")} < 0.4 AS held_out
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+def holdout_by_hash(t):
+    wanted = t.nation.agg(F.min("n_name")).first()[0]
+    j = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    return j.select("o_orderkey", X.held_out("20251108", F.col("n_name"), wanted, F.col("o_custkey"), 0.4).alias("held_out"))
+
+
+@query(f"""
+WITH s AS (SELECT {_SPLIT} AS split, o_custkey, count(*) AS n FROM orders GROUP BY ALL),
+w AS (SELECT sum(n) AS total, sqrt(sum(n * n)) AS spread FROM s),
+r AS (SELECT * FROM (VALUES ('train', 0.6::DOUBLE), ('validation', 0.1::DOUBLE), ('calibration', 0.1::DOUBLE), ('test', 0.2::DOUBLE)) v(split, ratio)),
+j AS (SELECT split, ratio, coalesce(sum(n), 0)::BIGINT AS rows, coalesce(max(n), 0) AS largest FROM r LEFT JOIN s USING (split) GROUP BY ALL),
+k AS (SELECT *, rows / total::DOUBLE AS share, least(5.0 * spread / total * sqrt(ratio * (1 - ratio)), 0.15) AS bound FROM j, w)
+SELECT split, rows, round(share, 6) AS share, round(share - ratio, 6) AS deviation, round(bound, 6) AS bound,
+ concat_ws(',', CASE WHEN rows = 0 THEN 'empty' END, CASE WHEN share < 0.75 * ratio THEN 'floor' END, CASE WHEN largest > 0.05 * total THEN 'concentration' END, CASE WHEN abs(share - ratio) > bound THEN 'dispersion' END) AS fired FROM k""")
+def split_shares_gate(t):
+    return splitting.split_report(splitting.split_by_group(t.orders, "o_custkey", "20251108", RATIOS), "o_custkey", RATIOS)
+
+
+@query("SELECT p_brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IS NOT NULL GROUP BY p_brand HAVING count(*) >= 300")
+def supported_levels(t):
+    return splitting.levels_with_support(listings(t).withColumnRenamed("make", "p_brand"), "p_brand", 300)
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS source_rows, (SELECT count(*) FROM orders) AS part_rows, 0::BIGINT AS keys_in_two")
+def lossless_partition_check(t):
+    return splitting.lossless(splitting.split_by_group(t.orders, "o_custkey", "20251108", RATIOS), t.orders, ["o_custkey"])
+
+
+@query("""
+WITH h AS (SELECT o_orderkey, row_number() OVER (ORDER BY sha256('7|' || o_orderkey)) AS r FROM orders)
+SELECT o_orderkey, CASE WHEN r <= 200 THEN 'reference' WHEN r <= 500 THEN 'control' ELSE 'spare' END AS sample FROM h WHERE r <= 600""")
+def disjoint_hash_samples(t):
+    return splitting.disjoint_samples(t.orders.select("o_orderkey"), "o_orderkey", "7", [("reference", 200), ("control", 300), ("spare", 100)])
+
+
+# ---- composition and quality
+
+
+@query(f"""
+WITH {LISTINGS}, e AS (SELECT 'make' AS dimension, coalesce(make, '(missing)') AS level FROM listings UNION ALL SELECT 'model', coalesce(model, '(missing)') FROM listings)
+SELECT dimension, level, count(*) AS rows, round(count(*) / sum(count(*)) OVER (PARTITION BY dimension)::DOUBLE, 6) AS share FROM e GROUP BY dimension, level""")
+def level_composition(t):
+    return profile.composition(listings(t), ["make", "model"])
+
+
+@query(f"""
+WITH {LISTINGS}, c AS (SELECT make, count(*) AS n FROM listings WHERE make IS NOT NULL GROUP BY make), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, make) AS r FROM c)
+SELECT CASE WHEN r <= 8 OR make = (SELECT min(make) FROM c) THEN make ELSE 'other' END AS level, sum(n)::BIGINT AS n FROM r GROUP BY 1""")
+def topk_with_other_fold(t):
+    own = listings(t)
+    return profile.top_with_other(own, "make", 8, [own.agg(F.min("make")).first()[0]])
+
+
+_SUITE = [
+    Expectation("price_filled", "l_extendedprice", "not_null"), Expectation("price_range", "l_extendedprice", "between", 1000.0, 50000.0, mostly=0.5), Expectation("discount_range", "l_discount", "between", 0.0, 0.1),
+    Expectation("flag_levels", "l_returnflag", "in_set", values=("A", "N", "R")), Expectation("quantity_range", "l_quantity", "between", 1.0, 45.0, mostly=0.95),
+]
+
+
+def _rule_sql(name, column, missing, bad, base, mostly):
+    return f"SELECT '{name}' AS rule, '{column}' AS \"column\", count(*) AS elements, {missing}::BIGINT AS missing, {bad}::BIGINT AS unexpected, round({bad} / {base}::DOUBLE * 100, 4) AS unexpected_percent, 1 - {bad} / {base}::DOUBLE >= {mostly} AS passed FROM lineitem"
+
+
+def _between(c, a, b):
+    return f"count(*) FILTER (WHERE NOT {c} BETWEEN {a} AND {b})"
+
+
+@query(" UNION ALL ".join([
+    _rule_sql("price_filled", "l_extendedprice", "count(*) FILTER (WHERE l_extendedprice IS NULL)", "count(*) FILTER (WHERE l_extendedprice IS NULL)", "count(*)", 1.0),
+    _rule_sql("price_range", "l_extendedprice", "count(*) FILTER (WHERE l_extendedprice IS NULL)", _between("l_extendedprice", 1000.0, 50000.0), "count(l_extendedprice)", 0.5),
+    _rule_sql("discount_range", "l_discount", "count(*) FILTER (WHERE l_discount IS NULL)", _between("l_discount", "0.0::DOUBLE", "0.1::DOUBLE"), "count(l_discount)", 1.0),
+    _rule_sql("flag_levels", "l_returnflag", "count(*) FILTER (WHERE l_returnflag IS NULL)", "count(*) FILTER (WHERE l_returnflag NOT IN ('A', 'N', 'R'))", "count(l_returnflag)", 1.0),
+    _rule_sql("quantity_range", "l_quantity", "count(*) FILTER (WHERE l_quantity IS NULL)", _between("l_quantity", 1.0, 45.0), "count(l_quantity)", 0.95),
+    "SELECT 'row_count', NULL, count(*), 0::BIGINT, greatest(1000 - count(*), 0)::BIGINT, 0.0::DOUBLE, count(*) >= 1000 FROM lineitem",
+]))
+def quality_suite_results(t):
+    return expectations.run_suite(t.lineitem, _SUITE, min_rows=1000)
+
+
+def _labelled(t):
+    return t.documents.join(t.labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")), "doc_id", "left")
+
+
+_LABELLED = "labelled AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id))"
+
+
+@query(f"WITH {_LABELLED} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS filled, count(*) AS rows, round(count({c}) / count(*)::DOUBLE, 6) AS share FROM labelled" for c in ("text", "lang", "source", "quality", "toxic")))
+def fill_rates(t):
+    return expectations.fill_rates(_labelled(t), ["text", "lang", "source", "quality", "toxic"])
+
+
+@query(f"WITH {_LABELLED} SELECT ((quality IS NULL)::INT + (toxic IS NULL)::INT + (lang IS NULL)::INT) AS missing, count(*) AS rows FROM labelled GROUP BY 1")
+def missing_per_row_hist(t):
+    return expectations.missing_histogram(_labelled(t), ["quality", "toxic", "lang"])
+
+
+@query('SELECT p_brand, count(DISTINCT p_type) AS "values" FROM part GROUP BY p_brand HAVING count(DISTINCT p_type) > 1')
+def functional_dependency(t):
+    return expectations.functional_dependency(t.part, "p_brand", "p_type")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", {s}::DOUBLE AS share, round(quantile_cont({c}, {s}), 6) AS value FROM lineitem" for c in ("l_quantity", "l_extendedprice") for s in (0.0, 0.05, 0.5, 0.95, 1.0)))
+def quantile_profile(t):
+    return profile.quantiles(t.lineitem, ["l_quantity", "l_extendedprice"], [0.0, 0.05, 0.5, 0.95, 1.0])
+
+
+@query("SELECT 'orders' AS claim, '15000' AS expected, count(*)::VARCHAR AS actual, count(*)::VARCHAR = '15000' AS match FROM orders UNION ALL SELECT 'customers', '1500', count(DISTINCT o_custkey)::VARCHAR, count(DISTINCT o_custkey)::VARCHAR = '1500' FROM orders")
+def card_checks(t):
+    return expectations.card_checks(t.orders, {"orders": (15000, F.count("*")), "customers": (1500, F.count_distinct("o_custkey"))})
+
+
+@query(f"WITH {LISTINGS} SELECT make, count(*) AS n, round(500.0::DOUBLE / count(*), 6) AS share_needed, count(*) >= 500 AS supported FROM listings WHERE make IS NOT NULL GROUP BY make")
+def support_break_even(t):
+    return profile.support_break_even(listings(t), "make", 500)
+
+
+# ---- expressions and features
+
+
+@query("SELECT o_orderkey, round(date_diff('day', o_orderdate::DATE, DATE '2000-01-01') / 365.25::DOUBLE, 6) AS age FROM orders")
+def age_years_expr(t):
+    return t.orders.select("o_orderkey", F.round(X.age_years(F.col("o_orderdate"), REFERENCE), 6).alias("age"))
+
+
+_BUCKET = "CASE WHEN {c} IS NULL THEN '(missing)' WHEN {c} < 2000 THEN '(invalid)' WHEN {c} < 10000 THEN '2000 to 10000' WHEN {c} < 20000 THEN '10000 to 20000' WHEN {c} < 40000 THEN '20000 to 40000' ELSE 'over 40000' END"
+
+
+@query(f"SELECT {_BUCKET.format(c='l_extendedprice')} AS bucket, count(*) AS n FROM lineitem GROUP BY 1")
+def bucket_levels(t):
+    return t.lineitem.groupBy(X.bucket(F.col("l_extendedprice"), [2000, 10000, 20000, 40000]).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH m AS (SELECT o_orderkey, o_orderdate::DATE AS d, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS k FROM orders),
+w AS (SELECT *, k - CASE WHEN d < DATE '1995-01-15' + to_months(k::INT) THEN 1 ELSE 0 END AS months FROM m)
+SELECT o_orderkey, months::INT AS months, strftime(date_trunc('month', d) + to_months(months::INT), '%Y-%m') AS shifted, strftime(DATE '1995-01-15' + to_months(months::INT), '%Y-%m-%d') AS as_of FROM w""")
+def months_shift(t):
+    m = X.whole_months(F.col("o_orderdate"), "1995-01-15")
+    return t.orders.select("o_orderkey", m.cast("int").alias("months"), X.shifted_month(F.date_format("o_orderdate", "yyyy-MM"), m).alias("shifted"), F.date_format(X.as_of(F.col("o_orderdate"), "1995-01-15"), "yyyy-MM-dd").alias("as_of"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE floor(l_extendedprice) END AS kg FROM lineitem")
+def parse_thousands_text(t):
+    text = F.when(F.col("l_linenumber") % 5 == 0, F.concat(F.format_number("l_extendedprice", 0), F.lit(" lb"))).otherwise(F.concat(F.format_number(F.floor("l_extendedprice"), 0), F.lit(" kg ")))
+    return t.lineitem.select(*ID, X.parsed_weight(text).alias("kg"))
+
+
+@query("""
+SELECT p_partkey, nullif(array_to_string(list_slice(regexp_split_to_array(trim(regexp_replace(lower(p_name), '[^0-9a-z]+', ' ', 'g')), ' +'), 1, 2), ' '), '') AS trim FROM part""")
+def text_fold_tokens(t):
+    return t.part.select("p_partkey", X.text_tokens(F.col("p_name"), 2).alias("trim"))
+
+
+_WORDS = "list_distinct(regexp_split_to_array(lower(p_name || ' ' || p_type || ' ' || p_brand), ' +'))"
+
+
+def _items(t):
+    return t.part.select("p_partkey", F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), " +")).alias("items"))
+
+
+@query(f"SELECT item, count(*) AS n FROM (SELECT unnest({_WORDS}) AS item FROM part) GROUP BY item HAVING count(*) > 0.01 * (SELECT count(*) FROM part)")
+def frequent_items(t):
+    return profile.frequent_items(_items(t), "items", 0.01)
+
+
+@query(f"""
+WITH i AS (SELECT {_WORDS} AS items FROM part), f AS (SELECT item FROM (SELECT unnest(items) AS item FROM i) GROUP BY item ORDER BY count(*) DESC, item LIMIT 5)
+SELECT item, count(*) FILTER (WHERE list_contains(items, item)) AS n FROM f, i GROUP BY item""")
+def multi_hot_counts(t):
+    own = _items(t)
+    wanted = [r["item"] for r in own.select(F.explode("items").alias("item")).groupBy("item").count().orderBy(F.desc("count"), "item").limit(5).collect()]
+    hot = own.select(*X.multi_hot(F.col("items"), wanted, "x"))
+    wide = hot.agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in hot.columns])
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(w).alias("item"), F.col(c).alias("n")) for w, c in zip(wanted, hot.columns, strict=True)])).alias("r")).select("r.*")
+
+
+@query("""
+WITH lv AS (SELECT DISTINCT p_brand FROM part ORDER BY p_brand LIMIT 10), c AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS code FROM lv)
+SELECT coalesce(code, -1)::INT AS code, count(*) AS n FROM part LEFT JOIN c USING (p_brand) GROUP BY 1""")
+def level_codes_unseen_null(t):
+    levels = [r[0] for r in t.part.select("p_brand").distinct().orderBy("p_brand").limit(10).collect()]
+    return t.part.groupBy(X.level_code(F.col("p_brand"), levels).alias("code")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT event_type, count(*) AS n, count(props) AS with_props, count(json_extract_string(props, '$.k')) AS with_k FROM events GROUP BY event_type""")
+def json_fields_sent(t):
+    fields = F.from_json("props", "map<string,string>")
+    return t.events.select("event_type", "props", X.sent_fields(fields).alias("sent")).groupBy("event_type").agg(F.count("*").alias("n"), F.count("props").alias("with_props"), F.sum(F.array_contains("sent", "k").cast("long")).alias("with_k"))
+
+
+# ---- baseline, errors, gate
+
+
+def _age(column="date"):
+    return F.floor(X.age_years(F.col(column), REFERENCE) / 2)
+
+
+_FIT = f"""{LISTINGS}, aged AS (SELECT *, floor(date_diff('day', date::DATE, DATE '2000-01-01') / 365.25::DOUBLE / 2) AS bucket FROM listings),
+b3 AS (SELECT make, model, bucket, median(price) AS m3, count(*) AS n FROM aged WHERE l_orderkey % 5 <> 0 GROUP BY ALL), b1 AS (SELECT make, median(price) AS m1, count(*) AS n FROM aged WHERE l_orderkey % 5 <> 0 GROUP BY ALL), b0 AS (SELECT median(price) AS m0, count(*) AS n FROM aged WHERE l_orderkey % 5 <> 0),
+scored AS (SELECT a.*, coalesce(m3, m1, m0) AS predicted, abs(coalesce(m3, m1, m0) - price) / price AS e FROM aged a LEFT JOIN b3 USING (make, model, bucket) LEFT JOIN b1 USING (make), b0 WHERE l_orderkey % 5 = 0)"""
+
+
+def _medians(t):
+    return baseline.fit_medians(listings(t).where("l_orderkey % 5 <> 0"), "make", "model", _age(), "price")
+
+
+def _scored(t):
+    return baseline.predict_medians(listings(t).where("l_orderkey % 5 = 0"), _medians(t), "make", "model", _age())
+
+
+@query(f"""
+WITH {_FIT} SELECT 'bucket' AS level, make AS k1, model AS k2, bucket::BIGINT AS k3, round(m3, 6) AS median, n FROM b3
+UNION ALL SELECT 'make', make, NULL, NULL, round(m1, 6), n FROM b1 UNION ALL SELECT 'all', NULL, NULL, NULL, round(m0, 6), n FROM b0""")
+def hier_median_lookup(t):
+    return _medians(t).withColumn("median", F.round("median", 6))
+
+
+@query(f"WITH {_FIT} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(predicted, 6) AS predicted FROM scored")
+def baseline_predict_fallback(t):
+    return _scored(t).select(*ID, F.round("predicted", 6).alias("predicted"))
+
+
+_METRICS = "count(*) AS n, round(median(e), 6) AS mdape, round(avg((e <= 0.1)::INT), 6) AS within_10pct, round(avg((e <= 0.2)::INT), 6) AS within_20pct, round(avg(abs(predicted - price)), 4) AS mae, round(avg(e), 6) AS mape"
+
+
+@query(f"WITH {_FIT} SELECT {_METRICS} FROM scored")
+def point_metrics(t):
+    return _scored(t).agg(*evaluation.point_metrics("price", "predicted"))
+
+
+def _segment_sql(segment, level, source):
+    why = "CASE WHEN {0} = '(missing)' THEN 'placeholder' WHEN count(*) < 500 THEN 'too few rows' END".format(level)
+    return f"SELECT '{segment}' AS segment, {level} AS level, {_METRICS}, {why} IS NULL AS counts, {why} AS excluded_because FROM {source} GROUP BY {level}"
+
+
+@query(f"WITH {_FIT} {_segment_sql('make', 'make', 'scored')} UNION ALL {_segment_sql('model', 'model', 'scored')}")
+def segment_error_metrics(t):
+    return evaluation.segment_metrics(_scored(t), "price", "predicted", ["make", "model"])
+
+
+@query(f"WITH {_FIT}, p AS (SELECT *, {_BUCKET.format(c='price')} AS b FROM scored) {_segment_sql('price_bucket', 'b', 'p')}")
+def price_bucket_metrics(t):
+    scored = _scored(t).withColumn("price_bucket", X.bucket(F.col("price"), [2000, 10000, 20000, 40000]))
+    return evaluation.segment_metrics(scored, "price", "predicted", ["price_bucket"])
+
+
+_RANGES = f"""{LISTINGS}, r AS (SELECT make, model, quantile_cont(price, 0.05) AS lower, median(price) AS typical, quantile_cont(price, 0.95) AS upper FROM listings WHERE l_orderkey % 5 > 1 GROUP BY ALL),
+cal AS (SELECT * FROM listings JOIN r USING (make, model) WHERE l_orderkey % 5 = 1),
+s AS (SELECT 'lower' AS side, lower - price AS score FROM cal UNION ALL SELECT 'upper', price - upper FROM cal),
+o AS (SELECT side, score, row_number() OVER (PARTITION BY side ORDER BY score) AS k, count(*) OVER (PARTITION BY side) AS n FROM s),
+offs AS (SELECT side, n, min(score) AS off FROM o WHERE k >= least(ceil((n + 1) * (1 - (1 - 0.9::DOUBLE) / 2)), n) GROUP BY side, n)"""
+
+
+def _ranges(t):
+    own = listings(t)
+    return own, statistics.range_by_class(own.where("l_orderkey % 5 > 1"), "price", ["make", "model"])
+
+
+def _offsets(t):
+    own, r = _ranges(t)
+    return statistics.conformal_offsets(own.where("l_orderkey % 5 = 1").join(r, ["make", "model"]), "price", "lower", "upper")
+
+
+@query(f'WITH {_RANGES} SELECT side, n, round(off, 6) AS "offset" FROM offs')
+def conformal_offsets(t):
+    return _offsets(t).withColumn("offset", F.round("offset", 6))
+
+
+@query(f"""
+WITH {_RANGES}, t AS (SELECT make, price, lower - (SELECT off FROM offs WHERE side = 'lower') AS lo, upper + (SELECT off FROM offs WHERE side = 'upper') AS hi, typical FROM listings JOIN r USING (make, model) WHERE l_orderkey % 5 = 0),
+g AS (SELECT coalesce(make, '(all)') AS make, count(*) AS n, avg((price BETWEEN lo AND hi)::INT) AS c, avg((hi - lo) / typical) AS w FROM t GROUP BY ROLLUP (make))
+SELECT make, n, round(c, 6) AS coverage, round(sqrt(0.9::DOUBLE * 0.1::DOUBLE / n), 6) AS std_error, round(w, 6) AS mean_relative_width, CASE WHEN c < 0.88 THEN 'too narrow' WHEN c > 0.92 THEN 'too wide' ELSE 'in band' END AS judgement FROM g""")
+def interval_coverage_by_make(t):
+    own, r = _ranges(t)
+    off = _offsets(t).agg(F.max(F.when(F.col("side") == "lower", F.col("offset"))).alias("dl"), F.max(F.when(F.col("side") == "upper", F.col("offset"))).alias("du"))
+    test = own.where("l_orderkey % 5 = 0").join(r, ["make", "model"]).join(F.broadcast(off)).select("make", "price", "typical", (F.col("lower") - F.col("dl")).alias("lower"), (F.col("upper") + F.col("du")).alias("upper"))
+    return evaluation.range_coverage(test, "price", "lower", "upper", "typical", "make")
+
+
+@query(f"""
+WITH {_FIT}, m AS (SELECT median(e) AS a, avg((e <= 0.2)::INT) AS b FROM scored), c AS (SELECT 'mdape' AS criterion, a <= 0.4 AS passed FROM m UNION ALL SELECT 'within_20pct', b >= 0.85 FROM m UNION ALL SELECT 'coverage', NULL UNION ALL SELECT 'segments', false)
+SELECT count(*) AS criteria, count(*) FILTER (WHERE criterion = 'segments') AS waived, count(*) FILTER (WHERE criterion <> 'segments' AND coalesce(passed, false)) AS passed,
+ coalesce(string_agg(criterion, ',' ORDER BY criterion) FILTER (WHERE criterion <> 'segments' AND NOT coalesce(passed, false)), '') AS blocking, bool_and(criterion = 'segments' OR coalesce(passed, false)) AS deployable FROM c""")
+def gate_verdict(t):
+    e = X.relative_error(F.col("price"), F.col("predicted"))
+    m = _scored(t).agg(F.median(e).alias("a"), F.avg((e <= 0.2).cast("double")).alias("b"))
+    rows = [F.struct(F.lit(n).alias("criterion"), p.alias("passed")) for n, p in (("mdape", F.col("a") <= 0.4), ("within_20pct", F.col("b") >= 0.85), ("coverage", F.lit(None).cast("boolean")), ("segments", F.lit(False)))]
+    return evaluation.verdict(m.select(F.explode(F.array(*rows)).alias("r")).select("r.*"), waived=["segments"])
+
+
+@query(f"""
+WITH {_FIT}, k AS (SELECT * FROM (VALUES ('(none)'), ('make'), ('model'), ('date')) v(scenario)),
+x AS (SELECT scenario, price, CASE WHEN scenario <> 'make' THEN make END AS make, CASE WHEN scenario <> 'model' THEN model END AS model, CASE WHEN scenario <> 'date' THEN bucket END AS bucket FROM aged, k WHERE l_orderkey % 5 = 0),
+y AS (SELECT scenario, median(abs(coalesce(m3, m1, m0) - price) / price) AS m FROM x LEFT JOIN b3 USING (make, model, bucket) LEFT JOIN b1 USING (make), b0 GROUP BY scenario), z AS (SELECT m AS base FROM y WHERE scenario = '(none)')
+SELECT scenario, round(m, 6) AS mdape, round(m / base, 6) AS ratio, m / base <= 1.5 AS passed FROM y, z""")
+def masking_sweep(t):
+    rows = evaluation.omission_scenarios(listings(t).where("l_orderkey % 5 = 0"), {"make": F.lit(None).cast("string"), "model": F.lit(None).cast("string"), "date": F.lit(None).cast("timestamp")})
+    return evaluation.masking_sweep(baseline.predict_medians(rows, _medians(t), "make", "model", _age()), "price", "predicted")
+
+
+# ---- search, set operations, reconciliation
+
+_INDEX = "idx AS (SELECT l_orderkey * 1000000000 + l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey AS id, make, model, date_diff('day', date::DATE, DATE '2000-01-01') / 365.25::DOUBLE AS age, mileage FROM listings)"
+_QUERY_ROWS = "q AS (SELECT id AS query_id, make, CASE WHEN id % 2 = 0 THEN model END AS model, CASE WHEN id % 3 > 0 THEN age END AS age, CASE WHEN id % 5 > 0 THEN mileage END AS mileage FROM idx WHERE l_order % 50 = 0)"
+
+
+def _index(t):
+    own = listings(t)
+    return own.select((F.col("l_orderkey") * 1_000_000_000 + F.col("l_linenumber") * 10_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("id"), "make", "model", X.age_years(F.col("date"), REFERENCE).alias("age"), "mileage", "l_orderkey")
+
+
+@query(f"""
+WITH {LISTINGS}, {_INDEX.replace(" AS id,", " AS id, l_orderkey AS l_order,")}, {_QUERY_ROWS},
+n AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(abs(i.mileage - q.mileage), 0), coalesce(abs(i.age - q.age), 0), id) AS rank FROM q JOIN idx i ON i.make = q.make
+ AND (q.model IS NULL OR i.model = q.model) AND (q.age IS NULL OR abs(i.age - q.age) <= 2) AND (q.mileage IS NULL OR abs(i.mileage - q.mileage) <= 0.25 * q.mileage))
+SELECT query_id, rank::INT AS rank, id FROM n WHERE rank <= 5""")
+def comparables_topk(t):
+    idx = _index(t)
+    q = idx.where("l_orderkey % 50 = 0").select(F.col("id").alias("query_id"), "make", F.when(F.col("id") % 2 == 0, F.col("model")).alias("model"), F.when(F.col("id") % 3 > 0, F.col("age")).alias("age"), F.when(F.col("id") % 5 > 0, F.col("mileage")).alias("mileage"))
+    return comparables.nearest(q, idx.drop("l_orderkey"))
+
+
+@query("""
+WITH a AS (SELECT DISTINCT p_brand AS make, p_type AS model FROM part WHERE p_size < 25), b AS (SELECT DISTINCT p_brand AS make, p_type AS model FROM part WHERE p_size >= 20)
+SELECT make, count(*) AS n, string_agg(model, ',' ORDER BY lower(model), model) AS models FROM a JOIN b USING (make, model) GROUP BY make""")
+def comparables_models_by_make(t):
+    p = t.part.select(F.col("p_brand").alias("make"), F.col("p_type").alias("model"), "p_size")
+    return comparables.models_by_make(p.where("p_size < 25"), p.where("p_size >= 20"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def leak_check_semi(t):
+    held = t.customer.where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
+    return t.orders.where("o_orderstatus = 'O'").join(held, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def cross_group_intersect(t):
+    return t.orders.where("o_orderstatus = 'F'").select("o_custkey").intersect(t.orders.where("o_orderstatus = 'P'").select("o_custkey"))
+
+
+@query("""
+WITH a AS (SELECT DISTINCT p_type AS level FROM part WHERE p_size < 4 AND p_type IS NOT NULL), b AS (SELECT DISTINCT p_type AS level FROM part WHERE p_size > 47 AND p_type IS NOT NULL)
+SELECT level, 'left' AS side FROM (SELECT level FROM a EXCEPT SELECT level FROM b) UNION ALL SELECT level, 'right' FROM (SELECT level FROM b EXCEPT SELECT level FROM a)""")
+def except_levels(t):
+    return ledger.level_difference(t.part.where("p_size < 4"), t.part.where("p_size > 47"), "p_type")
+
+
+@query("""
+SELECT copy, count(*) AS n, count(p_brand) AS brands, count(p_type) AS types FROM (SELECT 'full' AS copy, p_brand, p_type FROM part UNION ALL SELECT 'all', NULL, NULL FROM part) GROUP BY copy""")
+def union_all_copies(t):
+    copies = statistics.blanked_copies(t.part.select("p_partkey", "p_brand", "p_type"), ["p_partkey"], ["p_brand", "p_type"], "3")
+    return copies.where("copy <> 'random'").groupBy("copy").agg(F.count("*").alias("n"), F.count("p_brand").alias("brands"), F.count("p_type").alias("types"))
+
+
+@query()
+def random_blanked_copies(t):
+    copies = statistics.blanked_copies(t.part.select("p_partkey", "p_brand", "p_type", "p_size"), ["p_partkey"], ["p_brand", "p_type", "p_size"], "3").where("copy = 'random'")
+    lost = sum((F.col(c).isNull().cast("int") for c in ("p_type", "p_size")), F.col("p_brand").isNull().cast("int"))
+    return copies.groupBy(lost.alias("blank_fields")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH a AS (SELECT o_orderkey AS k, count(*) AS a FROM orders GROUP BY 1), b AS (SELECT l_orderkey AS k, count(*) AS b FROM lineitem GROUP BY 1)
+SELECT count(*) FILTER (WHERE b IS NULL) AS missing, count(*) FILTER (WHERE a IS NULL) AS unexpected, count(*) FILTER (WHERE a IS NOT NULL AND b > 1) AS repeated, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS matched FROM a FULL JOIN b USING (k)""")
+def reconcile_full_outer(t):
+    return ledger.reconcile(t.orders.select(F.col("o_orderkey").alias("k")), t.lineitem.select(F.col("l_orderkey").alias("k")), "k")
+
+
+# ---- the log
+
+_WINDOWS = """w0 AS (SELECT *, floor(date_diff('day', DATE '1970-01-01', ts::DATE) / 7)::BIGINT AS version FROM events), w1 AS (SELECT *, CASE WHEN version <> lag(version) OVER (ORDER BY event_id) THEN 1 ELSE 0 END AS c FROM w0),
+w2 AS (SELECT *, sum(c) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM w1), windowed AS (SELECT *, ((row_number() OVER (PARTITION BY run ORDER BY event_id) - 1) // 1000)::BIGINT AS "window" FROM w2)"""
+
+
+def _windowed(t):
+    log = t.events.withColumn("version", F.floor(F.datediff(F.to_date("ts"), F.lit("1970-01-01")) / 7))
+    return monitoring.count_windows(log, "event_id", "version", 1000)
+
+
+@query(f"""
+WITH {_WINDOWS}, g AS (SELECT run, "window", min(event_id) AS first_seq, max(event_id) AS last_seq, count(*) AS rows FROM windowed GROUP BY ALL)
+SELECT *, CASE WHEN rows = 1000 THEN 'tested' WHEN last_seq = max(last_seq) OVER () THEN 'open' ELSE 'partial' END AS state FROM g""")
+def count_windows(t):
+    return monitoring.window_states(_windowed(t), "event_id", 1000)
+
+
+_LABELS = "labels_of AS (SELECT event_id, value * (1 + (event_id % 7 - 3) / 20.0::DOUBLE) AS observed, ts + to_days((event_id % 10)::INT) AS received FROM events WHERE event_id % 3 = 0)"
+
+
+def _labels(t):
+    return t.events.where("event_id % 3 = 0").select("event_id", (F.col("value") * (1 + (F.col("event_id") % 7 - 3) / 20.0)).alias("observed"), (F.col("ts") + F.make_dt_interval((F.col("event_id") % 10).cast("int"))).alias("received"))
+
+
+def _with_labels(t):
+    return monitoring.label_requests(_windowed(t), _labels(t), "event_id", 7, "ts", "received").where("observed <> 0")
+
+
+@query(f"WITH {_WINDOWS}, {_LABELS} SELECT run, \"window\", count(*) AS labels, round(sum(observed), 4) AS observed FROM windowed JOIN labels_of USING (event_id) WHERE received <= ts + INTERVAL 7 DAY AND observed <> 0 GROUP BY ALL")
+def window_label_join(t):
+    return _with_labels(t).groupBy("run", "window").agg(F.count("*").alias("labels"), F.round(F.sum("observed"), 4).alias("observed"))
+
+
+@query(f"""
+WITH {_WINDOWS}, {_LABELS}, j AS (SELECT run, "window", abs(observed - value) / observed AS e, CASE WHEN event_id % 2 = 0 THEN observed BETWEEN 0.9::DOUBLE * value AND 1.1::DOUBLE * value END AS inside FROM windowed JOIN labels_of USING (event_id) WHERE received <= ts + INTERVAL 7 DAY AND observed <> 0)
+SELECT run, "window", count(*) AS labels, CASE WHEN count(*) >= 200 THEN round(median(e), 6) END AS mdape, CASE WHEN count(inside) >= 100 THEN round(avg(inside::INT), 6) END AS coverage, CASE WHEN count(*) >= 200 THEN 'ok' ELSE 'insufficient_labels' END AS status FROM j GROUP BY ALL""")
+def window_performance(t):
+    inside = F.when(F.col("event_id") % 2 == 0, F.col("observed").between(0.9 * F.col("value"), 1.1 * F.col("value")))
+    return monitoring.window_performance(_with_labels(t), "observed", "value", inside, least_ranges=100)
+
+
+_TESTED = "tested AS (SELECT event_type, round(avg(value), 6) / 1000 AS mdape, count(*) AS rows FROM events WHERE event_id % 2 = 0 GROUP BY event_type)"
+
+
+def _baseline(t):
+    tested = t.events.where("event_id % 2 = 0").groupBy("event_type").agg((F.round(F.avg("value"), 6) / 1000).alias("mdape"), F.count("*").alias("rows"))
+    shares = _windowed(t).groupBy("run", "window", "event_type").agg(F.count("*").alias("n")).withColumn("key", F.col("run") * 1000 + F.col("window"))
+    return monitoring.market_baseline(shares, tested, (0.05, 4000), "key", "event_type", least=900)
+
+
+_MARKET = f"""{_WINDOWS}, {_TESTED}, sh AS (SELECT run * 1000 + "window" AS key, event_type, count(*) AS n FROM windowed GROUP BY ALL), ww AS (SELECT *, n / sum(n) OVER (PARTITION BY key)::DOUBLE AS w FROM sh),
+market AS (SELECT key, round(sum(w * coalesce(mdape, 0.05::DOUBLE)), 6) AS baseline, round(1 / sum(w * w / coalesce(t.rows, 4000)), 4) AS effective_rows FROM ww LEFT JOIN (SELECT * FROM tested WHERE rows >= 900) t USING (event_type) GROUP BY key)"""
+
+
+@query(f"WITH {_MARKET} SELECT key, baseline, effective_rows FROM market")
+def market_baseline(t):
+    return _baseline(t)
+
+
+@query(f"""
+WITH {_MARKET}, p AS (SELECT key, 300 AS labels, 350 AS ranges, 0.06::DOUBLE AS mdape, 0.86::DOUBLE AS coverage, baseline, effective_rows FROM market),
+a AS (SELECT *, 1 + 3.55::DOUBLE * sqrt(1.0 / labels + 1 / effective_rows) AS c, 0.9::DOUBLE - 2.576::DOUBLE * sqrt(0.9::DOUBLE * (1 - 0.9::DOUBLE) / ranges) - 0.5::DOUBLE / ranges AS f FROM p)
+SELECT key, round(c, 6) AS ceiling, round(f, 6) AS floor, mdape > c * baseline AS error_alert, coverage < f AS coverage_alert FROM a""")
+def alert_thresholds(t):
+    w = _baseline(t).withColumns({"labels": F.lit(300), "ranges": F.lit(350), "mdape": F.lit(0.06), "coverage": F.lit(0.86)})
+    return monitoring.alert_thresholds(w).select("key", "ceiling", "floor", "error_alert", "coverage_alert")
+
+
+_KS = """c AS (SELECT value AS v, count(*) FILTER (WHERE event_type = 'view') AS a, count(*) FILTER (WHERE event_type = 'click') AS b FROM events WHERE value IS NOT NULL AND event_type IN ('view', 'click') GROUP BY value),
+u AS (SELECT sum(a) OVER o / sum(a) OVER () AS fa, sum(b) OVER o / sum(b) OVER () AS fb, sum(a) OVER () AS n, sum(b) OVER () AS m FROM c WINDOW o AS (ORDER BY v ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(f"WITH {_KS} SELECT max(n)::BIGINT AS n, max(m)::BIGINT AS m, round(max(abs(fa - fb)), 9) AS statistic FROM u")
+def ks_statistic(t):
+    k = monitoring.ks_statistic(t.events, "value", F.col("event_type") == "view", F.col("event_type") == "click")
+    return k.select("n", "m", F.round("statistic", 9).alias("statistic"))
+
+
+_HALF = "(SELECT max(event_id) / 2 FROM events)"
+_CHI = f"""c AS (SELECT event_type, count(*) FILTER (WHERE event_id <= {_HALF}) AS a, count(*) FILTER (WHERE event_id > {_HALF}) AS b FROM events WHERE event_type IS NOT NULL GROUP BY event_type),
+t AS (SELECT *, sum(a) OVER () AS n, sum(b) OVER () AS m FROM c), x AS (SELECT *, (a + b) * n / (n + m)::DOUBLE AS ea, (a + b) * m / (n + m)::DOUBLE AS eb FROM t)"""
+
+
+def _chi(t):
+    half = t.events.agg(F.max("event_id")).first()[0] / 2
+    return monitoring.chi2_statistic(t.events, "event_type", F.col("event_id") <= half, F.col("event_id") > half)
+
+
+@query(f"WITH {_CHI} SELECT count(*) AS categories, round(sum((a - ea) * (a - ea) / ea + (b - eb) * (b - eb) / eb), 6) AS statistic, count(*) - 1 AS degrees FROM x")
+def chi2_statistic(t):
+    return _chi(t).select("categories", F.round("statistic", 6).alias("statistic"), "degrees")
+
+
+@query()
+def drift_p_values(t):
+    k = monitoring.ks_statistic(t.events, "value", F.col("event_type") == "view", F.col("event_type") == "click").select(F.lit(1).alias("window"), F.lit("value").alias("feature"), "statistic", "p")
+    return monitoring.drift_verdicts(k.unionByName(_chi(t).select(F.lit(1).alias("window"), F.lit("event_type").alias("feature"), "statistic", "p")))
+
+
+@query(f"""
+WITH {_KS}, k AS (SELECT max(abs(fa - fb)) AS s, max(n)::DOUBLE AS n, max(m)::DOUBLE AS m FROM u) SELECT 'value' AS feature, s > sqrt(-ln(0.005::DOUBLE / 2 / 2) / 2) * sqrt((n + m) / (n * m)) AS drifted FROM k""")
+def drift_verdicts(t):
+    k = monitoring.ks_statistic(t.events, "value", F.col("event_type") == "view", F.col("event_type") == "click")
+    tests = k.select(F.lit(1).alias("window"), F.lit("value").alias("feature"), "p").unionByName(k.select(F.lit(1).alias("window"), F.lit("none").alias("feature"), F.lit(1.0).alias("p")))
+    return monitoring.drift_verdicts(tests).where("feature = 'value'").select("feature", "drifted")
+
+
+# ---- ledger
+
+
+def _halves(t):
+    own = t.events.select("event_id", "user_id", "event_type", "value")
+    half = own.agg(F.max("event_id")).first()[0] / 2
+    return own.where(F.col("event_id") <= half), own.where(F.col("event_id") > half)
+
+
+@query(f"""
+SELECT event_id, user_id, event_type, value FROM events WHERE event_id > {_HALF} AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id <= {_HALF})
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1""")
+def first_wins_upsert(t):
+    old, new = _halves(t)
+    return ledger.first_wins(old, new, ["user_id", "event_type"], ["event_id"])
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
+def latest_wins_upsert(t):
+    old, new = _halves(t)
+    return ledger.latest_wins(old, new, ["user_id", "event_type"], "event_id")
+
+
+@query("""
+WITH log AS (SELECT event_id, event_type <> 'view' AS priced FROM events WHERE event_id % 11 <> 0), lab AS (SELECT event_id, round(value, 2) AS price, 1 AS received FROM events WHERE event_id % 4 = 0 UNION ALL SELECT event_id, round(value, 2) + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END, 2 FROM events WHERE event_id % 8 = 0),
+held AS (SELECT event_id, round(value, 2) AS price FROM events WHERE event_id % 16 = 0), o AS (SELECT lab.*, priced, held.price AS held, log.event_id AS known, row_number() OVER (PARTITION BY lab.event_id ORDER BY received) AS n, first(lab.price) OVER (PARTITION BY lab.event_id ORDER BY received) AS f FROM lab LEFT JOIN log USING (event_id) LEFT JOIN held USING (event_id))
+SELECT event_id, price, received, CASE WHEN known IS NULL THEN 'unknown' WHEN NOT priced THEN 'unpriced' WHEN coalesce(held, CASE WHEN n > 1 THEN f END) IS NULL THEN 'stored' WHEN coalesce(held, CASE WHEN n > 1 THEN f END) = price THEN 'repeated' ELSE 'conflict' END AS outcome FROM o""")
+def feedback_outcomes(t):
+    price = F.round("value", 2)
+    log = t.events.where("event_id % 11 <> 0").select("event_id", (F.col("event_type") != "view").alias("priced"))
+    labels = t.events.where("event_id % 4 = 0").select("event_id", price.alias("price"), F.lit(1).alias("received")).unionByName(t.events.where("event_id % 8 = 0").select("event_id", (price + F.when(F.col("event_id") % 3 == 0, 1).otherwise(0)).alias("price"), F.lit(2).alias("received")))
+    held = t.events.where("event_id % 16 = 0").select("event_id", price.alias("price"))
+    return ledger.label_outcomes(labels, log, held, "event_id", "price", "priced")
+
+
+@query("SELECT event_id, user_id FROM events QUALIFY row_number() OVER (ORDER BY event_id DESC) <= 540")
+def retention_prune(t):
+    return ledger.prune(t.events.select("event_id", "user_id"), "event_id", 600)
+
+
+@query("""
+WITH c AS (SELECT event_type, floor(value) AS v, count(*) AS n FROM events GROUP BY ALL), u AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY v ROWS UNBOUNDED PRECEDING) AS cum, sum(n) OVER (PARTITION BY event_type) AS total FROM c)
+SELECT event_type, min(v) FILTER (WHERE cum >= ceil(0.5::DOUBLE * total))::BIGINT AS p50, min(v) FILTER (WHERE cum >= ceil(0.95::DOUBLE * total))::BIGINT AS p95 FROM u GROUP BY event_type""")
+def nearest_rank_percentile(t):
+    return monitoring.nearest_rank(t.events.withColumn("v0", F.floor("value")), "v0", [0.5, 0.95], "event_type")
+
+
+@query(" UNION ALL ".join(f"SELECT '{e}' AS le, count(*) FILTER (WHERE value <= {e}) AS n FROM events" for e in (5, 20, 50, 100)) + " UNION ALL SELECT '+Inf', count(value) FROM events")
+def histogram_buckets(t):
+    return monitoring.histogram(t.events, "value", [5, 20, 50, 100])
+
+
+@query("""
+WITH g AS (SELECT time_bucket(INTERVAL 360 MINUTE, ts, TIMESTAMP '1970-01-01') AS s, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS bad FROM events GROUP BY 1)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, events, bad, round(bad / events::DOUBLE, 6) AS ratio, bad / events::DOUBLE > 0.01 AS alert FROM g WHERE events >= 20""")
+def error_ratio_windows(t):
+    return monitoring.ratio_windows(t.events, "ts", F.col("event_type") == "error", 360)
+
+
+@query("""
+WITH o AS (SELECT o_orderpriority AS p, o_totalprice AS x, o_orderkey % 4 AS w FROM orders), r AS (SELECT p, x FROM o, range(4) r(i) WHERE i < w)
+SELECT o_orderpriority, round(mean, 6) AS mean, round(median, 6) AS median FROM (SELECT p AS o_orderpriority, sum(x * w) / sum(w) AS mean FROM o GROUP BY p) JOIN (SELECT p AS o_orderpriority, median(x) AS median FROM r GROUP BY p) USING (o_orderpriority)""")
+def weighted_median(t):
+    return statistics.weighted(t.orders.withColumn("w", F.col("o_orderkey") % 4), "o_totalprice", "w", ["o_orderpriority"])
+
+
+@query()
+def cluster_bootstrap(t):
+    d = t.orders.select("o_custkey", (F.col("o_totalprice") / 1000).alias("d"))
+    return statistics.cluster_bootstrap(d, "o_custkey", "d", 200, "20251108")
+
+
+# ---- models
+
+
+@query()
+def ridge_fit(t):
+    own = listings(t)
+    m = models.fit_ridge(own.where("l_orderkey % 5 <> 0"), "price", ["mileage"], ["make"])
+    return models.predict(m, own.where("l_orderkey % 5 = 0"), ["mileage"], ["make"]).agg(*evaluation.point_metrics("price", "predicted"))
+
+
+@query()
+def gbt_fit(t):
+    own = listings(t)
+    m = models.fit_trees(own.where("l_orderkey % 5 <> 0"), "price", ["mileage"], ["make"], rounds=5, depth=3)
+    return models.predict(m, own.where("l_orderkey % 5 = 0"), ["mileage"], ["make"]).agg(*evaluation.point_metrics("price", "predicted"))
+
+
+# ---- Spark-native extras: event-time windows, cubes, sketches
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def tumbling(t):
+    return t.events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("start"), "event_type", "n")
+
+
+@query("""
+SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(6 * k), '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM events, (SELECT range::INT AS k FROM range(4)) GROUP BY 1""")
+def sliding(t):
+    return t.events.groupBy(F.window("ts", "24 hours", "6 hours").alias("w")).agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "n")
+
+
+@query("""
+WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s FROM events), b AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM a)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM b GROUP BY user_id, k""")
+def session(t):
+    return t.events.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("SELECT coalesce(l_returnflag, '(all)') AS flag, coalesce(l_linestatus, '(all)') AS status, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup(t):
+    return t.lineitem.rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity")).select(F.coalesce("l_returnflag", F.lit("(all)")).alias("flag"), F.coalesce("l_linestatus", F.lit("(all)")).alias("status"), "n", "quantity")
+
+
+@query("SELECT coalesce(l_returnflag, '(all)') AS flag, coalesce(l_linestatus, '(all)') AS status, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube(t):
+    return t.lineitem.cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")).select(F.coalesce("l_returnflag", F.lit("(all)")).alias("flag"), F.coalesce("l_linestatus", F.lit("(all)")).alias("status"), "n")
+
+
+@query()
+def approx_distinct(t):
+    return t.lineitem.agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"), F.count_distinct("l_partkey").alias("exact"))
+
+
