@@ -6,12 +6,15 @@ place. Spark groups the anchors by their string, with all that windows around th
 
 - a context that occurs earlier, whole, repeats with all its windows;
 - a string with one context tells nothing; all else about it is known;
-- where a string has several contexts, the windows around the first place of each are suffixes to sort.
+- where a string has several contexts, the suffixes at the first place of each are sorted.
 
-Those are sorted by a distributed merge sort that knows common prefixes: tasks sort runs, front-code
+That is a distributed merge sort that knows common prefixes: tasks sort runs, front-code
 them (length of the prefix shared with the suffix before, and the rest) and send each range of the order to one
 task, which merges the runs with a loser tree that compares characters behind known prefixes only.
-Suffixes that share the whole length follow each other, and all but the first in document order repeat.
+Anchors of one string then follow each other, in order of what comes behind, with the lengths they
+share; with what stands before each, that tells which windows are equal. All but the first of those in document
+order repeat. Strings with very many contexts are not left to one task: there every
+window is a suffix of its own, its order is cut into ranges anywhere, and windows that share the whole length repeat.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ BEFORE = LENGTH - GRAM
 SEGMENT = 1 << 19
 #: Suffixes in a run, documents that splitters are drawn from, and bytes of positions that are broadcast at most.
 RUN, SAMPLE, BROADCAST = 200_000, 300, 64_000_000
+#: A string with more contexts than this is sorted window by window.
+HOT = 50_000
 
 _B = 0x9E3779B97F4A7C15
 _POWERS: list = []
@@ -146,30 +151,40 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def graded(found: DataFrame) -> DataFrame:
-    """doc, at and ``repeats``: True where the anchor's context occurs earlier, False where its windows must be sorted."""
+    """doc, at and ``grade``: 0 where the anchor's context occurs earlier, 1 where it must be sorted, 2 where it is one of very many."""
     from pyspark.sql import Window
 
     by = Window.partitionBy("g").orderBy("x", "doc", "at")
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     repeats = F.col("known") | F.coalesce(F.lag("x").over(by) == F.col("x"), F.lit(False))
     several = F.first("x").over(whole) != F.last("x").over(whole)
-    return found.select("doc", "at", repeats.alias("repeats"), several.alias("several")).where("repeats or several").select("doc", "at", "repeats")
+    hot = F.when(F.count("*").over(whole) > HOT, 2).otherwise(1)
+    return found.select("doc", "at", F.when(repeats, 0).otherwise(hot).alias("grade"), several.alias("several")).where("grade = 0 or several").select("doc", "at", "grade")
 
 
 # ---- Sorting
 
 
-def windows_to_sort(n: int, open_, known):
-    """Starts of windows around the open anchors that no known repeat holds already, ascending."""
+def windows_to_sort(n: int, anchors_):
+    """Starts of all windows around some anchors, ascending."""
     import numpy as np
 
     mark = np.zeros(n + 2, dtype=np.int32)
-    for places, step in ((open_, 1), (known, 1 << 16)):
-        a = np.asarray(places, dtype=np.int64)
-        np.add.at(mark, np.maximum(0, a - BEFORE), step)
-        np.add.at(mark, np.minimum(a, n - LENGTH) + 1, -step)
-    mark = np.cumsum(mark)
-    return np.flatnonzero((mark > 0) & (mark < 1 << 16))
+    a = np.asarray(anchors_, dtype=np.int64)
+    np.add.at(mark, np.maximum(0, a - BEFORE), 1)
+    np.add.at(mark, np.minimum(a, n - LENGTH) + 1, -1)
+    return np.flatnonzero(np.cumsum(mark) > 0)
+
+
+def contexts_of(data, at):
+    """For anchors: the suffixes from them on (padded to LENGTH), how long those are, what stands before (nearest first), and how long that is."""
+    import numpy as np
+
+    n = len(data)
+    padded = np.concatenate([np.zeros(BEFORE, dtype=np.uint8), data, np.zeros(LENGTH, dtype=np.uint8)])
+    behind = padded[at[:, None] + BEFORE + np.arange(LENGTH)]
+    before = padded[at[:, None] + BEFORE - 1 - np.arange(BEFORE)]
+    return behind, np.minimum(LENGTH, n - at).astype(np.uint8), before, np.minimum(BEFORE, at).astype(np.uint8)
 
 
 def front_code(rows):
@@ -182,62 +197,78 @@ def front_code(rows):
     return shared, rows[np.arange(rows.shape[1])[None] >= shared[:, None]].tobytes()
 
 
-RUNS = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("shared", T.BinaryType()), T.StructField("rest", T.BinaryType()), T.StructField("docs", T.BinaryType()), T.StructField("starts", T.BinaryType())])
+_BLOBS = ("shared", "rest", "docs", "starts", "behind", "before", "befores")
+RUNS = T.StructType([T.StructField("windows", T.BooleanType()), T.StructField("range", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in _BLOBS]])
 
 
 def sorted_runs(texts: DataFrame, splitters: list[bytes]) -> DataFrame:
-    """Front-coded sorted runs of the windows to sort, one row for each range of the order that a run meets.
+    """Front-coded sorted runs of the suffixes to sort, one row for each range of the order that a run meets.
 
-    A suffix that a run holds twice is sent once, at its first place; its other places are returned as rows of range -1.
+    Suffixes at anchors (column ``cold``) go with what stands before them, and ranges are cut between anchors'
+    strings. Around the anchors in column ``hot`` every window is a suffix. A window that a run holds twice is
+    sent once, at its first place; its other places are returned as rows of range -1.
     """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        cuts = np.array(splitters, dtype=f"S{LENGTH}")
+        wide = np.array(splitters, dtype=f"S{LENGTH}")
+        narrow = np.array(sorted({x[:GRAM] for x in splitters}), dtype=f"S{GRAM}")
+
+        def record(windows, part, **blobs):
+            return {"windows": windows, "range": part} | {c: b"" for c in _BLOBS} | {k: v.tobytes() if hasattr(v, "tobytes") else v for k, v in blobs.items()}
 
-        def record(part, shared, rest, docs, starts):
-            return {"range": part, "shared": shared, "rest": rest, "docs": docs.astype("<i8").tobytes(), "starts": starts.astype("<i4").tobytes()}
+        def ranges(rows, cuts, width):
+            keys = np.ascontiguousarray(rows[:, :width]).view(f"S{width}").ravel()
+            part = np.searchsorted(cuts, keys, side="right") if len(cuts) else np.zeros(len(rows), dtype=np.int64)
+            ends = np.flatnonzero(np.r_[part[1:] != part[:-1], True]) + 1
+            return [(int(part[a]), a, e) for a, e in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
 
-        def emit(rows, docs, starts):
-            rows, docs, starts = np.concatenate(rows), np.concatenate(docs), np.concatenate(starts)
+        def order_of(rows, docs, starts):
             order = np.lexsort((starts, docs))
-            order = order[np.argsort(rows[order].view(f"S{LENGTH}").ravel(), kind="stable")]
-            rows, docs, starts = rows[order], docs[order], starts[order]
-            same = np.r_[False, (rows[1:] == rows[:-1]).all(axis=1)]
+            return order[np.argsort(np.ascontiguousarray(rows[order]).view(f"S{LENGTH}").ravel(), kind="stable")]
+
+        def emit(parts, windows):
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            order = order_of(*columns[:3])
+            rows, docs, starts, *more = (c[order] for c in columns)
             out = []
-            if same.any():
-                out.append(record(-1, b"", b"", docs[same], starts[same]))
-                rows, docs, starts = rows[~same], docs[~same], starts[~same]
-            part = np.searchsorted(cuts, rows.view(f"S{LENGTH}").ravel(), side="right") if len(cuts) else np.zeros(len(rows), dtype=np.int64)
-            ends = np.flatnonzero(np.r_[part[1:] != part[:-1], True])
-            a = 0
-            for e in ends.tolist():
-                shared, rest = front_code(rows[a : e + 1])
-                out.append(record(int(part[a]), shared.tobytes(), rest, docs[a : e + 1], starts[a : e + 1]))
-                a = e + 1
+            if windows:
+                same = np.r_[False, (rows[1:] == rows[:-1]).all(axis=1)]
+                if same.any():
+                    out.append(record(True, -1, docs=docs[same].astype("<i8"), starts=starts[same].astype("<i4")))
+                    rows, docs, starts = rows[~same], docs[~same], starts[~same]
+            for part, a, e in ranges(rows, wide if windows else narrow, LENGTH if windows else GRAM):
+                shared, rest = front_code(rows[a:e])
+                out.append(record(windows, part, shared=shared, rest=rest, docs=docs[a:e].astype("<i8"), starts=starts[a:e].astype("<i4"), **{k: v[a:e] for k, v in zip(("behind", "before", "befores"), more, strict=False)}))
             return pa.RecordBatch.from_pylist(out, schema=_arrow(RUNS))
 
-        rows, docs, starts, held = [], [], [], 0
+        held = {True: ([], 0), False: ([], 0)}
         for b in text_batches(batches, rows=1000):
-            for doc, text, open_, known in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "open", "known")), strict=True):
+            for doc, text, cold, hot in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "cold", "hot")), strict=True):
                 data = np.frombuffer(text.encode(), dtype=np.uint8)
-                at = windows_to_sort(len(data), open_, known or [])
                 view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
-                for k in range(0, len(at), RUN):
-                    own = at[k : k + RUN]
-                    rows.append(view[own])
-                    docs.append(np.full(len(own), doc, dtype=np.int64))
-                    starts.append(own)
-                    held += len(own)
-                    if held >= RUN:
-                        yield emit(rows, docs, starts)
-                        rows, docs, starts, held = [], [], [], 0
-        if held:
-            yield emit(rows, docs, starts)
-
-    return texts.select("doc", "text", "open", "known").mapInArrow(run, RUNS)
+                for windows, at in ((True, windows_to_sort(len(data), hot) if hot else []), (False, np.array(cold, dtype=np.int64))):
+                    for k in range(0, len(at), RUN):
+                        own = at[k : k + RUN]
+                        docs = np.full(len(own), doc, dtype=np.int64)
+                        if windows:
+                            part = (view[own], docs, own)
+                        else:
+                            behind, length, before, lengths = contexts_of(data, own)
+                            part = (behind, docs, own, length, before, lengths)
+                        parts, n = held[windows]
+                        parts.append(part)
+                        held[windows] = (parts, n + len(own))
+                        if held[windows][1] >= RUN:
+                            yield emit(held[windows][0], windows)
+                            held[windows] = ([], 0)
+        for windows, (parts, n) in held.items():
+            if n:
+                yield emit(parts, windows)
+
+    return texts.select("doc", "text", "cold", "hot").mapInArrow(run, RUNS)
 
 
 def _arrow(schema):
@@ -322,8 +353,45 @@ class LoserTree:
             self.best = winner
 
 
+#: A stretch of windows that repeat is one number: the first one's start times this, and how many follow each other.
+STEP = 128
+
+
+def repeated_among(group) -> list[tuple[int, int]]:
+    """Which windows around anchors of one string occur earlier in the group.
+
+    ``group``: (bytes shared with the one before, length, bytes before the anchor nearest first, doc, place) in
+    sorted order. A window that begins ``a`` bytes before its anchor is equal to another's if they share
+    LENGTH - a bytes from the anchor on, which those between two in sorted order share too, and ``a`` bytes before.
+    """
+    found: dict[tuple[int, int], list[int]] = {}
+    for a in range(BEFORE + 1):
+        need, first = LENGTH - a, {}
+        for shared, length, before, doc, at in group:
+            if shared < need:
+                first = {}
+            if length >= need and len(before) >= a:
+                here, key = (doc, at), before[:a]
+                known = first.get(key)
+                if known is None:
+                    first[key] = here
+                elif here < known:
+                    first[key] = here
+                    found.setdefault(known, []).append(a)
+                else:
+                    found.setdefault(here, []).append(a)
+    out = []
+    for (doc, at), offsets in found.items():
+        a = offsets[0]
+        for b, c in zip(offsets, [*offsets[1:], -2], strict=True):
+            if c != b + 1:
+                out.append((doc, (at - b) * STEP + b - a + 1))
+                a = c
+    return out
+
+
 def repeated_places(runs: DataFrame) -> DataFrame:
-    """doc and start of every sorted window that occurs earlier, from runs of all ranges."""
+    """doc and ``stretch`` (start * STEP + number) of windows that occur earlier, from runs of all ranges."""
 
     def merge(pdf):
         import numpy as np
@@ -331,19 +399,31 @@ def repeated_places(runs: DataFrame) -> DataFrame:
 
         docs = [np.frombuffer(x, dtype="<i8").tolist() for x in pdf["docs"]]
         starts = [np.frombuffer(x, dtype="<i4").tolist() for x in pdf["starts"]]
-        out, first = [], None
-        for shared, r, i in LoserTree(list(zip(pdf["shared"], pdf["rest"], strict=True))):
-            here = (docs[r][i], starts[r][i])
-            if shared < LENGTH:
-                first = here
-            elif here < first:
-                out.append(first)
-                first = here
-            else:
-                out.append(here)
-        return pd.DataFrame(out, columns=["doc", "start"]).astype({"doc": "int64", "start": "int32"})
-
-    return runs.where("range >= 0").groupBy("range").applyInPandas(merge, "doc long, start int")
+        merged = LoserTree(list(zip(pdf["shared"], pdf["rest"], strict=True)))
+        out = []
+        if pdf["windows"].iloc[0]:
+            first = None
+            for shared, r, i in merged:
+                here = (docs[r][i], starts[r][i])
+                if shared < LENGTH:
+                    first = here
+                else:
+                    first, again = (here, first) if here < first else (first, here)
+                    out.append((again[0], again[1] * STEP + 1))
+        else:
+            behind, before, befores = (pdf[c].tolist() for c in ("behind", "before", "befores"))
+            group = []
+            for shared, r, i in merged:
+                if shared < GRAM and group:
+                    if len(group) > 1:
+                        out += repeated_among(group)
+                    group = []
+                group.append((shared if group else 0, behind[r][i], before[r][i * BEFORE : i * BEFORE + befores[r][i]], docs[r][i], starts[r][i]))
+            if len(group) > 1:
+                out += repeated_among(group)
+        return pd.DataFrame(out, columns=["doc", "stretch"]).astype("int64")
+
+    return runs.where("range >= 0").groupBy("windows", "range").applyInPandas(merge, "doc long, stretch long")
 
 
 # ---- The operator
@@ -368,19 +448,18 @@ def _ordered_ids(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc, ``whole`` (anchors whose whole context occurs earlier) and ``starts`` (windows that do) of documents (doc, text)."""
+    """doc, ``whole`` (anchors whose whole context occurs earlier) and ``stretches`` (windows that do) of documents (doc, text)."""
     spark = docs.sparkSession
-    found = written(graded(anchors(docs)), "graded")
-    # One number for both kinds: repeats are positive, open anchors negative.
-    by_doc = found.groupBy("doc").agg(F.collect_list(F.when(F.col("repeats"), F.col("at"))).alias("known"), F.collect_list(F.when(~F.col("repeats"), F.col("at"))).alias("open"))
-    by_doc = written(by_doc, "by-document")
-    open_ = by_doc.where(F.size("open") > 0)
-    cost = open_.agg(F.sum(F.size("open") + F.size("known") + 8).alias("n")).first()["n"] or 0
+    found = graded(anchors(docs))
+    lists = [F.collect_list(F.when(F.col("grade") == k, F.col("at"))).alias(c) for k, c in enumerate(("whole", "cold", "hot"))]
+    by_doc = written(found.groupBy("doc").agg(*lists), "by-document")
+    open_ = by_doc.where("size(cold) + size(hot) > 0").drop("whole")
+    cost = open_.agg(F.sum(F.size("cold") + F.size("hot") + 8).alias("n")).first()["n"] or 0
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.join(F.broadcast(open_) if 4 * cost <= BROADCAST else open_, "doc")
-    picked = [r["doc"] for r in open_.select("doc").orderBy(F.xxhash64("doc")).limit(SAMPLE).collect()]
-    splitters = _splitters(docs.where(F.col("doc").isin(picked)).join(F.broadcast(open_.where(F.col("doc").isin(picked))), "doc"), ranges) if picked and ranges > 1 else []
-    runs = written(sorted_runs(texts, splitters), "runs")
+    few = open_.orderBy(F.xxhash64("doc")).limit(SAMPLE)
+    ids = [r["doc"] for r in few.select("doc").collect()]
+    splitters = _splitters(docs.where(F.col("doc").isin(ids)).join(F.broadcast(few), "doc"), ranges) if ids and ranges > 1 else []
+    runs = written(sorted_runs(docs.join(F.broadcast(open_) if 4 * cost <= BROADCAST else open_, "doc"), splitters), "runs")
 
     def places(batches):
         import numpy as np
@@ -388,28 +467,27 @@ def repeats(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for d, s in zip(b.column("docs").to_pylist(), b.column("starts").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(d, dtype="<i8")), pa.array(np.frombuffer(s, dtype="<i4"))], names=["doc", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(d, dtype="<i8")), pa.array(np.frombuffer(s, dtype="<i4").astype(np.int64) * STEP + 1)], names=["doc", "stretch"])
 
-    again = runs.where("range < 0").select("docs", "starts").mapInArrow(places, "doc long, start int")
-    starts = repeated_places(runs).unionByName(again).groupBy("doc").agg(F.collect_list("start").alias("starts"))
-    return by_doc.where(F.size("known") > 0).select("doc", F.col("known").alias("whole")).join(starts, "doc", "full_outer")
+    again = runs.where("range < 0").select("docs", "starts").mapInArrow(places, "doc long, stretch long")
+    stretches = repeated_places(runs).unionByName(again).groupBy("doc").agg(F.collect_list("stretch").alias("stretches"))
+    return by_doc.where(F.size("whole") > 0).select("doc", "whole").join(stretches, "doc", "full_outer")
 
 
 def _splitters(sample: DataFrame, ranges: int) -> list[bytes]:
     """Suffixes that cut a bounded sample's order into equal parts; they decide balance, not results."""
-    rows = sample.select("doc", "text", "open", "known").collect()  # at most SAMPLE documents' windows
     import numpy as np
 
-    own = []
-    for r in rows:
-        data = np.frombuffer(r["text"].encode(), dtype=np.uint8)
-        at = windows_to_sort(len(data), r["open"], r["known"])[:: max(1, len(rows) // 20)]
-        own += [data[a : a + LENGTH].tobytes() for a in at.tolist()]
-    own = sorted(set(own))
+    own = set()
+    for r in sample.select("text", "cold", "hot").collect():  # at most SAMPLE documents
+        data = r["text"].encode()
+        at = np.array([*r["cold"], *(windows_to_sort(len(data), r["hot"]) if r["hot"] else [])], dtype=np.int64)
+        own |= {data[a : a + LENGTH] for a in at[:: max(1, len(at) // 200)].tolist()}
+    own = sorted(own)
     return sorted({own[len(own) * k // ranges] for k in range(1, ranges)}) if own else []
 
 
-def removal(n: int, whole, starts):
+def removal(n: int, whole, stretches):
     """Which of ``n`` bytes are covered by a repeated window."""
     import numpy as np
 
@@ -417,9 +495,9 @@ def removal(n: int, whole, starts):
     a = np.asarray(whole if whole is not None else [], dtype=np.int64)
     np.add.at(mark, np.maximum(0, a - BEFORE), 1)
     np.add.at(mark, np.minimum(n, a + LENGTH), -1)
-    s = np.asarray(starts if starts is not None else [], dtype=np.int64)
+    s, k = np.divmod(np.asarray(stretches if stretches is not None else [], dtype=np.int64), STEP)
     np.add.at(mark, s, 1)
-    np.add.at(mark, s + LENGTH, -1)
+    np.add.at(mark, s + k - 1 + LENGTH, -1)
     return np.cumsum(mark[:-1]) > 0
 
 
@@ -434,7 +512,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     ordered = _ordered_ids(docs)
     found = repeats(ordered.select("doc", "text"))
-    joined = ordered.join(found, "doc", "left").select("doc_id", "text", "whole", "starts")
+    joined = ordered.join(found, "doc", "left").select("doc_id", "text", "whole", "stretches")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
     def run(batches):
@@ -443,11 +521,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
         for b in text_batches(batches, rows=1000):
             out = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-            for doc, text, whole, starts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "whole", "starts")), strict=True):
+            for doc, text, whole, stretches in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "whole", "stretches")), strict=True):
                 data = (text or "").encode()
                 kept, removed, spans = data, 0, 0
-                if whole or starts:
-                    gone = removal(len(data), whole, starts)
+                if whole or stretches:
+                    gone = removal(len(data), whole, stretches)
                     kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
                     removed, spans = int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum())
                 for c, v in zip(out, (doc, len(data), removed, spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):

@@ -48,6 +48,9 @@ def test_planted_repeats(spark, monkeypatch):
     assert run(df) == brute(rows)
     monkeypatch.setattr(s, "BROADCAST", 0)
     assert run(df) == brute(rows)
+    for hot in (0, 5):
+        monkeypatch.setattr(s, "HOT", hot)
+        assert run(df) == brute(rows)
 
 
 def test_small_table(small_docs):
