@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def kolmogorov_tail(statistic: float, n: int, m: int) -> float:
@@ -47,14 +48,14 @@ def chi2_tail(statistic: float, degrees: int) -> float:
     return 1.0 if degrees < 1 else gamma_tail(degrees / 2, statistic / 2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ks_p(statistic, n, m):
     import pandas as pd
 
     return pd.Series([kolmogorov_tail(*x) for x in zip(statistic, n, m, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p(statistic, degrees):
     import pandas as pd
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.expressions import alert_ceiling, coverage_floor
 from lakeloom.functions.probability import chi2_p, ks_p
+from lakeloom.operators.running import running_sums
 
 
 def count_windows(log: DataFrame, seq: str, version: str, size: int) -> DataFrame:
@@ -79,14 +80,13 @@ def market_baseline(shares: DataFrame, tested: DataFrame, overall: tuple[float,
 def ks_statistic(df: DataFrame, value: str, first: Column, second: Column, by: Sequence[str] = ()) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance between the rows of two predicates, with n, m and p.
 
-    Rows are counted by value first. Cumulative counts over the values are taken slice by slice: values are
-    dealt out by ranges, each range is summed, and sums before a range are added to what is counted inside it.
+    Rows are counted by value first; the cumulative counts are running sums over slices of the values.
     """
     both = df.where(F.col(value).isNotNull()).where(first | second)
     per = both.groupBy(*by, F.col(value).alias("_v")).agg(F.sum(first.cast("long")).alias("a"), F.sum(second.cast("long")).alias("b"))
-    cum = Window.partitionBy(*by, *([] if by else [F.lit(1)])).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by, *([] if by else [F.lit(1)]))
-    c = per.select(*by, F.sum("a").over(cum).alias("ca"), F.sum("b").over(cum).alias("cb"), F.sum("a").over(whole).alias("n"), F.sum("b").over(whole).alias("m"))
+    sizes = per.groupBy(*by).agg(F.sum("a").alias("n"), F.sum("b").alias("m"))
+    c = running_sums(per, "_v", {"ca": "a", "cb": "b"}, by)
+    c = c.join(sizes, list(by)) if by else c.crossJoin(F.broadcast(sizes))
     d = F.abs(F.col("ca") / F.nullif(F.col("n"), F.lit(0)) - F.col("cb") / F.nullif(F.col("m"), F.lit(0)))
     out = c.groupBy(*by).agg(F.max("n").alias("n"), F.max("m").alias("m"), F.coalesce(F.max(d), F.lit(0.0)).alias("statistic"))
     return out.withColumn("p", ks_p("statistic", "n", "m"))

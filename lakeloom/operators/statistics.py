@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.operators.running import running_sums
+
 
 def weighted(df: DataFrame, value: str, weight: str, by: list[str]) -> DataFrame:
     """Weighted mean, and the median of each value repeated ``weight`` times."""
@@ -49,8 +51,8 @@ def conformal_offsets(calibration: DataFrame, actual: str, lower: str, upper: st
     """
     scores = calibration.select(F.explode(F.array(F.struct(F.lit("lower").alias("side"), (F.col(lower) - F.col(actual)).alias("score")), F.struct(F.lit("upper").alias("side"), (F.col(actual) - F.col(upper)).alias("score")))).alias("s")).select("s.*").where("score is not null")
     counts = scores.groupBy("side", "score").agg(F.count("*").alias("k"))
-    by = Window.partitionBy("side")
-    c = counts.withColumn("cum", F.sum("k").over(by.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("k").over(by))
+    sizes = counts.groupBy("side").agg(F.sum("k").alias("n"))  # two rows
+    c = running_sums(counts, "score", {"cum": "k"}, ["side"]).join(F.broadcast(sizes), "side")
     need = F.least(F.ceil((F.col("n") + 1) * F.lit(1 - (1 - level) / 2)), F.col("n"))
     return c.groupBy("side").agg(F.max("n").alias("n"), F.min(F.when(F.col("cum") >= need, F.col("score"))).alias("offset"))
 
