@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions import expressions as X
-from lakeloom.operators import baseline, comparables, evaluation, expectations, ledger, models, monitoring, profile, rules, splitting, statistics
+from lakeloom.operators import baseline, comparables, evaluation, expectations, ledger, models, monitoring, profile, reports, requests, rules, simulation, splitting, statistics
 from lakeloom.operators.expectations import Expectation
+from lakeloom.operators.requests import FieldCheck
 from lakeloom.operators.rules import RowRule
 from lakeloom.sources.tables import Tables
 
@@ -716,3 +717,145 @@ def approx_distinct(t):
     return t.lineitem.agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"), F.count_distinct("l_partkey").alias("exact"))
 
 
+
+
+# ---- requests, reports and trials
+
+_CHECKS = [FieldCheck("mileage", low=5, high=45), FieldCheck("model", pattern="^[A-Z ]+$"), FieldCheck("price", low=2000, required=True)]
+
+
+@query(f"""
+WITH {LISTINGS}, f AS (SELECT unnest([CASE WHEN mileage < 5 THEN 'mileage: below 5' END, CASE WHEN mileage > 45 THEN 'mileage: above 45' END, CASE WHEN NOT regexp_full_match(model, '[A-Z ]+') THEN 'model: malformed' END,
+ CASE WHEN price IS NULL THEN 'price: missing' END, CASE WHEN price < 2000 THEN 'price: below 2000' END]) AS fault FROM listings) SELECT fault, count(*) AS n FROM f WHERE fault IS NOT NULL GROUP BY fault""")
+def request_faults(t):
+    return requests.with_faults(listings(t), _CHECKS).select(F.explode("faults").alias("fault")).groupBy("fault").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH {LISTINGS}, s AS (SELECT p_brand AS make FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 15)
+SELECT CASE WHEN make NOT IN (SELECT make FROM s) THEN 'unsupported_make' WHEN coalesce(mileage < 5 OR mileage > 45 OR NOT regexp_full_match(model, '[A-Z ]+') OR price IS NULL OR price < 2000, false) THEN 'invalid_request' ELSE 'accepted' END AS class, count(*) AS n FROM listings GROUP BY 1""")
+def accepted_requests(t):
+    supported = t.part.groupBy(F.col("p_brand").alias("make")).count().orderBy(F.desc("count"), "make").limit(15)
+    return requests.accepted(listings(t), supported, "make", _CHECKS).groupBy("class").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type END AS p_type, CASE WHEN p_size % 3 = 0 THEN p_size END AS p_size, 1 + (p_size % 2 = 0)::INT + (p_size % 3 = 0)::INT AS keys FROM part""")
+def body_round_trip(t):
+    own = t.part.select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("p_type"), F.when(F.col("p_size") % 3 == 0, F.col("p_size")).alias("p_size"))
+    back = requests.from_body(requests.to_body(own, own.columns).select("body"), "p_partkey bigint, p_type string, p_size int")
+    return back.withColumn("keys", F.size(F.json_object_keys("body"))).drop("body")
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, l_returnflag || l_linenumber AS field, sum(round(l_discount * 100)) AS e FROM lineitem WHERE l_orderkey <= 500 GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(e) DESC, field) AS n FROM s)
+SELECT l_orderkey, CASE WHEN n <= 2 THEN field ELSE '(other)' END AS field, round((exp(sum(e) / 1000.0::DOUBLE) - 1) * 100, 6) AS percent FROM n GROUP BY ALL""")
+def explained_effects(t):
+    own = t.lineitem.where("l_orderkey <= 500").select("l_orderkey", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("field"), F.round(F.col("l_discount") * 100).alias("e"))
+    sums = own.groupBy("l_orderkey", "field").agg((F.sum("e") / 1000).alias("e"))
+    return requests.explained(sums, "l_orderkey", "field", "e", 2).withColumn("percent", F.round("percent", 6))
+
+
+@query("""
+WITH a AS (SELECT c_custkey, c_mktsegment AS v FROM customer WHERE c_custkey % 7 > 0), b AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'X' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 5 > 0)
+SELECT 'c.' || coalesce(a.c_custkey, b.c_custkey) AS path, a.v AS old, b.v AS new, CASE WHEN a.c_custkey IS NULL THEN 'added' WHEN b.c_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM a FULL JOIN b ON a.c_custkey = b.c_custkey WHERE a.c_custkey IS NULL OR b.c_custkey IS NULL OR a.v IS DISTINCT FROM b.v""")
+def leaf_difference(t):
+    path = F.concat(F.lit("c."), F.col("c_custkey").cast("string")).alias("path")
+    return reports.leaf_difference(t.customer.where("c_custkey % 7 > 0").select(path, F.col("c_mktsegment").alias("value")), t.customer.where("c_custkey % 5 > 0").select(path, F.when(F.col("c_custkey") % 11 == 0, "X").otherwise(F.col("c_mktsegment")).alias("value")))
+
+
+@query("WITH l AS (SELECT DISTINCT p_type AS x FROM part UNION SELECT DISTINCT split_part(p_type, ' ', 1) FROM part) SELECT a.x AS shorter, b.x AS longer FROM l a JOIN l b ON starts_with(b.x, a.x || ' ')")
+def prefix_pairs(t):
+    own = t.part.select(F.col("p_type").alias("x"))
+    return reports.prefix_pairs(own.unionByName(own.select(F.split("x", " ")[0].alias("x"))), "x")
+
+
+@query("""
+WITH r AS (SELECT n_name AS id FROM nation WHERE n_nationkey <> 3), s AS (SELECT n_name AS id FROM nation WHERE n_nationkey <> 5), m AS (SELECT n_name AS id, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS tests FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey > 1 GROUP BY 1)
+SELECT id, coalesce(tests, '') AS tests, CASE WHEN r.id IS NULL THEN 'unrequired' WHEN s.id IS NULL THEN 'unspecified' WHEN tests IS NULL THEN 'untested' ELSE 'ok' END AS state FROM r FULL JOIN s USING (id) LEFT JOIN m USING (id)""")
+def coverage_matrix(t):
+    n = t.nation.select(F.col("n_name").alias("id"), "n_nationkey")
+    tests = t.customer.join(n, F.col("c_nationkey") == F.col("n_nationkey")).where("n_nationkey > 1").select("id", F.col("c_mktsegment").alias("test"))
+    return reports.coverage_matrix(n.where("n_nationkey <> 3"), n.where("n_nationkey <> 5"), tests)
+
+
+@query(f"WITH d AS (SELECT count(*) FILTER (WHERE value <= 50) AS within, count(value) AS events FROM events WHERE event_id > {_HALF}) SELECT within, events, round(within / nullif(events, 0)::DOUBLE, 6) AS share FROM d")
+def share_within_target(t):
+    old, _ = _halves(t)
+    return reports.share_within(monitoring.histogram(old, "value", [20, 50]), monitoring.histogram(t.events, "value", [20, 50]), 50)
+
+
+@query("""
+WITH c AS (SELECT p_brand, count(*) AS n, avg(p_size) AS s, CASE WHEN min(p_size) = 1 THEN true WHEN min(p_size) = 2 THEN NULL ELSE false END AS g FROM part GROUP BY p_brand), r AS (SELECT *, concat_ws(',', CASE WHEN NOT n >= 80 THEN 'rows' END, CASE WHEN NOT s < 25.5 THEN 'size' END, CASE WHEN NOT coalesce(g, false) THEN 'gate' END) AS against FROM c)
+SELECT p_brand, n, against, against = '' AS promoted FROM r""")
+def promotion_verdict(t):
+    c = t.part.groupBy("p_brand").agg(F.count("*").alias("n"), F.avg("p_size").alias("s"), F.min("p_size").alias("m"))
+    gate = F.when(F.col("m") == 1, True).when(F.col("m") == 2, F.lit(None)).otherwise(False)
+    return reports.promotion(c, {"rows": F.col("n") >= 80, "size": F.col("s") < 25.5, "gate": gate}).select("p_brand", "n", "against", "promoted")
+
+
+@query("""
+WITH p AS (SELECT o_custkey AS trial, (o_orderkey % 97) / 97.0::DOUBLE AS p FROM orders), a AS (SELECT unnest([0.05::DOUBLE, 0.5, 2.0]) AS alpha), h AS (SELECT alpha, trial, sum((p < alpha / 5)::INT) AS hits, count(*) AS n FROM p, a GROUP BY ALL)
+SELECT alpha, round(sum(hits) / sum(n)::DOUBLE, 6) AS feature_rate, round(avg((hits >= 1)::INT), 6) AS window_rate, round(avg((hits >= 3)::INT), 6) AS several_rate FROM h GROUP BY alpha""")
+def flag_rates(t):
+    trials = t.orders.select(F.col("o_custkey").alias("trial"), (F.col("o_orderkey") % 97 / 97.0).alias("p"))
+    return reports.flag_rates(trials, "p", [0.05, 0.5, 2.0], 5)
+
+
+@query("""
+WITH s AS (SELECT c_mktsegment, n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) SELECT c_mktsegment, n_name, n FROM s WHERE n <= 15 QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY n DESC, n_name) = 2""")
+def runner_up(t):
+    s = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("c_mktsegment", "n_name").agg(F.count("*").alias("n"))
+    return reports.runner_up(s, ["c_mktsegment"], "n", "n_name", 15)
+
+
+@query("SELECT l_linestatus, " + ", ".join(f"round(median(l_extendedprice) FILTER (WHERE l_returnflag = '{f}'), 6) AS \"{f}\"" for f in "ANR") + " FROM lineitem GROUP BY l_linestatus")
+def pivot_medians(t):
+    return reports.pivoted(t.lineitem, "l_linestatus", "l_returnflag", ["A", "N", "R"], "l_extendedprice")
+
+
+@query(f"""
+WITH {_FIT}, p AS (SELECT predicted, coalesce(b3.m3, b1.m1, m0) AS q FROM (SELECT *, floor((date_diff('day', date::DATE, DATE '2000-01-01') + 731) / 365.25::DOUBLE / 2) AS nb FROM scored) s LEFT JOIN b3 ON b3.make = s.make AND b3.model = s.model AND b3.bucket = s.nb LEFT JOIN b1 ON b1.make = s.make, b0)
+SELECT 'two years older' AS change, count(*) AS n, round(avg((q > predicted)::INT), 6) AS rises, round(avg((q < predicted)::INT), 6) AS falls FROM p""")
+def moved_predictions(t):
+    medians = _medians(t)
+    return simulation.moved(listings(t).where("l_orderkey % 5 = 0"), lambda d: baseline.predict_medians(d, medians, "make", "model", _age()), {"two years older": {"date": F.col("date") - F.expr("interval 731 days")}}, ID)
+
+
+@query(f"""
+WITH {LISTINGS}, {", ".join(f"b{w} AS (SELECT make, floor(date_diff('day', date::DATE, DATE '2000-01-01') / 365.25::DOUBLE / {w}) AS b, median(price) AS m FROM listings WHERE l_orderkey % 5 <> 0 GROUP BY ALL)" for w in (1, 2, 4))},
+m1 AS (SELECT make, median(price) AS m FROM listings WHERE l_orderkey % 5 <> 0 GROUP BY make), s AS ({" UNION ALL ".join(f"SELECT 'width={w}' AS point, {w == 2} AS reference, median(abs(coalesce(b{w}.m, m1.m) - price) / price) AS e FROM listings l LEFT JOIN b{w} ON b{w}.make = l.make AND b{w}.b = floor(date_diff('day', date::DATE, DATE '2000-01-01') / 365.25::DOUBLE / {w}) LEFT JOIN m1 ON m1.make = l.make WHERE l_orderkey % 5 = 0" for w in (1, 2, 4))})
+SELECT point, reference, round(e, 6) AS mdape, e < (SELECT e FROM s WHERE reference) AS better FROM s""")
+def grid_sweep(t):
+    own = listings(t).withColumn("every", F.lit("x"))
+
+    def score(train, test, width):
+        b = F.floor(X.age_years(F.col("date"), REFERENCE) / width)
+        return baseline.predict_medians(test, baseline.fit_medians(train, "make", "every", b, "price"), "make", "every", b)
+
+    return simulation.sweep(own.where("l_orderkey % 5 <> 0"), own.where("l_orderkey % 5 = 0"), {"width": [1, 2, 4]}, score, {"width": 2}, "price")
+
+
+@query()
+def trial_ceilings(t):
+    errors = _scored(t).select(F.xxhash64(*ID).alias("k"), X.relative_error(F.col("price"), F.col("predicted")).alias("e"))
+    return simulation.median_ceiling(errors, "k", "e", 40, 200, "20251108").crossJoin(simulation.power(errors, "k", "e", 1.5, 1.3, 40, 200, "20251108"))
+
+
+@query()
+def sparse_requests(t):
+    own = simulation.sparse_requests(listings(t).where("l_orderkey % 5 = 0"), ID, ["make", "model", "date"], [0, 1, 2, 3], "20251108")
+    scored = baseline.predict_medians(own, _medians(t), "make", "model", _age())
+    return scored.groupBy("kept").agg(*evaluation.point_metrics("price", "predicted"))
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE event_id IN (1, 17, 400)")
+def point_lookup(t):
+    return t.events.where(F.col("event_id").isin(1, 17, 400)).select("event_id", "event_type", "value")
+
+
+@query("SELECT min(event_id) AS first_seq, coalesce(max(event_id), 0) AS last_seq, max(ts) FILTER (WHERE event_type = 'purchase')::VARCHAR AS last_success FROM events")
+def log_bounds(t):
+    last = F.max(F.when(F.col("event_type") == "purchase", F.col("ts")))
+    return t.events.agg(F.min("event_id").alias("first_seq"), F.coalesce(F.max("event_id"), F.lit(0)).alias("last_seq"), last.cast("string").alias("last_success"))
