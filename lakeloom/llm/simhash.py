@@ -20,6 +20,8 @@ from lakeloom.llm.shared import text_batches, written
 BITS = 64
 #: Buckets up to SMALL words are compared by a join, up to MIDDLE inside one task; larger ones by midpoints.
 SMALL, MIDDLE = 16, 4096
+#: Buckets (16 bytes each) that are broadcast at most to look up their words.
+BUCKETS = 1_000_000
 
 
 def _signed(x: int) -> int:
@@ -27,9 +29,17 @@ def _signed(x: int) -> int:
 
 
 def covering_masks(radius: int) -> list[int]:
-    """One mask of about half the bits for each of the ``2**(radius + 1) - 1`` tables."""
+    """One mask of about half the bits for each of the ``2**(radius + 1) - 1`` tables.
+
+    Below radius 6 the bit positions share all non-zero vectors out evenly. At radius 6 there are more
+    vectors than positions; those with the highest bit set give every mask 32 bits (or all 64), as in a first-order
+    Reed-Muller code.
+    """
+    if not 0 <= radius <= 6:
+        raise ValueError("a radius from 0 to 6 bits is covered")
     n = (1 << (radius + 1)) - 1
-    return [sum(1 << i for i in range(BITS) if ((i % n + 1) & v).bit_count() % 2) for v in range(1, n + 1)]
+    vector = [64 + i if radius == 6 else i % n + 1 for i in range(BITS)]
+    return [sum(1 << i for i in range(BITS) if (vector[i] & v).bit_count() % 2) for v in range(1, n + 1)]
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -73,24 +83,31 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 def near_links(words: DataFrame, radius: int = 4, small: int = SMALL, middle: int = MIDDLE) -> DataFrame:
     """Links (a, b) between the different values of column ``fp`` that join up all pairs within ``radius`` bits.
 
-    A pair within the radius is linked, or joined by a path of such links. Buckets are counted
-    first; only those of two words or more go on:
+    A pair within the radius is linked, or joined by a path of such links. One aggregate over all
+    tables counts each bucket and keeps its smallest and largest word. Buckets of two are those two. Words
+    of larger buckets are looked up again, and then
 
     - up to ``small`` words, a join compares the pairs;
     - up to ``middle`` words, one task compares them and gives a spanning forest of their links;
     - words of larger buckets are joined through midpoints. Two words within the radius have a
-      midpoint within half of it (rounded up) from both. All words at even-radius midpoints are within the
+      midpoint within half of it from both. All words around a midpoint are within the
       radius of one another, so each is linked to the smallest, pre-aggregated, without looking at
       pairs. Cost grows with the number of words, not with its square.
+
+    A bucket is a 64-bit hash of table and key; two that share a hash only add pairs that are compared.
     """
-    table = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m in enumerate(covering_masks(radius))]))
-    keys = words.select("fp", table.alias("t")).select("fp", "t.v", "t.key")
-    buckets = written(keys.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = written(keys.join(buckets, ["v", "key"]), "members")
+    table = F.explode(F.array(*[F.xxhash64(F.lit(v), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for v, m in enumerate(covering_masks(radius))]))
+    # The words alone are a small table that may lie in one file; their buckets are many.
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = words.repartition(parts, "fp").select("fp", table.alias("bucket"))
+    buckets = written(keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets")
+    links = buckets.where(f"n = 2 and bit_count(a ^ b) <= {radius}").select("a", "b")
+    larger = buckets.where("n > 2").select("bucket", "n")
+    members = written(keys.join(F.broadcast(larger) if larger.count() <= BUCKETS else larger, "bucket"), "members")
 
     few = members.where(F.col("n") <= small)
-    a, b = few.select("v", "key", F.col("fp").alias("a")), few.select("v", "key", F.col("fp").alias("b"))
-    links = a.join(b, ["v", "key"]).where(f"a < b and bit_count(a ^ b) <= {radius}").select("a", "b")
+    a, b = few.select("bucket", F.col("fp").alias("a")), few.select("bucket", F.col("fp").alias("b"))
+    links = links.unionByName(a.join(b, "bucket").where(f"a < b and bit_count(a ^ b) <= {radius}").select("a", "b"))
 
     def forest(pdf):
         import numpy as np
@@ -106,15 +123,16 @@ def near_links(words: DataFrame, radius: int = 4, small: int = SMALL, middle: in
         pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": pdf["fp"].to_numpy()[pairs[:, 0]], "b": pdf["fp"].to_numpy()[pairs[:, 1]]})
 
-    links = links.unionByName(members.where((F.col("n") > small) & (F.col("n") <= middle)).select("v", "key", "fp").groupBy("v", "key").applyInPandas(forest, "a long, b long"))
-    return links.unionByName(midpoint_links(members.where(F.col("n") > middle).select("fp").distinct(), radius))
+    links = links.unionByName(members.where((F.col("n") > small) & (F.col("n") <= middle)).select("bucket", "fp").groupBy("bucket").applyInPandas(forest, "a long, b long"))
+    hot = members.where(F.col("n") > middle).select("fp").distinct()
+    return links.unionByName(midpoint_links(hot, radius)) if hot.head(1) else links
 
 
 def midpoint_links(words: DataFrame, radius: int) -> DataFrame:
     """Links between words within an even ``radius``, by the smallest word around each midpoint."""
     assert radius % 2 == 0, "a midpoint's words are within the radius of one another only if it is even"
     flips = [_signed(sum(1 << i for i in c)) for k in range(radius // 2 + 1) for c in itertools.combinations(range(BITS), k)]
-    around = words.select("fp", F.explode(F.array(*map(F.lit, flips))).alias("flip")).select("fp", F.expr("fp ^ flip").alias("mid"))
+    around = words.select("fp", F.explode(F.from_json(F.lit(str(flips)), "array<bigint>")).alias("flip")).select("fp", F.expr("fp ^ flip").alias("mid"))
     least = around.groupBy("mid").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("mid", "a")
     return around.join(least, "mid").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
