@@ -1,7 +1,8 @@
 """The registered queries: each operator bound to the star-schema and event tables, with its SQL.
 
 Roles: an order line with its part is a listing (make: brand, model: type, price: extended price,
-mileage: quantity, date: ship date), the event table is a log in order of event_id.
+mileage: quantity, date: ship date, pos: hash position of its order, which splits training and test rows), the event
+table is a log in order of event_id. Labels come for all events but views.
 """
 
 from __future__ import annotations
@@ -49,11 +50,11 @@ REFERENCE = "2000-01-01"
 
 def listings(t: Tables) -> DataFrame:
     part = t.part.select("p_partkey", F.col("p_brand").alias("make"), F.col("p_type").alias("model"))
-    line = t.lineitem.select(*ID, F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("mileage"), F.col("l_shipdate").alias("date"))
+    line = t.lineitem.select(*ID, X.hash_position("listing", F.col("l_orderkey")).alias("pos"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("mileage"), F.col("l_shipdate").alias("date"))
     return line.join(part, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
 
 
-LISTINGS = "listings AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS price, l_quantity AS mileage, l_shipdate AS date, p_brand AS make, p_type AS model FROM lineitem JOIN part ON l_partkey = p_partkey)"
+LISTINGS = "listings AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ('0x' || substr(sha256('listing|' || l_orderkey), 1, 8))::BIGINT % 10000 / 10000.0 AS pos, l_extendedprice AS price, l_quantity AS mileage, l_shipdate AS date, p_brand AS make, p_type AS model FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 # ---- rules, funnel, deduplication
 
@@ -313,16 +314,16 @@ def _age(column="date"):
 
 
 _FIT = f"""{LISTINGS}, aged AS (SELECT *, floor(date_diff('day', date::DATE, DATE '2000-01-01') / 365.25::DOUBLE / 2) AS bucket FROM listings),
-b3 AS (SELECT make, model, bucket, median(price) AS m3, count(*) AS n FROM aged WHERE l_orderkey % 5 <> 0 GROUP BY ALL), b1 AS (SELECT make, median(price) AS m1, count(*) AS n FROM aged WHERE l_orderkey % 5 <> 0 GROUP BY ALL), b0 AS (SELECT median(price) AS m0, count(*) AS n FROM aged WHERE l_orderkey % 5 <> 0),
-scored AS (SELECT a.*, coalesce(m3, m1, m0) AS predicted, abs(coalesce(m3, m1, m0) - price) / price AS e FROM aged a LEFT JOIN b3 USING (make, model, bucket) LEFT JOIN b1 USING (make), b0 WHERE l_orderkey % 5 = 0)"""
+b3 AS (SELECT make, model, bucket, median(price) AS m3, count(*) AS n FROM aged WHERE pos < 0.8 GROUP BY ALL), b1 AS (SELECT make, median(price) AS m1, count(*) AS n FROM aged WHERE pos < 0.8 GROUP BY ALL), b0 AS (SELECT median(price) AS m0, count(*) AS n FROM aged WHERE pos < 0.8),
+scored AS (SELECT a.*, coalesce(m3, m1, m0) AS predicted, abs(coalesce(m3, m1, m0) - price) / price AS e FROM aged a LEFT JOIN b3 USING (make, model, bucket) LEFT JOIN b1 USING (make), b0 WHERE pos >= 0.8)"""
 
 
 def _medians(t):
-    return baseline.fit_medians(listings(t).where("l_orderkey % 5 <> 0"), "make", "model", _age(), "price")
+    return baseline.fit_medians(listings(t).where("pos < 0.8"), "make", "model", _age(), "price")
 
 
 def _scored(t):
-    return baseline.predict_medians(listings(t).where("l_orderkey % 5 = 0"), _medians(t), "make", "model", _age())
+    return baseline.predict_medians(listings(t).where("pos >= 0.8"), _medians(t), "make", "model", _age())
 
 
 @query(f"""
@@ -361,8 +362,8 @@ def price_bucket_metrics(t):
     return evaluation.segment_metrics(scored, "price", "predicted", ["price_bucket"])
 
 
-_RANGES = f"""{LISTINGS}, r AS (SELECT make, model, quantile_cont(price, 0.05) AS lower, median(price) AS typical, quantile_cont(price, 0.95) AS upper FROM listings WHERE l_orderkey % 5 > 1 GROUP BY ALL),
-cal AS (SELECT * FROM listings JOIN r USING (make, model) WHERE l_orderkey % 5 = 1),
+_RANGES = f"""{LISTINGS}, r AS (SELECT make, model, quantile_cont(price, 0.05) AS lower, median(price) AS typical, quantile_cont(price, 0.95) AS upper FROM listings WHERE pos < 0.6 GROUP BY ALL),
+cal AS (SELECT * FROM listings JOIN r USING (make, model) WHERE pos >= 0.6 AND pos < 0.8),
 s AS (SELECT 'lower' AS side, lower - price AS score FROM cal UNION ALL SELECT 'upper', price - upper FROM cal),
 o AS (SELECT side, score, row_number() OVER (PARTITION BY side ORDER BY score) AS k, count(*) OVER (PARTITION BY side) AS n FROM s),
 offs AS (SELECT side, n, min(score) AS off FROM o WHERE k >= least(ceil((n + 1) * (1 - (1 - 0.9::DOUBLE) / 2)), n) GROUP BY side, n)"""
@@ -370,12 +371,12 @@ offs AS (SELECT side, n, min(score) AS off FROM o WHERE k >= least(ceil((n + 1)
 
 def _ranges(t):
     own = listings(t)
-    return own, statistics.range_by_class(own.where("l_orderkey % 5 > 1"), "price", ["make", "model"])
+    return own, statistics.range_by_class(own.where("pos < 0.6"), "price", ["make", "model"])
 
 
 def _offsets(t):
     own, r = _ranges(t)
-    return statistics.conformal_offsets(own.where("l_orderkey % 5 = 1").join(r, ["make", "model"]), "price", "lower", "upper")
+    return statistics.conformal_offsets(own.where("pos >= 0.6 AND pos < 0.8").join(r, ["make", "model"]), "price", "lower", "upper")
 
 
 @query(f'WITH {_RANGES} SELECT side, n, round(off, 6) AS "offset" FROM offs')
@@ -384,13 +385,13 @@ def conformal_offsets(t):
 
 
 @query(f"""
-WITH {_RANGES}, t AS (SELECT make, price, lower - (SELECT off FROM offs WHERE side = 'lower') AS lo, upper + (SELECT off FROM offs WHERE side = 'upper') AS hi, typical FROM listings JOIN r USING (make, model) WHERE l_orderkey % 5 = 0),
+WITH {_RANGES}, t AS (SELECT make, price, lower - (SELECT off FROM offs WHERE side = 'lower') AS lo, upper + (SELECT off FROM offs WHERE side = 'upper') AS hi, typical FROM listings JOIN r USING (make, model) WHERE pos >= 0.8),
 g AS (SELECT coalesce(make, '(all)') AS make, count(*) AS n, avg((price BETWEEN lo AND hi)::INT) AS c, avg((hi - lo) / typical) AS w FROM t GROUP BY ROLLUP (make))
 SELECT make, n, round(c, 6) AS coverage, round(sqrt(0.9::DOUBLE * 0.1::DOUBLE / n), 6) AS std_error, round(w, 6) AS mean_relative_width, CASE WHEN c < 0.88 THEN 'too narrow' WHEN c > 0.92 THEN 'too wide' ELSE 'in band' END AS judgement FROM g""")
 def interval_coverage_by_make(t):
     own, r = _ranges(t)
     off = _offsets(t).agg(F.max(F.when(F.col("side") == "lower", F.col("offset"))).alias("dl"), F.max(F.when(F.col("side") == "upper", F.col("offset"))).alias("du"))
-    test = own.where("l_orderkey % 5 = 0").join(r, ["make", "model"]).join(F.broadcast(off)).select("make", "price", "typical", (F.col("lower") - F.col("dl")).alias("lower"), (F.col("upper") + F.col("du")).alias("upper"))
+    test = own.where("pos >= 0.8").join(r, ["make", "model"]).join(F.broadcast(off)).select("make", "price", "typical", (F.col("lower") - F.col("dl")).alias("lower"), (F.col("upper") + F.col("du")).alias("upper"))
     return evaluation.range_coverage(test, "price", "lower", "upper", "typical", "make")
 
 
@@ -407,18 +408,18 @@ def gate_verdict(t):
 
 @query(f"""
 WITH {_FIT}, k AS (SELECT * FROM (VALUES ('(none)'), ('make'), ('model'), ('date')) v(scenario)),
-x AS (SELECT scenario, price, CASE WHEN scenario <> 'make' THEN make END AS make, CASE WHEN scenario <> 'model' THEN model END AS model, CASE WHEN scenario <> 'date' THEN bucket END AS bucket FROM aged, k WHERE l_orderkey % 5 = 0),
+x AS (SELECT scenario, price, CASE WHEN scenario <> 'make' THEN make END AS make, CASE WHEN scenario <> 'model' THEN model END AS model, CASE WHEN scenario <> 'date' THEN bucket END AS bucket FROM aged, k WHERE pos >= 0.8),
 y AS (SELECT scenario, median(abs(coalesce(m3, m1, m0) - price) / price) AS m FROM x LEFT JOIN b3 USING (make, model, bucket) LEFT JOIN b1 USING (make), b0 GROUP BY scenario), z AS (SELECT m AS base FROM y WHERE scenario = '(none)')
 SELECT scenario, round(m, 6) AS mdape, round(m / base, 6) AS ratio, m / base <= 1.5 AS passed FROM y, z""")
 def masking_sweep(t):
-    rows = evaluation.omission_scenarios(listings(t).where("l_orderkey % 5 = 0"), {"make": F.lit(None).cast("string"), "model": F.lit(None).cast("string"), "date": F.lit(None).cast("timestamp")})
+    rows = evaluation.omission_scenarios(listings(t).where("pos >= 0.8"), {"make": F.lit(None).cast("string"), "model": F.lit(None).cast("string"), "date": F.lit(None).cast("timestamp")})
     return evaluation.masking_sweep(baseline.predict_medians(rows, _medians(t), "make", "model", _age()), "price", "predicted")
 
 
 # ---- search, set operations, reconciliation
 
 _INDEX = "idx AS (SELECT l_orderkey * 1000000000 + l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey AS id, make, model, date_diff('day', date::DATE, DATE '2000-01-01') / 365.25::DOUBLE AS age, mileage FROM listings)"
-_QUERY_ROWS = "q AS (SELECT id AS query_id, make, CASE WHEN id % 2 = 0 THEN model END AS model, CASE WHEN id % 3 > 0 THEN age END AS age, CASE WHEN id % 5 > 0 THEN mileage END AS mileage FROM idx WHERE l_order % 50 = 0)"
+_QUERY_ROWS = "q AS (SELECT id AS query_id, make, CASE WHEN id % 2 = 0 THEN model END AS model, CASE WHEN id % 3 > 0 THEN age END AS age, CASE WHEN id % 5 > 0 THEN mileage END AS mileage FROM idx WHERE id % 50 = 0)"
 
 
 def _index(t):
@@ -433,7 +434,7 @@ n AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY coa
 SELECT query_id, rank::INT AS rank, id FROM n WHERE rank <= 5""")
 def comparables_topk(t):
     idx = _index(t)
-    q = idx.where("l_orderkey % 50 = 0").select(F.col("id").alias("query_id"), "make", F.when(F.col("id") % 2 == 0, F.col("model")).alias("model"), F.when(F.col("id") % 3 > 0, F.col("age")).alias("age"), F.when(F.col("id") % 5 > 0, F.col("mileage")).alias("mileage"))
+    q = idx.where("id % 50 = 0").select(F.col("id").alias("query_id"), "make", F.when(F.col("id") % 2 == 0, F.col("model")).alias("model"), F.when(F.col("id") % 3 > 0, F.col("age")).alias("age"), F.when(F.col("id") % 5 > 0, F.col("mileage")).alias("mileage"))
     return comparables.nearest(q, idx.drop("l_orderkey"))
 
 
@@ -502,11 +503,11 @@ def count_windows(t):
     return monitoring.window_states(_windowed(t), "event_id", 1000)
 
 
-_LABELS = "labels_of AS (SELECT event_id, value * (1 + (event_id % 7 - 3) / 20.0::DOUBLE) AS observed, ts + to_days((event_id % 10)::INT) AS received FROM events WHERE event_id % 3 = 0)"
+_LABELS = "labels_of AS (SELECT event_id, value * (1 + (event_id % 7 - 3) / 20.0::DOUBLE) AS observed, ts + to_days((event_id % 10)::INT) AS received FROM events WHERE event_type <> 'view')"
 
 
 def _labels(t):
-    return t.events.where("event_id % 3 = 0").select("event_id", (F.col("value") * (1 + (F.col("event_id") % 7 - 3) / 20.0)).alias("observed"), (F.col("ts") + F.make_dt_interval((F.col("event_id") % 10).cast("int"))).alias("received"))
+    return t.events.where("event_type <> 'view'").select("event_id", (F.col("value") * (1 + (F.col("event_id") % 7 - 3) / 20.0)).alias("observed"), (F.col("ts") + F.make_dt_interval((F.col("event_id") % 10).cast("int"))).alias("received"))
 
 
 def _with_labels(t):
@@ -526,11 +527,11 @@ def window_performance(t):
     return monitoring.window_performance(_with_labels(t), "observed", "value", inside, least_ranges=100)
 
 
-_TESTED = "tested AS (SELECT event_type, round(avg(value), 6) / 1000 AS mdape, count(*) AS rows FROM events WHERE event_id % 2 = 0 GROUP BY event_type)"
+_TESTED = "tested AS (SELECT event_type, round(avg(value), 6) / 1000 AS mdape, count(*) AS rows FROM events WHERE event_id <= (SELECT max(event_id) / 2 FROM events) GROUP BY event_type)"
 
 
 def _baseline(t):
-    tested = t.events.where("event_id % 2 = 0").groupBy("event_type").agg((F.round(F.avg("value"), 6) / 1000).alias("mdape"), F.count("*").alias("rows"))
+    tested = _halves(t)[0].groupBy("event_type").agg((F.round(F.avg("value"), 6) / 1000).alias("mdape"), F.count("*").alias("rows"))
     shares = _windowed(t).groupBy("run", "window", "event_type").agg(F.count("*").alias("n")).withColumn("key", F.col("run") * 1000 + F.col("window"))
     return monitoring.market_baseline(shares, tested, (0.05, 4000), "key", "event_type", least=900)
 
@@ -670,15 +671,15 @@ def cluster_bootstrap(t):
 @query()
 def ridge_fit(t):
     own = listings(t)
-    m = models.fit_ridge(own.where("l_orderkey % 5 <> 0"), "price", ["mileage"], ["make"])
-    return models.predict(m, own.where("l_orderkey % 5 = 0"), ["mileage"], ["make"]).agg(*evaluation.point_metrics("price", "predicted"))
+    m = models.fit_ridge(own.where("pos < 0.8"), "price", ["mileage"], ["make"])
+    return models.predict(m, own.where("pos >= 0.8"), ["mileage"], ["make"]).agg(*evaluation.point_metrics("price", "predicted"))
 
 
 @query()
 def gbt_fit(t):
     own = listings(t)
-    m = models.fit_trees(own.where("l_orderkey % 5 <> 0"), "price", ["mileage"], ["make"], rounds=5, depth=3)
-    return models.predict(m, own.where("l_orderkey % 5 = 0"), ["mileage"], ["make"]).agg(*evaluation.point_metrics("price", "predicted"))
+    m = models.fit_trees(own.where("pos < 0.8"), "price", ["mileage"], ["make"], rounds=5, depth=3)
+    return models.predict(m, own.where("pos >= 0.8"), ["mileage"], ["make"]).agg(*evaluation.point_metrics("price", "predicted"))
 
 
 # ---- Spark-native extras: event-time windows, cubes, sketches
@@ -748,21 +749,21 @@ def body_round_trip(t):
 
 
 @query("""
-WITH s AS (SELECT l_orderkey, l_returnflag || l_linenumber AS field, sum(round(l_discount * 100)) AS e FROM lineitem WHERE l_orderkey <= 500 GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(e) DESC, field) AS n FROM s)
+WITH s AS (SELECT l_orderkey, l_returnflag || l_linenumber AS field, sum(round(l_discount * 100)) AS e FROM lineitem GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(e) DESC, field) AS n FROM s)
 SELECT l_orderkey, CASE WHEN n <= 2 THEN field ELSE '(other)' END AS field, round((exp(sum(e) / 1000.0::DOUBLE) - 1) * 100, 6) AS percent FROM n GROUP BY ALL""")
 def explained_effects(t):
-    own = t.lineitem.where("l_orderkey <= 500").select("l_orderkey", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("field"), F.round(F.col("l_discount") * 100).alias("e"))
+    own = t.lineitem.select("l_orderkey", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("field"), F.round(F.col("l_discount") * 100).alias("e"))
     sums = own.groupBy("l_orderkey", "field").agg((F.sum("e") / 1000).alias("e"))
     return requests.explained(sums, "l_orderkey", "field", "e", 2).withColumn("percent", F.round("percent", 6))
 
 
 @query("""
-WITH a AS (SELECT c_custkey, c_mktsegment AS v FROM customer WHERE c_custkey % 7 > 0), b AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'X' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 5 > 0)
+WITH a AS (SELECT c_custkey, c_mktsegment AS v FROM customer WHERE c_acctbal >= 0), b AS (SELECT c_custkey, CASE WHEN c_acctbal < 1000 THEN 'X' ELSE c_mktsegment END AS v FROM customer WHERE c_acctbal < 5000)
 SELECT 'c.' || coalesce(a.c_custkey, b.c_custkey) AS path, a.v AS old, b.v AS new, CASE WHEN a.c_custkey IS NULL THEN 'added' WHEN b.c_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM a FULL JOIN b ON a.c_custkey = b.c_custkey WHERE a.c_custkey IS NULL OR b.c_custkey IS NULL OR a.v IS DISTINCT FROM b.v""")
 def leaf_difference(t):
     path = F.concat(F.lit("c."), F.col("c_custkey").cast("string")).alias("path")
-    return reports.leaf_difference(t.customer.where("c_custkey % 7 > 0").select(path, F.col("c_mktsegment").alias("value")), t.customer.where("c_custkey % 5 > 0").select(path, F.when(F.col("c_custkey") % 11 == 0, "X").otherwise(F.col("c_mktsegment")).alias("value")))
+    return reports.leaf_difference(t.customer.where("c_acctbal >= 0").select(path, F.col("c_mktsegment").alias("value")), t.customer.where("c_acctbal < 5000").select(path, F.when(F.col("c_acctbal") < 1000, "X").otherwise(F.col("c_mktsegment")).alias("value")))
 
 
 @query("WITH l AS (SELECT DISTINCT p_type AS x FROM part UNION SELECT DISTINCT split_part(p_type, ' ', 1) FROM part) SELECT a.x AS shorter, b.x AS longer FROM l a JOIN l b ON starts_with(b.x, a.x || ' ')")
@@ -820,12 +821,12 @@ WITH {_FIT}, p AS (SELECT predicted, coalesce(b3.m3, b1.m1, m0) AS q FROM (SELEC
 SELECT 'two years older' AS change, count(*) AS n, round(avg((q > predicted)::INT), 6) AS rises, round(avg((q < predicted)::INT), 6) AS falls FROM p""")
 def moved_predictions(t):
     medians = _medians(t)
-    return simulation.moved(listings(t).where("l_orderkey % 5 = 0"), lambda d: baseline.predict_medians(d, medians, "make", "model", _age()), {"two years older": {"date": F.col("date") - F.expr("interval 731 days")}}, ID)
+    return simulation.moved(listings(t).where("pos >= 0.8"), lambda d: baseline.predict_medians(d, medians, "make", "model", _age()), {"two years older": {"date": F.col("date") - F.expr("interval 731 days")}}, ID)
 
 
 @query(f"""
-WITH {LISTINGS}, {", ".join(f"b{w} AS (SELECT make, floor(date_diff('day', date::DATE, DATE '2000-01-01') / 365.25::DOUBLE / {w}) AS b, median(price) AS m FROM listings WHERE l_orderkey % 5 <> 0 GROUP BY ALL)" for w in (1, 2, 4))},
-m1 AS (SELECT make, median(price) AS m FROM listings WHERE l_orderkey % 5 <> 0 GROUP BY make), s AS ({" UNION ALL ".join(f"SELECT 'width={w}' AS point, {w == 2} AS reference, median(abs(coalesce(b{w}.m, m1.m) - price) / price) AS e FROM listings l LEFT JOIN b{w} ON b{w}.make = l.make AND b{w}.b = floor(date_diff('day', date::DATE, DATE '2000-01-01') / 365.25::DOUBLE / {w}) LEFT JOIN m1 ON m1.make = l.make WHERE l_orderkey % 5 = 0" for w in (1, 2, 4))})
+WITH {LISTINGS}, {", ".join(f"b{w} AS (SELECT make, floor(date_diff('day', date::DATE, DATE '2000-01-01') / 365.25::DOUBLE / {w}) AS b, median(price) AS m FROM listings WHERE pos < 0.8 GROUP BY ALL)" for w in (1, 2, 4))},
+m1 AS (SELECT make, median(price) AS m FROM listings WHERE pos < 0.8 GROUP BY make), s AS ({" UNION ALL ".join(f"SELECT 'width={w}' AS point, {w == 2} AS reference, median(abs(coalesce(b{w}.m, m1.m) - price) / price) AS e FROM listings l LEFT JOIN b{w} ON b{w}.make = l.make AND b{w}.b = floor(date_diff('day', date::DATE, DATE '2000-01-01') / 365.25::DOUBLE / {w}) LEFT JOIN m1 ON m1.make = l.make WHERE pos >= 0.8" for w in (1, 2, 4))})
 SELECT point, reference, round(e, 6) AS mdape, e < (SELECT e FROM s WHERE reference) AS better FROM s""")
 def grid_sweep(t):
     own = listings(t).withColumn("every", F.lit("x"))
@@ -834,7 +835,7 @@ def grid_sweep(t):
         b = F.floor(X.age_years(F.col("date"), REFERENCE) / width)
         return baseline.predict_medians(test, baseline.fit_medians(train, "make", "every", b, "price"), "make", "every", b)
 
-    return simulation.sweep(own.where("l_orderkey % 5 <> 0"), own.where("l_orderkey % 5 = 0"), {"width": [1, 2, 4]}, score, {"width": 2}, "price")
+    return simulation.sweep(own.where("pos < 0.8"), own.where("pos >= 0.8"), {"width": [1, 2, 4]}, score, {"width": 2}, "price")
 
 
 @query()
@@ -845,7 +846,7 @@ def trial_ceilings(t):
 
 @query()
 def sparse_requests(t):
-    own = simulation.sparse_requests(listings(t).where("l_orderkey % 5 = 0"), ID, ["make", "model", "date"], [0, 1, 2, 3], "20251108")
+    own = simulation.sparse_requests(listings(t).where("pos >= 0.8"), ID, ["make", "model", "date"], [0, 1, 2, 3], "20251108")
     scored = baseline.predict_medians(own, _medians(t), "make", "model", _age())
     return scored.groupBy("kept").agg(*evaluation.point_metrics("price", "predicted"))
 
