@@ -7,7 +7,7 @@ executors share that folder, so a lost executor costs a re-run of its tasks and
 from __future__ import annotations
 
 import array
-import itertools
+import gc
 import re
 import tempfile
 import uuid
@@ -24,11 +24,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back."""
+    """Write ``df`` as Parquet into the shared folder and read it back.
+
+    While it is written, Arrow batches hold at most 1000 rows: rows here are whole texts.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(BATCH)
+    try:
+        spark.conf.set(BATCH, min(1000, int(before)) if int(before) > 0 else 1000)
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -36,6 +47,12 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 #: everything outside ASCII and the Latin-1 letters. Inside the rest, a run of letters is one piece.
 _ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x7f-\xbf\xd7\xf7Ā-\U0010ffff]")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Those of them that ASCII has.
+_ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x7f"
+
+
+def _is_odd(text: str) -> bool:
+    return any(c in text for c in _ODD_ASCII) if text.isascii() else bool(_ODD.search(text))
 
 
 class PieceEncoder:
@@ -49,16 +66,16 @@ class PieceEncoder:
     the whole text. Strings of special tokens are ordinary text.
 
     ``keeps_blanks``: white space is part of the next piece, else the tokenizer drops it and lower-
-    cases. ``keep``: pieces held at most. They are in two tables; when the younger is full it becomes
-    the older one, and what is met again moves up, so rare pieces go and memory stays bounded.
+    cases. ``keep``: pieces held, about. They are in two tables; when the younger is full it becomes
+    the older one, and the next starts with what was met in both, so rare pieces go and memory stays bounded.
     """
 
-    def __init__(self, path: str, keeps_blanks: bool, width: str = "I", keep: int = 500_000):
+    def __init__(self, path: str, keeps_blanks: bool, width: str = "I", keep: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.width, self.half, self.young, self.old = width, keep // 2, {}, {}
+        self.width, self.half, self.young, self.old, self.again = width, keep // 2, {}, {}, {}
         self.glue = "" if keeps_blanks else " "
         blank, gap = ("[ \n]*", "|[ \n]*[^ \n{0}]+|[ \n]+") if keeps_blanks else ("", "|[^ \n{0}]+")
         self.fine = re.compile(f"{blank}[{_LETTERS}]+" + gap.format(_LETTERS)).findall
@@ -67,10 +84,10 @@ class PieceEncoder:
         self.lower = not keeps_blanks
 
     @classmethod
-    def shared(cls, path: str, keeps_blanks: bool, width: str = "I") -> PieceEncoder:
+    def shared(cls, path: str, keeps_blanks: bool, width: str = "I", keep: int = 600_000) -> PieceEncoder:
         """The encoder of this Python worker; its tables serve all tasks that the worker runs."""
         if (path, width) not in _ENCODERS:
-            _ENCODERS[path, width] = cls(path, keeps_blanks, width)
+            _ENCODERS[path, width] = cls(path, keeps_blanks, width, keep)
         return _ENCODERS[path, width]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -93,14 +110,13 @@ class PieceEncoder:
             out += [data[size * a : size * b] for a, b in zip(cuts, cuts[1:], strict=False)]
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        if len(self.young) + len(new) > self.half:
-            self.old, self.young = self.young, {}
+    def _learn(self, new: list[str]) -> None:
+        """Ids of pieces that the younger table lacks, from the older one or the library."""
         young, old, words, others = self.young, self.old, [], []
-        for w in new:
+        for w in dict.fromkeys(new):
             ids = old.get(w)
             if ids is not None:
-                young[w] = ids
+                young[w] = self.again[w] = ids
             else:
                 (words if self.word(w) else others).append(w)
         young.update(zip(words, self._words(words), strict=True))
@@ -108,25 +124,46 @@ class PieceEncoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``width``; None: as an empty text."""
-        cut: list[list[str] | None] = []
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and the collector would walk millions of strings' lists
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, self.again if len(self.again) < self.half // 2 else {}
+            self.again = {}
+        get, out, odd, open_, new = self.young.get, [], [], [], []
         for t in texts:
             if not t:
-                cut.append([])
-            elif _ODD.search(t):
-                cut.append(None)
-            else:
-                t = t.lower() if self.lower else t
-                cut.append(self.coarse(t) if "'" in t else self.fine(t))
-        new: set[str] = set()
-        for pieces in cut:
-            if pieces:
-                new.update(itertools.filterfalse(self.young.__contains__, pieces))
-        if len(self.young) + len(new) > self.half:
-            new = set().union(*(p for p in cut if p))
+                out.append([])
+                continue
+            if _is_odd(t):
+                odd.append(len(out))
+                out.append([])
+                continue
+            t = t.lower() if self.lower else t
+            pieces = self.coarse(t) if "'" in t else self.fine(t)
+            ids = list(map(get, pieces))
+            at = -1
+            try:
+                while True:
+                    at = ids.index(None, at + 1)
+                    open_.append((ids, at, pieces[at]))
+                    new.append(pieces[at])
+            except ValueError:
+                out.append(ids)
         self._learn(new)
-        get = self.young.__getitem__
-        whole = iter(self._ids([t for t, p in zip(texts, cut, strict=True) if p is None]))
-        return [next(whole) if p is None else b"".join(map(get, p)) for p in cut]
+        known = self.young
+        for ids, at, piece in open_:
+            ids[at] = known[piece]
+        done = list(map(b"".join, out))
+        for k, ids in zip(odd, self._ids([texts[k] for k in odd]), strict=True):
+            done[k] = ids
+        return done
 
 
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}

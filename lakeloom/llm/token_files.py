@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from lakeloom.llm.shared import PieceEncoder, shared_folder, text_batches, written
 
 #: Bits of the frequencies' sum, tokens in a block at least (unless it is the last), and rows between checkpoints.
-SCALE, BLOCK, LANES, CHECKPOINT = 20, 1 << 18, 1024, 128
+SCALE, BLOCK, LANES, CHECKPOINT = 20, 1 << 18, 2048, 64
 
 
 def quantize(counts, scale: int = SCALE):
@@ -50,9 +50,10 @@ class Coder:
         import numpy as np
 
         self.scale = np.uint64(scale)
-        self.freq = np.asarray(freq, dtype=np.uint64)
-        self.low = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
+        freq = np.asarray(freq, dtype=np.int64)
+        self.freq = freq.astype(np.uint32)  # small tables stay in the processor's cache
+        self.low = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint32)
+        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) <= 1 << 16 else np.uint32), freq)
 
     def encode(self, ids, lanes: int = LANES, every: int = CHECKPOINT):
         """Words (uint32), and the checkpoints: row numbers, positions in the words, and states (rows x lanes)."""
@@ -66,7 +67,7 @@ class Coder:
         for r in range(rows - 1, -1, -1):
             own = ids[r * lanes : (r + 1) * lanes]
             m = len(own)
-            f, x = self.freq[own], state[:m]
+            f, x = self.freq[own].astype(np.uint64), state[:m]
             spill = (x >> top) >= f
             if spill.any():
                 words = (x[spill] & low32).astype(np.uint32)
@@ -105,7 +106,7 @@ class Coder:
         return out
 
 
-TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("part", T.IntegerType()), T.StructField("run", T.LongType())])
+TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("part", T.IntegerType()), T.StructField("run", T.LongType()), T.StructField("counts", T.BinaryType())])
 BLOCKS = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("run", T.LongType()), T.StructField("task", T.IntegerType()), T.StructField("nth", T.LongType()),
     T.StructField("first_doc", T.LongType()), T.StructField("last_doc", T.LongType()), T.StructField("doc_ids", T.BinaryType()), T.StructField("null_ids", T.LongType()), T.StructField("doc_tokens", T.BinaryType()), T.StructField("n_tokens", T.LongType()),
@@ -123,14 +124,19 @@ def _arrow(schema):
     return to_arrow_schema(schema)
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian 16 bits) and the ascending run of the task's stream that the row is in."""
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int = 1 << 16) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian 16 bits) and the ascending run of the task's stream that the row is in.
+
+    Each task's last row has part -1 and ``counts``, how often it saw each token (64-bit counts).
+    """
 
     def encode(batches):
+        import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, end, part, run, last = PieceEncoder.shared(tokenizer, keeps_blanks=True, width="H"), end_id.to_bytes(2, "little"), TaskContext.get().partitionId(), 0, None
+        encoder, end, part, run, last = PieceEncoder.shared(tokenizer, keeps_blanks=True, width="H", keep=1_600_000), end_id.to_bytes(2, "little"), TaskContext.get().partitionId(), 0, None
+        total = np.zeros(vocabulary, dtype="<i8")
         for batch in text_batches(batches):
             out = {f.name: [] for f in TOKENS}
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(batch.column("text").to_pylist()), strict=True):
@@ -139,7 +145,10 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 ids += end
                 for name, v in (("doc_id", doc), ("n_tokens", len(ids) // 2), ("ids", ids), ("part", part), ("run", run)):
                     out[name].append(v)
+            total += np.bincount(np.frombuffer(b"".join(out["ids"]), dtype="<u2"), minlength=vocabulary)
+            out["counts"] = [None] * len(out["ids"])
             yield pa.RecordBatch.from_pydict(out, schema=_arrow(TOKENS))
+        yield pa.RecordBatch.from_pydict({"doc_id": [None], "n_tokens": [0], "ids": [b""], "part": [-1], "run": [0], "counts": [total.tobytes()]}, schema=_arrow(TOKENS))
 
     return docs.select("doc_id", "text").mapInArrow(encode, TOKENS)
 
@@ -170,19 +179,20 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     import numpy as np
 
     spark = docs.sparkSession
-    tokens = written(tokenized(docs, tokenizer, end_id), "tokens")
+    table = written(tokenized(docs, tokenizer, end_id, vocabulary), "tokens", "snappy")
+    tokens = table.drop("counts").where("part >= 0")
 
     def count(batches):
         import pyarrow as pa
 
         total = np.zeros(vocabulary, dtype=np.int64)
         for b in batches:
-            for x in b.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), dtype="<u2"), minlength=vocabulary)
+            for x in b.column("counts").to_pylist():
+                total += np.frombuffer(x, dtype="<i8")
         here = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(total[here])], names=["token", "n"])
 
-    counts = tokens.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
+    counts = table.select("counts").where("counts is not null").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
     total = np.zeros(vocabulary, dtype=np.int64)
     for r in counts:
         total[r["token"]] = r["n"]
