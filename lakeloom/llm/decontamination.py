@@ -60,7 +60,7 @@ class _Codes(dict):
 
         kind, value = template_token(word)
         code = 0 if not kind else xxhash.xxh64_intdigest(f"w {value}" if kind == "word" else f"<{kind}>") & ~1 | (kind == "word") or 2
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = code
         return code

@@ -62,14 +62,14 @@ def count_grams(docs: DataFrame) -> DataFrame:
             return g, np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(g)).astype(np.int64)
 
         parts, held = [], 0
-        for b in text_batches(batches, rows=2000, chars=2_000_000):
+        for b in text_batches(batches, rows=500, chars=500_000):
             g, c = np.unique(grams_of(b.column("text").to_pylist())[0], return_counts=True)
             parts.append((g, c))
             held += len(g)
-            if held > 4_000_000:
+            if held > 1_000_000:
                 parts = [merged(parts)]
                 held = len(parts[0][0])
-                if held > 2_000_000:
+                if held > 800_000:
                     yield pa.RecordBatch.from_arrays(list(map(pa.array, parts[0])), names=["gram", "c"])
                     parts, held = [], 0
         if parts:
@@ -207,7 +207,7 @@ def _scored_by_tables(docs: DataFrame, model) -> DataFrame:
         import pyarrow as pa
 
         tables = Tables(*shared.value)
-        for b in text_batches(batches, rows=1000, chars=1_000_000):
+        for b in text_batches(batches, rows=500, chars=250_000):
             texts = b.column("text").to_pylist()
             g, of = grams_of(texts)
             loss = -np.bincount(of, weights=tables.logs(g), minlength=len(texts)) if len(g) else np.zeros(len(texts))

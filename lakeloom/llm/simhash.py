@@ -42,8 +42,10 @@ def covering_masks(radius: int) -> list[int]:
     return [sum(1 << i for i in range(BITS) if (vector[i] & v).bit_count() % 2) for v in range(1, n + 1)]
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """A 64-bit SimHash of the text's shingles, repeats included: a bit is set if it is in over half the hashes.
+def fingerprint(text: str | None, words: int = 4, repeats: bool = True) -> int:
+    """A 64-bit SimHash of the text's shingles: a bit is set if it is in over half the hashes.
+
+    Without ``repeats`` each different shingle counts once.
 
     Words are runs of characters other than blank and U+0009 to U+000D, A to Z lower-cased. A text
     of fewer words than a shingle is one shingle; a text without words has fingerprint zero.
@@ -54,6 +56,8 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     parts = (text or "").encode().lower().split()
     if not parts:
         return 0
+    if not repeats:
+        return _majority(list({b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))}))
     joined = b" ".join(parts)
     sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     ends = np.cumsum(sizes + 1) - 1
@@ -68,14 +72,23 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits(2 * set_bits > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
+def _majority(shingles: list[bytes]) -> int:
+    import numpy as np
+    import xxhash
+
+    h = np.array([xxhash.xxh64_intdigest(x, 42) for x in shingles], dtype="<u8")
+    set_bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * set_bits > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprints(docs: DataFrame, words: int = 4, repeats: bool = True) -> DataFrame:
     """doc_id and ``fp``, the fingerprint as a signed long."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in text_batches(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_signed(fingerprint(t, words)) for t in b.column("text").to_pylist()], type=pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_signed(fingerprint(t, words, repeats)) for t in b.column("text").to_pylist()], type=pa.int64())], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
@@ -137,7 +150,7 @@ def midpoint_links(words: DataFrame, radius: int) -> DataFrame:
     return around.join(least, "mid").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, repeats: bool = True) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links lead to.
 
     Documents with one fingerprint are one node of the graph, however many they are. Null texts
@@ -145,7 +158,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     as no smallest id; a component of such rows alone has a null component_id. Repeated rows keep
     their rows. An empty table gives no rows. Columns other than doc_id and text are left out.
     """
-    fps = written(fingerprints(docs, words), "fingerprints")
+    fps = written(fingerprints(docs, words, repeats), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = connected_components(near_links(nodes.select("fp"), radius))
     rooted = written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
@@ -154,12 +167,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 1, radius: int = 6, repeats: bool = False) -> DataFrame:
     """The documents without those whose component has a smaller doc_id. Rows with null doc_ids stay.
 
-    Of rows that repeat a doc_id, one that compares smallest by its columns stays.
+    Of rows that repeat a doc_id one stays. The fingerprint is of the set of words: of two texts whose
+    five-word shingles are similar by 0.8, words differ less than shingles do, so their fingerprints are
+    within six bits nearly always, while texts that are no copies share common words only.
     """
-    found = near_duplicates(docs, words, radius)
+    found = near_duplicates(docs, words, radius, repeats)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     twice = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")

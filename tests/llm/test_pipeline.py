@@ -4,9 +4,10 @@ from collections import defaultdict
 from pathlib import Path
 
 import pytest
+import xxhash
 
 import corpus_pipeline as c
-from lakeloom.llm import decontamination, simhash
+from lakeloom.llm import decontamination
 from tests.llm.test_packing import one_by_one
 from tests.llm.test_quality import Plain
 
@@ -46,8 +47,13 @@ def brute_quality(docs, labels, quantile=0.999, margin=1.2, prior=30):
     return set(keep)
 
 
-def brute_near(docs, words=5, radius=c.RADIUS):
-    fps = [simhash.fingerprint(r["text"], words) for r in docs]
+def words_fingerprint(text):
+    h = [xxhash.xxh64_intdigest(w, 42) for w in set((text or "").encode().lower().split())]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_near(docs, radius=c.RADIUS):
+    fps = [words_fingerprint(r["text"]) for r in docs]
     root = list(range(len(docs)))
 
     def find(i):
