@@ -18,8 +18,8 @@ from lakeloom.llm.graph import connected_components
 from lakeloom.llm.shared import text_batches, written
 
 BITS = 64
-#: Buckets up to SMALL words are compared by a join, up to MIDDLE inside one task; larger ones by midpoints.
-SMALL, MIDDLE = 16, 4096
+#: Buckets up to so many words are compared inside one task; larger ones go by midpoints.
+MIDDLE = 4096
 #: Buckets (16 bytes each) that are broadcast at most to look up their words.
 BUCKETS = 1_000_000
 
@@ -93,15 +93,15 @@ def fingerprints(docs: DataFrame, words: int = 4, repeats: bool = True) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def near_links(words: DataFrame, radius: int = 4, small: int = SMALL, middle: int = MIDDLE) -> DataFrame:
-    """Links (a, b) between the different values of column ``fp`` that join up all pairs within ``radius`` bits.
+def near_links(words: DataFrame, radius: int = 4, middle: int = MIDDLE) -> DataFrame:
+    """Pairs (a, b) of different values of column ``fp`` that join up all pairs within ``radius`` bits.
 
-    A pair within the radius is linked, or joined by a path of such links. One aggregate over all
+    Two words are joined by a path of such pairs just if they are joined by a path of words within the radius. One aggregate over all
     tables counts each bucket and keeps its smallest and largest word. Buckets of two are those two. Words
     of larger buckets are looked up again, and then
 
-    - up to ``small`` words, a join compares the pairs;
-    - up to ``middle`` words, one task compares them and gives a spanning forest of their links;
+    - up to ``middle`` words, one task compares them and joins each to the smallest word that links inside the
+      bucket lead to: a star for each of its components, which many buckets share;
     - words of larger buckets are joined through midpoints. Two words within the radius have a
       midpoint within half of it from both. All words around a midpoint are within the
       radius of one another, so each is linked to the smallest, pre-aggregated, without looking at
@@ -118,25 +118,23 @@ def near_links(words: DataFrame, radius: int = 4, small: int = SMALL, middle: in
     larger = buckets.where("n > 2").select("bucket", "n")
     members = written(keys.join(F.broadcast(larger) if larger.count() <= BUCKETS else larger, "bucket"), "members")
 
-    few = members.where(F.col("n") <= small)
-    a, b = few.select("bucket", F.col("fp").alias("a")), few.select("bucket", F.col("fp").alias("b"))
-    links = links.unionByName(a.join(b, "bucket").where(f"a < b and bit_count(a ^ b) <= {radius}").select("a", "b"))
-
-    def forest(pdf):
+    def stars(pdf):
         import numpy as np
         import pandas as pd
 
-        fp = pdf["fp"].to_numpy().view("<u8")
-        root, out = np.arange(len(fp)), []
+        signed = np.sort(pdf["fp"].to_numpy())
+        fp = signed.view("<u8")
+        root = np.arange(len(fp))
         for i in range(1, len(fp)):
-            near = np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]) <= radius)
-            for r in np.unique(root[near]).tolist():
-                out.append((near[root[near] == r][0], i))
-                root[root == r] = i
-        pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": pdf["fp"].to_numpy()[pairs[:, 0]], "b": pdf["fp"].to_numpy()[pairs[:, 1]]})
-
-    links = links.unionByName(members.where((F.col("n") > small) & (F.col("n") <= middle)).select("bucket", "fp").groupBy("bucket").applyInPandas(forest, "a long, b long"))
+            near = root[:i][np.bitwise_count(fp[:i] ^ fp[i]) <= radius]
+            if len(near):
+                joined = np.unique(near)
+                root[: i + 1][np.isin(root[: i + 1], joined)] = joined[0]
+                root[i] = joined[0]
+        on = np.flatnonzero(root != np.arange(len(fp)))
+        return pd.DataFrame({"a": signed[root[on]], "b": signed[on]})
+
+    links = links.unionByName(members.where(F.col("n") <= middle).select("bucket", "fp").groupBy("bucket").applyInPandas(stars, "a long, b long"))
     hot = members.where(F.col("n") > middle).select("fp").distinct()
     return links.unionByName(midpoint_links(hot, radius)) if hot.head(1) else links
 
