@@ -12,9 +12,9 @@ from lakeloom.llm import decontamination, packing, pii, quality, simhash
 from lakeloom.llm.queries import PII_KEY, table, tokenizer_path
 from lakeloom.llm.shared import written
 
-#: Bits in which fingerprints of two documents' sets of words may differ. On documents of the check table this joins
-#: 95 % of the pairs whose five-word shingles have a Jaccard similarity of 0.8 or more; fingerprints of
-#: five-word shingles themselves join 37 % of them at this radius.
+#: Bits in which fingerprints of two documents' sets of words may differ to be candidates. On documents of the check
+#: table this finds 95 % of the pairs whose five-word shingles have a Jaccard similarity of 0.8 or more;
+#: fingerprints of five-word shingles themselves find 37 % of them at this radius.
 RADIUS = 6
 
 
@@ -24,8 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.keep_one(docs, words=1, radius=RADIUS, repeats=False)
+    """One document of each group of near copies: five-word shingles alike by 0.8 or more."""
+    return simhash.keep_one(docs, words=1, radius=RADIUS, repeats=False, shingle=5, similarity=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,9 @@ with high probability. Give each bit position a non-zero vector of ``radius + 1`
 of a non-zero vector v compares the positions whose vectors have an odd number of bits in common
 with v. The vectors of the differing positions span less than the whole space, so some v is
 orthogonal to all of them, and its table sees none of the differences (Pagh, 2016).
+
+``near_duplicates`` groups documents by their fingerprints; ``keep_one`` takes such groups as candidates
+and compares the texts in them.
 """
 
 from __future__ import annotations
@@ -22,6 +25,12 @@ BITS = 64
 MIDDLE = 4096
 #: Buckets (16 bytes each) that are broadcast at most to look up their words.
 BUCKETS = 1_000_000
+#: Rows of a few longs that are broadcast at most where candidates, groups or documents to drop are looked up.
+REPRESENTATIVES = 500_000
+#: Candidate groups of up to so many different texts are compared pair by pair; larger ones by about so many leaders first.
+LEADERS = 32
+#: Texts of a large candidate group that one block holds, about.
+BLOCK = 256
 
 
 def _signed(x: int) -> int:
@@ -165,18 +174,117 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, repeats: b
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 1, radius: int = 6, repeats: bool = False) -> DataFrame:
-    """The documents without those whose component has a smaller doc_id. Rows with null doc_ids stay.
+def shingle_set(text: str | None, words: int = 5):
+    """The different shingles of a text as sorted 64-bit hashes (signed); words and short texts as in ``fingerprint``."""
+    import numpy as np
+    import xxhash
+
+    parts = (text or "").encode().lower().split()
+    k = min(words, len(parts))
+    hashes = [xxhash.xxh64_intdigest(b" ".join(parts[i : i + k]), 42) for i in range(len(parts) - k + 1)] if parts else []
+    return np.unique(np.array(hashes, dtype="<u8").view(np.int64))
+
+
+def _profiles(docs: DataFrame, words: int, repeats: bool, shingle: int) -> DataFrame:
+    """doc_id, ``th`` (a hash of the text), ``fp`` and ``key`` (a hash of the set of shingles) of each row."""
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for b in text_batches(batches):
+            texts = b.column("text").to_pylist()
+            fps = [_signed(fingerprint(t, words, repeats)) for t in texts]
+            keys = [_signed(xxhash.xxh64_intdigest(shingle_set(t, shingle).tobytes())) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fps, type=pa.int64()), pa.array(keys, type=pa.int64())], names=["doc_id", "th", "fp", "key"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long, key long")
+
+
+def _hinted(df: DataFrame, most: int) -> DataFrame:
+    """``df`` to be broadcast if it is counted to have few enough rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _alike(a: str, b: str, similarity: float):
+    """Whether the sets of rows a and b have at least this Jaccard similarity; sizes are looked at first."""
+    n, m, both = F.col(f"{a}.m"), F.col(f"{b}.m"), F.size(F.array_intersect(f"{a}.s", f"{b}.s"))
+    return (F.least(n, m) >= similarity * F.greatest(n, m)) & (both / (n + m - both) >= similarity)
+
+
+def verified_links(sets: DataFrame, similarity: float, leaders: int = LEADERS) -> DataFrame:
+    """Links (a, b) of nodes that join up just the nodes of one ``root`` that paths of similar nodes join.
 
-    Of rows that repeat a doc_id one stays. The fingerprint is of the set of words: of two texts whose
-    five-word shingles are similar by 0.8, words differ less than shingles do, so their fingerprints are
-    within six bits nearly always, while texts that are no copies share common words only.
+    ``sets`` has root, node (long), ``s`` (different hashes) and ``m``, their number. All nodes of roots with up to
+    ``leaders`` nodes are compared. In larger roots about so many nodes, drawn by hash, are compared with all,
+    and each node keeps a link to one similar leader: a group of near copies becomes one star. Then
+    every node outside its root's largest group is compared with all nodes of other groups, so no
+    link between groups is missed. Large roots are dealt out in blocks; pairs are never listed, only links.
     """
-    found = near_duplicates(docs, words, radius, repeats)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    twice = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    counted = sets.groupBy("root").agg(F.count("*").alias("n"))
+    t = written(sets.join(_hinted(counted, REPRESENTATIVES), "root"), "sets")
+    small, large = t.where(F.col("n") <= leaders), t.where(F.col("n") > leaders)
+    pairs = small.alias("a").join(small.alias("b"), (F.col("a.root") == F.col("b.root")) & (F.col("a.node") < F.col("b.node")) & _alike("a", "b", similarity))
+    links = written(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), "links-small")
+    if not large.head(1):
+        return links
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("node", F.lit(1)), blocks)
+    dealt = lambda df: df.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    same = (F.col("a.root") == F.col("b.root")) & (F.col("a.block") == F.col("b.block"))
+    members = large.withColumn("block", block)
+    first = dealt(large.where(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / leaders)) == 0))
+    stars = first.alias("a").join(members.alias("b"), same & (F.col("a.node") != F.col("b.node")) & _alike("a", "b", similarity))
+    stars = written(stars.groupBy(F.col("b.node").alias("b")).agg(F.min("a.node").alias("a")).select("a", "b"), "stars")
+    groups = connected_components(stars)
+    grouped = members.join(groups, "node", "left").withColumn("own", F.coalesce(groups["root"], members["node"])).select("node", members["root"], "n", "block", "own", "s", "m")
+    grouped = written(grouped, "grouped")
+    sizes = grouped.groupBy("root", "own").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("root").agg(F.max(F.struct("k", "own")).alias("top")).select("root", F.col("top.own").alias("most"))
+    outside = dealt(grouped.join(_hinted(largest, REPRESENTATIVES), "root").where("own <> most").drop("block", "most"))
+    across = outside.alias("a").join(grouped.alias("b"), same & (F.col("a.own") != F.col("b.own")) & _alike("a", "b", similarity))
+    across = across.select(F.col("a.own").alias("a"), F.col("b.own").alias("b")).distinct()
+    return links.unionByName(stars).unionByName(written(across, "links-across"))
+
+
+def keep_one(docs: DataFrame, words: int = 1, radius: int = 6, repeats: bool = False, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near copies, the one of the smallest doc_id.
+
+    Candidates are the components of fingerprints within ``radius`` bits, each of the set of words:
+    of two texts whose shingles are alike, words differ less than shingles do. Inside a component
+    texts are linked if the Jaccard similarity of their sets of five-word shingles is at least
+    ``similarity``; groups are what links join. Texts of one set of shingles are one node, however many they are.
+
+    Rows with null doc_ids stay and are no reason for others to go. Null texts count as texts without words, which
+    are all alike. Rows that repeat doc_id and text count once; rows that share a doc_id only are documents of their own.
+    Empty tables give no rows; other columns stay as they are.
+    """
+    th = "_text_of_near"
+    profiles = written(_profiles(docs.where("doc_id is not null"), words, repeats, shingle), "profiles")
+    nodes = written(profiles.groupBy("fp", "key").agg(F.min(F.struct("doc_id", "th")).alias("rep")).select("fp", "key", F.xxhash64("fp", "key").alias("node"), "rep.doc_id", "rep.th"), "nodes")
+    roots = connected_components(near_links(nodes.select("fp").distinct(), radius))
+    rooted = written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select(nodes["node"], "doc_id", "th", F.coalesce("root", "fp").alias("root")), "rooted")
+    several = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    asked = written(rooted.join(_hinted(several, REPRESENTATIVES), "root", "left_semi"), "candidates").select(F.col("doc_id").alias("id"), F.col("th").alias(th), "root", "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias(th), "text").join(_hinted(asked, REPRESENTATIVES), ["id", th]).select("root", "node", "text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in text_batches(batches):
+            sets = [shingle_set(t, shingle) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("root"), b.column("node"), pa.array(sets, type=pa.list_(pa.int64())), pa.array(list(map(len, sets)), type=pa.int64())], names=["root", "node", "s", "m"])
+
+    sets = texts.mapInArrow(run, "root long, node long, s array<long>, m long").dropDuplicates(["node"])
+    groups = connected_components(verified_links(written(sets, "shingle-sets"), similarity)).select("node", F.col("root").alias("top"))
+    joined = written(nodes.join(_hinted(groups, REPRESENTATIVES), "node", "left").withColumn("top", F.coalesce("top", "node")), "joined")
+    kept = joined.groupBy("top").agg(F.min(F.struct("doc_id", "th")).alias("kept"))
+    known = joined.join(kept, "top").select("fp", "key", F.col("kept.doc_id").alias("kept_id"), F.col("kept.th").alias("kept_th"))
+    gone = written(profiles.join(known, ["fp", "key"]).where("doc_id <> kept_id or th <> kept_th").select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct(), "gone")
+    twice = written(profiles.groupBy("doc_id", "th").count().where("count > 1").select("doc_id", F.col("th").alias(th)), "repeated")
+    rows = docs.withColumn(th, F.xxhash64("text"))
+    left = rows.join(_hinted(gone, REPRESENTATIVES), (F.col("doc_id") == F.col("_gone_id")) & (F.col(th) == F.col("_gone_th")), "left_anti")
     if not twice.head(1):
-        return kept.select(docs.columns)
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+        return left.select(docs.columns)
+    once = left.join(twice, ["doc_id", th], "left_semi").dropDuplicates(["doc_id", th])
+    return left.join(twice, ["doc_id", th], "left_anti").select(docs.columns).unionByName(once.select(docs.columns))

@@ -52,6 +52,11 @@ def words_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def shingles(text, words=5):
+    parts = (text or "").encode().lower().split()
+    return [tuple(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))] if parts else []
+
+
 def brute_near(docs, radius=c.RADIUS):
     fps = [words_fingerprint(r["text"]) for r in docs]
     root = list(range(len(docs)))
@@ -66,6 +71,14 @@ def brute_near(docs, radius=c.RADIUS):
             if (fps[i] ^ fps[j]).bit_count() <= radius:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
+    candidates = list(map(find, range(len(docs))))
+    root[:] = range(len(docs))
+    sets = [set(shingles(r["text"])) for r in docs]
+    for i in range(len(docs)):
+        for j in range(i):
+            if candidates[i] == candidates[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
     return {r["doc_id"] for i, r in enumerate(docs) if find(i) == i}
 
 

@@ -91,3 +91,50 @@ def test_one_of_each_group_stays(spark):
     rows = [(4, text), (2, text), (9, text + " tail"), (7, "something else entirely here now"), (None, text), (7, "something else entirely here now")]
     kept = s.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or -1) for r in kept) == [-1, 2, 7]
+
+
+def test_verified_links_join_what_all_pairs_join(spark):
+    rng = random.Random(5)
+    rows, sets = [], {}
+    for root, n in ((1, 5), (2, 90), (3, 70)):
+        bases = [[rng.getrandbits(40) for _ in range(40)] for _ in range(2 if root < 3 else 60)]
+        for _ in range(n):
+            own = list(rng.choice(bases))
+            for k in rng.sample(range(40), rng.choice([0, 2, 4, 9])):
+                own[k] = rng.getrandbits(40)
+            sets[len(rows)] = (root, frozenset(own))
+            rows.append((root, len(rows), sorted(set(own)), len(set(own))))
+
+    def grouped(links):
+        top = {i: i for i in sets}
+
+        def find(i):
+            while top[i] != i:
+                i = top[i]
+            return i
+
+        for a, b in links:
+            a, b = find(a), find(b)
+            top[max(a, b)] = min(a, b)
+        return {i: find(i) for i in sets}
+
+    every = [(a, b) for a in sets for b in sets if a < b and sets[a][0] == sets[b][0] and len(sets[a][1] & sets[b][1]) >= 0.8 * len(sets[a][1] | sets[b][1])]
+    df = spark.createDataFrame(rows, "root long, node long, s array<long>, m long")
+    expected = grouped(every)
+    for leaders in (2, 8, 1000):
+        links = [(r["a"], r["b"]) for r in s.verified_links(df, 0.8, leaders).collect()]
+        assert grouped(links) == expected
+
+
+def test_keep_one_leaves_texts_below_the_similarity(spark):
+    words = [f"w{i}" for i in range(100)]
+    turned = words[50:] + words[:50]  # the same words, other shingles at one place only
+    shuffled = sorted(words, key=lambda w: hash_of(w))
+    rows = [(1, " ".join(words)), (2, " ".join(turned)), (3, " ".join(shuffled)), (4, " ".join(words)), (5, None), (6, ""), (7, " ".join(words[:-1] + ["x"])), (8, "one"), (8, "two"), (8, "two")]
+    kept = sorted((r["doc_id"], r["text"]) for r in s.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["text"])
+    assert [k for k, _ in kept] == [1, 3, 8, 8]
+    assert s.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def hash_of(w):
+    return (int(w[1:]) * 37) % 101
