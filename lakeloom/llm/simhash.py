@@ -262,7 +262,9 @@ def keep_one(docs: DataFrame, words: int = 1, radius: int = 6, repeats: bool = F
     th = "_text_of_near"
     profiles = written(_profiles(docs.where("doc_id is not null"), words, repeats, shingle), "profiles")
     nodes = written(profiles.groupBy("fp", "key").agg(F.min(F.struct("doc_id", "th")).alias("rep")).select("fp", "key", F.xxhash64("fp", "key").alias("node"), "rep.doc_id", "rep.th"), "nodes")
-    roots = connected_components(near_links(nodes.select("fp").distinct(), radius))
+    # Written first: on top of distinct(), the repartition in near_links would be optimised away and AQE would leave one task.
+    prints = written(nodes.select("fp").distinct(), "words")
+    roots = connected_components(near_links(prints, radius))
     rooted = written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select(nodes["node"], "doc_id", "th", F.coalesce("root", "fp").alias("root")), "rooted")
     several = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
     asked = written(rooted.join(_hinted(several, REPRESENTATIVES), "root", "left_semi"), "candidates").select(F.col("doc_id").alias("id"), F.col("th").alias(th), "root", "node")
