@@ -6,10 +6,14 @@ signs around them. Windows of template tokens of documents and benchmark items a
 line up along one shift are one alignment; it counts if its slots are consistent, that is, if every
 value in the item stands for one value in the document and the other way round. So a copied question
 is found, and also one whose numbers, names and units were exchanged throughout.
+
+Beside them stand literal windows: every token is its own value without regard to case, names and
+numbers too. They find copies in another letter case, where names and plain words change places.
 """
 
 from __future__ import annotations
 
+import array
 import re
 
 from pyspark.sql import DataFrame
@@ -53,40 +57,52 @@ def template_token(word: str) -> tuple[str, str]:
 
 
 class _Codes(dict):
-    """Word to a 64-bit code of its template token; the lowest bit tells plain words. 0: no token."""
+    """Word to the place of its two codes: of its template token (the lowest bit tells plain words; 0: no token) and of its value in any case (the lowest bit tells words and names)."""
+
+    def __init__(self):
+        self.typed, self.literal = array.array("Q"), array.array("Q")
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
         kind, value = template_token(word)
-        code = 0 if not kind else xxhash.xxh64_intdigest(f"w {value}" if kind == "word" else f"<{kind}>") & ~1 | (kind == "word") or 2
+        self.typed.append(0 if not kind else xxhash.xxh64_intdigest(f"w {value}" if kind == "word" else f"<{kind}>") & ~1 | (kind == "word") or 2)
+        self.literal.append(xxhash.xxh64_intdigest(f"v {value.casefold()}") & ~1 | (kind in ("word", "name")))
+        self[word] = at = len(self)
+        return at
+
+    def of(self, words: list[str]):
+        """The codes of both kinds."""
+        import numpy as np
+
         if len(self) > 150_000:
             self.clear()
-        self[word] = code
-        return code
+            self.__init__()
+        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return (np.frombuffer(c, dtype=np.uint64)[at] if len(words) else np.zeros(0, dtype=np.uint64) for c in (self.typed, self.literal))
 
 
 _CODES = _Codes()
 
 
 def template_codes(text: str | None):
-    """Words with a token, and their codes."""
+    """Words with a token, their codes, and the codes of their values in any case."""
     import numpy as np
 
     words = _WORD(text or "")
-    codes = np.fromiter(map(_CODES.__getitem__, words), dtype=np.uint64, count=len(words))
+    codes, literal = _CODES.of(words)
     here = np.flatnonzero(codes)
-    return words, here, codes[here]
+    return words, here, codes[here], literal[here]
 
 
-def window_hashes(codes, size: int):
-    """A hash of every ``size`` codes in a row (never 0), or 0 where too few are plain words."""
+def window_hashes(codes, size: int, literal: bool = False):
+    """A hash of every ``size`` codes in a row (never 0), or 0 where too few are plain words; ``literal`` windows have other hashes."""
     import numpy as np
 
     n = len(codes) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    h = np.full(n, size, dtype=np.uint64)
+    h = np.full(n, size + 1000 * literal, dtype=np.uint64)
     for k in range(size):
         h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
     h ^= h >> np.uint64(29)
@@ -112,14 +128,16 @@ def item_windows(items: DataFrame, key: str) -> DataFrame:
         for b in text_batches(batches):
             out = {c: [] for c in ("id", "size", "n", "at", "h", "slots")}
             for i, text in zip(b.column(key).to_pylist(), b.column("text").to_pylist(), strict=True):
-                words, here, codes = template_codes(text)
+                words, here, codes, literal = template_codes(text)
                 size = min(WINDOW, len(codes))
                 if size < LITERALS:
                     continue
-                h = window_hashes(codes, size)
-                for at in np.flatnonzero(h).tolist():
-                    for c, v in (("id", i), ("size", size), ("n", len(codes)), ("at", at), ("h", int(h[at].view(np.int64))), ("slots", _slots(words, here, codes, at, size))):
-                        out[c].append(v)
+                for own in (codes, literal):
+                    h = window_hashes(own, size, own is literal)
+                    for at in np.flatnonzero(h).tolist():
+                        slots = [] if own is literal else _slots(words, here, codes, at, size)
+                        for c, v in (("id", i), ("size", size), ("n", len(codes)), ("at", at), ("h", int(h[at].view(np.int64))), ("slots", slots)):
+                            out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", pa.int64()), ("size", pa.int32()), ("n", pa.int32()), ("at", pa.int64()), ("h", pa.int64()), ("slots", pa.list_(pa.string()))]))
 
     return items.select(key, "text").where(f"{key} is not null").mapInArrow(run, HITS)
@@ -139,18 +157,19 @@ def document_windows(docs: DataFrame, sizes: list[int], hashes) -> DataFrame:
         for b in text_batches(batches):
             out = {c: [] for c in ("row", "size", "at", "h", "slots")}
             for row, text in zip(b.column("_row").to_pylist(), b.column("text").to_pylist(), strict=True):
-                words, here, codes = template_codes(text)
-                for size in sizes:
-                    h = window_hashes(codes, size)
+                words, here, codes, literal = template_codes(text)
+                for size, own in ((size, own) for size in sizes for own in (codes, literal)):
+                    h = window_hashes(own, size, own is literal)
                     if known is None:
                         found = np.flatnonzero(h)
                     else:
                         found = np.flatnonzero(seen[(h >> np.uint64(42)).astype(np.int64)] & (h != 0))
                         if len(found):
-                            own = h[found]
-                            found = found[known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own]
+                            among = h[found]
+                            found = found[known[np.minimum(np.searchsorted(known, among), len(known) - 1)] == among]
                     for at in found.tolist():
-                        for c, v in (("row", row), ("size", size), ("at", at), ("h", int(h[at].view(np.int64))), ("slots", _slots(words, here, codes, at, size))):
+                        slots = [] if own is literal else _slots(words, here, codes, at, size)
+                        for c, v in (("row", row), ("size", size), ("at", at), ("h", int(h[at].view(np.int64))), ("slots", slots)):
                             out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("row", pa.int64()), ("size", pa.int32()), ("at", pa.int64()), ("h", pa.int64()), ("slots", pa.list_(pa.string()))]))
 
@@ -175,7 +194,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id") -> DataFr
     by = ["row", "item", "shift"]
     # A type and value of one side that meets two on the other makes the alignment inconsistent.
     wrong = pairs.groupBy(*by, "slots").count().where("count > 1").select(*by).unionByName(pairs.groupBy(*by, "doc_slots").count().where("count > 1").select(*by)).distinct()
-    good = hits.join(wrong, by, "left_anti")
+    # Windows without slots hold the same words on both sides, whatever the rest of their alignment does.
+    good = hits.where(F.size("slots") > 0).join(wrong, by, "left_anti").unionByName(hits.where(F.size("slots") == 0).select(*by, *[c for c in hits.columns if c not in by]))
     tokens = good.select("row", "item", "n", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("token")).distinct()
     return tokens.groupBy("row", "item", "n").agg((F.count("*") / F.first("n")).alias("share")).where(F.col("share") >= COVERED).select("row", "item", "share")
 
@@ -188,7 +208,7 @@ def with_row(docs: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, ``contaminated``, ``items`` (the leaked items' ids, ascending) and the largest ``share`` covered.
 
-    A document is contaminated if consistent alignments cover COVERED of an item's tokens. Items of
+    A document is contaminated if consistent alignments and literal windows cover COVERED of an item's tokens. Items of
     fewer than LITERALS tokens, null items and items with null ids are passed over. Null and empty texts are clean.
     Repeated rows share one answer and keep their rows. Empty tables give clean documents, or no rows.
     """

@@ -46,3 +46,11 @@ def test_edges(spark, edge_docs, no_docs):
     assert d.drop_contaminated(edge_docs, items).count() == edge_docs.count()
     assert d.contamination(no_docs, items).count() == 0
     assert d.contamination(edge_docs, items.limit(0)).where("not contaminated").count() == edge_docs.count()
+
+
+@pytest.mark.parametrize("bound", [4_000_000, 0])
+def test_copies_in_another_letter_case_are_found(spark, monkeypatch, bound):
+    monkeypatch.setattr(d, "FILTER_HASHES", bound)
+    named = "Please ask Anna Berg Carla Dahl and Emil Frank whether Gerda Holm Ivar Jansen or Karl Lund will visit Maria Nyborg and Otto Poulsen in Straße Roma."
+    docs = [(1, FILL + named.upper() + " " + FILL), (2, FILL + named.lower()), (3, named), (4, FILL + named.swapcase()), (5, FILL + " ".join(named.upper().split()[::-1]))]
+    assert run(spark, docs, [(10, named)])[0] == {(1, (10,)), (2, (10,)), (3, (10,)), (4, (10,))}
