@@ -8,7 +8,9 @@ value in the item stands for one value in the document and the other way round.
 is found, and also one whose numbers, names and units were exchanged throughout.
 
 Beside them stand literal windows: every token is its own value without regard to case, names and
-numbers too. They find copies in another letter case, where names and plain words change places.
+numbers too. They find copies in another letter case, where names and plain words change places, and
+copies of items with so many numbers and names that typed windows tell nothing. Scripts without
+blanks between words are cut into characters.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.shared import text_batches, written
 
-#: Tokens in a window, and how many of them must be plain words. Shorter items are one window.
+#: Tokens in a window, and how many of them must be plain words in a typed window. Shorter items are one window.
 WINDOW, LITERALS = 8, 5
-#: An item of fewer plain words identifies nothing and is passed over.
+#: An item of fewer tokens than LITERALS identifies nothing and is passed over; a character of a script without blanks counts as half a token.
 #: Share of an item's tokens that consistent alignments must cover.
 COVERED = 0.6
 #: With more window hashes than this in the benchmark (8 bytes each), documents' windows are joined without a filter.
@@ -36,6 +38,10 @@ UNITS = frozenset(
     " hours hour days day weeks week months month years year dollars dollar euros euro cents cent usd eur percent degrees degree volts watts".split()
 )
 _WORD = re.compile(r"\S+").findall
+# Thai, Lao, Tibetan, Burmese, Khmer, kana and Chinese characters, each with the marks that belong to it.
+_UNSPACED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_HAS_UNSPACED = re.compile(f"[{_UNSPACED}]").search
+_PIECE = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+").findall
 _NUMBER = re.compile(r"[$€£+-]?\d[\d.,:/]*(%|[^\W\d_]*)$")
 
 
@@ -57,7 +63,7 @@ def template_token(word: str) -> tuple[str, str]:
 
 
 class _Codes(dict):
-    """Word to the place of its two codes: of its template token (the lowest bit tells plain words; 0: no token) and of its value in any case (the lowest bit tells words and names)."""
+    """Word to the place of its two codes: of its template token (the lowest bit tells plain words; 0: no token) and of its value in any case."""
 
     def __init__(self):
         self.typed, self.literal = array.array("Q"), array.array("Q")
@@ -67,7 +73,7 @@ class _Codes(dict):
 
         kind, value = template_token(word)
         self.typed.append(0 if not kind else xxhash.xxh64_intdigest(f"w {value}" if kind == "word" else f"<{kind}>") & ~1 | (kind == "word") or 2)
-        self.literal.append(xxhash.xxh64_intdigest(f"v {value.casefold()}") & ~1 | (kind in ("word", "name")))
+        self.literal.append(xxhash.xxh64_intdigest(f"v {value.casefold()}"))
         self[word] = at = len(self)
         return at
 
@@ -85,18 +91,28 @@ class _Codes(dict):
 _CODES = _Codes()
 
 
+def words_of(text: str) -> list[str]:
+    """What stands between white space; characters of scripts without blanks one by one."""
+    return _WORD(text) if text.isascii() or not _HAS_UNSPACED(text) else _PIECE(text)
+
+
+def identifying(words, here) -> float:
+    """Tokens, a character of a script without blanks as half a one."""
+    return len(here) - sum(bool(_HAS_UNSPACED(words[i])) for i in here) / 2
+
+
 def template_codes(text: str | None):
     """Words with a token, their codes, and the codes of their values in any case."""
     import numpy as np
 
-    words = _WORD(text or "")
+    words = words_of(text or "")
     codes, literal = _CODES.of(words)
     here = np.flatnonzero(codes)
     return words, here, codes[here], literal[here]
 
 
 def window_hashes(codes, size: int, literal: bool = False):
-    """A hash of every ``size`` codes in a row (never 0), or 0 where too few are plain words; ``literal`` windows have other hashes."""
+    """A hash of every ``size`` codes in a row (never 0), or 0 where too few are plain words; ``literal`` windows may hold any tokens and have other hashes."""
     import numpy as np
 
     n = len(codes) - size + 1
@@ -107,6 +123,8 @@ def window_hashes(codes, size: int, literal: bool = False):
         h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
     h ^= h >> np.uint64(29)
     h = h * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
+    if literal:
+        return h
     plain = np.cumsum(np.r_[0, codes & np.uint64(1)].astype(np.int64))
     return np.where(plain[size:] - plain[:-size] >= min(LITERALS, size), h, np.uint64(0))
 
@@ -130,7 +148,7 @@ def item_windows(items: DataFrame, key: str) -> DataFrame:
             for i, text in zip(b.column(key).to_pylist(), b.column("text").to_pylist(), strict=True):
                 words, here, codes, literal = template_codes(text)
                 size = min(WINDOW, len(codes))
-                if size < LITERALS:
+                if identifying(words, here) < LITERALS:
                     continue
                 for own in (codes, literal):
                     h = window_hashes(own, size, own is literal)
@@ -209,7 +227,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, ``contaminated``, ``items`` (the leaked items' ids, ascending) and the largest ``share`` covered.
 
     A document is contaminated if consistent alignments and literal windows cover COVERED of an item's tokens. Items of
-    fewer than LITERALS tokens, null items and items with null ids are passed over. Null and empty texts are clean.
+    fewer than LITERALS tokens (twice as many characters in a script without blanks), null items and items with null ids are passed over. Null and empty texts are clean.
     Repeated rows share one answer and keep their rows. Empty tables give clean documents, or no rows.
     """
     rows = with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))

@@ -54,3 +54,17 @@ def test_copies_in_another_letter_case_are_found(spark, monkeypatch, bound):
     named = "Please ask Anna Berg Carla Dahl and Emil Frank whether Gerda Holm Ivar Jansen or Karl Lund will visit Maria Nyborg and Otto Poulsen in Straße Roma."
     docs = [(1, FILL + named.upper() + " " + FILL), (2, FILL + named.lower()), (3, named), (4, FILL + named.swapcase()), (5, FILL + " ".join(named.upper().split()[::-1]))]
     assert run(spark, docs, [(10, named)])[0] == {(1, (10,)), (2, (10,)), (3, (10,)), (4, (10,))}
+
+
+def test_copies_of_items_rich_in_numbers_and_names_are_found(spark):
+    sums = "Compute 12 + 35 km minus 7 kg times 81 divided by 9 hours plus 44 miles minus 3 percent of 250 dollars for Anna."
+    other = "Compute 11 + 39 km minus 6 kg times 80 divided by 4 hours plus 43 miles minus 2 percent of 251 dollars for Anna."
+    found, _ = run(spark, [(1, FILL + sums), (2, FILL + sums.upper()), (3, FILL + other), (4, FILL)], [(10, sums)])
+    assert found == {(1, (10,)), (2, (10,))}
+
+
+def test_scripts_without_blanks_are_checked(spark):
+    chinese, thai, japanese = "一列火车从北京出发以每小时八十公里的速度开往上海需要几个小时", "รถไฟออกจากกรุงเทพไปเชียงใหม่ใช้เวลากี่ชั่วโมง", "東京から大阪まで列車で何時間かかりますか？"
+    fill = "今天的天气很好我们去公园散步然后回家吃饭"
+    docs = [(1, fill + chinese + "。" + fill), (2, fill + thai), (3, FILL + japanese + "すごい"), (4, fill * 5), (5, chinese[:12] + fill), (6, "ประเทศไทย")]
+    assert run(spark, docs, [(10, chinese), (11, thai), (12, japanese), (13, "ประเทศ"), (14, "天气")])[0] == {(1, (10,)), (2, (11,)), (3, (12,))}
