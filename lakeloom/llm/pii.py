@@ -5,7 +5,7 @@ security numbers, secret tokens, and names behind a form of address. A surrogate
 type and format: letters stand for letters of the same case and script, digits for digits, signs and
 spacing stay; a card number passes its check digit, an IBAN keeps its country, a telephone number
 its international prefix, and a name the gender that its form of address tells. One entity has one
-surrogate everywhere, whatever its spelling (coreference); two entities never share one, and no
+surrogate everywhere, whatever its spelling (coreference; hexadecimal tokens in any case); two entities never share one, and no
 surrogate equals an entity that the texts hold (collision checks over all of them).
 """
 
@@ -40,7 +40,7 @@ _NAME = r"\p{Lu}[\p{Ll}'-]{1,40}"
 #: What is an entity. Every alternative starts where its run of characters starts, so scanning is linear in the text.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "token": r"(?<![A-Za-z0-9])(?:(?=[a-f]*[0-9])[a-f0-9]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_-]{16,128})(?![A-Za-z0-9])",
+    "token": r"(?<![A-Za-z0-9])(?:(?=[A-Fa-f]*[0-9])[A-Fa-f0-9]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_-]{16,128})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\p{L}0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}0-9]|\.[0-9])",
     "ssn": r"(?<![\p{L}0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}0-9]|-[0-9])",
@@ -178,7 +178,7 @@ def canonical(kind: Column, raw: Column) -> Column:
     digits = F.regexp_replace(raw, "[^0-9]", "")
     return (
         F.when(kind == "email", F.lower(raw)).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.regexp_replace(raw, " ", ""))
-        .when(kind == "phone", F.concat(F.when(raw.startswith("+"), "+").otherwise(""), digits)).when(kind.isin("token", "ip"), raw).otherwise(F.initcap(F.lower(raw)))
+        .when(kind == "phone", F.concat(F.when(raw.startswith("+"), "+").otherwise(""), digits)).when((kind == "token") & raw.rlike("^[A-Fa-f0-9]+$"), F.lower(raw)).when(kind.isin("token", "ip"), raw).otherwise(F.initcap(F.lower(raw)))
     )
 
 
@@ -223,7 +223,7 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     parts = found.select(own, "i", F.posexplode(parts_of(F.col("match"))).alias("j", "part")).select(own, "i", "j", "part.kind", "part.raw")
     parts = written(parts.withColumn("value", canonical(F.col("kind"), F.col("raw"))), "entity-parts")
     given = assign(parts.where("kind <> 'keep'").select("kind", "value"), key)
-    new = F.when(F.col("surrogate").isNull(), F.col("raw")).when(F.col("kind").isin("phone", "card", "iban", "ssn"), laid_out(F.col("raw"), F.col("surrogate"))).when(F.col("kind").isin("email") & F.col("raw").rlike("[A-Z]"), laid_out(F.col("raw"), F.col("surrogate"))).when((F.length("raw") > 1) & (F.col("raw") == F.upper("raw")) & F.col("kind").isin("given_f", "given_m", "given_n", "surname"), F.upper("surrogate")).otherwise(F.col("surrogate"))
+    new = F.when(F.col("surrogate").isNull(), F.col("raw")).when(F.col("kind").isin("phone", "card", "iban", "ssn"), laid_out(F.col("raw"), F.col("surrogate"))).when((F.col("kind").isin("email") | (F.col("kind") == "token") & F.col("raw").rlike("^[A-Fa-f0-9]+$")) & F.col("raw").rlike("[A-Z]"), laid_out(F.col("raw"), F.col("surrogate"))).when((F.length("raw") > 1) & (F.col("raw") == F.upper("raw")) & F.col("kind").isin("given_f", "given_m", "given_n", "surname"), F.upper("surrogate")).otherwise(F.col("surrogate"))
     swapped = parts.join(given, ["kind", "value"], "left").select(own, F.struct("i", "j", new.alias("new")).alias("s"))
     lists = swapped.groupBy(own).agg(F.array_sort(F.collect_list("s")).alias("s"))
     rest = F.split(text, ANY, -1)
