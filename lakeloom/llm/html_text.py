@@ -4,7 +4,7 @@ Every block of text has a path of tags from the root. Over a page, each path get
 length and punctuation for each of its blocks. The ratios are smoothed along the page with a
 Gaussian window over neighbouring blocks, fused into one score, and the blocks whose score reaches
 a share of the scores' deviation are content nodes. The main text is everything in the smallest section that
-holds most of the content nodes' text, without the parts that by tag, class, id or role are menus,
+holds all content nodes, or in the article or main element that holds most of their text, without the parts that by tag, class, id or role are menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles or readers' comments.
 """
 
@@ -54,24 +54,26 @@ def _dropped(tag: str, attributes: str) -> bool:
 
 
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str]]:
-    """(tag path, numbers of the elements on it, text) of each block outside dropped parts, in page order."""
+    """(tag path, numbers of the elements on it, text, whether links alone hold it) of each block outside dropped parts, in page order."""
     stack: list[tuple[str, int, bool]] = []  # tag, number, inside a dropped part
-    out, parts, home, number, at = [], [], None, 0, 0
+    out, parts, home, number, at, linked = [], [], None, 0, 0, 0
 
     def close() -> None:
-        nonlocal parts
+        nonlocal parts, linked
         text = " ".join("".join(parts).split())
-        parts = []
         if text:
-            out.append((home[0], home[1], text))
+            out.append((home[0], home[1], text, linked == sum(map(len, map(str.strip, parts)))))
+        parts, linked = [], 0
 
     def add(text: str) -> None:
-        nonlocal home
+        nonlocal home, linked
         if text and not (stack and stack[-1][2]):
             if not parts or (not "".join(parts).strip()):
                 own = [s for s in stack if s[0] not in INLINE]
                 home = (tuple(s[0] for s in own), tuple(s[1] for s in own))
             parts.append(html.unescape(text) if "&" in text else text)
+            if any(s[0] == "a" for s in stack):
+                linked += len(parts[-1].strip())
 
     for m in _TOKEN.finditer(page):
         add(page[at : m.start()])
@@ -111,7 +113,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str]]:
 def path_scores(blocks) -> list[float]:
     """The smoothed and fused tag-path ratios of each block."""
     sums: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0])
-    for path, _, text in blocks:
+    for path, _, text, _ in blocks:
         s = sums[path]
         s[0] += 1
         s[1] += len(text)
@@ -141,12 +143,22 @@ def main_text(page: str | None) -> str:
     while True:
         held: dict[int, list[int]] = defaultdict(list)
         for i in inside:
-            path, numbers, _ = blocks[i]
+            path, numbers = blocks[i][:2]
             if depth < len(path) and path[depth] in SECTIONS:
                 held[numbers[depth]].append(i)
         best = max(held.values(), key=lambda v: sum(content[i] for i in v), default=None)
         if best is None or sum(content[i] for i in best) < 0.7 * total:
             break
+        own = set(best)
+        # Content nodes beside the section end the descent, unless an article or main element inside tells what is meant.
+        if any(content[i] and not blocks[i][3] for i in inside if i not in own):
+            told: dict[int, int] = defaultdict(int)
+            for i in best:
+                for tag, n in zip(blocks[i][0][depth:], blocks[i][1][depth:], strict=True):
+                    if tag in ("article", "main"):
+                        told[n] += content[i]
+            if max(told.values(), default=0) < 0.7 * total:
+                break
         inside = best
         if blocks[best[0]][0][depth] == "article":
             break

@@ -55,3 +55,15 @@ def test_edges(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars string")
     assert sorted(((r["page_id"] or 0), r["text"][:5], r["n_chars"]) for r in extract(pages).collect()) == [(0, "a", 1), (1, "", 0), (1, "b", 1), (1, "b", 1), (2, "long,", 599_999)]
     assert extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["div", "section", "center"])
+@pytest.mark.parametrize("cut", [1, 2, 3])
+def test_articles_split_over_sections_of_unequal_length_are_whole(tag, cut):
+    first, second = ("".join(f"<p>{p}</p>" for p in part) for part in (PARAGRAPHS[:cut], PARAGRAPHS[cut:]))
+    long = "<p>" + "A much longer paragraph, with commas, that goes on, and on, to the end. " * 8 + "</p>"
+    for one, two in ((long + first, second), (first, second + long)):
+        whole = " ".join(re.sub("<[^>]+>", " ", html.unescape(re.sub("</?i>", "", one + two))).split())
+        page = f"<body><div><a href=1>one</a> <a href=2>two</a></div><div id=main><h1>The Title</h1><{tag}>{one}</{tag}><{tag}>{two}</{tag}></div></body>"
+        assert main_text(page).removeprefix("one two ") == "The Title " + whole
+        assert main_text(f"<table><tr><td>{one}<td>{two}</table>") == whole
