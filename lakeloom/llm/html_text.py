@@ -5,7 +5,8 @@ length and punctuation for each of its blocks. The ratios are smoothed along the
 Gaussian window over neighbouring blocks, fused into one score, and the blocks whose score reaches
 a share of the scores' deviation are content nodes. The main text is everything in the smallest section that
 holds all content nodes, or in the article or main element that holds most of their text, without the parts that by tag, class, id or role are menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles or readers' comments.
+headers, footers, sidebars, notices, adverts, forms, scripts, styles or readers' comments. A class, id or role
+drops neither what holds the page (most of its text and its article, main or h1) nor everything.
 """
 
 from __future__ import annotations
@@ -40,29 +41,46 @@ _MARKS = re.compile(
     r"|comments?|commentlist|disqus|discussion|replies|reply|respond|share|sharing|social|related|recommend\w*|footers?|headers?|masthead|newsletter\w*|subscribe\w*|subscription|paywall|popup\w*|modal|overlay|login|signup|register|search|pagination|pager|toc|tags|complementary|contentinfo|hidden)(?=$|[-_\s\d])",
     re.I,
 )
+#: Names in a class that tell what a part has beside it, not what it is.
+_BESIDE = re.compile(r"(?<!\S)(?:\S*[-_])?(?:has|no|with|without)[-_]\S*", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 #: Blocks on either side that smoothing looks at, its width, and the share of the deviation that content reaches.
 REACH, WIDTH, SHARE = 2, 1.0, 0.5
 
 
-def _dropped(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
-        return True
+def _marked(tag: str, attributes: str) -> bool:
+    """Whether class, id or role mark an element as not of the article."""
     if tag in ("html", "body", "main", "article") or "=" not in attributes:
         return False
-    return any(_MARKS.search(m[2] or m[3] or m[4] or "") for m in _NAMES.finditer(attributes))
+    return any(_MARKS.search(_BESIDE.sub(" ", m[2] or m[3] or m[4] or "")) for m in _NAMES.finditer(attributes))
+
+
+def _wrappers(out, landmarks) -> set[int]:
+    """Marked elements that are kept, as they hold the page: over half of its text, and the article or main element in the fewest of them (without such elements, an h1)."""
+    held: dict[int, int] = defaultdict(int)
+    sizes: dict[int, int] = defaultdict(int)
+    for block, marks in out:
+        for n in marks:
+            held[n] += len(block[2])
+        for n in block[1]:
+            sizes[n] += len(block[2])
+    told = [(len(marks), -sizes[n], marks) for tag, n, marks in landmarks if tag != "h1" and sizes[n]]
+    inside = set(min(told)[2]) if told else {n for _, _, marks in landmarks for n in marks}
+    total = sum(len(block[2]) for block, _ in out)
+    return {n for n in inside if 2 * held[n] > total}
 
 
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str]]:
     """(tag path, numbers of the elements on it, text, whether links alone hold it) of each block outside dropped parts, in page order."""
-    stack: list[tuple[str, int, bool]] = []  # tag, number, inside a dropped part
+    stack: list[tuple[str, int, bool, tuple[int, ...]]] = []  # tag, number, inside a dropped part, marked elements around
+    landmarks = []  # each article, main and h1: tag, number, marked elements around
     out, parts, home, number, at, linked = [], [], None, 0, 0, 0
 
     def close() -> None:
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append((home[0], home[1], text, linked == sum(map(len, map(str.strip, parts)))))
+            out.append(((home[0], home[1], text, linked == sum(map(len, map(str.strip, parts)))), home[2]))
         parts, linked = [], 0
 
     def add(text: str) -> None:
@@ -70,7 +88,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str]]:
         if text and not (stack and stack[-1][2]):
             if not parts or (not "".join(parts).strip()):
                 own = [s for s in stack if s[0] not in INLINE]
-                home = (tuple(s[0] for s in own), tuple(s[1] for s in own))
+                home = (tuple(s[0] for s in own), tuple(s[1] for s in own), stack[-1][3] if stack else ())
             parts.append(html.unescape(text) if "&" in text else text)
             if any(s[0] == "a" for s in stack):
                 linked += len(parts[-1].strip())
@@ -104,10 +122,17 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str]]:
         if m["attr"].endswith("/") and tag in INLINE:
             continue
         number += 1
-        stack.append((tag, number, bool(stack and stack[-1][2]) or _dropped(tag, m["attr"])))
+        gone, marks = (stack[-1][2] or tag in DROPPED, stack[-1][3]) if stack else (tag in DROPPED, ())
+        if not gone and _marked(tag, m["attr"]):
+            marks = (*marks, number)
+        if tag in ("article", "main", "h1") and not gone:
+            landmarks.append((tag, number, marks))
+        stack.append((tag, number, gone, marks))
     add(page[at:])
     close()
-    return out
+    kept = _wrappers(out, landmarks) if any(marks for _, marks in out) else set()
+    # Where marks would leave nothing, they tell nothing.
+    return [block for block, marks in out if kept.issuperset(marks)] or [block for block, _ in out]
 
 
 def path_scores(blocks) -> list[float]:

@@ -67,3 +67,18 @@ def test_articles_split_over_sections_of_unequal_length_are_whole(tag, cut):
         page = f"<body><div><a href=1>one</a> <a href=2>two</a></div><div id=main><h1>The Title</h1><{tag}>{one}</{tag}><{tag}>{two}</{tag}></div></body>"
         assert main_text(page).removeprefix("one two ") == "The Title " + whole
         assert main_text(f"<table><tr><td>{one}<td>{two}</table>") == whole
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "page with-header", "layout-sidebar-right", "page-with-header", "sidebar-layout menu", "site_without_footer"])
+def test_wrappers_that_tell_the_layout_are_kept(name):
+    beside = "<div class='sidebar left'><p>Side, side, and a text, with commas.</p></div><div class='comments'><article><p>A reader, too, says something here.</p></article></div>"
+    assert main_text(f"<body><div class='{name}'><article>{BODY}</article></div></body>") == WANT
+    assert main_text(f"<body><div class='{name}'><div>{BODY}</div></div><footer>x</footer></body>") == WANT
+    assert main_text(f"<body><div class='{name}'><article>{BODY}</article><div class='sidebar left'><p>Side, side, and a text, with commas.</p></div></div></body>") == WANT
+    assert main_text(f"<body><div class='{name}'><article>{BODY}</article>{beside}</div></body>") == WANT
+    assert main_text(f"<body><div class=header><h1>Site</h1></div><div class='{name}'><article>{BODY}</article></div><div>Copyright.</div></body>") == WANT
+
+
+def test_marks_never_drop_everything_but_long_comments():
+    assert main_text(f"<div class=widget>{''.join(f'<p>{p}</p>' for p in PARAGRAPHS)}</div>") == WANT.removeprefix("The Title ")
+    assert main_text(f"<article>{BODY}</article><div class=comments>" + "<article><p>A reader, too, says something here, at length.</p></article>" * 30 + "</div>") == WANT
