@@ -12,25 +12,19 @@ and compares the texts in them.
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.graph import connected_components
+from lakeloom.llm.graph import connected_components, hinted, links_inside
 from lakeloom.llm.shared import text_batches, written
 
 BITS = 64
-#: Buckets up to so many words are compared inside one task; larger ones go by midpoints.
-MIDDLE = 4096
-#: Buckets (16 bytes each) that are broadcast at most to look up their words.
+#: Tables in the first step, over all fingerprints of an item; each later step takes eight times as many.
+FIRST = 4
+#: Words of a bucket, and texts of a candidate group, that one task compares at most, but for those that it is dealt from another slice.
+MIDDLE, TEXTS = 4096, 256
+#: Buckets (8 bytes each) that are broadcast at most to look up their words.
 BUCKETS = 1_000_000
-#: Rows of a few longs that are broadcast at most where candidates, groups or documents to drop are looked up.
-REPRESENTATIVES = 500_000
-#: Candidate groups of up to so many different texts are compared pair by pair; larger ones by about so many leaders first.
-LEADERS = 32
-#: Texts of a large candidate group that one block holds, about.
-BLOCK = 256
 
 
 def _signed(x: int) -> int:
@@ -51,7 +45,7 @@ def covering_masks(radius: int) -> list[int]:
     return [sum(1 << i for i in range(BITS) if (vector[i] & v).bit_count() % 2) for v in range(1, n + 1)]
 
 
-def fingerprint(text: str | None, words: int = 4, repeats: bool = True) -> int:
+def fingerprint(text: str | None, words: int = 4, repeats: bool = True, seed: int = 42) -> int:
     """A 64-bit SimHash of the text's shingles: a bit is set if it is in over half the hashes.
 
     Without ``repeats`` each different shingle counts once.
@@ -66,7 +60,7 @@ def fingerprint(text: str | None, words: int = 4, repeats: bool = True) -> int:
     if not parts:
         return 0
     if not repeats:
-        return _majority(list({b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))}))
+        return _majority(list({b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))}), seed)
     joined = b" ".join(parts)
     sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     ends = np.cumsum(sizes + 1) - 1
@@ -76,16 +70,16 @@ def fingerprint(text: str | None, words: int = 4, repeats: bool = True) -> int:
     starts, ends = starts[:n].tolist(), ends[k - 1 :].tolist()
     digest, set_bits = xxhash.xxh64_intdigest, np.zeros(BITS, dtype=np.int64)
     for at in range(0, n, 1 << 16):  # a very long text needs no more memory than this many hashes
-        h = np.array([digest(joined[s:e], 42) for s, e in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)], dtype="<u8")
+        h = np.array([digest(joined[s:e], seed) for s, e in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)], dtype="<u8")
         set_bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * set_bits > n, bitorder="little").view("<u8")[0])
 
 
-def _majority(shingles: list[bytes]) -> int:
+def _majority(shingles: list[bytes], seed: int) -> int:
     import numpy as np
     import xxhash
 
-    h = np.array([xxhash.xxh64_intdigest(x, 42) for x in shingles], dtype="<u8")
+    h = np.array([xxhash.xxh64_intdigest(x, seed) for x in shingles], dtype="<u8")
     set_bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * set_bits > len(h), bitorder="little").view("<u8")[0])
 
@@ -102,59 +96,51 @@ def fingerprints(docs: DataFrame, words: int = 4, repeats: bool = True) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def near_links(words: DataFrame, radius: int = 4, middle: int = MIDDLE) -> DataFrame:
-    """Pairs (a, b) of different values of column ``fp`` that join up all pairs within ``radius`` bits.
+def _within(radius: int):
+    """Which rows of a table have a word ``fp`` within ``radius`` bits of a row's."""
+
+    def near(table):
+        import numpy as np
+
+        fp = table.column("fp").to_numpy().view("<u8")
+        return lambda i: np.bitwise_count(fp ^ fp[i]) <= radius
+
+    return near
+
 
-    Two words are joined by a path of such pairs just if they are joined by a path of words within the radius. One aggregate over all
-    tables counts each bucket and keeps its smallest and largest word. Buckets of two are those two. Words
-    of larger buckets are looked up again, and then
+def near_components(items: DataFrame, prints: list[str], radius: int = 4, middle: int = MIDDLE) -> DataFrame:
+    """Components (node, root) of items of which a fingerprint, the same of ``prints``, differs by ``radius`` bits at most.
 
-    - up to ``middle`` words, one task compares them and joins each to the smallest word that links inside the
-      bucket lead to: a star for each of its components, which many buckets share;
-    - words of larger buckets are joined through midpoints. Two words within the radius have a
-      midpoint within half of it from both. All words around a midpoint are within the
-      radius of one another, so each is linked to the smallest, pre-aggregated, without looking at
-      pairs. Cost grows with the number of words, not with its square.
+    ``items`` has different longs in ``node`` and a word in each column of ``prints``. A root is the smallest node of its component
+    and has no row. Tables are taken in steps of growing size. After each the links found so far are contracted,
+    and the next one looks at no bucket whose items hang together already, so a large family of near words costs a few
+    links for each item, not one for each table. One aggregate over the tables of a step counts each bucket and keeps
+    its smallest and largest word and root. Buckets of two are those two; the items of larger ones are looked up again and
+    compared by ``links_inside``.
 
     A bucket is a 64-bit hash of table and key; two that share a hash only add pairs that are compared.
     """
-    table = F.explode(F.array(*[F.xxhash64(F.lit(v), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for v, m in enumerate(covering_masks(radius))]))
-    # The words alone are a small table that may lie in one file; their buckets are many.
-    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = words.repartition(parts, "fp").select("fp", table.alias("bucket"))
-    buckets = written(keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets")
-    links = buckets.where(f"n = 2 and bit_count(a ^ b) <= {radius}").select("a", "b")
-    larger = buckets.where("n > 2").select("bucket", "n")
-    members = written(keys.join(F.broadcast(larger) if larger.count() <= BUCKETS else larger, "bucket"), "members")
-
-    def stars(pdf):
-        import numpy as np
-        import pandas as pd
-
-        signed = np.sort(pdf["fp"].to_numpy())
-        fp = signed.view("<u8")
-        root = np.arange(len(fp))
-        for i in range(1, len(fp)):
-            near = root[:i][np.bitwise_count(fp[:i] ^ fp[i]) <= radius]
-            if len(near):
-                joined = np.unique(near)
-                root[: i + 1][np.isin(root[: i + 1], joined)] = joined[0]
-                root[i] = joined[0]
-        on = np.flatnonzero(root != np.arange(len(fp)))
-        return pd.DataFrame({"a": signed[root[on]], "b": signed[on]})
-
-    links = links.unionByName(members.where(F.col("n") <= middle).select("bucket", "fp").groupBy("bucket").applyInPandas(stars, "a long, b long"))
-    hot = members.where(F.col("n") > middle).select("fp").distinct()
-    return links.unionByName(midpoint_links(hot, radius)) if hot.head(1) else links
-
-
-def midpoint_links(words: DataFrame, radius: int) -> DataFrame:
-    """Links between words within an even ``radius``, by the smallest word around each midpoint."""
-    assert radius % 2 == 0, "a midpoint's words are within the radius of one another only if it is even"
-    flips = [_signed(sum(1 << i for i in c)) for k in range(radius // 2 + 1) for c in itertools.combinations(range(BITS), k)]
-    around = words.select("fp", F.explode(F.from_json(F.lit(str(flips)), "array<bigint>")).alias("flip")).select("fp", F.expr("fp ^ flip").alias("mid"))
-    least = around.groupBy("mid").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("mid", "a")
-    return around.join(least, "mid").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    masks = covering_masks(radius)
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labelled = items.select("node", *prints, F.col("node").alias("root"))
+    done, step = 0, max(1, FIRST // len(prints))
+    while done < len(masks):
+        tables = list(enumerate(masks))[done : done + step]
+        done, step = done + step, step * 8
+        buckets = F.array(*[F.xxhash64(F.lit(p), F.lit(v), F.col(p).bitwiseAND(F.lit(_signed(m)))) for p in prints for v, m in tables])
+        word = F.element_at(F.array(*prints), (F.col("_at") / len(tables)).cast("int") + 1)
+        # The items may lie in one file; their buckets are many.
+        keys = labelled.repartition(parts, "node").select("root", *prints, F.posexplode(buckets).alias("_at", "group")).select("group", "root", word.alias("fp"))
+        found = keys.groupBy("group").agg(F.count("*").alias("n"), F.min("fp").alias("p"), F.max("fp").alias("q"), F.min("root").alias("a"), F.max("root").alias("b"))
+        found = written(found.where("a < b"), "buckets")
+        links = found.where(f"n = 2 and bit_count(p ^ q) <= {radius}").select("a", "b")
+        larger = found.where("n > 2").select("group")
+        members = written(keys.join(hinted(larger, BUCKETS), "group").select("group", F.col("root").alias("node"), "fp").distinct(), "members")
+        links = links.unionByName(links_inside(members, _within(radius), middle))
+        roots = connected_components(links).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+        joined = labelled.join(hinted(roots), F.col("root") == F.col("_node"), "left")
+        labelled = written(joined.select("node", *prints, F.coalesce("_root", "root").alias("root")), "labelled")
+    return labelled.where("node <> root").select("node", "root")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, repeats: bool = True) -> DataFrame:
@@ -167,7 +153,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, repeats: b
     """
     fps = written(fingerprints(docs, words, repeats), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = connected_components(near_links(nodes.select("fp"), radius))
+    roots = near_components(nodes.select(F.col("fp").alias("node"), "fp"), ["fp"], radius)
     rooted = written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     known = rooted.join(firsts, "root").select("fp", "component_id")
@@ -185,8 +171,8 @@ def shingle_set(text: str | None, words: int = 5):
     return np.unique(np.array(hashes, dtype="<u8").view(np.int64))
 
 
-def _profiles(docs: DataFrame, words: int, repeats: bool, shingle: int) -> DataFrame:
-    """doc_id, ``th`` (a hash of the text), ``fp`` and ``key`` (a hash of the set of shingles) of each row."""
+def _profiles(docs: DataFrame, words: int, repeats: bool, shingle: int, prints: list[str]) -> DataFrame:
+    """doc_id, ``th`` (a hash of the text), ``key`` (16 bytes that tell the set of shingles) and fingerprints of each row."""
 
     def run(batches):
         import pyarrow as pa
@@ -194,98 +180,79 @@ def _profiles(docs: DataFrame, words: int, repeats: bool, shingle: int) -> DataF
 
         for b in text_batches(batches):
             texts = b.column("text").to_pylist()
-            fps = [_signed(fingerprint(t, words, repeats)) for t in texts]
-            keys = [_signed(xxhash.xxh64_intdigest(shingle_set(t, shingle).tobytes())) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fps, type=pa.int64()), pa.array(keys, type=pa.int64())], names=["doc_id", "th", "fp", "key"])
+            keys = [xxhash.xxh128_digest(shingle_set(t, shingle).tobytes()) for t in texts]
+            fps = [pa.array([_signed(fingerprint(t, words, repeats, 42 + k)) for t in texts], type=pa.int64()) for k in range(len(prints))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(keys, type=pa.binary()), *fps], names=["doc_id", "th", "key", *prints])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long, key long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, key binary" + "".join(f", {p} long" for p in prints))
 
 
-def _hinted(df: DataFrame, most: int) -> DataFrame:
-    """``df`` to be broadcast if it is counted to have few enough rows."""
-    return F.broadcast(df) if df.count() <= most else df
+def _alike(similarity: float):
+    """Which rows of a table have a set ``s`` whose Jaccard similarity to a row's is at least this."""
 
+    def near(table):
+        import numpy as np
 
-def _alike(a: str, b: str, similarity: float):
-    """Whether the sets of rows a and b have at least this Jaccard similarity; sizes are looked at first."""
-    n, m, both = F.col(f"{a}.m"), F.col(f"{b}.m"), F.size(F.array_intersect(f"{a}.s", f"{b}.s"))
-    return (F.least(n, m) >= similarity * F.greatest(n, m)) & (both / (n + m - both) >= similarity)
+        sets = table.column("s").combine_chunks()
+        ends = sets.offsets.to_numpy().astype(np.int64)
+        sizes = np.diff(ends)
+        codes = np.unique(sets.values.to_numpy()[ends[0] : ends[-1]], return_inverse=True)[1]
+        ends = ends - ends[0]
+        of_row = np.repeat(np.arange(len(sizes)), sizes)
 
+        def of(i: int):
+            own = np.zeros(int(codes.max(initial=-1)) + 1, dtype=bool)
+            own[codes[ends[i] : ends[i + 1]]] = True
+            both = np.bincount(of_row, weights=own[codes], minlength=len(sizes))
+            every = sizes + sizes[i] - both
+            # Two empty sets are alike.
+            return both >= similarity * every
 
-def verified_links(sets: DataFrame, similarity: float, leaders: int = LEADERS) -> DataFrame:
-    """Links (a, b) of nodes that join up just the nodes of one ``root`` that paths of similar nodes join.
+        return of
 
-    ``sets`` has root, node (long), ``s`` (different hashes) and ``m``, their number. All nodes of roots with up to
-    ``leaders`` nodes are compared. In larger roots about so many nodes, drawn by hash, are compared with all,
-    and each node keeps a link to one similar leader: a group of near copies becomes one star. Then
-    every node outside its root's largest group is compared with all nodes of other groups, so no
-    link between groups is missed. Large roots are dealt out in blocks; pairs are never listed, only links.
-    """
-    counted = sets.groupBy("root").agg(F.count("*").alias("n"))
-    t = written(sets.join(_hinted(counted, REPRESENTATIVES), "root"), "sets")
-    small, large = t.where(F.col("n") <= leaders), t.where(F.col("n") > leaders)
-    pairs = small.alias("a").join(small.alias("b"), (F.col("a.root") == F.col("b.root")) & (F.col("a.node") < F.col("b.node")) & _alike("a", "b", similarity))
-    links = written(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), "links-small")
-    if not large.head(1):
-        return links
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node", F.lit(1)), blocks)
-    dealt = lambda df: df.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    same = (F.col("a.root") == F.col("b.root")) & (F.col("a.block") == F.col("b.block"))
-    members = large.withColumn("block", block)
-    first = dealt(large.where(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / leaders)) == 0))
-    stars = first.alias("a").join(members.alias("b"), same & (F.col("a.node") != F.col("b.node")) & _alike("a", "b", similarity))
-    stars = written(stars.groupBy(F.col("b.node").alias("b")).agg(F.min("a.node").alias("a")).select("a", "b"), "stars")
-    groups = connected_components(stars)
-    grouped = members.join(groups, "node", "left").withColumn("own", F.coalesce(groups["root"], members["node"])).select("node", members["root"], "n", "block", "own", "s", "m")
-    grouped = written(grouped, "grouped")
-    sizes = grouped.groupBy("root", "own").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("root").agg(F.max(F.struct("k", "own")).alias("top")).select("root", F.col("top.own").alias("most"))
-    outside = dealt(grouped.join(_hinted(largest, REPRESENTATIVES), "root").where("own <> most").drop("block", "most"))
-    across = outside.alias("a").join(grouped.alias("b"), same & (F.col("a.own") != F.col("b.own")) & _alike("a", "b", similarity))
-    across = across.select(F.col("a.own").alias("a"), F.col("b.own").alias("b")).distinct()
-    return links.unionByName(stars).unionByName(written(across, "links-across"))
-
-
-def keep_one(docs: DataFrame, words: int = 1, radius: int = 6, repeats: bool = False, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    return near
+
+
+def keep_one(docs: DataFrame, words: int = 1, radius: int = 6, repeats: bool = False, shingle: int = 5, similarity: float = 0.8, prints: int = 2, texts: int = TEXTS) -> DataFrame:
     """One document of each group of near copies, the one of the smallest doc_id.
 
-    Candidates are the components of fingerprints within ``radius`` bits, each of the set of words:
-    of two texts whose shingles are alike, words differ less than shingles do. Inside a component
-    texts are linked if the Jaccard similarity of their sets of five-word shingles is at least
-    ``similarity``; groups are what links join. Texts of one set of shingles are one node, however many they are.
+    Candidates are the components of documents of which one of ``prints`` fingerprints, made with different seeds, differs
+    within ``radius`` bits. Fingerprints are of the set of words: of two texts whose shingles are alike, words differ less
+    than shingles do. Inside a component texts are linked if the Jaccard similarity of their sets of five-word shingles is at
+    least ``similarity``; groups are what links join. Texts of one set of shingles are one node, however many they are;
+    one task compares up to ``texts`` nodes of a component (and as many of another slice of it).
 
     Rows with null doc_ids stay and are no reason for others to go. Null texts count as texts without words, which
     are all alike. Rows that repeat doc_id and text count once; rows that share a doc_id only are documents of their own.
     Empty tables give no rows; other columns stay as they are.
     """
     th = "_text_of_near"
-    profiles = written(_profiles(docs.where("doc_id is not null"), words, repeats, shingle), "profiles")
-    nodes = written(profiles.groupBy("fp", "key").agg(F.min(F.struct("doc_id", "th")).alias("rep")).select("fp", "key", F.xxhash64("fp", "key").alias("node"), "rep.doc_id", "rep.th"), "nodes")
-    # Written first: on top of distinct(), the repartition in near_links would be optimised away and AQE would leave one task.
-    prints = written(nodes.select("fp").distinct(), "words")
-    roots = connected_components(near_links(prints, radius))
-    rooted = written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select(nodes["node"], "doc_id", "th", F.coalesce("root", "fp").alias("root")), "rooted")
+    names = [f"p{k}" for k in range(prints)]
+    profiles = written(_profiles(docs.where("doc_id is not null"), words, repeats, shingle, names), "profiles")
+    nodes = profiles.groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("rep"), *[F.min(p).alias(p) for p in names])
+    nodes = written(nodes.select("key", "rep.doc_id", "rep.th", *names, F.monotonically_increasing_id().alias("node")), "nodes")  # numbers stay as they were written
+    roots = near_components(nodes.select("node", *names), names, radius)
+    rooted = written(nodes.select("node", "doc_id", F.col("th").alias(th)).join(hinted(roots), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     several = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    asked = written(rooted.join(_hinted(several, REPRESENTATIVES), "root", "left_semi"), "candidates").select(F.col("doc_id").alias("id"), F.col("th").alias(th), "root", "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias(th), "text").join(_hinted(asked, REPRESENTATIVES), ["id", th]).select("root", "node", "text")
+    asked = written(rooted.join(hinted(several), "root", "left_semi").withColumnRenamed("doc_id", "id"), "candidates")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias(th), "text").join(hinted(asked), ["id", th]).select("root", "node", "text")
 
     def run(batches):
         import pyarrow as pa
 
         for b in text_batches(batches):
             sets = [shingle_set(t, shingle) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("root"), b.column("node"), pa.array(sets, type=pa.list_(pa.int64())), pa.array(list(map(len, sets)), type=pa.int64())], names=["root", "node", "s", "m"])
+            yield pa.RecordBatch.from_arrays([b.column("root"), b.column("node"), pa.array(sets, type=pa.list_(pa.int64()))], names=["group", "node", "s"])
 
-    sets = texts.mapInArrow(run, "root long, node long, s array<long>, m long").dropDuplicates(["node"])
-    groups = connected_components(verified_links(written(sets, "shingle-sets"), similarity)).select("node", F.col("root").alias("top"))
-    joined = written(nodes.join(_hinted(groups, REPRESENTATIVES), "node", "left").withColumn("top", F.coalesce("top", "node")), "joined")
+    sets = written(rows.mapInArrow(run, "group long, node long, s array<long>").dropDuplicates(["node"]), "shingle-sets")
+    groups = connected_components(links_inside(sets, _alike(similarity), texts)).select("node", F.col("root").alias("top"))
+    joined = written(nodes.select("key", "doc_id", "th", "node").join(hinted(groups), "node", "left").withColumn("top", F.coalesce("top", "node")), "joined")
     kept = joined.groupBy("top").agg(F.min(F.struct("doc_id", "th")).alias("kept"))
-    known = joined.join(kept, "top").select("fp", "key", F.col("kept.doc_id").alias("kept_id"), F.col("kept.th").alias("kept_th"))
-    gone = written(profiles.join(known, ["fp", "key"]).where("doc_id <> kept_id or th <> kept_th").select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct(), "gone")
+    known = joined.join(kept, "top").select("key", F.col("kept.doc_id").alias("kept_id"), F.col("kept.th").alias("kept_th"))
+    gone = written(profiles.join(known, "key").where("doc_id <> kept_id or th <> kept_th").select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct(), "gone")
     twice = written(profiles.groupBy("doc_id", "th").count().where("count > 1").select("doc_id", F.col("th").alias(th)), "repeated")
     rows = docs.withColumn(th, F.xxhash64("text"))
-    left = rows.join(_hinted(gone, REPRESENTATIVES), (F.col("doc_id") == F.col("_gone_id")) & (F.col(th) == F.col("_gone_th")), "left_anti")
+    left = rows.join(hinted(gone), (F.col("doc_id") == F.col("_gone_id")) & (F.col(th) == F.col("_gone_th")), "left_anti")
     if not twice.head(1):
         return left.select(docs.columns)
     once = left.join(twice, ["doc_id", th], "left_semi").dropDuplicates(["doc_id", th])

@@ -47,8 +47,8 @@ def brute_quality(docs, labels, quantile=0.999, margin=1.2, prior=30):
     return set(keep)
 
 
-def words_fingerprint(text):
-    h = [xxhash.xxh64_intdigest(w, 42) for w in set((text or "").encode().lower().split())]
+def words_fingerprint(text, seed):
+    h = [xxhash.xxh64_intdigest(w, seed) for w in set((text or "").encode().lower().split())]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
@@ -58,7 +58,7 @@ def shingles(text, words=5):
 
 
 def brute_near(docs, radius=c.RADIUS):
-    fps = [words_fingerprint(r["text"]) for r in docs]
+    fps = [[words_fingerprint(r["text"], seed) for seed in (42, 43)] for r in docs]
     root = list(range(len(docs)))
 
     def find(i):
@@ -68,7 +68,7 @@ def brute_near(docs, radius=c.RADIUS):
 
     for i in range(len(docs)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= radius:
+            if any((x ^ y).bit_count() <= radius for x, y in zip(fps[i], fps[j], strict=True)):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     candidates = list(map(find, range(len(docs))))

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from lakeloom.llm import graph
 from lakeloom.llm import simhash as s
 from lakeloom.llm.graph import connected_components
 
@@ -60,23 +61,86 @@ def test_components_equal_brute_force(name, request):
     same(s.near_duplicates(docs).collect(), brute([(r["doc_id"], r["text"]) for r in docs.collect()]))
 
 
-@pytest.mark.parametrize("middle,radius", [(4096, 4), (2, 4), (8, 4), (4096, 6), (2, 2)])
+def joined_up(nodes, pairs):
+    """node to the smallest node that pairs lead to."""
+    top = {n: n for n in nodes}
+
+    def find(n):
+        while top[n] != n:
+            n = top[n]
+        return n
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        top[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def family(rnd, size, flips):
+    centre = rnd.getrandbits(64)
+    return {centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, flips))) for _ in range(size)}
+
+
+def close(fps, radius):
+    arr = np.array(fps, dtype="u8")
+    return [(int(a), int(b)) for a, b in zip(*np.nonzero(np.bitwise_count(arr[:, None] ^ arr[None]) <= radius), strict=True) if a < b]
+
+
+@pytest.mark.parametrize("middle,radius", [(4096, 4), (8, 4), (16, 6)])
 def test_every_bucket_size_gives_the_same_components(spark, middle, radius):
     rnd = random.Random(5)
-    fps = set()
-    for _ in range(4):
-        centre = rnd.getrandbits(64)
-        for _ in range(40):
-            fps.add(centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 5))))
-    fps |= {rnd.getrandbits(64) for _ in range(50)}
-    words = spark.createDataFrame([(s._signed(f),) for f in fps], "fp long")
-    got = {r["node"]: r["root"] for r in connected_components(s.near_links(words, radius, middle)).collect()}
-    arr = np.array(sorted(s._signed(f) for f in fps))
-    near = np.bitwise_count(arr.view("u8")[:, None] ^ arr.view("u8")[None]) <= radius
-    label = np.arange(len(arr))
-    for _ in range(len(arr)):
-        label = np.array([label[n].min() for n in near])
-    assert {int(a): int(arr[x]) for a, x in zip(arr, label) if a != arr[x]} == got
+    fps = set().union(*[family(rnd, 40, 5) for _ in range(4)]) | {rnd.getrandbits(64) for _ in range(50)}
+    signed = sorted(s._signed(f) for f in fps)
+    items = spark.createDataFrame([(f, f) for f in signed], "node long, p long")
+    got = {r["node"]: r["root"] for r in s.near_components(items, ["p"], radius, middle).collect()}
+    want = joined_up(range(len(signed)), close([f & (1 << 64) - 1 for f in signed], radius))
+    assert {signed[n]: signed[r] for n, r in want.items() if n != r} == got
+
+
+def test_items_hang_together_by_any_of_their_prints(spark):
+    rnd = random.Random(8)
+    prints = [[rnd.choice(fam) for fam in (first, second)] for first, second in [(sorted(family(rnd, 30, 7)), sorted(family(rnd, 30, 7))) for _ in range(5)] for _ in range(20)]
+    rows = [(n, *map(s._signed, p)) for n, p in enumerate(prints)]
+    got = {r["node"]: r["root"] for r in s.near_components(spark.createDataFrame(rows, "node long, p long, q long"), ["p", "q"], 6).collect()}
+    want = joined_up(range(len(rows)), [x for k in (0, 1) for x in close([p[k] for p in prints], 6)])
+    assert {n: r for n, r in want.items() if n != r} == got
+
+
+@pytest.fixture
+def counted(monkeypatch):
+    """Links that each call of connected_components gets."""
+    seen = []
+
+    def run(links, plain=connected_components):
+        seen.append(links.count())
+        return plain(links)
+
+    monkeypatch.setattr(s, "connected_components", run)
+    monkeypatch.setattr(graph, "connected_components", run)
+    return seen
+
+
+@pytest.mark.parametrize("radius,middle", [(4, 4096), (6, 200)])
+def test_links_follow_the_number_of_items(spark, counted, radius, middle):
+    rnd = random.Random(3)
+    fps = set().union(family(rnd, 2000, 6), *[family(rnd, 30, 6) for _ in range(60)])
+    items = spark.createDataFrame([(s._signed(f), s._signed(f)) for f in fps], "node long, p long")
+    s.near_components(items, ["p"], radius, middle).count()
+    assert max(counted) <= 4 * len(fps)
+
+
+def test_links_between_texts_follow_their_number(spark, counted):
+    rnd = random.Random(4)
+    rows = []
+    for size in (700, *[30] * 20):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+        for _ in range(size):
+            own = list(base)
+            own[rnd.randrange(120)] = f"x{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    kept = s.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, *range(700, 1300, 30)]
+    assert len(counted) > 3 and max(counted) <= 4 * len(rows)
 
 
 def test_long_chains_end_at_the_smallest_node(spark):
@@ -93,7 +157,7 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r["doc_id"] or -1) for r in kept) == [-1, 2, 7]
 
 
-def test_verified_links_join_what_all_pairs_join(spark):
+def test_links_inside_groups_join_what_all_pairs_join(spark):
     rng = random.Random(5)
     rows, sets = [], {}
     for root, n in ((1, 5), (2, 90), (3, 70)):
@@ -103,27 +167,13 @@ def test_verified_links_join_what_all_pairs_join(spark):
             for k in rng.sample(range(40), rng.choice([0, 2, 4, 9])):
                 own[k] = rng.getrandbits(40)
             sets[len(rows)] = (root, frozenset(own))
-            rows.append((root, len(rows), sorted(set(own)), len(set(own))))
-
-    def grouped(links):
-        top = {i: i for i in sets}
-
-        def find(i):
-            while top[i] != i:
-                i = top[i]
-            return i
-
-        for a, b in links:
-            a, b = find(a), find(b)
-            top[max(a, b)] = min(a, b)
-        return {i: find(i) for i in sets}
-
+            rows.append((root, len(rows), sorted(set(own))))
     every = [(a, b) for a in sets for b in sets if a < b and sets[a][0] == sets[b][0] and len(sets[a][1] & sets[b][1]) >= 0.8 * len(sets[a][1] | sets[b][1])]
-    df = spark.createDataFrame(rows, "root long, node long, s array<long>, m long")
-    expected = grouped(every)
-    for leaders in (2, 8, 1000):
-        links = [(r["a"], r["b"]) for r in s.verified_links(df, 0.8, leaders).collect()]
-        assert grouped(links) == expected
+    df = spark.createDataFrame(rows, "group long, node long, s array<long>")
+    for limit, leaders in ((8, 4), (1000, 32)):
+        links = [(r["a"], r["b"]) for r in graph.links_inside(df, s._alike(0.8), limit, leaders).collect()]
+        assert joined_up(sets, links) == joined_up(sets, every)
+        assert len(links) <= 4 * len(sets)
 
 
 def test_keep_one_leaves_texts_below_the_similarity(spark):
