@@ -1,12 +1,16 @@
 """Main text of web pages by tag-path ratios.
 
-Every block of text has a path of tags from the root. Over a page, each path gets two ratios, text
+Every block of text has a path of tags and classes from the root. Over a page, each path gets two ratios, text
 length and punctuation for each of its blocks. The ratios are smoothed along the page with a
-Gaussian window over neighbouring blocks, fused into one score, and the blocks whose score reaches
-a share of the scores' deviation are content nodes. The main text is everything in the smallest section that
-holds all content nodes, or in the article or main element that holds most of their text, without the parts that by tag, class, id or role are menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles or readers' comments. A class, id or role
-drops neither what holds the page (most of its text and its article, main or h1) nor everything.
+Gaussian window over neighbouring blocks of one section and fused into one score, which links alone, menus, headers and footers
+lower. Paths whose mean score reaches a share of the scores' deviation are content, and their blocks are content nodes. The
+main text is what stands in the smallest section that holds all content nodes, or in the article or main element that holds most
+of their text: content nodes, and what belongs to them there. Menus, headers and footers in it go unless nothing else is content;
+sections beside the content nodes' own go if they hold links alone or lie before the first or behind the last one without a heading.
+
+Parts that ratios can't tell from an article, as they hold prose too, are a second guard: what tag, class, id or role call
+sidebars, notices, adverts, forms or readers' comments is left out. Such a name drops neither what holds the page
+(most of its text and its article, main or h1) nor everything.
 """
 
 from __future__ import annotations
@@ -15,14 +19,18 @@ import html
 import math
 import re
 from collections import defaultdict
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
 # Elements by what they mean to a page.
-DROPPED = frozenset("head script style noscript template nav header footer aside form button select option textarea iframe object svg canvas menu dialog audio video map".split())
+DROPPED = frozenset("head script style noscript template button select option textarea iframe object svg canvas audio video map".split())
+WEAK = frozenset("nav header footer menu".split())
+GUARDED = frozenset("aside form dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 SECTIONS = frozenset("html body main article section div td center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag in the value's list ends an open element of the key's name, up to the elements that shield it.
 ENDED_BY = {
     "p": (frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), frozenset("button td th table caption object".split())),
@@ -46,33 +54,57 @@ _BESIDE = re.compile(r"(?<!\S)(?:\S*[-_])?(?:has|no|with|without)[-_]\S*", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 #: Blocks on either side that smoothing looks at, its width, and the share of the deviation that content reaches.
 REACH, WIDTH, SHARE = 2, 1.0, 0.5
+#: What is left of the score of a block that is links alone, and of one in a menu, header or footer.
+LOWERED = 0.1
+
+
+class Block(NamedTuple):
+    """Text with its path (tags and classes), the tags and numbers of the elements around it, whether links alone hold it, and whether a menu, header or footer does."""
+
+    path: tuple[str, ...]
+    tags: tuple[str, ...]
+    numbers: tuple[int, ...]
+    text: str
+    linked: bool
+    weak: bool
+
+    @property
+    def section(self) -> int:
+        """The number of the innermost section, menu, header or footer around it."""
+        return next((n for t, n in zip(reversed(self.tags), reversed(self.numbers), strict=True) if t in SECTIONS or t in WEAK), 0)
 
 
 def _marked(tag: str, attributes: str) -> bool:
-    """Whether class, id or role mark an element as not of the article."""
-    if tag in ("html", "body", "main", "article") or "=" not in attributes:
+    """Whether tag, class, id or role mark an element as not of the article."""
+    if tag in GUARDED:
+        return True
+    if tag in ("html", "body", "main", "article") or tag in WEAK or "=" not in attributes:
         return False
     return any(_MARKS.search(_BESIDE.sub(" ", m[2] or m[3] or m[4] or "")) for m in _NAMES.finditer(attributes))
 
 
+def _class(attributes: str) -> str:
+    return next((m[2] or m[3] or m[4] or "" for m in _NAMES.finditer(attributes) if m[1].lower() == "class"), "") if "=" in attributes else ""
+
+
 def _wrappers(out, landmarks) -> set[int]:
     """Marked elements that are kept, as they hold the page: over half of its text, and the article or main element in the fewest of them (without such elements, an h1)."""
     held: dict[int, int] = defaultdict(int)
     sizes: dict[int, int] = defaultdict(int)
     for block, marks in out:
         for n in marks:
-            held[n] += len(block[2])
-        for n in block[1]:
-            sizes[n] += len(block[2])
+            held[n] += len(block.text)
+        for n in block.numbers:
+            sizes[n] += len(block.text)
     told = [(len(marks), -sizes[n], marks) for tag, n, marks in landmarks if tag != "h1" and sizes[n]]
     inside = set(min(told)[2]) if told else {n for _, _, marks in landmarks for n in marks}
-    total = sum(len(block[2]) for block, _ in out)
+    total = sum(len(block.text) for block, _ in out if not block.weak)
     return {n for n in inside if 2 * held[n] > total}
 
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str]]:
-    """(tag path, numbers of the elements on it, text, whether links alone hold it) of each block outside dropped parts, in page order."""
-    stack: list[tuple[str, int, bool, tuple[int, ...]]] = []  # tag, number, inside a dropped part, marked elements around
+def blocks_of(page: str) -> list[Block]:
+    """The blocks of text outside guarded parts, in page order."""
+    stack: list[tuple[str, int, bool, tuple[int, ...], str]] = []  # tag, number, inside a dropped part, marked elements around, tag and class
     landmarks = []  # each article, main and h1: tag, number, marked elements around
     out, parts, home, number, at, linked = [], [], None, 0, 0, 0
 
@@ -80,15 +112,16 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str]]:
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(((home[0], home[1], text, linked == sum(map(len, map(str.strip, parts)))), home[2]))
+            own, marks = home
+            weak = any(s[0] in WEAK for s in own)
+            out.append((Block(tuple(s[4] for s in own), tuple(s[0] for s in own), tuple(s[1] for s in own), text, linked == sum(map(len, map(str.strip, parts))), weak), marks))
         parts, linked = [], 0
 
     def add(text: str) -> None:
         nonlocal home, linked
         if text and not (stack and stack[-1][2]):
             if not parts or (not "".join(parts).strip()):
-                own = [s for s in stack if s[0] not in INLINE]
-                home = (tuple(s[0] for s in own), tuple(s[1] for s in own), stack[-1][3] if stack else ())
+                home = ([s for s in stack if s[0] not in INLINE], stack[-1][3] if stack else ())
             parts.append(html.unescape(text) if "&" in text else text)
             if any(s[0] == "a" for s in stack):
                 linked += len(parts[-1].strip())
@@ -127,68 +160,98 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str]]:
             marks = (*marks, number)
         if tag in ("article", "main", "h1") and not gone:
             landmarks.append((tag, number, marks))
-        stack.append((tag, number, gone, marks))
+        stack.append((tag, number, gone, marks, f"{tag}.{_class(m['attr'])}"))
     add(page[at:])
     close()
     kept = _wrappers(out, landmarks) if any(marks for _, marks in out) else set()
-    # Where marks would leave nothing, they tell nothing.
-    return [block for block, marks in out if kept.issuperset(marks)] or [block for block, _ in out]
+    # Where marks would leave nothing but menus, headers and footers, they tell nothing.
+    left = [block for block, marks in out if kept.issuperset(marks)]
+    return left if any(not b.weak for b in left) else [block for block, _ in out]
 
 
-def path_scores(blocks) -> list[float]:
+def block_scores(blocks: list[Block]) -> list[float]:
     """The smoothed and fused tag-path ratios of each block."""
     sums: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0])
-    for path, _, text, _ in blocks:
-        s = sums[path]
+    for b in blocks:
+        s = sums[b.path]
         s[0] += 1
-        s[1] += len(text)
-        s[2] += len(_PUNCTUATION.findall(text))
-    ratios = [(s[1] / s[0], s[2] / s[0]) for s in (sums[b[0]] for b in blocks)]
-    window = [math.exp(-(k * k) / (2 * WIDTH * WIDTH)) for k in range(-REACH, REACH + 1)]
+        s[1] += len(b.text)
+        s[2] += len(_PUNCTUATION.findall(b.text))
+    ratios = [(s[1] / s[0], s[2] / s[0]) for s in (sums[b.path] for b in blocks)]
+    sections = [b.section for b in blocks]
+    window = [(k, math.exp(-(k * k) / (2 * WIDTH * WIDTH))) for k in range(-REACH, REACH + 1)]
     out = []
-    for i in range(len(ratios)):
-        near = [(w, ratios[i + k]) for k, w in zip(range(-REACH, REACH + 1), window, strict=True) if 0 <= i + k < len(ratios)]
+    for i, b in enumerate(blocks):
+        near = [(w, ratios[i + k]) for k, w in window if 0 <= i + k < len(ratios) and sections[i + k] == sections[i]]
         total = sum(w for w, _ in near)
         length, points = (sum(w * r[c] for w, r in near) / total for c in (0, 1))
-        out.append(math.sqrt(length * (points + 1 / (1 + length))))
+        out.append(math.sqrt(length * (points + 1 / (1 + length))) * (LOWERED if b.linked else 1) * (LOWERED if b.weak else 1))
     return out
 
 
+def content_nodes(blocks: list[Block], scores: list[float]) -> list[bool]:
+    """Whether each block's path is content: its mean score reaches the share of the deviation of all scores. Menus, headers and footers are so only where nothing else is."""
+    mean = sum(scores) / len(scores)
+    least = SHARE * math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
+    sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0])
+    for b, s in zip(blocks, scores, strict=True):
+        sums[b.path][0] += s
+        sums[b.path][1] += 1
+    reached = [sums[b.path][0] >= least * sums[b.path][1] for b in blocks]
+    plain = [r and not b.weak for r, b in zip(reached, blocks, strict=True)]
+    return plain if any(plain) else reached
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, white space inside each turned into one blank, joined by one blank."""
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    scores = path_scores(blocks)
-    mean = sum(scores) / len(scores)
-    least = SHARE * math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
-    content = [len(b[2]) if s >= least else 0 for s, b in zip(scores, blocks, strict=True)]
-    total, inside = sum(content), range(len(blocks))
-    depth = 0
+    chosen = content_nodes(blocks, block_scores(blocks))
+    content = [len(b.text) if c else 0 for b, c in zip(blocks, chosen, strict=True)]
+    total, inside = sum(content), list(range(len(blocks)))
+    depth, top = 0, ""
     while True:
         held: dict[int, list[int]] = defaultdict(list)
         for i in inside:
-            path, numbers = blocks[i][:2]
-            if depth < len(path) and path[depth] in SECTIONS:
-                held[numbers[depth]].append(i)
+            if depth < len(blocks[i].tags) and blocks[i].tags[depth] in SECTIONS:
+                held[blocks[i].numbers[depth]].append(i)
         best = max(held.values(), key=lambda v: sum(content[i] for i in v), default=None)
         if best is None or sum(content[i] for i in best) < 0.7 * total:
             break
         own = set(best)
         # Content nodes beside the section end the descent, unless an article or main element inside tells what is meant.
-        if any(content[i] and not blocks[i][3] for i in inside if i not in own):
+        if any(content[i] and not blocks[i].linked for i in inside if i not in own):
             told: dict[int, int] = defaultdict(int)
             for i in best:
-                for tag, n in zip(blocks[i][0][depth:], blocks[i][1][depth:], strict=True):
+                for tag, n in zip(blocks[i].tags[depth:], blocks[i].numbers[depth:], strict=True):
                     if tag in ("article", "main"):
                         told[n] += content[i]
             if max(told.values(), default=0) < 0.7 * total:
                 break
-        inside = best
-        if blocks[best[0]][0][depth] == "article":
+        inside, top = best, blocks[best[0]].tags[depth]
+        if top == "article":
             break
         depth += 1
-    return " ".join(blocks[i][2] for i in inside)
+    inside = [i for i in inside if chosen[i] or not blocks[i].weak]
+    if top not in ("article", "main"):
+        inside = _belonging(blocks, chosen, inside, depth)
+    return " ".join(blocks[i].text for i in inside)
+
+
+def _belonging(blocks: list[Block], chosen: list[bool], inside: list[int], depth: int) -> list[int]:
+    """Those of ``inside`` that go with its content nodes: a section beside theirs stays if it lies between two of them or has a heading, and is more than links."""
+    within: dict[int, list[int]] = defaultdict(list)  # by the outermost section below the one that holds all
+    for i in inside:
+        within[next((n for t, n in zip(blocks[i].tags[depth:], blocks[i].numbers[depth:], strict=True) if t in SECTIONS), 0)].append(i)
+    first, last = (f((i for i in inside if chosen[i]), default=0) for f in (min, max))
+    out = []
+    for section, own in within.items():
+        beside = section and not any(chosen[i] for i in own)
+        between = all(first < i < last for i in own)
+        if not beside or not all(blocks[i].linked for i in own) and (between or any(HEADINGS.intersection(blocks[i].tags) for i in own)):
+            out += own
+    return sorted(out)
 
 
 def extract(pages: DataFrame) -> DataFrame:

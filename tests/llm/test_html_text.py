@@ -1,8 +1,13 @@
 import html
+import math
 import re
+import statistics
+from collections import Counter
+from html.parser import HTMLParser
 
 import pytest
 
+from lakeloom.llm import html_text
 from lakeloom.llm.html_text import blocks_of, extract, main_text
 
 
@@ -45,7 +50,7 @@ def test_odd_markup():
     assert main_text(None) == main_text("") == main_text("<html><head><title>t</title></head><body></body></html>") == ""
     assert main_text("plain text &lt;b&gt; only") == "plain text <b> only"
     assert main_text("a < b and <b>c</b>d<br>e") == "a < b and cd e"
-    assert [b[2] for b in blocks_of("<ul><li>a<li>b</ul>c<p>d<div>e</div>")] == ["a", "b", "c", "d", "e"]
+    assert [b.text for b in blocks_of("<ul><li>a<li>b</ul>c<p>d<div>e</div>")] == ["a", "b", "c", "d", "e"]
     assert main_text("<p title='a > b'>x</p></i></div>") == "x"
     assert len(main_text("<div>" * 3000 + "deep" + "</div>" * 3000)) == 4
 
@@ -82,3 +87,85 @@ def test_wrappers_that_tell_the_layout_are_kept(name):
 def test_marks_never_drop_everything_but_long_comments():
     assert main_text(f"<div class=widget>{''.join(f'<p>{p}</p>' for p in PARAGRAPHS)}</div>") == WANT.removeprefix("The Title ")
     assert main_text(f"<article>{BODY}</article><div class=comments>" + "<article><p>A reader, too, says something here, at length.</p></article>" * 30 + "</div>") == WANT
+
+
+class PlainRatios(HTMLParser):
+    """Tag-path ratios by the standard library's parser; of names it knows adverts alone: blocks, their paths and innermost elements."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.open, self.blocks, self.n, self.text = [("", 0)], [], 0, ""
+        self.feed(page)
+        self.flush()
+
+    def flush(self):
+        text, self.text = " ".join(self.text.split()), ""
+        if text and not {"head", "script", "style"} & {t for t, _ in self.open}:
+            self.blocks.append((tuple(self.open), text, "a" in self.inside))
+        self.inside = set()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("b", "i", "a", "br"):
+            self.text += " " * (tag == "br")
+            self.inside |= {tag}
+            return
+        self.flush()
+        if tag == "p" and self.open[-1][0] == "p":
+            self.open.pop()
+        if tag not in ("meta", "link"):
+            self.n += 1
+            self.open.append(("script" if ("class", "ad") in attrs else tag, self.n))
+
+    inside: set = set()
+
+    def handle_endtag(self, tag):
+        tag = "script" if self.open[-1][0] == "script" else tag
+        if tag in [t for t, _ in self.open]:
+            self.flush()
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.text += data
+
+    def content(self):
+        paths = [tuple(t for t, _ in own) for own, _, _ in self.blocks]
+        ratio = {p: (statistics.mean(len(x[1]) for x, q in zip(self.blocks, paths) if p == q), statistics.mean(len(re.findall(r"[.,;:!?…]", x[1])) for x, q in zip(self.blocks, paths) if p == q)) for p in set(paths)}
+        places = [next((e for e in reversed(own) if e[0] in ("html", "body", "article", "div", "nav", "footer")), 0) for own, _, _ in self.blocks]
+        scores = []
+        for i, (own, _, linked) in enumerate(self.blocks):
+            near = [k for k in range(i - 2, i + 3) if 0 <= k < len(paths) and places[k] == places[i]]
+            w = [math.exp(-((k - i) ** 2) / 2) for k in near]
+            length, points = (sum(x * ratio[paths[k]][c] for x, k in zip(w, near)) / sum(w) for c in (0, 1))
+            scores.append(math.sqrt(length * (points + 1 / (1 + length))) * 0.1 ** (linked + any(t in ("nav", "footer") for t, _ in own)))
+        least = statistics.pstdev(scores) / 2
+        good = {p for p in set(paths) if statistics.mean(s for s, q in zip(scores, paths) if p == q) >= least and not {"nav", "footer"} & set(p)}
+        total = sum(len(x[1]) for x, p in zip(self.blocks, paths) if p in good)
+        held = Counter()
+        for (own, text, _), p in zip(self.blocks, paths):
+            for e in own:
+                held[e] += len(text) * (p in good)
+        where = max((e for e in held if held[e] >= 0.7 * total), key=lambda e: (e[0] == "article", -e[1]))
+        return " ".join(text for own, text, _ in self.blocks if where in own)
+
+
+def test_plain_ratios_agree_on_all_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    assert [r["page_id"] for r in pages if PlainRatios(r["html"]).content() != main_text(r["html"])] == []
+
+
+def test_ratios_decide_where_no_name_tells(monkeypatch):
+    links = "".join(f"<li>{w}" for w in ("News", "Sport", "World", "Money", "Travel"))
+    pages = [f"<body><div class=a1><ul>{links}</ul></div><div class=a2>{BODY}</div><div class=a3><ul>{links}</ul></div></body>", f"<table><tr><td><ul>{links}</ul><td>{BODY}<td><ul>{links}</ul></table>"]
+    assert [main_text(p) for p in pages] == [WANT, WANT]
+    monkeypatch.setattr(html_text, "block_scores", lambda blocks: [1.0] * len(blocks))
+    assert all(main_text(p) != WANT and "Travel" in main_text(p) for p in pages)
+
+
+def test_sections_that_belong_to_the_article():
+    title, figure = "<div><h1>The Title</h1></div>", "<div>A figure</div>"
+    first, second = ("".join(f"<p>{p}</p>" for p in part) for part in (PARAGRAPHS[:2], PARAGRAPHS[2:]))
+    page = f"<div id=x><div><a href=1>one</a> <a href=2>two</a></div>{title}<div>{first}</div>{figure}<div><a href=3>three</a></div><div>{second}</div><div>End</div></div>"
+    assert main_text(page) == WANT.replace("Short one.", "A figure Short one.")
+    assert main_text(f"<body><article>{BODY}<nav><p>On, and on.</p></nav><footer>Tags</footer></article></body>") == WANT
+    assert main_text("<nav><a href=1>one</a></nav><footer>All, that is here.</footer>") != ""
