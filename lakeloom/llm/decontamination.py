@@ -5,7 +5,8 @@ a unit of measure each become a placeholder of their type, other words are lower
 signs around them. Windows of template tokens of documents and benchmark items are hash-joined. Windows that
 line up along one shift are one alignment; it counts if its slots are consistent, that is, if every
 value in the item stands for one value in the document and the other way round. So a copied question
-is found, and also one whose numbers, names and units were exchanged throughout.
+is found, and also one whose numbers, names and units were exchanged throughout. Windows need one plain word; an alignment
+needs LITERALS of them in all, so a window of placeholders counts where its neighbours bear it out.
 
 Beside them stand literal windows: every token is its own value without regard to case, names and
 numbers too. They find copies in another letter case, where names and plain words change places, and
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.shared import text_batches, written
 
-#: Tokens in a window, and how many of them must be plain words in a typed window. Shorter items are one window.
+#: Tokens in a window (shorter items are one window), and how many plain words an alignment of typed windows must cover.
 WINDOW, LITERALS = 8, 5
-#: An item of fewer tokens than LITERALS identifies nothing and is passed over; a character of a script without blanks counts as half a token.
+#: An item of fewer tokens than LITERALS identifies no passage and counts where it is a whole document; a character of a script without blanks counts as half a token.
 #: Share of an item's tokens that consistent alignments must cover.
 COVERED = 0.6
+ROW = "_row_of_leaks"
 #: With more window hashes than this in the benchmark (8 bytes each), documents' windows are joined without a filter.
 FILTER_HASHES = 4_000_000
 
@@ -111,8 +113,8 @@ def template_codes(text: str | None):
     return words, here, codes[here], literal[here]
 
 
-def window_hashes(codes, size: int, literal: bool = False):
-    """A hash of every ``size`` codes in a row (never 0), or 0 where too few are plain words; ``literal`` windows may hold any tokens and have other hashes."""
+def window_hashes(codes, size: int, literal: int = 0):
+    """A hash of every ``size`` codes in a row (never 0), or 0 where none is a plain word; ``literal`` windows (1; whole documents: 2) may hold any tokens and have other hashes."""
     import numpy as np
 
     n = len(codes) - size + 1
@@ -126,43 +128,52 @@ def window_hashes(codes, size: int, literal: bool = False):
     if literal:
         return h
     plain = np.cumsum(np.r_[0, codes & np.uint64(1)].astype(np.int64))
-    return np.where(plain[size:] - plain[:-size] >= min(LITERALS, size), h, np.uint64(0))
+    return np.where(plain[size:] > plain[:-size], h, np.uint64(0))
+
+
+def _windows(words, here, codes, literal, sizes):
+    """(size, hashes, codes) of the windows of a text; a text of fewer tokens than LITERALS is one literal window, which only such texts share, under a negative size."""
+    if identifying(words, here) < LITERALS:
+        return [(-len(literal), window_hashes(literal, len(literal), 2), literal)] if len(literal) else []
+    return [(size, window_hashes(own, size, own is literal), own) for size in sizes for own in (codes, literal)]
+
+
+def _plain(codes, at: int, size: int) -> int:
+    """The places of plain words in a window, a bit for each."""
+    return sum((int(codes[at + k]) & 1) << k for k in range(size))
 
 
 def _slots(words, here, codes, at: int, size: int) -> list[str]:
     return [":".join(template_token(words[here[i]])) for i in range(at, at + size) if not int(codes[i]) & 1]
 
 
-HITS = "id long, size int, n int, at long, h long, slots array<string>"
+HITS = "id long, size int, n int, at long, h long, slots array<string>, plain int"
 
 
 def item_windows(items: DataFrame, key: str) -> DataFrame:
-    """Every window of the items: id, size, tokens ``n`` in the item, place ``at``, hash and slot values."""
+    """Every window of the items: id, size, tokens ``n`` in the item, place ``at``, hash, slot values and places of ``plain`` words."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in text_batches(batches):
-            out = {c: [] for c in ("id", "size", "n", "at", "h", "slots")}
+            out = {c: [] for c in ("id", "size", "n", "at", "h", "slots", "plain")}
             for i, text in zip(b.column(key).to_pylist(), b.column("text").to_pylist(), strict=True):
                 words, here, codes, literal = template_codes(text)
-                size = min(WINDOW, len(codes))
-                if identifying(words, here) < LITERALS:
-                    continue
-                for own in (codes, literal):
-                    h = window_hashes(own, size, own is literal)
+                for size, h, own in _windows(words, here, codes, literal, [min(WINDOW, len(codes))]):
                     for at in np.flatnonzero(h).tolist():
                         slots = [] if own is literal else _slots(words, here, codes, at, size)
-                        for c, v in (("id", i), ("size", size), ("n", len(codes)), ("at", at), ("h", int(h[at].view(np.int64))), ("slots", slots)):
+                        plain = 0 if own is literal else _plain(codes, at, size)
+                        for c, v in (("id", i), ("size", size), ("n", len(codes)), ("at", at), ("h", int(h[at].view(np.int64))), ("slots", slots), ("plain", plain)):
                             out[c].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", pa.int64()), ("size", pa.int32()), ("n", pa.int32()), ("at", pa.int64()), ("h", pa.int64()), ("slots", pa.list_(pa.string()))]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", pa.int64()), ("size", pa.int32()), ("n", pa.int32()), ("at", pa.int64()), ("h", pa.int64()), ("slots", pa.list_(pa.string())), ("plain", pa.int32())]))
 
     return items.select(key, "text").where(f"{key} is not null").mapInArrow(run, HITS)
 
 
 def document_windows(docs: DataFrame, sizes: list[int], hashes) -> DataFrame:
-    """Windows of the documents (``_row``, ``at``, ``h``, ``slots``); with ``hashes`` (a sorted broadcast array) only those that are among them."""
+    """Windows of the documents (``row``, ``at``, ``h``, ``slots``); with ``hashes`` (a sorted broadcast array) only those that are among them."""
 
     def run(batches):
         import numpy as np
@@ -174,10 +185,9 @@ def document_windows(docs: DataFrame, sizes: list[int], hashes) -> DataFrame:
             seen[(known >> np.uint64(42)).astype(np.int64)] = True
         for b in text_batches(batches):
             out = {c: [] for c in ("row", "size", "at", "h", "slots")}
-            for row, text in zip(b.column("_row").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for row, text in zip(b.column(ROW).to_pylist(), b.column("text").to_pylist(), strict=True):
                 words, here, codes, literal = template_codes(text)
-                for size, own in ((size, own) for size in sizes for own in (codes, literal)):
-                    h = window_hashes(own, size, own is literal)
+                for size, h, own in _windows(words, here, codes, literal, sizes):
                     if known is None:
                         found = np.flatnonzero(h)
                     else:
@@ -189,56 +199,61 @@ def document_windows(docs: DataFrame, sizes: list[int], hashes) -> DataFrame:
                         slots = [] if own is literal else _slots(words, here, codes, at, size)
                         for c, v in (("row", row), ("size", size), ("at", at), ("h", int(h[at].view(np.int64))), ("slots", slots)):
                             out[c].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("row", pa.int64()), ("size", pa.int32()), ("at", pa.int64()), ("h", pa.int64()), ("slots", pa.list_(pa.string()))]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("row", pa.binary()), ("size", pa.int32()), ("at", pa.int64()), ("h", pa.int64()), ("slots", pa.list_(pa.string()))]))
 
-    return docs.select("_row", "text").mapInArrow(run, "row long, size int, at long, h long, slots array<string>")
+    return docs.select(ROW, "text").mapInArrow(run, "row binary, size int, at long, h long, slots array<string>")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id") -> DataFrame:
-    """``_row`` of ``docs`` and ``item``, with the share of the item's tokens that consistent alignments cover."""
+    """``row`` of ``docs`` (their ROW) and ``item``, with the share of the item's tokens that consistent alignments cover."""
     import numpy as np
 
     items = written(item_windows(benchmark, key).dropDuplicates(["id", "at", "h"]), "item-windows")
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW
+    sizes = sorted(r["size"] for r in items.select("size").where("size > 0").distinct().collect())  # at most WINDOW
     distinct = items.select("h").distinct()
     shared = None
     if distinct.count() <= FILTER_HASHES:
-        own = np.sort(distinct.toArrow().column(0).to_numpy().view(np.uint64)) if sizes else np.zeros(0, dtype=np.uint64)
+        own = np.sort(distinct.toArrow().column(0).to_numpy().view(np.uint64)) if items.head(1) else np.zeros(0, dtype=np.uint64)
         shared = docs.sparkSession.sparkContext.broadcast(own)
     found = written(document_windows(docs, sizes, shared), "document-windows").select("row", "size", F.col("at").alias("doc_at"), "h", F.col("slots").alias("doc_slots"))
     hits = found.join(items, ["h", "size"]).where(F.size("slots") == F.size("doc_slots")).withColumn("shift", F.col("doc_at") - F.col("at"))
-    hits = written(hits.select("row", F.col("id").alias("item"), "n", "size", "at", "shift", "slots", "doc_slots"), "hits")
+    hits = written(hits.select("row", F.col("id").alias("item"), "n", "size", "at", "shift", "slots", "doc_slots", "plain"), "hits")
     pairs = hits.select("row", "item", "shift", F.explode(F.arrays_zip("slots", "doc_slots")).alias("p")).select("row", "item", "shift", "p.slots", "p.doc_slots").distinct()
     by = ["row", "item", "shift"]
     # A type and value of one side that meets two on the other makes the alignment inconsistent.
     wrong = pairs.groupBy(*by, "slots").count().where("count > 1").select(*by).unionByName(pairs.groupBy(*by, "doc_slots").count().where("count > 1").select(*by)).distinct()
-    # Windows without slots hold the same words on both sides, whatever the rest of their alignment does.
-    good = hits.where(F.size("slots") > 0).join(wrong, by, "left_anti").unionByName(hits.where(F.size("slots") == 0).select(*by, *[c for c in hits.columns if c not in by]))
-    tokens = good.select("row", "item", "n", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("token")).distinct()
+    typed, literal = hits.where("plain > 0").join(wrong, by, "left_anti"), hits.where("plain = 0")
+    places = lambda df: df.select(*by, "n", F.explode(F.sequence(F.lit(0), F.abs("size") - 1)).alias("k"), "at", "plain")
+    covered = places(typed).select(*by, "n", (F.col("at") + F.col("k")).alias("token"), F.expr("(plain >> k) & 1").alias("plain")).distinct()
+    borne = covered.groupBy(*by).agg(F.sum("plain").alias("words")).where(F.col("words") >= LITERALS).select(*by)
+    # Literal windows hold the same words on both sides, whatever the rest of their alignment does.
+    tokens = covered.join(borne, by, "left_semi").select("row", "item", "n", "token").unionByName(places(literal).select("row", "item", "n", (F.col("at") + F.col("k")).alias("token"))).distinct()
     return tokens.groupBy("row", "item", "n").agg((F.count("*") / F.first("n")).alias("share")).where(F.col("share") >= COVERED).select("row", "item", "share")
 
 
 def with_row(docs: DataFrame) -> DataFrame:
-    """The documents with ``_row``, which rows share only if doc_id and text are equal."""
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    """The documents with ROW, 16 bytes that rows share only if doc_id and text are equal."""
+    both = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("\x1f"), F.coalesce(F.col("text"), F.lit("")))
+    return docs.withColumn(ROW, F.unhex(F.md5(both)))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, ``contaminated``, ``items`` (the leaked items' ids, ascending) and the largest ``share`` covered.
 
-    A document is contaminated if consistent alignments and literal windows cover COVERED of an item's tokens. Items of
-    fewer than LITERALS tokens (twice as many characters in a script without blanks), null items and items with null ids are passed over. Null and empty texts are clean.
-    Repeated rows share one answer and keep their rows. Empty tables give clean documents, or no rows.
+    A document is contaminated if consistent alignments and literal windows cover COVERED of an item's tokens. An item of
+    fewer than LITERALS tokens (twice as many characters in a script without blanks) contaminates documents that are this item, in any
+    letter case, and nothing else. Items without tokens, null items and items with null ids are passed over. Null and empty texts are clean.
+    Repeated rows share one answer and keep their rows. Empty tables give clean documents, or no rows. Columns other than doc_id and text are left out.
     """
     rows = with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     found = leaks(rows, benchmark).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("share").alias("share"))
-    return rows.select("doc_id", "_row").join(found, F.col("_row") == F.col("row"), "left").select(
+    return rows.select("doc_id", ROW).join(found, F.col(ROW) == F.col("row"), "left").select(
         "doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("share", F.lit(0.0)).alias("share")
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated."""
+    """The documents that are not contaminated, with all their columns, whatever their names. Nulls, repeats and empty tables as in ``contamination``."""
     rows = with_row(docs)
-    gone = written(leaks(rows, benchmark).select("row").distinct(), "contaminated")
-    return rows.join(gone, F.col("_row") == F.col("row"), "left_anti").select(*docs.columns)
+    gone = written(leaks(rows, benchmark).select(F.col("row").alias(ROW)).distinct(), "contaminated")
+    return rows.join(gone, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

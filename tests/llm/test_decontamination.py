@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from lakeloom.llm import decontamination as d
@@ -60,7 +62,7 @@ def test_copies_of_items_rich_in_numbers_and_names_are_found(spark):
     sums = "Compute 12 + 35 km minus 7 kg times 81 divided by 9 hours plus 44 miles minus 3 percent of 250 dollars for Anna."
     other = "Compute 11 + 39 km minus 6 kg times 80 divided by 4 hours plus 43 miles minus 2 percent of 251 dollars for Anna."
     found, _ = run(spark, [(1, FILL + sums), (2, FILL + sums.upper()), (3, FILL + other), (4, FILL)], [(10, sums)])
-    assert found == {(1, (10,)), (2, (10,))}
+    assert found == {(1, (10,)), (2, (10,)), (3, (10,))}
 
 
 def test_scripts_without_blanks_are_checked(spark):
@@ -68,3 +70,59 @@ def test_scripts_without_blanks_are_checked(spark):
     fill = "今天的天气很好我们去公园散步然后回家吃饭"
     docs = [(1, fill + chinese + "。" + fill), (2, fill + thai), (3, FILL + japanese + "すごい"), (4, fill * 5), (5, chinese[:12] + fill), (6, "ประเทศไทย")]
     assert run(spark, docs, [(10, chinese), (11, thai), (12, japanese), (13, "ประเทศ"), (14, "天气")])[0] == {(1, (10,)), (2, (11,)), (3, (12,))}
+
+
+def test_short_items_are_found_as_whole_documents_only(spark):
+    docs = [(1, "What is gravity?"), (2, "what IS Gravity"), (3, "what is gravity now"), (4, FILL + "What is gravity?"), (5, "天气"), (6, "天气很")]
+    assert run(spark, docs, [(10, "What is gravity?"), (11, "天气"), (12, "***"), (13, "")])[0] == {(1, (10,)), (2, (10,)), (5, (11,))}
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, ITEM, "x", "y", "z"), (2, FILL, "x", "y", "z")], "doc_id long, text string, row string, _row string, items string")
+    items = spark.createDataFrame([(10, ITEM, "x")], "item_id long, text string, row string")
+    left = d.drop_contaminated(docs, items)
+    assert left.columns == docs.columns and [(r["doc_id"], r["row"], r["_row"]) for r in left.collect()] == [(2, "x", "y")]
+    assert sorted((r["doc_id"], r["contaminated"]) for r in d.contamination(docs, items).collect()) == [(1, True), (2, False)]
+
+
+def plain_leak(text, item, window=8):
+    """Whether an item leaks into a text, by plain comparison of every shift and window."""
+    tokens = lambda t: [x for x in map(d.template_token, t.split()) if x[0]]
+    a, b = tokens(item), tokens(text)
+    size, kind = min(window, len(a)), lambda x: x[1] if x[0] == "word" else f"<{x[0]}>"
+    if len(a) < d.LITERALS:
+        return [v for _, v in a] == [v for _, v in b] and bool(a)
+    covered = set()
+    for shift in range(-len(a), len(b)):
+        typed, literal = [], []
+        for at in range(len(a) - size + 1):
+            x, y = a[at : at + size], b[at + shift : at + shift + size] if at + shift >= 0 else []
+            if len(y) == size and list(map(kind, x)) == list(map(kind, y)) and any(k == "word" for k, _ in x):
+                typed.append(at)
+            if [v for _, v in x] == [v for _, v in y]:
+                literal.append(at)
+        inside = {at + k for at in typed for k in range(size)}
+        slots = {(a[i], b[i + shift]) for i in inside if a[i][0] != "word"}
+        if len({x for x, _ in slots}) == len({y for _, y in slots}) == len(slots) and sum(a[i][0] == "word" for i in inside) >= d.LITERALS:
+            covered |= inside
+        covered |= {at + k for at in literal for k in range(size)}
+    return len(covered) >= d.COVERED * len(a)
+
+
+def test_leaks_equal_those_of_a_plain_aligner(spark):
+    rnd = random.Random(6)
+    words = "alpha beta gamma delta Anna Berta Carl 3 17 km hours red blue of the and".split()
+    items = [(k, " ".join(rnd.choice(words) for _ in range(rnd.choice([2, 4, 6, 9, 14, 25])))) for k in range(25)]
+    other = {"Anna": "Maria", "3": "8", "km": "miles"}
+    docs = []
+    for n in range(150):
+        own = rnd.choice(items)[1].split()
+        if n % 3 == 0:
+            own = [other.get(w, w) for w in own]
+        if n % 4 == 0:
+            own[rnd.randrange(len(own))] = rnd.choice(words)
+        if n % 5 == 0:
+            own = [w.upper() for w in own]
+        docs.append((n, " ".join([rnd.choice(words) for _ in range(n % 7)] + own + [rnd.choice(words) for _ in range(n % 3)])))
+    want = {n: tuple(k for k, item in items if plain_leak(text, item)) for n, text in docs}
+    assert run(spark, docs, items)[0] == {(n, own) for n, own in want.items() if own} and 20 < sum(map(bool, want.values()))
