@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 
 from lakeloom.llm.shared import written
 
+#: Groups of equal texts (24 bytes each) that are broadcast at most to place their rows.
+GROUPS = 1_000_000
+
 
 def hilbert_index(codes, bits: int):
     """Positions on the Hilbert curve of points given as an (n, d) array of codes under ``2**bits``.
@@ -99,37 +102,58 @@ def order_along_curve(rows: DataFrame, codes: list[str], ties: list[str], bits:
     return number_in_order(table, ["curve", *ties], "place")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, bits: int = 8) -> DataFrame:
-    """Deal documents to ``shards`` runs of the Hilbert curve over language, source and size.
+ROW = "_row_of_shards"
 
-    Law ``rows``: the counts of two shards are at most one apart. Equal texts of one language and
-    source lie side by side on the curve (the text's hash is the first tie-breaker), so a group of
-    copies is cut only where a shard ends. Null texts count no bytes; null languages and sources have a code
-    of their own. Repeated rows each get a place. An empty table gives no rows.
 
-    Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law), curve
-    and the codes, whose smallest and largest values by shard are what a reader prunes by.
-    """
+def _placed(docs: DataFrame, shards: int, bits: int, carried: list[str]) -> DataFrame:
+    """What ``shard_documents`` returns, with the columns ``carried`` besides."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
-        F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("group"),
+        *carried, F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("group"),
         category_code(F.col("lang"), bits).alias("lang_code"), category_code(F.col("source"), bits).alias("source_code"),
     ).withColumn("size_code", size_code(F.col("size"), bits))
-    placed = order_along_curve(rows, ["lang_code", "source_code", "size_code"], ["group", "doc_id"], bits)
+    rows = written(rows, "codes")
+    # Copies under several languages or sources take the place of the smallest codes; groups of one row need no look-up.
+    several = rows.groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct("lang_code", "source_code")).alias("least")).where("n > 1").select("group", F.col("least.lang_code").alias("lang_place"), F.col("least.source_code").alias("source_place"))
+    several = written(several, "groups")
+    several = F.broadcast(several) if several.count() <= GROUPS else several
+    rows = rows.join(several, "group", "left").withColumn("lang_place", F.coalesce("lang_place", "lang_code")).withColumn("source_place", F.coalesce("source_place", "source_code"))
+    placed = order_along_curve(rows, ["lang_place", "source_place", "size_code"], ["group", "doc_id"], bits)
     total = placed.count()
     # Integers throughout: shard s begins at place ceil(s * total / shards).
     shard = F.expr(f"(place * {shards}L) div {max(total, 1)}L")
     first = F.expr(f"(shard * {max(total, 1)}L + {shards - 1}L) div {shards}L")
     return placed.withColumn("shard", shard).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("place") - first).alias("slot"),
+        *carried, "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("place") - first).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "curve", "lang_code", "source_code", "size_code",
     )
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write the documents as one folder for each shard, in slot order inside each file."""
-    both = docs.join(placed.select("doc_id", "shard", "slot", "curve"), "doc_id")
-    both.repartition("shard", F.floor(F.col("slot") / 1_000_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def shard_documents(docs: DataFrame, shards: int = 16, bits: int = 8) -> DataFrame:
+    """Deal documents to ``shards`` runs of the Hilbert curve over language, source and size.
+
+    Law ``rows``: the counts of two shards are at most one apart. Equal texts lie side by side on the curve: the whole group
+    takes the place of its smallest language and source codes, and the text's hash is the first tie-breaker, so a group of
+    copies is cut only where a shard ends, at most ``shards - 1`` groups in all. Null texts count no bytes; null languages and
+    sources have a code of their own. Repeated rows each get a place. An empty table gives no rows.
+
+    Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law), curve
+    and the rows' own codes, whose smallest and largest values by shard are what a reader prunes by.
+    """
+    return _placed(docs, shards, bits, [])
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 16, bits: int = 8) -> None:
+    """Write the documents as one folder for each shard, in slot order inside each file.
+
+    Rows are told apart by a number of their own, so rows with null or repeated doc_ids are written once each. Columns named
+    shard, slot or curve of the input are left out in favour of the shards' own.
+    """
+    numbered = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    placed = _placed(numbered, shards, bits, [ROW]).select(ROW, "shard", "slot", "curve")
+    both = numbered.drop("shard", "slot", "curve").join(placed, ROW)
+    both = both.repartition("shard", F.floor(F.col("slot") / 1_000_000)).sortWithinPartitions("shard", "slot")
+    both.drop(ROW).write.partitionBy("shard").parquet(path)
 
 
 def shard_boxes(placed: DataFrame) -> DataFrame:
