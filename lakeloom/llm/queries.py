@@ -57,7 +57,7 @@ def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "lang", "perplexity", "limit", "keep")
+    return scored.select("doc_id", "lang", "perplexity", "limit", "peak", "peak_limit", "keep")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline as c
-from lakeloom.llm import decontamination
+from lakeloom.llm import decontamination, quality
 from tests.llm.test_packing import one_by_one
 from tests.llm.test_quality import Plain
 
@@ -20,31 +20,30 @@ def test_stages_have_the_stated_order():
     assert Path(c.__file__).parent == Path(__file__).resolve().parent.parent.parent
 
 
-def brute_quality(docs, labels, quantile=0.999, margin=1.2, prior=30):
+def brute_quality(docs, labels, quantile=0.995, peak_quantile=0.99, prior=30):
     good = {d for d in {r["doc_id"] for r in labels} if min(r["quality"] for r in labels if r["doc_id"] == d) == 1 and max(r["toxic"] or 0 for r in labels if r["doc_id"] == d) == 0}
     trusted = [r for r in docs if r["doc_id"] in good and r["text"]]
-    plain = Plain([r["text"] for r in trusted])
-    loss = {r["doc_id"]: plain.loss(r["text"] or "") for r in docs}
-    mean = {}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    fold = lambda r: signed(xxhash.xxh64_intdigest(r["text"].encode(), 42)) % quality.FOLDS
+    models = [Plain([r["text"] for r in trusted if fold(r) != k]) for k in range(quality.FOLDS)]
+    figures = lambda plain, t: (lambda each: (sum(each), max((sum(each[i : i + 5]) / min(5, len(t)) for i in range(max(1, len(t) - 4))), default=0) if t else 0))(plain.each(t))
+    own = {r["doc_id"]: figures(models[fold(r)], r["text"]) for r in trusted}
     by = defaultdict(list)
     for r in trusted:
         by[r["lang"]].append(r)
+    mean, limit = {}, {}
+    ppl = lambda loss, r, lang: math.exp((loss + prior * mean[lang]) / (len(r["text"]) + prior))
     for lang, rows in [*by.items(), (None, trusted)]:
-        mean[lang] = sum(loss[r["doc_id"]] for r in rows) / sum(len(r["text"]) for r in rows)
-
-    def ppl(r, lang):
-        return math.exp((loss[r["doc_id"]] + prior * mean[lang]) / (len(r["text"]) + prior))
-
-    limit = {}
-    for lang, rows in [*by.items(), (None, trusted)]:
-        v = sorted(ppl(r, lang) for r in rows)
-        limit[lang] = margin * v[max(0, math.ceil(quantile * len(v)) - 1)]
-    keep = []
+        mean[lang] = sum(own[r["doc_id"]][0] for r in rows) / sum(len(r["text"]) for r in rows)
+        rank = lambda v, share: sorted(v)[max(0, math.ceil(share * len(v)) - 1)] * (1 + 1e-9)
+        limit[lang] = rank([ppl(own[r["doc_id"]][0], r, lang) for r in rows], quantile), rank([own[r["doc_id"]][1] for r in rows], peak_quantile)
+    plain, keep = Plain([r["text"] for r in trusted]), set()
     for r in docs:
         lang = r["lang"] if r["lang"] in by else None
-        if not r["text"] or ppl(r, lang) <= limit[lang]:
-            keep.append(r["doc_id"])
-    return set(keep)
+        loss, worst = figures(plain, r["text"] or "")
+        if not r["text"] or ppl(loss, r, lang) <= limit[lang][0] and worst <= limit[lang][1]:
+            keep.add(r["doc_id"])
+    return keep
 
 
 def words_fingerprint(text, seed):

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -44,9 +45,16 @@ class Plain:
         gamma = sum(d * k for d, k in zip(self.d[n], self.kinds[n, g[:-1]])) / total
         return max(c - cut, 0) / total + gamma * self.p(g[1:])
 
-    def loss(self, t):
+    def each(self, t):
         s = chr(q.PAD) * (self.order - 1) + t
-        return -sum(math.log(self.p(s[i : i + self.order])) for i in range(len(t)))
+        return [-math.log(self.p(s[i : i + self.order])) for i in range(len(t))]
+
+    def loss(self, t):
+        return sum(self.each(t))
+
+    def worst(self, t, width=5):
+        each = self.each(t)
+        return max((sum(each[i : i + width]) / min(width, len(t)) for i in range(max(1, len(t) - width + 1))), default=0) if t else 0
 
 
 @pytest.mark.parametrize("method", ["tables", "join"])
@@ -59,8 +67,9 @@ def test_loss_equals_the_plain_model(spark, small_docs, method):
     got = q.scored(tried, model, method).collect()
     assert len(got) == tried.count()
     for r in got:
-        assert r["_scored"] == len(r["text"] or "")
-        assert r["_loss"] == pytest.approx(plain.loss(r["text"] or ""), rel=1e-9, abs=1e-9)
+        assert r[q.SCORED] == len(r["text"] or "")
+        assert r[q.LOSS] == pytest.approx(plain.loss(r["text"] or ""), rel=1e-9, abs=1e-9)
+        assert r[q.WORST] == pytest.approx(plain.worst(r["text"] or ""), rel=1e-9, abs=1e-9)
 
 
 def test_probabilities_sum_to_one(small_docs):
@@ -70,13 +79,38 @@ def test_probabilities_sum_to_one(small_docs):
         assert sum(plain.p(context + c) for c in chars) + plain.p(context + "☃") == pytest.approx(1)
 
 
-def test_labelled_documents(small_docs, spark):
-    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
-    rows = q.classify(small_docs, labels).join(labels, "doc_id").collect()
-    good = [r["keep"] for r in rows if r["quality"] == 1]
+def test_labelled_documents(spark):
+    """Quantiles of held-out texts need some hundred trusted documents to mean anything."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = q.classify(docs, labels).join(labels, "doc_id").collect()
+    good = [r["keep"] for r in rows if r["quality"] == 1 and not r["toxic"]]
     bad = [r["keep"] for r in rows if r["quality"] == 0 and len(r["text"]) > 100]
+    toxic = [r["keep"] for r in rows if r["toxic"]]
     assert sum(good) >= 0.97 * len(good)
     assert sum(bad) <= 0.3 * len(bad)
+    assert sum(toxic) <= 0.4 * len(toxic)
+
+
+def test_quantiles_are_ranks(spark):
+    rnd = random.Random(1)
+    values = [(lang, math.exp(rnd.uniform(0, 3))) for lang in ("a", "b", None) for _ in range(rnd.randint(50, 400))]
+    got = {r["lang"]: r["limit"] for r in q.quantile_of(spark.createDataFrame(values, "lang string, v double"), "lang", "v", 0.98).collect()}
+    for lang in ("a", "b", None):
+        own = sorted(v for x, v in values if x == lang)
+        at = own[math.ceil(0.98 * len(own)) - 1]
+        assert got[lang] == max(v for v in own if math.floor(math.log(v) * q.BINS) == math.floor(math.log(at) * q.BINS))
+
+
+def test_characters_beyond_the_basic_plane_differ():
+    grams, of = q.grams_of(["😀😃", "𝔘x", None, ""])
+    assert len(set(grams.tolist())) == 4 and of.tolist() == [0, 0, 1, 1]
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(k, f"plain words number {k % 7}", "en", "mine", "mine") for k in range(40)], "doc_id long, text string, lang string, keep string, _loss string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int")
+    assert {r["_loss"] for r in q.classify(docs, labels).collect()} == {"mine"}
+    assert {(r["keep"], r["_loss"]) for r in q.keep_good(docs, labels).collect()} == {("mine", "mine")}
 
 
 def test_edges(edge_docs, no_docs, spark):
