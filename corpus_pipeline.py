@@ -12,37 +12,53 @@ from lakeloom.llm import decontamination, packing, pii, quality, simhash
 from lakeloom.llm.queries import PII_KEY, table, tokenizer_path
 from lakeloom.llm.shared import written
 
-#: Bits in which fingerprints of two documents' sets of words may differ to be candidates. On documents of the check
-#: table this finds 95 % of the pairs whose five-word shingles have a Jaccard similarity of 0.8 or more;
-#: fingerprints of five-word shingles themselves find 37 % of them at this radius.
-RADIUS = 6
+#: Bits in which fingerprints of two documents' sets of words may differ to be candidates, and fingerprints of each
+#: document. Of all pairs whose five-word shingles have a Jaccard similarity of 0.8 or more, these find 46 of 48 at sf0.1 and 99 % on the check tables.
+RADIUS, PRINTS = 6, 2
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is within their language's limit."""
+    """Documents whose perplexity, and that of their worst few characters, is within their language's limits.
+
+    Null and empty texts stay, as all do where no labelled text is trusted. Null languages share the pooled limits. Repeated rows
+    and null ids keep their rows; an empty table stays empty.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles alike by 0.8 or more."""
-    return simhash.keep_one(docs, words=1, radius=RADIUS, repeats=False, shingle=5, similarity=0.8)
+    """One document of each group of near copies, the smallest doc_id: five-word shingles alike by 0.8 or more.
+
+    Null and empty texts are copies of one another. Rows with null ids stay; rows equal in id and text count once; an empty table stays empty.
+    """
+    return simhash.keep_one(docs, words=1, radius=RADIUS, repeats=False, shingle=5, similarity=0.8, prints=PRINTS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, as it is or with other names and numbers."""
+    """Documents that hold no benchmark item, as it is or with other names and numbers.
+
+    Null and empty texts stay; repeated rows stay or go together; without items all stay; an empty table stays empty.
+    """
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with surrogates for personal data; n_chars follows the new text."""
-    out = pii.replace_pii(docs, PII_KEY)
+    """Documents with surrogates for personal data; n_chars follows the new text.
+
+    Null and empty texts stay as they are, as n_chars does where nothing is replaced. Each row keeps its row; an empty table stays empty.
+    """
+    found = "_entities_of_pipeline"
+    out = pii.replace_pii(docs, PII_KEY, found)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(found) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: where each piece of each document lies, and its ids."""
+    """Sequences of at most 2048 tokens: where each piece of each document lies, and its ids.
+
+    Null and empty texts are one token, the end id. Each row is packed on its own; an empty table gives no rows.
+    """
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), with_ids=True)
 
 
