@@ -1,11 +1,11 @@
 """Personal data replaced by keyed surrogates, in DataFrame operations alone.
 
 Detected: e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers, IBANs, US social
-security numbers, secret tokens, and names behind a form of address. A surrogate has its entity's
+security numbers, secret tokens, and names behind a form of address, with their other mentions in the same text. A surrogate has its entity's
 type and format: letters stand for letters of the same case and script, digits for digits, signs and
 spacing stay; a card number passes its check digit, an IBAN keeps its country, a telephone number
-its international prefix, and a name the gender that its form of address tells. One entity has one
-surrogate everywhere, whatever its spelling (coreference; hexadecimal tokens in any case); two entities never share one, and no
+its international prefix, and a given name the gender that a form of address before it tells anywhere (female, where they
+differ). One entity has one surrogate everywhere, whatever its spelling or form of address (coreference; hexadecimal tokens in any case); two entities never share one, and no
 surrogate equals an entity that the texts hold (collision checks over all of them).
 """
 
@@ -36,11 +36,12 @@ ENDINGS = {
 }
 
 _TITLE = "(?:" + "|".join(FEMALE + MALE + NEUTRAL) + r")\.?\x20"
-_NAME = r"\p{Lu}[\p{Ll}'-]{1,40}"
+_NAME = r"\p{Lu}[\p{Ll}'-]++"
+_PREFIX = "(?:sk|pk|ghp|gho|xox[bp])[-_]"
 #: What is an entity. Every alternative starts where its run of characters starts, so scanning is linear in the text.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "token": r"(?<![A-Za-z0-9])(?:(?=[A-Fa-f]*[0-9])[A-Fa-f0-9]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_-]{16,128})(?![A-Za-z0-9])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+(?![A-Za-z0-9-])",
+    "token": rf"(?<![A-Za-z0-9])(?:(?=[A-Fa-f]*+[0-9])[A-Fa-f0-9]{{32,}}+|AKIA[0-9A-Z]{{16}}|{_PREFIX}[A-Za-z0-9_-]{{16,}}+)(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\p{L}0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}0-9]|\.[0-9])",
     "ssn": r"(?<![\p{L}0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}0-9]|-[0-9])",
@@ -49,8 +50,8 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}0-9]){_TITLE}{_NAME}(?:\x20{_NAME})?(?![\p{{L}}0-9])",
 }
 ANY = "|".join(PATTERNS.values())
-#: A text without these has no entity; most texts need no more than this test.
-HINT = r"[0-9@]|sk[-_]|pk[-_]|gh[po][-_]|(?:^|[^\p{L}0-9])" + _TITLE
+#: Each pattern needs a digit or @, the start of a token or a form of address; a text without them needs no more than this test.
+HINT = rf"[0-9@]|AKIA|{_PREFIX}|(?<![\p{{L}}0-9]){_TITLE}"
 
 _ALNUM_ELSE = r"[^\p{L}\p{N}]"
 STREAM = 512
@@ -77,20 +78,30 @@ def masked(raw: Column, hexes: Column, hexadecimal: Column, skip: Column) -> Col
     signs, spaces or case get spellings of one surrogate.
     """
 
-    def one(c: Column, i: Column) -> Column:
-        k = F.length(F.regexp_replace(raw.substr(F.lit(1), i + 1), _ALNUM_ELSE, ""))
+    def one(c: Column, k: Column) -> Column:
         b = _byte(hexes, k)
         return (
             F.when(k <= skip, c)
-            .when(c.rlike("^[0-9]$"), F.pmod(b, F.lit(10)).cast("string"))
-            .when(hexadecimal & c.rlike("^[a-f]$"), _letter(97, 6, b))
-            .when(c.rlike("^[a-z]$"), _letter(97, 26, b)).when(c.rlike("^[A-Z]$"), _letter(65, 26, b))
+            .when(c.between("0", "9"), F.pmod(b, F.lit(10)).cast("string"))
+            .when(hexadecimal & c.between("a", "f"), _letter(97, 6, b))
+            .when(c.between("a", "z"), _letter(97, 26, b)).when(c.between("A", "Z"), _letter(65, 26, b))
             .when(c.rlike(r"^\p{IsCyrillic}$") & c.rlike(r"^\p{Ll}$"), _letter(0x430, 32, b)).when(c.rlike(r"^\p{IsCyrillic}$"), _letter(0x410, 32, b))
             .when(c.rlike(r"^\p{IsGreek}$"), _letter(0x3B1, 17, b)).when(c.rlike(r"^\p{Ll}$"), _letter(97, 26, b)).when(c.rlike(r"^\p{Lu}$"), _letter(65, 26, b))
             .when(c.rlike(r"^\p{L}$"), _letter(0x4E00, 64, b)).otherwise(c)
         )
 
-    return F.array_join(F.transform(F.split(raw, "(?!^)(?!$)"), one), "")
+    return _counted(raw, one)
+
+
+def _counted(raw: Column, one) -> Column:
+    """``raw`` with each letter or digit c, the k-th of them (from 1), replaced by ``one(c, k)``."""
+
+    def step(done: Column, c: Column) -> Column:
+        plain = c.between("0", "9") | c.between("a", "z") | c.between("A", "Z") | (c > "\x7f") & c.rlike(r"^[\p{L}\p{N}]$")
+        k = done["k"] + F.when(plain, 1).otherwise(0)
+        return F.struct(F.concat(done["out"], F.when(plain, one(c, k)).otherwise(c)).alias("out"), k.alias("k"))
+
+    return F.aggregate(F.split(raw, "(?!^)(?!$)"), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), step, lambda done: done["out"])
 
 
 def luhn(number: Column) -> Column:
@@ -115,8 +126,8 @@ def made_name(kind: Column, raw: Column, hexes: Column, attempt: Column) -> Colu
     return F.when(raw.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(raw.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a canonical value, as a canonical value."""
+def surrogate(kind: Column, value: Column, gender: Column, attempt: Column, key: str) -> Column:
+    """The surrogate of a canonical value, as a canonical value; ``gender`` (f, m or null) matters to given names."""
     h = stream(key, kind, value, attempt)
     no = F.lit(False)
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
@@ -134,7 +145,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
         .when(kind == "phone", masked(value, h, no, prefix))
         .when(kind == "token", masked(value, h, value.rlike("^[a-f0-9]+$"), F.length(F.regexp_extract(value, "^(AKIA|sk|pk|gh[po]|xox[bp])(?=[A-Z0-9_-])", 1))))
         .when(kind == "ssn", masked(value, h, no, F.lit(0)))
-        .otherwise(made_name(kind, value, h, attempt))
+        .otherwise(made_name(F.when(kind == "given", F.concat(F.lit("given_"), F.coalesce(gender, F.lit("n")))).otherwise(kind), value, h, attempt))
     )
 
 
@@ -142,12 +153,11 @@ def laid_out(raw: Column, canonical: Column) -> Column:
     """A surrogate spelled as ``raw`` was: its letters and digits in the places of raw's."""
     letters = F.regexp_replace(canonical, _ALNUM_ELSE, "")
 
-    def one(c: Column, i: Column) -> Column:
-        k = F.length(F.regexp_replace(raw.substr(F.lit(1), i + 1), _ALNUM_ELSE, ""))
+    def one(c: Column, k: Column) -> Column:
         s = letters.substr(k, F.lit(1))
-        return F.when(c.rlike(_ALNUM_ELSE), c).when(c.rlike(r"^\p{Lu}$"), F.upper(s)).otherwise(s)
+        return F.when(c.between("0", "9"), s).when(c.rlike(r"^\p{Lu}$"), F.upper(s)).otherwise(s)
 
-    return F.array_join(F.transform(F.split(raw, "(?!^)(?!$)"), one), "")
+    return _counted(raw, one)
 
 
 def kind_of(match: Column) -> Column:
@@ -159,18 +169,28 @@ def kind_of(match: Column) -> Column:
 
 
 def parts_of(match: Column) -> Column:
-    """A match as an array of (kind, raw): one entity, or a form of address and the names behind it."""
-    part = lambda kind, raw: F.struct(kind.alias("kind"), raw.alias("raw"))
+    """A match as an array of (kind, raw, gender): one entity, or a form of address and the names behind it, or names alone."""
+    none = F.lit(None).cast("string")
+    part = lambda kind, raw, gender=none: F.struct(kind.alias("kind"), raw.alias("raw"), gender.alias("gender"))
     title = F.regexp_extract(match, f"^{_TITLE}", 0)
     name = match.substr(F.length(title) + 1, F.length(match))
     bare = F.regexp_replace(title, r"[.\x20]", "")
-    given = F.when(bare.isin(FEMALE), "given_f").when(bare.isin(MALE), "given_m").otherwise("given_n")
+    gender = F.when(bare.isin(FEMALE), "f").when(bare.isin(MALE), "m")
     first, last = F.substring_index(name, " ", 1), F.substring_index(name, " ", -1)
     keep = F.lit("keep")
-    two = F.array(part(keep, title), part(given, first), part(keep, F.lit(" ")), part(F.lit("surname"), last))
+    two = F.array(part(keep, title), part(F.lit("given"), first, gender), part(keep, F.lit(" ")), part(F.lit("surname"), last))
     one = F.array(part(keep, title), part(F.lit("surname"), name))
     kind = kind_of(match)
-    return F.when(kind == "name", F.when(name.contains(" "), two).otherwise(one)).otherwise(F.array(part(kind, match)))
+    return F.when(F.coalesce(kind, F.lit("name")) == "name", F.when(name.contains(" "), two).otherwise(one)).otherwise(F.array(part(kind, match)))
+
+
+def pattern_of(text: Column) -> Column:
+    """What is an entity in this text: ``ANY``, and the full names and surnames that stand behind a form of address somewhere in it."""
+    names = F.transform(F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0)), lambda m: F.regexp_replace(m, f"^{_TITLE}", ""))
+    known = F.array_distinct(F.concat(names, F.transform(names, lambda m: F.substring_index(m, " ", -1))))
+    # Longer names first, so that a full name isn't taken for its surname.
+    longest = F.transform(F.array_sort(F.transform(known, lambda m: F.struct((-F.length(m)).alias("n"), m.alias("m")))), lambda x: x["m"])
+    return F.when(F.size(known) == 0, ANY).otherwise(F.concat(F.lit(ANY + r"|(?<![\p{L}0-9])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}0-9])")))
 
 
 def canonical(kind: Column, raw: Column) -> Column:
@@ -187,13 +207,13 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 
     Each round proposes a surrogate for every entity without one. A proposal falls if it is an
     entity's value or taken already, or if a smaller value proposes it too. Those that fall try
-    again with the next attempt; a round leaves few.
+    again with the next attempt; a round leaves few. A given name has the smallest ``gender`` that is known of it.
     """
-    entities = written(entities.distinct(), "entities")
+    entities = written(entities.groupBy("kind", "value").agg(F.min("gender").alias("gender")), "entities")
     real = entities.select("kind", F.col("value").alias("surrogate"))
     todo, done, attempt = entities, None, 0
     while True:
-        tried = todo.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.lit(attempt), key))
+        tried = todo.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("gender"), F.lit(attempt), key))
         taken = real if done is None else real.unionByName(done.select("kind", "surrogate"))
         first = tried.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
         good = first.join(taken, ["kind", "surrogate"], "left_anti").select("kind", "value", "surrogate")
@@ -207,26 +227,33 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
             raise ValueError("no free surrogates are left")
 
 
-def replace_pii(docs: DataFrame, key: str) -> DataFrame:
-    """The documents with every entity in ``text`` replaced, and ``n_entities``, how many there were.
+def replace_pii(docs: DataFrame, key: str, count: str = "n_entities") -> DataFrame:
+    """The documents with every entity in ``text`` replaced, and a column ``count``, how many there were.
 
-    All other columns stay as they are. Null and empty texts stay (0 entities). Repeated rows and
+    All other columns stay as they are, one named like ``count`` aside, which is replaced. Null and empty texts stay (0 entities). Repeated rows and
     null or repeated doc_ids each keep their row: rows are told apart by a number of their own. An
     empty table gives no rows. Texts without an entity are not moved between tasks.
     """
     text = F.col("text")
     has = F.coalesce(text.rlike(HINT) & text.rlike(ANY), F.lit(False))
-    clean = docs.where(~has).withColumn("n_entities", F.lit(0))
-    own = "_row_of_pii"
-    hits = written(docs.where(has).withColumn(own, F.monotonically_increasing_id()), "with-entities")
-    found = hits.select(own, F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("i", "match"))
-    parts = found.select(own, "i", F.posexplode(parts_of(F.col("match"))).alias("j", "part")).select(own, "i", "j", "part.kind", "part.raw")
+    own, news, seen = "_row_of_pii", "_surrogates_of_pii", "_pattern_of_pii"
+    clean = docs.where(~has).withColumn(count, F.lit(0))
+    hits = written(docs.where(has).withColumn(own, F.monotonically_increasing_id()).withColumn(seen, pattern_of(text)), "with-entities")
+    found = hits.select(own, F.posexplode(F.regexp_extract_all("text", seen, F.lit(0))).alias("i", "match"))
+    parts = found.select(own, "i", F.posexplode(parts_of(F.col("match"))).alias("j", "part")).select(own, "i", "j", "part.kind", "part.raw", "part.gender")
     parts = written(parts.withColumn("value", canonical(F.col("kind"), F.col("raw"))), "entity-parts")
-    given = assign(parts.where("kind <> 'keep'").select("kind", "value"), key)
-    new = F.when(F.col("surrogate").isNull(), F.col("raw")).when(F.col("kind").isin("phone", "card", "iban", "ssn"), laid_out(F.col("raw"), F.col("surrogate"))).when((F.col("kind").isin("email") | (F.col("kind") == "token") & F.col("raw").rlike("^[A-Fa-f0-9]+$")) & F.col("raw").rlike("[A-Z]"), laid_out(F.col("raw"), F.col("surrogate"))).when((F.length("raw") > 1) & (F.col("raw") == F.upper("raw")) & F.col("kind").isin("given_f", "given_m", "given_n", "surname"), F.upper("surrogate")).otherwise(F.col("surrogate"))
+    given = assign(parts.where("kind <> 'keep'").select("kind", "value", "gender"), key)
+    raw, kind, laid = F.col("raw"), F.col("kind"), laid_out(F.col("raw"), F.col("surrogate"))
+    cased = (kind == "email") | (kind == "token") & raw.rlike("^[A-Fa-f0-9]+$")
+    shouted = kind.isin("given", "surname") & (F.length("raw") > 1) & (raw == F.upper("raw"))
+    new = (
+        F.when(F.col("surrogate").isNull(), raw)
+        .when(kind.isin("phone", "card", "iban", "ssn") | cased & raw.rlike("[A-Z]"), laid)
+        .when(shouted, F.upper("surrogate")).otherwise(F.col("surrogate"))
+    )
     swapped = parts.join(given, ["kind", "value"], "left").select(own, F.struct("i", "j", new.alias("new")).alias("s"))
-    lists = swapped.groupBy(own).agg(F.array_sort(F.collect_list("s")).alias("s"))
-    rest = F.split(text, ANY, -1)
-    joined = F.transform(rest, lambda p, i: F.concat(p, F.array_join(F.transform(F.filter("s", lambda x: x["i"] == i), lambda x: x["new"]), "")))
-    changed = hits.join(lists, own).withColumn("n_entities", F.size(rest) - 1).withColumn("text", F.array_join(joined, "")).drop(own, "s")
+    lists = swapped.groupBy(own).agg(F.array_sort(F.collect_list("s")).alias(news))
+    rest = F.split(text, F.col(seen), -1)
+    joined = F.transform(rest, lambda p, i: F.concat(p, F.array_join(F.transform(F.filter(F.col(news), lambda x: x["i"] == i), lambda x: x["new"]), "")))
+    changed = hits.join(lists, own).withColumn(count, F.size(rest) - 1).withColumn("text", F.array_join(joined, "")).drop(own, news, seen)
     return clean.unionByName(changed.select(clean.columns))
