@@ -68,7 +68,7 @@ def _byte(hexes: Column, i: Column) -> Column:
 
 
 def _letter(base: int, span: int, b: Column) -> Column:
-    return F.char((F.lit(base) + F.pmod(b, F.lit(span))).cast("long")) if base < 128 else F.element_at(F.array(*[F.lit(chr(base + k)) for k in range(span)]), (F.pmod(b, F.lit(span)) + 1).cast("int"))
+    return F.lit("".join(chr(base + k) for k in range(span))).substr((F.pmod(b, F.lit(span)) + 1).cast("int"), F.lit(1))
 
 
 def masked(raw: Column, hexes: Column, hexadecimal: Column, skip: Column) -> Column:
@@ -78,30 +78,48 @@ def masked(raw: Column, hexes: Column, hexadecimal: Column, skip: Column) -> Col
     signs, spaces or case get spellings of one surrogate.
     """
 
-    def one(c: Column, k: Column) -> Column:
-        b = _byte(hexes, k)
-        return (
-            F.when(k <= skip, c)
-            .when(c.between("0", "9"), F.pmod(b, F.lit(10)).cast("string"))
-            .when(hexadecimal & c.between("a", "f"), _letter(97, 6, b))
-            .when(c.between("a", "z"), _letter(97, 26, b)).when(c.between("A", "Z"), _letter(65, 26, b))
-            .when(c.rlike(r"^\p{IsCyrillic}$") & c.rlike(r"^\p{Ll}$"), _letter(0x430, 32, b)).when(c.rlike(r"^\p{IsCyrillic}$"), _letter(0x410, 32, b))
-            .when(c.rlike(r"^\p{IsGreek}$"), _letter(0x3B1, 17, b)).when(c.rlike(r"^\p{Ll}$"), _letter(97, 26, b)).when(c.rlike(r"^\p{Lu}$"), _letter(65, 26, b))
-            .when(c.rlike(r"^\p{L}$"), _letter(0x4E00, 64, b)).otherwise(c)
-        )
+    def one(given: Column):
+        def changed(c: Column, k: Column) -> Column:
+            b = _byte(given["hexes"], k)
+            return (
+                F.when(k <= given["skip"], c)
+                .when(c.between("0", "9"), F.pmod(b, F.lit(10)).cast("string"))
+                .when(given["hexadecimal"] & c.between("a", "f"), _letter(97, 6, b))
+                .when(c.between("a", "z"), _letter(97, 26, b)).when(c.between("A", "Z"), _letter(65, 26, b))
+                .when(c.rlike(r"^\p{IsCyrillic}$") & c.rlike(r"^\p{Ll}$"), _letter(0x430, 32, b)).when(c.rlike(r"^\p{IsCyrillic}$"), _letter(0x410, 32, b))
+                .when(c.rlike(r"^\p{IsGreek}$"), _letter(0x3B1, 17, b)).when(c.rlike(r"^\p{Ll}$"), _letter(97, 26, b)).when(c.rlike(r"^\p{Lu}$"), _letter(65, 26, b))
+                .when(c.rlike(r"^\p{L}$"), _letter(0x4E00, 64, b)).otherwise(c)
+            )
 
-    return _counted(raw, one)
+        return changed
 
+    return _bound(F.struct(hexes.alias("hexes"), hexadecimal.alias("hexadecimal"), skip.alias("skip")), lambda given: _counted(raw, one(given)))
 
-def _counted(raw: Column, one) -> Column:
-    """``raw`` with each letter or digit c, the k-th of them (from 1), replaced by ``one(c, k)``."""
+
+def _bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _counted(raw: Column, one, size: int = 256) -> Column:
+    """``raw`` with each letter or digit c, the k-th of them (from 1), replaced by ``one(c, k)``.
+
+    Counting goes on along blocks of ``size`` characters, so time follows the length.
+    """
 
     def step(done: Column, c: Column) -> Column:
         plain = c.between("0", "9") | c.between("a", "z") | c.between("A", "Z") | (c > "\x7f") & c.rlike(r"^[\p{L}\p{N}]$")
         k = done["k"] + F.when(plain, 1).otherwise(0)
         return F.struct(F.concat(done["out"], F.when(plain, one(c, k)).otherwise(c)).alias("out"), k.alias("k"))
 
-    return F.aggregate(F.split(raw, "(?!^)(?!$)"), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), step, lambda done: done["out"])
+    def block(done: Column, b: Column) -> Column:
+        here = F.array(F.struct(b.alias("text"), done["k"].alias("k")))
+        return F.struct(F.concat(done["blocks"], here).alias("blocks"), (done["k"] + F.length(F.regexp_replace(b, _ALNUM_ELSE, ""))).alias("k"))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(raw) / size) - 1, F.lit(0)).cast("int")), lambda i: raw.substr(i * size + 1, F.lit(size)))
+    none = F.struct(F.array().cast("array<struct<text:string,k:int>>").alias("blocks"), F.lit(0).alias("k"))
+    counted = F.aggregate(blocks, none, block, lambda done: done["blocks"])
+    return F.array_join(F.transform(counted, lambda x: F.aggregate(F.split(x["text"], "(?!^)(?!$)"), F.struct(F.lit("").alias("out"), x["k"].alias("k")), step, lambda done: done["out"])), "")
 
 
 def luhn(number: Column) -> Column:
@@ -129,35 +147,40 @@ def made_name(kind: Column, raw: Column, hexes: Column, attempt: Column) -> Colu
 def surrogate(kind: Column, value: Column, gender: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a canonical value, as a canonical value; ``gender`` (f, m or null) matters to given names."""
     h = stream(key, kind, value, attempt)
-    no = F.lit(False)
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
     named = domain.substr(F.lit(1), F.length(domain) - F.length(top))
     domain_stream = stream(key, F.lit("domain"), domain, F.floor(attempt / 4))
     octets = [F.when(F.lit(i == 0) & (attempt < 4), 10).otherwise(F.pmod(_byte(h, F.lit(i)), F.lit(254)) + 1).cast("string") for i in range(4)]
-    card = F.concat(value.substr(1, 1), masked(value.substr(F.lit(2), F.length(value) - 2), h, no, F.lit(0)))
-    prefix = F.when(value.startswith("+"), F.length(F.regexp_extract(value, r"^\+(1|7|[0-9]{2})", 1))).otherwise(0)
+    # What stays as it is: a card's first digit, an IBAN's country, a telephone number's international prefix and a token's own.
+    skip = (
+        F.when(kind == "card", 1).when(kind == "iban", 2)
+        .when((kind == "phone") & value.startswith("+"), F.length(F.regexp_extract(value, r"^\+(1|7|[0-9]{2})", 1)))
+        .when(kind == "token", F.length(F.regexp_extract(value, "^(AKIA|sk|pk|gh[po]|xox[bp])(?=[A-Z0-9_-])", 1))).otherwise(0)
+    )
+    part = F.when(kind == "email", local).when(kind == "card", value.substr(F.lit(1), F.length(value) - 1)).otherwise(value)
+    new = masked(part, h, (kind == "token") & value.rlike("^[a-f0-9]+$"), skip)
     return (
-        F.when(kind == "email", F.concat(masked(local, h, no, F.lit(0)), F.lit("@"), masked(named, domain_stream, no, F.lit(0)), top))
+        F.when(kind == "email", F.concat(new, F.lit("@"), masked(named, domain_stream, F.lit(False), F.lit(0)), top))
         .when(kind == "ip", F.concat_ws(".", *octets))
-        .when(kind == "card", F.concat(card, luhn(card)))
-        .when(kind == "iban", masked(value, h, no, F.lit(2)))
-        .when(kind == "phone", masked(value, h, no, prefix))
-        .when(kind == "token", masked(value, h, value.rlike("^[a-f0-9]+$"), F.length(F.regexp_extract(value, "^(AKIA|sk|pk|gh[po]|xox[bp])(?=[A-Z0-9_-])", 1))))
-        .when(kind == "ssn", masked(value, h, no, F.lit(0)))
+        .when(kind == "card", _bound(new, lambda card: F.concat(card, luhn(card))))
+        .when(kind.isin("iban", "phone", "token", "ssn"), new)
         .otherwise(made_name(F.when(kind == "given", F.concat(F.lit("given_"), F.coalesce(gender, F.lit("n")))).otherwise(kind), value, h, attempt))
     )
 
 
 def laid_out(raw: Column, canonical: Column) -> Column:
     """A surrogate spelled as ``raw`` was: its letters and digits in the places of raw's."""
-    letters = F.regexp_replace(canonical, _ALNUM_ELSE, "")
+    letters = F.split(F.regexp_replace(canonical, _ALNUM_ELSE, ""), "(?!^)(?!$)")
+
+    def one(known: Column):
+        def changed(c: Column, k: Column) -> Column:
+            s = F.coalesce(F.get(known, k - 1), F.lit(""))
+            return F.when(c.between("0", "9"), s).when(c.rlike(r"^\p{Lu}$"), F.upper(s)).otherwise(s)
 
-    def one(c: Column, k: Column) -> Column:
-        s = letters.substr(k, F.lit(1))
-        return F.when(c.between("0", "9"), s).when(c.rlike(r"^\p{Lu}$"), F.upper(s)).otherwise(s)
+        return changed
 
-    return _counted(raw, one)
+    return _bound(letters, lambda known: _counted(raw, one(known)))
 
 
 def kind_of(match: Column) -> Column:
