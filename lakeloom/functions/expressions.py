@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -86,14 +89,22 @@ def parsed_weight(text: Column) -> Column:
     return F.when(text.rlike(WEIGHT), F.regexp_replace(F.regexp_extract(text, WEIGHT, 1), ",", "").cast("double"))
 
 
-#: Latin letters with marks, and what they are without.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+def _plain(c: str) -> str:
+    return unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+
+
+# Compatibility decompositions of all characters that have ASCII in them: to one character, and to several.
+_FOLDED = {chr(c): _plain(chr(c)) for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000 and _plain(chr(c))}
+_ONE = {c: p for c, p in _FOLDED.items() if len(p) == 1}
+_SEVERAL = {c: p for c, p in _FOLDED.items() if len(p) > 1}
 
 
 def folded(text: Column) -> Column:
-    """Lower-case ASCII: marks of Latin letters are dropped, and so are all other characters beyond ASCII."""
-    return F.lower(F.regexp_replace(F.translate(text, MARKED, PLAIN), r"[^\x00-\x7F]", ""))
+    """Lower-case ASCII of the compatibility decomposition (NFKD): marks are dropped, and so is all else beyond ASCII."""
+    one = F.translate(text, "".join(_ONE), "".join(_ONE.values()))
+    several = F.from_json(F.lit(json.dumps(_SEVERAL)), "map<string,string>")
+    spelled = F.array_join(F.transform(F.split(one, "(?!^)(?!$)"), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
+    return F.lower(F.regexp_replace(F.when(one.rlike(r"[^\x00-\x7F]"), spelled).otherwise(one), r"[^\x00-\x7F]", ""))
 
 
 def text_tokens(text: Column, n: int) -> Column:
@@ -105,10 +116,7 @@ def text_tokens(text: Column, n: int) -> Column:
 
 def feature_name(source: str, item: str) -> str:
     """The name of an item's indicator column."""
-    import re
-    import unicodedata
-
-    plain = unicodedata.normalize("NFKD", item).encode("ascii", "ignore").decode().lower()
+    plain = "".join(c if c.isascii() else _FOLDED.get(c, "") for c in item).lower()
     return f"{source}_{re.sub('[^0-9a-z]+', '_', plain).strip('_')}"
 
 

@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.operators.running import exact_quantiles, slice_edges
+
 
 def fit_medians(train: DataFrame, coarse: str, middle: str, fine: Column, value: str) -> DataFrame:
     """One table of three levels: (coarse, middle, fine), (coarse), (): level, keys, median and rows.
 
-    One grouping-sets aggregate; rows whose keys are null don't form classes of their own.
+    Each level counts its rows by slices of the value and looks closer at the slice of the median. Rows whose keys are null don't form classes of their own.
     """
-    t = train.select(F.col(coarse).alias("k1"), F.col(middle).alias("k2"), fine.alias("k3"), F.col(value).alias("v")).where("v is not null")
-    out = t.groupingSets([["k1", "k2", "k3"], ["k1"], []], "k1", "k2", "k3").agg(F.grouping_id().alias("g"), F.median("v").alias("median"), F.count("*").alias("n"))
-    out = out.withColumn("level", F.when(F.col("g") == 0, "bucket").when(F.col("g") == 3, "make").otherwise("all"))
-    full = (F.col("level") == "all") | ((F.col("level") == "make") & F.col("k1").isNotNull()) | (F.col("k1").isNotNull() & F.col("k2").isNotNull() & F.col("k3").isNotNull())
-    return out.where(full).select("level", "k1", "k2", "k3", "median", "n")
+    keys = ["k1", "k2", "k3"]
+    t = train.select(F.col(coarse).alias("k1"), F.col(middle).alias("k2"), fine.alias("k3"), F.col(value).cast("double").alias("v")).where("v is not null")
+    edges, out = slice_edges(t, "v"), None
+    for level, by in (("bucket", keys), ("make", ["k1"]), ("all", [])):
+        m = exact_quantiles(t.dropna(subset=by) if by else t, "v", [0.5], by, edges).withColumnRenamed("q0", "median")
+        part = m.select(F.lit(level).alias("level"), *[F.col(k) if k in by else F.lit(None).cast(t.schema[k].dataType).alias(k) for k in keys], "median", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def predict_medians(df: DataFrame, medians: DataFrame, coarse: str, middle: str, fine: Column, name: str = "predicted") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,18 +12,34 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 5, age_band: float =
     """The k nearest rows of ``index`` (id, make, model, age, mileage) to each query (query_id, make, model, age, mileage).
 
     A row qualifies if its make is the query's, its model too where the query has one, and its age and mileage
-    lie within the bands where the query has them. Nearest by mileage, then age, then id. The age band
-    is an equi-join: index rows are keyed by the band-wide slot of their age, and a query meets its own slot and both
-    neighbours, so a make's rows aren't all compared. Queries without an age meet every slot of their make.
+    lie within the bands where the query has them. Nearest by mileage, then age, then id. Bands are equi-joins: index rows are
+    keyed by make, by the band-wide slot of their age and by a slot of the logarithm of their mileage (the band is a share of it),
+    whichever the query has, and a query meets the slots that its bands touch. Queries with neither take the smallest ids of
+    their make or model, which are found once. Only the first k of each query in a task are exchanged.
     """
-    slot = lambda c: F.floor(F.col(c) / age_band).cast("long")
-    r = index.select("id", F.col("make").alias("_make"), F.col("model").alias("_model"), F.col("age").alias("_age"), F.col("mileage").alias("_mileage"), F.coalesce(slot("age"), F.lit(-1 << 40)).alias("_slot"))
-    aged = queries.where("age is not null").withColumn("_wanted", F.explode(F.array(*[slot("age") + d for d in (-1, 0, 1)])))
-    free = queries.where("age is null")
-    same = (F.col("make") == F.col("_make")) & (F.col("model").isNull() | (F.col("model") == F.col("_model"))) & (F.col("mileage").isNull() | (F.abs(F.col("_mileage") - F.col("mileage")) <= mileage_share * F.col("mileage")))
-    near = aged.join(r, same & (F.col("_wanted") == F.col("_slot")) & (F.abs(F.col("_age") - F.col("age")) <= age_band)).drop("_wanted")
-    near = near.unionByName(free.join(r, same))
-    by = Window.partitionBy("query_id").orderBy(F.coalesce(F.abs(F.col("_mileage") - F.col("mileage")), F.lit(0)), F.coalesce(F.abs(F.col("_age") - F.col("age")), F.lit(0)), "id")
+    width = math.log((1 + mileage_share) / (1 - mileage_share))
+    age_slot = lambda c: F.floor(c / age_band).cast("long")
+    mileage_slot = lambda c: F.floor(F.log(F.greatest(c, F.lit(1.0))) / width).cast("long")
+    r = index.select("id", F.col("make").alias("_make"), F.col("model").alias("_model"), F.col("age").alias("_age"), F.col("mileage").alias("_mileage"))
+    age, mileage = F.col("age"), F.col("mileage")
+    same = (F.col("make") == F.col("_make")) & (F.col("model").isNull() | (F.col("model") == F.col("_model")))
+    within_age, within_mileage = F.abs(F.col("_age") - age) <= age_band, F.abs(F.col("_mileage") - mileage) <= mileage_share * mileage
+    ages = F.explode(F.sequence(age_slot(age - age_band), age_slot(age + age_band)))
+    # A negative mileage has no band.
+    mileages = F.explode(F.when(mileage >= 0, F.sequence(mileage_slot(mileage * (1 - mileage_share)), mileage_slot(mileage * (1 + mileage_share)))))
+    rows = r.withColumn("_a", age_slot(F.col("_age"))).withColumn("_m", mileage_slot(F.col("_mileage")))
+    aged, priced = F.col("age").isNotNull(), F.col("mileage").isNotNull()
+    both = queries.where(aged & priced).withColumn("_qa", ages).withColumn("_qm", mileages).join(rows, same & within_age & within_mileage & (F.col("_qa") == F.col("_a")) & (F.col("_qm") == F.col("_m")))
+    by_age = queries.where(aged & ~priced).withColumn("_qa", ages).join(rows, same & within_age & (F.col("_qa") == F.col("_a")))
+    by_mileage = queries.where(~aged & priced).withColumn("_qm", mileages).join(rows, same & within_mileage & (F.col("_qm") == F.col("_m")))
+    first = Window.partitionBy("_make", "_of").orderBy("id")
+    # Under its model, and under a null for queries by make alone.
+    numbered = lambda df: df.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k)
+    least = numbered(r.where("_model is not null").withColumn("_of", F.col("_model"))).unionByName(numbered(r.withColumn("_of", F.lit(None).cast("string"))))
+    free = queries.where(~aged & ~priced).join(least, (F.col("make") == F.col("_make")) & F.col("model").eqNullSafe(F.col("_of")))
+    cols = ["query_id", "id", "age", "mileage", "_age", "_mileage"]
+    near = both.select(cols).unionByName(by_age.select(cols)).unionByName(by_mileage.select(cols)).unionByName(free.select(cols))
+    by = Window.partitionBy("query_id").orderBy(F.coalesce(F.abs(F.col("_mileage") - mileage), F.lit(0)), F.coalesce(F.abs(F.col("_age") - age), F.lit(0)), "id")
     return near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "id")
 
 

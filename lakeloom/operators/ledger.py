@@ -6,6 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lakeloom.operators.running import in_slices, slice_edges
+
+#: Slices that a log is cut into at most to find where to prune it.
+SLICES = 500
 
 
 def first_wins(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -15,9 +21,10 @@ def first_wins(existing: DataFrame, new: DataFrame, keys: Sequence[str], order:
 
 
 def latest_wins(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The table after writing: for each key the row with the largest ``order``."""
+    """The table after writing: for each key the row with the largest ``order``; of several, the one with the largest other columns."""
     both = existing.unionByName(new, allowMissingColumns=True)
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+    others = [F.desc(f.name) for f in both.schema.fields if f.name not in (*keys, order) and not isinstance(f.dataType, T.MapType | T.VariantType)]
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order), *others))
     return both.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
@@ -34,22 +41,23 @@ def label_outcomes(labels: DataFrame, log: DataFrame, held: DataFrame, key: str,
 def prune(log: DataFrame, seq: str, cap: int, target: float = 0.9) -> DataFrame:
     """The rows that stay when a log over ``cap`` rows is cut to ``target`` of it from the old end; the newest always stays.
 
-    The cut is found from counts of slices of ``seq`` and inside one slice, not by ranking the log.
+    The cut is found from counts of slices between approximate quantiles of ``seq``, which gaps and outliers don't widen, and
+    inside one slice, not by ranking the log.
     """
-    bounds = log.agg(F.count("*").alias("n"), F.min(seq).alias("lo"), F.max(seq).alias("hi")).first()
-    if bounds["n"] <= cap:
+    total = log.count()
+    if total <= cap:
         return log
     keep = max(1, int(cap * target))
-    width = max(1, (bounds["hi"] - bounds["lo"]) // 1000)
-    slices = log.groupBy(F.floor((F.col(seq) - bounds["lo"]) / width).alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("s")).collect()  # about 1000 rows
+    edges = slice_edges(log, seq, SLICES)
+    cut = in_slices(log, seq, edges, "s")
+    slices = cut.groupBy("s").agg(F.count("*").alias("n")).orderBy(F.desc("s")).collect()  # at most SLICES rows
     held, last = 0, slices[0]["s"]
     for r in slices:
         last = r["s"]
         if held + r["n"] >= keep:
             break
         held += r["n"]
-    edge = bounds["lo"] + last * width
-    inside = log.where((F.col(seq) >= edge) & (F.col(seq) < edge + width)).select(seq).orderBy(F.desc(seq)).limit(keep - held).agg(F.min(seq)).first()[0]
+    inside = cut.where(F.col("s") == last).select(seq).orderBy(F.desc(seq)).limit(keep - held).agg(F.min(seq)).first()[0]
     return log.where(F.col(seq) >= inside)
 
 

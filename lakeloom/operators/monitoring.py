@@ -9,18 +9,21 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.expressions import alert_ceiling, coverage_floor
 from lakeloom.functions.probability import chi2_p, ks_p
-from lakeloom.operators.running import running_sums
+from lakeloom.operators.running import in_slices, running_sums, slice_edges
+
+#: Slices of a log, each of which has a row in the task that puts them in order.
+SLICES = 512
 
 
 def count_windows(log: DataFrame, seq: str, version: str, size: int) -> DataFrame:
     """The log with ``run`` and ``window``: windows of ``size`` rows in order of ``seq``, closed early where the version changes.
 
-    Runs and places in them follow from the log cut into slices of ``seq``: each slice is summarised
+    Runs and places in them follow from the log cut into at most SLICES slices at approximate quantiles of ``seq``: each slice is summarised
     (first and last version, changes inside, rows since the last change), the summaries are put in order, and
     what came before a slice is handed to its rows. Only summaries meet in one task, so the log isn't sorted in one place.
     """
-    width = max(1, size)
-    sliced = log.withColumn("_slice", F.floor(F.col(seq) / width))
+    edges = slice_edges(log, seq, SLICES)
+    sliced = in_slices(log, seq, edges, "_slice")
     inside = Window.partitionBy("_slice").orderBy(seq)
     sliced = sliced.withColumn("_change", F.coalesce((F.col(version) != F.lag(version).over(inside)).cast("long"), F.lit(0)))
     sliced = sliced.withColumn("_changes", F.sum("_change").over(inside.rowsBetween(Window.unboundedPreceding, 0)))

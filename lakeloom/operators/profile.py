@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.operators.running import exact_quantiles
+
 
 def composition(df: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     """dimension, level, rows and share of all rows; null is a level. One pass over the table."""
@@ -24,9 +26,10 @@ def top_with_other(df: DataFrame, column: str, k: int, always: Sequence[str] = (
 
 def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
     """column, share and exact value with linear interpolation."""
-    wide = df.agg(*[F.percentile(c, F.array(*map(F.lit, shares))).alias(f"q{i}") for i, c in enumerate(columns)])
-    rows = [F.struct(F.lit(c).alias("column"), F.lit(float(s)).alias("share"), F.col(f"q{i}")[j].alias("value")) for i, c in enumerate(columns) for j, s in enumerate(shares)]
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.column", "r.share", F.round("r.value", 6).alias("value"))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select("e.*")
+    wide = exact_quantiles(long, "x", shares, ["column"])
+    rows = [F.struct(F.lit(float(s)).alias("share"), F.col(f"q{j}").alias("value")) for j, s in enumerate(shares)]
+    return wide.select("column", F.explode(F.array(*rows)).alias("r")).select("column", "r.share", F.round("r.value", 6).alias("value"))
 
 
 def frequent_items(df: DataFrame, items: str, share: float) -> DataFrame:

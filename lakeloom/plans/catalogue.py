@@ -138,7 +138,7 @@ def supported_levels(t):
     return splitting.levels_with_support(listings(t).withColumnRenamed("make", "p_brand"), "p_brand", 300)
 
 
-@query("SELECT (SELECT count(*) FROM orders) AS source_rows, (SELECT count(*) FROM orders) AS part_rows, 0::BIGINT AS keys_in_two")
+@query(f"WITH p AS (SELECT o_custkey, {_SPLIT} AS split FROM orders) SELECT (SELECT count(*) FROM orders) AS source_rows, (SELECT count(*) FROM p WHERE split IN ('train', 'validation', 'calibration', 'test')) AS part_rows, (SELECT count(*) FROM (SELECT o_custkey FROM p GROUP BY o_custkey HAVING count(DISTINCT split) > 1)) AS keys_in_two")
 def lossless_partition_check(t):
     return splitting.lossless(splitting.split_by_group(t.orders, "o_custkey", "20251108", RATIOS), t.orders, ["o_custkey"])
 
@@ -263,9 +263,9 @@ def parse_thousands_text(t):
 
 
 @query("""
-SELECT p_partkey, nullif(array_to_string(list_slice(regexp_split_to_array(trim(regexp_replace(lower(p_name), '[^0-9a-z]+', ' ', 'g')), ' +'), 1, 2), ' '), '') AS trim FROM part""")
+SELECT p_partkey, nullif(array_to_string(list_slice(regexp_split_to_array(trim(regexp_replace(strip_accents(lower('Éclair-Ñandú ' || p_name || ' ÇA')), '[^0-9a-z]+', ' ', 'g')), ' +'), 1, 5), ' '), '') AS trim FROM part""")
 def text_fold_tokens(t):
-    return t.part.select("p_partkey", X.text_tokens(F.col("p_name"), 2).alias("trim"))
+    return t.part.select("p_partkey", X.text_tokens(F.concat(F.lit("Éclair-Ñandú "), F.col("p_name"), F.lit(" ÇA")), 5).alias("trim"))
 
 
 _WORDS = "list_distinct(regexp_split_to_array(lower(p_name || ' ' || p_type || ' ' || p_brand), ' +'))"
@@ -458,10 +458,11 @@ def cross_group_intersect(t):
 
 
 @query("""
-WITH a AS (SELECT DISTINCT p_type AS level FROM part WHERE p_size < 4 AND p_type IS NOT NULL), b AS (SELECT DISTINCT p_type AS level FROM part WHERE p_size > 47 AND p_type IS NOT NULL)
+WITH a AS (SELECT DISTINCT p_brand || ' ' || p_type AS level FROM part WHERE p_size < 4 AND p_type IS NOT NULL), b AS (SELECT DISTINCT p_brand || ' ' || p_type AS level FROM part WHERE p_size > 47 AND p_type IS NOT NULL)
 SELECT level, 'left' AS side FROM (SELECT level FROM a EXCEPT SELECT level FROM b) UNION ALL SELECT level, 'right' FROM (SELECT level FROM b EXCEPT SELECT level FROM a)""")
 def except_levels(t):
-    return ledger.level_difference(t.part.where("p_size < 4"), t.part.where("p_size > 47"), "p_type")
+    part = t.part.withColumn("line", F.expr("p_brand || ' ' || p_type"))
+    return ledger.level_difference(part.where("p_size < 4"), part.where("p_size > 47"), "line")
 
 
 @query("""
@@ -546,11 +547,17 @@ def market_baseline(t):
 
 
 @query(f"""
-WITH {_MARKET}, p AS (SELECT key, 300 AS labels, 350 AS ranges, 0.06::DOUBLE AS mdape, 0.86::DOUBLE AS coverage, baseline, effective_rows FROM market),
-a AS (SELECT *, 1 + 3.55::DOUBLE * sqrt(1.0 / labels + 1 / effective_rows) AS c, 0.9::DOUBLE - 2.576::DOUBLE * sqrt(0.9::DOUBLE * (1 - 0.9::DOUBLE) / ranges) - 0.5::DOUBLE / ranges AS f FROM p)
+WITH {_MARKET}, {_LABELS}, j AS (SELECT run * 1000 + "window" AS key, abs(observed - value) / observed AS e, CASE WHEN event_id % 2 = 0 THEN observed BETWEEN 0.9::DOUBLE * value AND 1.1::DOUBLE * value END AS inside FROM windowed JOIN labels_of USING (event_id) WHERE received <= ts + INTERVAL 7 DAY AND observed <> 0),
+p AS (SELECT key, count(*) AS labels, count(inside) AS ranges, round(median(e), 6) AS mdape, round(avg(inside::INT), 6) AS coverage FROM j GROUP BY key HAVING count(*) >= 200 AND count(inside) >= 100),
+a AS (SELECT *, 1 + 3.55::DOUBLE * sqrt(1.0 / labels + 1 / effective_rows) AS c, 0.9::DOUBLE - 2.576::DOUBLE * sqrt(0.9::DOUBLE * (1 - 0.9::DOUBLE) / ranges) - 0.5::DOUBLE / ranges AS f FROM p JOIN market USING (key))
 SELECT key, round(c, 6) AS ceiling, round(f, 6) AS floor, mdape > c * baseline AS error_alert, coverage < f AS coverage_alert FROM a""")
 def alert_thresholds(t):
-    w = _baseline(t).withColumns({"labels": F.lit(300), "ranges": F.lit(350), "mdape": F.lit(0.06), "coverage": F.lit(0.86)})
+    inside = F.when(F.col("event_id") % 2 == 0, F.col("observed").between(0.9 * F.col("value"), 1.1 * F.col("value")))
+    labelled = _with_labels(t)
+    tested = monitoring.window_performance(labelled, "observed", "value", inside, least_ranges=100)
+    ranges = labelled.where("observed <> 0").groupBy("run", "window").agg(F.count(inside).alias("ranges"))
+    key = F.col("run") * 1000 + F.col("window")
+    w = tested.join(ranges, ["run", "window"]).where("mdape is not null and coverage is not null").withColumn("key", key).join(_baseline(t), "key")
     return monitoring.alert_thresholds(w).select("key", "ceiling", "floor", "error_alert", "coverage_alert")
 
 
@@ -603,11 +610,11 @@ def _halves(t):
 
 
 @query(f"""
-SELECT event_id, user_id, event_type, value FROM events WHERE event_id > {_HALF} AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id <= {_HALF})
-QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1""")
+SELECT event_id, user_id, event_type, value FROM events WHERE event_id > {_HALF} AND (user_id, event_type, value) NOT IN (SELECT (user_id, event_type, value) FROM events WHERE event_id <= {_HALF})
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type, value ORDER BY event_id) = 1""")
 def first_wins_upsert(t):
     old, new = _halves(t)
-    return ledger.first_wins(old, new, ["user_id", "event_type"], ["event_id"])
+    return ledger.first_wins(old, new, ["user_id", "event_type", "value"], ["event_id"])
 
 
 @query("SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
@@ -766,9 +773,9 @@ def leaf_difference(t):
     return reports.leaf_difference(t.customer.where("c_acctbal >= 0").select(path, F.col("c_mktsegment").alias("value")), t.customer.where("c_acctbal < 5000").select(path, F.when(F.col("c_acctbal") < 1000, "X").otherwise(F.col("c_mktsegment")).alias("value")))
 
 
-@query("WITH l AS (SELECT DISTINCT p_type AS x FROM part UNION SELECT DISTINCT split_part(p_type, ' ', 1) FROM part) SELECT a.x AS shorter, b.x AS longer FROM l a JOIN l b ON starts_with(b.x, a.x || ' ')")
+@query("WITH l AS (SELECT DISTINCT p_name AS x FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part) SELECT a.x AS shorter, b.x AS longer FROM l a JOIN l b ON starts_with(b.x, a.x || ' ')")
 def prefix_pairs(t):
-    own = t.part.select(F.col("p_type").alias("x"))
+    own = t.part.select(F.col("p_name").alias("x"))
     return reports.prefix_pairs(own.unionByName(own.select(F.split("x", " ")[0].alias("x"))), "x")
 
 

@@ -176,3 +176,36 @@ def test_conformal_offset_is_the_stated_order_statistic(spark):
     rows = [(float(i), 10.0, 60.0) for i in range(99)]
     got = {r["side"]: r["offset"] for r in statistics.conformal_offsets(spark.createDataFrame(rows, "a double, l double, u double"), "a", "l", "u", 0.9).collect()}
     assert got == {"lower": sorted(10.0 - i for i in range(99))[94], "upper": sorted(i - 60.0 for i in range(99))[94]}
+
+
+def test_quantiles_by_counted_values(spark):
+    import random
+
+    from lakeloom.operators.running import exact_quantiles
+
+    rnd = random.Random(1)
+    rows = [(rnd.choice(["a", "b", None]), float(rnd.choice([1, 2, 2.5, 7, rnd.random()]))) for _ in range(300)] + [("c", 4.0), ("c", None)]
+    got = {r["g"]: r for r in exact_quantiles(spark.createDataFrame(rows, "g string, v double"), "v", [0, 0.25, 0.5, 1], ["g"]).collect()}
+    for g in ("a", "b", None, "c"):
+        own = sorted(v for x, v in rows if x == g and v is not None)
+        want = [own[int(i)] + (own[min(int(i) + 1, len(own) - 1)] - own[int(i)]) * (i - int(i)) for i in ((len(own) - 1) * s for s in (0, 0.25, 0.5, 1))]
+        assert got[g]["n"] == len(own) and [got[g][f"q{k}"] for k in range(4)] == pytest.approx(want)
+
+
+def test_folding_is_a_compatibility_decomposition(spark):
+    import unicodedata
+
+    from lakeloom.functions.expressions import feature_name, folded
+
+    texts = ["Éclair ñandú", "ﬁne ½ ℡ №5", "ＡＢＣ Łódź Straße", "é … ｶﾞ 𝔘nicode 日本", "plain"]
+    got = [r["f"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(folded(F.col("t")).alias("f")).collect()]
+    assert got == [unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower() for t in texts]
+    assert feature_name("extra", "Câmera ½") == "extra_camera_12"
+
+
+def test_latest_wins_has_one_answer_for_ties(spark):
+    from lakeloom.operators.ledger import latest_wins
+
+    rows = [(1, 5, "a"), (1, 5, "c"), (1, 5, "b"), (2, 1, "x")]
+    out = [latest_wins(spark.createDataFrame(part, "k int, o int, v string"), spark.createDataFrame(rest, "k int, o int, v string"), ["k"], "o") for part, rest in ((rows[:2], rows[2:]), (rows[2:], rows[:2]))]
+    assert [sorted(map(tuple, o.collect())) for o in out] == [[(1, 5, "c"), (2, 1, "x")]] * 2
