@@ -188,3 +188,24 @@ def size_in_mib(text: Column) -> Column:
     for name, factor in {"B": 1 / 1048576, "KiB": 1 / 1024, "MiB": 1.0, "GiB": 1024.0, "TiB": 1048576.0, "kB": 1e3 / 1048576, "KB": 1e3 / 1048576, "MB": 1e6 / 1048576, "GB": 1e9 / 1048576}.items():
         out = F.when(unit == name, number * factor) if out is None else out.when(unit == name, number * factor)
     return out
+
+
+def mentions_number(text: Column, number: Column) -> Column:
+    """Whether a text holds a whole number, written plainly or with a blank, point, comma, apostrophe or no-break space between thousands."""
+    grouped = F.regexp_replace(F.format_number(number, 0), ",", "[ .,'\u00a0]?")
+    return F.rlike(text, F.concat(F.lit("(?<![0-9])(?<![0-9][.,])"), grouped, F.lit("(?![0-9]|[.,][0-9])")))
+
+
+def same_digits(a: Column, b: Column) -> Column:
+    """Whether two texts hold the same digits in the same order, whatever stands between them."""
+    return F.regexp_replace(a, "[^0-9]", "") == F.regexp_replace(b, "[^0-9]", "")
+
+
+def json_pointer(*parts: Column) -> Column:
+    """The JSON pointer to nested keys: ~ and / inside a key are escaped."""
+    return F.concat(*[F.concat(F.lit("/"), F.replace(F.replace(p.cast("string"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))) for p in parts])
+
+
+def typical_price(complete: Column, point: Column, median: Column) -> Column:
+    """A complete request has the point estimate, any other the median of its range; the other one where that is null."""
+    return F.when(complete, F.coalesce(point, median)).otherwise(F.coalesce(median, point))

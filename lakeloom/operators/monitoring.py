@@ -138,3 +138,13 @@ def ratio_windows(df: DataFrame, ts: str, bad: Column, minutes: int, least: int
     """Share of bad events in tumbling windows with enough events, and whether it is over the limit."""
     g = df.groupBy(F.window(ts, f"{minutes} minutes").alias("w")).agg(F.count("*").alias("events"), F.sum(bad.cast("long")).alias("bad"))
     return g.where(F.col("events") >= least).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events", "bad", F.round(F.col("bad") / F.col("events"), 6).alias("ratio"), (F.col("bad") / F.col("events") > limit).alias("alert"))
+
+
+def level_share(windowed: DataFrame, column: str, level: str, by: Sequence[str] = ("run", "window")) -> DataFrame:
+    """The share of a level in each window; null rows count in the total."""
+    return windowed.groupBy(*by).agg(F.round(F.avg(F.coalesce((F.col(column) == level).cast("double"), F.lit(0.0))), 6).alias("share"))
+
+
+def pooled(windowed: DataFrame, metrics: Sequence[Column], by: Sequence[str] = ("run", "window")) -> DataFrame:
+    """The metrics of each window, and of all windows together under null keys."""
+    return windowed.groupingSets([list(by), []], *by).agg(*metrics).select(*by, *[m for m in windowed.groupBy(*by).agg(*metrics).columns if m not in by])

@@ -101,3 +101,22 @@ def exposition(metrics: DataFrame) -> DataFrame:
     escaped = lambda v: F.regexp_replace(F.regexp_replace(F.regexp_replace(v, r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")
     labels = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), escaped(e["value"]), F.lit('"'))), ",")
     return metrics.select(F.concat(F.col("metric"), F.when(F.size("labels") > 0, F.concat(F.lit("{"), labels, F.lit("}"))).otherwise(""), F.lit(" "), F.col("value").cast("string")).alias("value"))
+
+
+def in_declared_order(table: DataFrame, column: str, order: Sequence[str], then: str) -> DataFrame:
+    """Rows by the declared order of a column's values (undeclared ones last), then by ``then`` from the largest, with their ``place`` inside the value."""
+    place = F.row_number().over(Window.partitionBy(column).orderBy(F.desc(then)))
+    at = F.array_position(F.array(*map(F.lit, order)), F.col(column))
+    return table.withColumn("place", place).orderBy(F.when(at > 0, at).otherwise(len(order) + 1), "place")
+
+
+def levels_by_error(table: DataFrame, group: str, name: str, error: str) -> DataFrame:
+    """Each group's names from the largest error, ties by name, joined by commas, and its worst error. Tables hold one row for each level."""
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col(error)).alias("e"), F.col(name).alias("n"))))
+    out = table.groupBy(group).agg(ranked.alias("r"), F.max(error).alias("worst"))
+    return out.select(group, F.array_join(F.transform("r", lambda x: x["n"]), ",").alias("names"), "worst").orderBy(F.desc("worst"), group)
+
+
+def required_only(metrics: DataFrame, field: str, value: str, every: str) -> DataFrame:
+    """The value of the row that omits every optional field, or null where there is none."""
+    return metrics.agg(F.max(F.when(F.col(field) == every, F.col(value))).alias(value))

@@ -54,3 +54,11 @@ def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         (F.count("*") - F.count_distinct(F.struct(*keys))).alias("repeats_of_key"),
         (F.count("*") - F.count_distinct(F.struct(*df.columns))).alias("repeats_of_row"),
     )
+
+
+def refuse_unparsed(df: DataFrame, text: str, parsed: Column, shown: int = 5) -> DataFrame:
+    """``df`` itself; an error that names up to ``shown`` different values if a text that isn't null could not be read."""
+    bad = df.where(F.col(text).isNotNull() & parsed.isNull()).select(text).distinct().orderBy(text).limit(shown).collect()
+    if bad:
+        raise ValueError(f"{text}: not understood: " + ", ".join(repr(r[0]) for r in bad))
+    return df

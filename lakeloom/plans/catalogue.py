@@ -17,6 +17,7 @@ from lakeloom.operators import baseline, comparables, evaluation, expectations,
 from lakeloom.operators.expectations import Expectation
 from lakeloom.operators.requests import FieldCheck
 from lakeloom.operators.rules import RowRule
+from lakeloom.operators.running import exact_quantiles
 from lakeloom.sources.tables import Tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -867,3 +868,67 @@ def point_lookup(t):
 def log_bounds(t):
     last = F.max(F.when(F.col("event_type") == "purchase", F.col("ts")))
     return t.events.agg(F.min("event_id").alias("first_seq"), F.coalesce(F.max("event_id"), F.lit(0)).alias("last_seq"), last.cast("string").alias("last_success"))
+
+
+# ---- small reports and expressions
+
+
+@query(f"""WITH {_WINDOWS} SELECT run, "window", round(avg((event_type = 'error')::INT), 6) AS share FROM windowed GROUP BY run, "window" """)
+def level_share_by_window(t):
+    return monitoring.level_share(_windowed(t), "event_type", "error")
+
+
+@query(f"""WITH {_WINDOWS} SELECT run, "window", count(*) AS n, round(sum(value), 4) AS value FROM windowed GROUP BY GROUPING SETS ((run, "window"), ())""")
+def pooled_windows(t):
+    return monitoring.pooled(_windowed(t), [F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value")])
+
+
+_LEVELS = "lv AS (SELECT o_orderstatus AS segment, o_orderpriority AS level, count(*) AS n, round(avg(o_totalprice), 4) AS error FROM orders GROUP BY ALL)"
+
+
+def _levels(t):
+    return t.orders.groupBy(F.col("o_orderstatus").alias("segment"), F.col("o_orderpriority").alias("level")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("error"))
+
+
+@query(f"WITH {_LEVELS} SELECT segment, level, error, row_number() OVER (PARTITION BY segment ORDER BY error DESC) AS place FROM lv")
+def segments_in_order(t):
+    return reports.in_declared_order(_levels(t), "segment", ["P", "O", "F"], "error").select("segment", "level", "error", "place")
+
+
+@query(f"WITH {_LEVELS} SELECT segment, string_agg(level, ',' ORDER BY error DESC, level) AS names, max(error) AS worst FROM lv GROUP BY segment")
+def levels_by_error(t):
+    return reports.levels_by_error(_levels(t), "segment", "level", "error")
+
+
+@query(f"WITH {_LEVELS} SELECT max(error) FILTER (WHERE segment = 'P') AS error FROM lv")
+def required_only(t):
+    return reports.required_only(_levels(t), "segment", "error", "P")
+
+
+@query("""
+WITH m AS (SELECT p_type, median(p_retailprice) AS median FROM part GROUP BY p_type)
+SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN coalesce(point, median) ELSE coalesce(median, point) END AS price FROM (SELECT *, CASE WHEN p_size % 4 > 0 THEN p_retailprice END AS point FROM part) JOIN m USING (p_type)""")
+def typical_price(t):
+    medians = exact_quantiles(t.part, "p_retailprice", [0.5], ["p_type"]).select("p_type", F.col("q0").alias("median"))
+    point = F.when(F.col("p_size") % 4 > 0, F.col("p_retailprice"))
+    return t.part.join(medians, "p_type").select("p_partkey", X.typical_price(F.col("p_size") % 3 > 0, point, F.col("median")).alias("price"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS n FROM orders), s AS (SELECT *, CASE o_orderkey % 4 WHEN 0 THEN 'asks ' || n || ' only' WHEN 1 THEN 'was ' || format('{:,}', n) || '.' WHEN 2 THEN 'no ' || n || '5' ELSE 'at ' || replace(format('{:,}', n), ',', ' ') || ',9' END AS text FROM o)
+SELECT o_orderkey, regexp_matches(text, '(^|[^0-9.,]|[^0-9][.,])' || regexp_replace(format('{:,}', n), ',', '[ .,'']?', 'g') || '($|[^0-9.,]|[.,]([^0-9]|$))') AS mentioned FROM s""")
+def number_mentions(t):
+    n, own = F.floor("o_totalprice"), F.col("o_orderkey") % 4
+    grouped = F.format_number(n, 0)
+    text = F.when(own == 0, F.concat(F.lit("asks "), n.cast("string"), F.lit(" only"))).when(own == 1, F.concat(F.lit("was "), grouped, F.lit("."))).when(own == 2, F.concat(F.lit("no "), n.cast("string"), F.lit("5"))).otherwise(F.concat(F.lit("at "), F.regexp_replace(grouped, ",", " "), F.lit(",9")))
+    return t.orders.select("o_orderkey", X.mentions_number(text, n).alias("mentioned"))
+
+
+@query("SELECT p_partkey, regexp_replace(p_brand, '[^0-9]', '', 'g') = regexp_replace('No. ' || p_size, '[^0-9]', '', 'g') AS same FROM part")
+def digit_equality(t):
+    return t.part.select("p_partkey", X.same_digits(F.col("p_brand"), F.concat(F.lit("No. "), F.col("p_size").cast("string"))).alias("same"))
+
+
+@query("SELECT p_partkey, '/part/' || replace(replace(replace(p_name, ' ', '~/'), '~', '~0'), '/', '~1') AS pointer FROM part")
+def json_pointers(t):
+    return t.part.select("p_partkey", X.json_pointer(F.lit("part"), F.regexp_replace("p_name", " ", "~/")).alias("pointer"))

@@ -209,3 +209,11 @@ def test_latest_wins_has_one_answer_for_ties(spark):
     rows = [(1, 5, "a"), (1, 5, "c"), (1, 5, "b"), (2, 1, "x")]
     out = [latest_wins(spark.createDataFrame(part, "k int, o int, v string"), spark.createDataFrame(rest, "k int, o int, v string"), ["k"], "o") for part, rest in ((rows[:2], rows[2:]), (rows[2:], rows[:2]))]
     assert [sorted(map(tuple, o.collect())) for o in out] == [[(1, 5, "c"), (2, 1, "x")]] * 2
+
+
+def test_texts_that_cannot_be_read_are_refused(spark):
+    df = spark.createDataFrame([("1,945 kg",), (None,), ("12 lb",), ("x",), ("12 lb",), *[(f"bad {k}",) for k in range(9)]], "w string")
+    parsed = X.parsed_weight(F.col("w"))
+    with pytest.raises(ValueError, match=r"'12 lb', 'bad 0', 'bad 1', 'bad 2', 'bad 3'$"):
+        rules.refuse_unparsed(df, "w", parsed)
+    assert rules.refuse_unparsed(df.where("w like '%kg' or w is null"), "w", parsed).count() == 2
