@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -188,3 +189,20 @@ def test_keep_one_leaves_texts_below_the_similarity(spark):
 
 def hash_of(w):
     return (int(w[1:]) * 37) % 101
+
+
+def test_two_prints_find_nine_of_ten_alike_pairs_of_all_documents(spark):
+    """All pairs of sf0.1 whose shingles are alike by 0.8: one of two texts' rarest fifth of shingles is shared, so an index of those finds every pair."""
+    texts = sorted({r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect() if r["text"]})
+    sets = [s.shingle_set(t) for t in texts]
+    every, often = np.unique(np.concatenate(sets), return_counts=True)
+    index, pairs = {}, set()
+    for i, own in enumerate(sets):
+        rare = own[np.lexsort((own, often[np.searchsorted(every, own)]))][: len(own) - math.ceil(0.8 * len(own)) + 1]
+        for h in rare.tolist():
+            pairs |= {(j, i) for j in index.get(h, ())}
+            index.setdefault(h, []).append(i)
+    both = {(i, j): len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in pairs}
+    alike = [(i, j) for (i, j), n in both.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)]
+    near = [any((s.fingerprint(texts[i], 1, False, seed) ^ s.fingerprint(texts[j], 1, False, seed)).bit_count() <= 6 for seed in (42, 43)) for i, j in alike]
+    assert len(alike) >= 40 and sum(near) >= 0.9 * len(alike)
