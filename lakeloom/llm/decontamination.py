@@ -133,7 +133,7 @@ def window_hashes(codes, size: int, literal: int = 0):
 
 def _windows(words, here, codes, literal, sizes):
     """(size, hashes, codes) of the windows of a text; a text of fewer tokens than LITERALS is one literal window, which only such texts share, under a negative size."""
-    if identifying(words, here) < LITERALS:
+    if len(here) < 2 * LITERALS and identifying(words, here) < LITERALS:  # a token is half a one at least
         return [(-len(literal), window_hashes(literal, len(literal), 2), literal)] if len(literal) else []
     return [(size, window_hashes(own, size, own is literal), own) for size in sizes for own in (codes, literal)]
 
