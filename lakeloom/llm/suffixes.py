@@ -2,18 +2,16 @@
 
 Only suffixes that can repeat are sorted. Each document's anchors are the places whose 50-byte
 string hashes lowest among the 51 that some 100-byte window holds, so equal windows have equal anchors at one
-place. Spark groups the anchors by their string, with all that windows around them can see (their context):
+place. Spark groups the anchors by their string's hash, and the suffixes at all anchors whose string
+occurs elsewhere are sorted; the hash only tells which can be left out. Inside one batch or run, anchors with equal
+contexts (all that windows around them can see) are one after their bytes have been compared: the others repeat.
 
-- a context that occurs earlier, whole, repeats with all its windows;
-- a string with one context tells nothing; all else about it is known;
-- where a string has several contexts, the suffixes at the first place of each are sorted.
-
-That is a distributed merge sort that knows common prefixes: tasks sort runs, front-code
+The sort is a distributed merge sort that knows common prefixes: tasks sort runs, front-code
 them (length of the prefix shared with the suffix before, and the rest) and send each range of the order to one
 task, which merges the runs with a loser tree that compares characters behind known prefixes only.
 Anchors of one string then follow each other, in order of what comes behind, with the lengths they
 share; with what stands before each, that tells which windows are equal. All but the first of those in document
-order repeat. Strings with very many contexts are not left to one task: there every
+order repeat. Strings at very many anchors are not left to one task: there every
 window is a suffix of its own, its order is cut into ranges anywhere, and windows that share the whole length repeat.
 """
 
@@ -32,10 +30,10 @@ LENGTH, GRAM = 100, 50
 BEFORE = LENGTH - GRAM
 #: Bytes handled at once; longer documents are handled by overlapping segments.
 SEGMENT = 1 << 19
-#: Suffixes in a run, documents that splitters are drawn from, and bytes of positions that are broadcast at most.
-RUN, SAMPLE, BROADCAST = 200_000, 300, 64_000_000
-#: A string with more contexts than this is sorted window by window.
-HOT = 50_000
+#: Suffixes in a run and, about, in a range; documents that splitters are drawn from, and splitters of each; bytes of positions that are broadcast at most.
+RUN, RANGE, SAMPLE, DRAWN, BROADCAST = 200_000, 500_000, 300, 200, 64_000_000
+#: A string at more anchors than this is sorted window by window. Strings that a task remembers to occur more than once.
+HOT, REMEMBERED = 50_000, 1_000_000
 
 _B = 0x9E3779B97F4A7C15
 _POWERS: list = []
@@ -72,7 +70,7 @@ def anchors_of(units):
     """Anchors of several stretches of text.
 
     ``units``: (document, place of the stretch in it, bytes, first and last-but-one place to report).
-    Returns hashes of the anchors' strings and contexts, their units' numbers and places in their documents.
+    Returns hashes of the anchors' strings, their documents, places in those, and ``known``: an earlier anchor here has the same context.
     """
     import numpy as np
 
@@ -81,7 +79,7 @@ def anchors_of(units):
     n = len(raw)
     none = np.zeros(0, dtype=np.int64)
     if n < LENGTH:
-        return none.view(np.uint64), none.view(np.uint64), none, none
+        return none.view(np.uint64), none, none, none.astype(bool)
     power, inverse = _powers(n + 1)
     prefix = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
@@ -105,31 +103,55 @@ def anchors_of(units):
     at, unit, place = at[own], unit[own], place[own]
     left, right = np.maximum(starts[unit], at - BEFORE), np.minimum(ends[unit], at + LENGTH)
     context = _mix(((prefix[right] - prefix[left]) * inverse[left]) ^ _mix((((at - left) << 16) | (right - left)).astype(np.uint64) + np.uint64(_B)))
-    return h[at], context, unit, place
-
-
-ANCHORS = T.StructType([T.StructField("g", T.LongType()), T.StructField("x", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("known", T.BooleanType())])
+    g, doc = h[at], np.array([u[0] for u in units], dtype=np.int64)[unit]
+    order = np.lexsort((place, doc, context, g))
+    g, x, doc, place, at, left, right = (c[order] for c in (g, context, doc, place, at, left, right))
+    known = np.zeros(len(g), dtype=bool)
+    known[1:] = (g[1:] == g[:-1]) & (x[1:] == x[:-1])
+    first = np.maximum.accumulate(np.where(known, 0, np.arange(len(g))))
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([raw, np.zeros(BEFORE + LENGTH, dtype=np.uint8)]), BEFORE + LENGTH)
+    again = np.flatnonzero(known)
+    for k in range(0, len(again), 1 << 14):  # equal hashes: compare the bytes
+        b = again[k : k + (1 << 14)]
+        a = first[b]
+        size = (right - left)[b]
+        same = ((view[left[b]] == view[left[a]]) | (np.arange(BEFORE + LENGTH) >= size[:, None])).all(axis=1)
+        known[b] = same & (size == (right - left)[a]) & ((at - left)[b] == (at - left)[a])
+    return g, doc, place, known
+
+
+#: What is known of an anchor: nothing; its string occurs elsewhere, and others are to learn so from it; its string occurs
+#: elsewhere; it repeats an earlier anchor's context.
+LONE, TELLS, SHARED, KNOWN = range(4)
+ANCHORS = T.StructType([T.StructField("g", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("kind", T.ByteType())])
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """The anchors of all documents: g (string), x (context), doc, at, and ``known``: repeats a context of the same stretch of input.
+    """The anchors of all documents: g (string), doc, at and ``kind``.
 
-    Of those that do, only the first goes on under its string's hash; the others get a hash of their
-    own place, so that however often a passage occurs, a task sends one row for it to be grouped.
+    However often a string occurs, a task tells others of it once, in its first batch that holds it more than once.
+    (A task remembers REMEMBERED strings; beyond those it tells once a batch.)
     """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        told = np.zeros(0, dtype=np.uint64)
+
         def emit(units):
-            g, x, unit, place = anchors_of(units)
-            doc = np.array([u[0] for u in units], dtype=np.int64)[unit] if len(unit) else np.zeros(0, dtype=np.int64)
-            order = np.lexsort((place, doc, x, g))
-            g, x, doc, place = g[order], x[order], doc[order], place[order]
-            known = np.r_[False, (g[1:] == g[:-1]) & (x[1:] == x[:-1])] if len(g) else np.zeros(0, dtype=bool)
-            g = np.where(known, _mix(doc.view(np.uint64) * np.uint64(_B) + place.astype(np.uint64)), g)
-            return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(x.view(np.int64)), pa.array(doc), pa.array(place.astype(np.int32)), pa.array(known)], names=ANCHORS.names)
+            nonlocal told
+            g, doc, place, known = anchors_of(units)
+            kind = np.full(len(g), KNOWN, dtype=np.int8)
+            open_ = np.flatnonzero(~known)
+            _, start, where, count = np.unique(g[open_], return_index=True, return_inverse=True, return_counts=True)
+            several, before = (count > 1)[where], np.isin(g[open_], told)
+            tells = np.zeros(len(open_), dtype=bool)
+            tells[start[count > 1]] = True
+            kind[open_] = np.where(before | (several & ~tells), SHARED, np.where(tells, TELLS, LONE))
+            if len(told) < REMEMBERED:
+                told = np.concatenate([told, g[open_][tells & ~before]])
+            return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(doc), pa.array(place.astype(np.int32)), pa.array(kind)], names=ANCHORS.names)
 
         units, held = [], 0
         for b in text_batches(batches, rows=2000, chars=4 * SEGMENT):
@@ -150,16 +172,27 @@ def anchors(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, ANCHORS)
 
 
-def graded(found: DataFrame) -> DataFrame:
-    """doc, at and ``grade``: 0 where the anchor's context occurs earlier, 1 where it must be sorted, 2 where it is one of very many."""
+def candidates(found: DataFrame) -> DataFrame:
+    """doc, at, g and kind of the anchors whose string's hash occurs more than once.
+
+    Anchors that nobody has to hear of are dealt out by their place, so a very common string sends few rows of each task to one.
+    """
     from pyspark.sql import Window
 
-    by = Window.partitionBy("g").orderBy("x", "doc", "at")
-    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    repeats = F.col("known") | F.coalesce(F.lag("x").over(by) == F.col("x"), F.lit(False))
-    several = F.first("x").over(whole) != F.last("x").over(whole)
-    hot = F.when(F.count("*").over(whole) > HOT, 2).otherwise(1)
-    return found.select("doc", "at", F.when(repeats, 0).otherwise(hot).alias("grade"), several.alias("several")).where("grade = 0 or several").select("doc", "at", "grade")
+    key = F.when(F.col("kind") <= TELLS, F.col("g")).otherwise(F.xxhash64("doc", "at"))
+    n = F.count("*").over(Window.partitionBy(key))
+    return found.withColumn("n", n).where((F.col("kind") != LONE) | (F.col("n") > 1)).drop("n")
+
+
+def graded(some: DataFrame) -> DataFrame:
+    """doc, at and ``grade`` of candidates: 0 where the anchor's context occurs earlier, 1 where it must be sorted, 2 where its string has more than HOT to sort."""
+    hot = written(some.where(F.col("kind") != KNOWN).groupBy("g").count().where(F.col("count") > HOT).select(F.col("g").alias("h")), "hot-strings")
+    n = hot.count()
+    grade = F.when(F.col("kind") == KNOWN, 0)
+    if not n:
+        return some.select("doc", "at", grade.otherwise(1).alias("grade"))
+    joined = some.join(F.broadcast(hot) if 16 * n <= BROADCAST else hot, F.col("g") == F.col("h"), "left")
+    return joined.select("doc", "at", grade.otherwise(F.when(F.col("h").isNull(), 1).otherwise(2)).alias("grade"))
 
 
 # ---- Sorting
@@ -205,8 +238,9 @@ def sorted_runs(texts: DataFrame, splitters: list[bytes]) -> DataFrame:
     """Front-coded sorted runs of the suffixes to sort, one row for each range of the order that a run meets.
 
     Suffixes at anchors (column ``cold``) go with what stands before them, and ranges are cut between anchors'
-    strings. Around the anchors in column ``hot`` every window is a suffix. A window that a run holds twice is
-    sent once, at its first place; its other places are returned as rows of range -1.
+    strings. Around the anchors in column ``hot`` every window is a suffix. A window, or an anchor with all its context, that a
+    run holds twice is sent once, at its first place; the others are returned as rows of range -1: where the windows
+    that repeat start (``starts``) and how many do (``behind``).
     """
 
     def run(batches):
@@ -227,18 +261,24 @@ def sorted_runs(texts: DataFrame, splitters: list[bytes]) -> DataFrame:
 
         def order_of(rows, docs, starts):
             order = np.lexsort((starts, docs))
-            return order[np.argsort(np.ascontiguousarray(rows[order]).view(f"S{LENGTH}").ravel(), kind="stable")]
+            return order[np.argsort(np.ascontiguousarray(rows[order]).view(f"S{rows.shape[1]}").ravel(), kind="stable")]
 
         def emit(parts, windows):
             columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            order = order_of(*columns[:3])
-            rows, docs, starts, *more = (c[order] for c in columns)
+            whole = columns[0] if windows else np.concatenate([c.reshape(len(c), -1) for k, c in enumerate(columns) if k not in (1, 2)], axis=1)
+            order = order_of(whole, *columns[1:3])
+            whole = whole[order]
+            columns = [c[order] for c in columns]
+            same = np.r_[False, (whole[1:] == whole[:-1]).all(axis=1)]
             out = []
-            if windows:
-                same = np.r_[False, (rows[1:] == rows[:-1]).all(axis=1)]
-                if same.any():
-                    out.append(record(True, -1, docs=docs[same].astype("<i8"), starts=starts[same].astype("<i4")))
-                    rows, docs, starts = rows[~same], docs[~same], starts[~same]
+            if same.any():
+                docs, starts = columns[1][same], columns[2][same]
+                count = np.ones(len(docs), dtype=np.uint8)
+                if not windows:
+                    starts, count = starts - columns[5][same], columns[5][same] + columns[3][same] - np.uint8(LENGTH - 1)
+                out.append(record(windows, -1, docs=docs.astype("<i8"), starts=starts.astype("<i4"), behind=count.astype(np.uint8)))
+                columns = [c[~same] for c in columns]
+            rows, docs, starts, *more = columns
             for part, a, e in ranges(rows, wide if windows else narrow, LENGTH if windows else GRAM):
                 shared, rest = front_code(rows[a:e])
                 out.append(record(windows, part, shared=shared, rest=rest, docs=docs[a:e].astype("<i8"), starts=starts[a:e].astype("<i4"), **{k: v[a:e] for k, v in zip(("behind", "before", "befores"), more, strict=False)}))
@@ -412,13 +452,22 @@ def repeated_places(runs: DataFrame) -> DataFrame:
                     out.append((again[0], again[1] * STEP + 1))
         else:
             behind, before, befores = (pdf[c].tolist() for c in ("behind", "before", "befores"))
-            group = []
+            group, contexts = [], {}
             for shared, r, i in merged:
                 if shared < GRAM and group:
                     if len(group) > 1:
                         out += repeated_among(group)
                     group = []
-                group.append((shared if group else 0, behind[r][i], before[r][i * BEFORE : i * BEFORE + befores[r][i]], docs[r][i], starts[r][i]))
+                if shared < LENGTH:
+                    contexts = {}
+                one = (shared if group else 0, behind[r][i], before[r][i * BEFORE : i * BEFORE + befores[r][i]], docs[r][i], starts[r][i])
+                known = contexts.setdefault(one[1:3], len(group))
+                if known == len(group):
+                    group.append(one)
+                    continue
+                if one[3:] < group[known][3:]:
+                    one, group[known] = group[known], (group[known][0], *one[1:])
+                out.append((one[3], (one[4] - len(one[2])) * STEP + len(one[2]) + one[1] - LENGTH + 1))
             if len(group) > 1:
                 out += repeated_among(group)
         return pd.DataFrame(out, columns=["doc", "stretch"]).astype("int64")
@@ -429,8 +478,8 @@ def repeated_places(runs: DataFrame) -> DataFrame:
 # ---- The operator
 
 
-def _ordered_ids(docs: DataFrame) -> DataFrame:
-    """The documents with ``doc``, a number that orders them as doc_id does.
+def _ordered_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents with ``doc``, a number that orders them as doc_id does, and one row (doc, text) of each number.
 
     Usually doc_id itself. Where ids repeat or are null, rows are numbered by (doc_id, hash of the
     text), nulls first; rows equal in both share a number.
@@ -440,22 +489,25 @@ def _ordered_ids(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
     if not ids.where("n > 1 or doc_id is null").head(1):
-        return docs.withColumn("doc", F.col("doc_id"))
+        docs = docs.withColumn("doc", F.col("doc_id"))
+        return docs, docs.select("doc", "text")
     docs = docs.withColumn("h", F.xxhash64("text"))
     known = number_in_order(docs.select("doc_id", "h").distinct(), [F.asc_nulls_first("doc_id"), F.col("h").asc()], "doc")
     known = known.select(F.col("doc_id").alias("k"), F.col("h").alias("kh"), "doc")
-    return written(docs.join(known, F.expr("doc_id <=> k and h = kh")).select("doc_id", "text", "doc"), "ordered")
+    docs = written(docs.join(known, F.expr("doc_id <=> k and h = kh")).select("doc_id", "text", "doc"), "ordered")
+    return docs, docs.groupBy("doc").agg(F.first("text").alias("text"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, ``whole`` (anchors whose whole context occurs earlier) and ``stretches`` (windows that do) of documents (doc, text)."""
     spark = docs.sparkSession
-    found = graded(anchors(docs))
+    found = graded(written(candidates(anchors(docs)), "candidates"))
     lists = [F.collect_list(F.when(F.col("grade") == k, F.col("at"))).alias(c) for k, c in enumerate(("whole", "cold", "hot"))]
     by_doc = written(found.groupBy("doc").agg(*lists), "by-document")
     open_ = by_doc.where("size(cold) + size(hot) > 0").drop("whole")
-    cost = open_.agg(F.sum(F.size("cold") + F.size("hot") + 8).alias("n")).first()["n"] or 0
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sums = open_.agg(F.sum(F.size("cold") + F.size("hot") + 8).alias("cost"), F.sum(F.size("cold") + (BEFORE + 1) * F.size("hot")).alias("suffixes")).first()
+    cost, suffixes = sums["cost"] or 0, sums["suffixes"] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-suffixes // RANGE))
     few = open_.orderBy(F.xxhash64("doc")).limit(SAMPLE)
     ids = [r["doc"] for r in few.select("doc").collect()]
     splitters = _splitters(docs.where(F.col("doc").isin(ids)).join(F.broadcast(few), "doc"), ranges) if ids and ranges > 1 else []
@@ -466,24 +518,30 @@ def repeats(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            for d, s in zip(b.column("docs").to_pylist(), b.column("starts").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(d, dtype="<i8")), pa.array(np.frombuffer(s, dtype="<i4").astype(np.int64) * STEP + 1)], names=["doc", "stretch"])
+            for d, s, n in zip(*(b.column(c).to_pylist() for c in ("docs", "starts", "behind")), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(d, dtype="<i8")), pa.array(np.frombuffer(s, dtype="<i4").astype(np.int64) * STEP + np.frombuffer(n, dtype=np.uint8))], names=["doc", "stretch"])
 
-    again = runs.where("range < 0").select("docs", "starts").mapInArrow(places, "doc long, stretch long")
+    again = runs.where("range < 0").select("docs", "starts", "behind").mapInArrow(places, "doc long, stretch long")
     stretches = repeated_places(runs).unionByName(again).groupBy("doc").agg(F.collect_list("stretch").alias("stretches"))
     return by_doc.where(F.size("whole") > 0).select("doc", "whole").join(stretches, "doc", "full_outer")
 
 
 def _splitters(sample: DataFrame, ranges: int) -> list[bytes]:
     """Suffixes that cut a bounded sample's order into equal parts; they decide balance, not results."""
-    import numpy as np
 
-    own = set()
-    for r in sample.select("text", "cold", "hot").collect():  # at most SAMPLE documents
-        data = r["text"].encode()
-        at = np.array([*r["cold"], *(windows_to_sort(len(data), r["hot"]) if r["hot"] else [])], dtype=np.int64)
-        own |= {data[a : a + LENGTH] for a in at[:: max(1, len(at) // 200)].tolist()}
-    own = sorted(own)
+    def draw(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in text_batches(batches, rows=100):
+            out = []
+            for text, cold, hot in zip(*(b.column(c).to_pylist() for c in ("text", "cold", "hot")), strict=True):
+                data = text.encode()
+                at = np.array([*cold, *(windows_to_sort(len(data), hot) if hot else [])], dtype=np.int64)
+                out += [data[a : a + LENGTH] for a in at[:: -(-len(at) // DRAWN)].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary())], names=["suffix"])
+
+    own = sorted({bytes(r["suffix"]) for r in sample.select("text", "cold", "hot").mapInArrow(draw, "suffix binary").collect()})  # at most SAMPLE * DRAWN
     return sorted({own[len(own) * k // ranges] for k in range(1, ranges)}) if own else []
 
 
@@ -510,8 +568,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     by their text's hash, and rows equal in both count as one document and share a result. An empty table gives no
     rows. Columns other than doc_id and text are left out.
     """
-    ordered = _ordered_ids(docs)
-    found = repeats(ordered.select("doc", "text"))
+    ordered, once = _ordered_ids(docs)
+    found = repeats(once)
     joined = ordered.join(found, "doc", "left").select("doc_id", "text", "whole", "stretches")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 

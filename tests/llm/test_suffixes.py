@@ -48,6 +48,8 @@ def test_planted_repeats(spark, monkeypatch):
     assert run(df) == brute(rows)
     monkeypatch.setattr(s, "BROADCAST", 0)
     assert run(df) == brute(rows)
+    monkeypatch.setattr(s, "REMEMBERED", 0)
+    monkeypatch.setattr(s, "RANGE", 50)
     for hot in (0, 5):
         monkeypatch.setattr(s, "HOT", hot)
         assert run(df) == brute(rows)
@@ -65,6 +67,36 @@ def test_edges(edge_docs, no_docs, spark):
     rows = [(1, text), (1, text), (None, text), (1, text[:50] + "Q" + text[51:]), (2, text)]
     got = sorted(((r["doc_id"] or 0), r["n_removed"]) for r in s.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(0, 0), (1, 109), (1, 160), (1, 160), (2, 160)]
+    once = s.deduplicated(spark.createDataFrame([(5, text), (5, text)], "doc_id long, text string")).collect()
+    assert [r["n_removed"] for r in once] == [0, 0]
+
+
+def test_equal_hashes_do_not_remove(spark, monkeypatch):
+    """Where all hashes of contexts and of strings are equal, bytes still decide."""
+    rnd = random.Random(3)
+    rows = [(i, "".join(rnd.choice("abcdefgh") for _ in range(rnd.choice([110, 150, 200])))) for i in range(40)]
+    rows += [(100 + i, rows[i][1]) for i in range(0, 40, 7)] + [(200, rows[1][1][:105] + "zz" + rows[2][1])]
+
+    def alike(units):
+        g, doc, place, known = plain(units)
+        return np.full_like(g, 7), doc, place, known
+
+    plain, mix = s.anchors_of, s._mix
+    units = [(d, 0, t.encode(), 0, 1 << 19) for d, t in rows]
+    g, doc, place, known = plain(units)
+    first = {}
+    for k in range(len(g)):
+        data = units[[u[0] for u in units].index(doc[k])][2]
+        context = (data[max(0, place[k] - 50) : place[k]], data[place[k] : place[k] + 100])
+        assert known[k] == (context in first)
+        first.setdefault(context, k)
+    monkeypatch.setattr(s, "_mix", lambda h: mix(h) & np.uint64(15))
+    few = plain(units)[3]
+    assert 0 < few.sum()
+    monkeypatch.setattr(s, "_mix", mix)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(s, "anchors_of", alike)
+    assert run(df) == brute(rows)
 
 
 @pytest.mark.parametrize("k", [1, 2, 3, 8, 13])
