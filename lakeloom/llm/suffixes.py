@@ -230,6 +230,19 @@ def front_code(rows):
     return shared, rows[np.arange(rows.shape[1])[None] >= shared[:, None]].tobytes()
 
 
+def packed(values) -> bytes:
+    """An array or bytes, compressed: runs are stored and exchanged like this."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(values if isinstance(values, bytes) else values.tobytes())
+
+
+def unpacked(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data) if data else b""
+
+
 _BLOBS = ("shared", "rest", "docs", "starts", "behind", "before", "befores")
 RUNS = T.StructType([T.StructField("windows", T.BooleanType()), T.StructField("range", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in _BLOBS]])
 
@@ -251,7 +264,7 @@ def sorted_runs(texts: DataFrame, splitters: list[bytes]) -> DataFrame:
         narrow = np.array(sorted({x[:GRAM] for x in splitters}), dtype=f"S{GRAM}")
 
         def record(windows, part, **blobs):
-            return {"windows": windows, "range": part} | {c: b"" for c in _BLOBS} | {k: v.tobytes() if hasattr(v, "tobytes") else v for k, v in blobs.items()}
+            return {"windows": windows, "range": part} | {c: b"" for c in _BLOBS} | {k: packed(v) for k, v in blobs.items()}
 
         def ranges(rows, cuts, width):
             keys = np.ascontiguousarray(rows[:, :width]).view(f"S{width}").ravel()
@@ -437,9 +450,10 @@ def repeated_places(runs: DataFrame) -> DataFrame:
         import numpy as np
         import pandas as pd
 
-        docs = [np.frombuffer(x, dtype="<i8").tolist() for x in pdf["docs"]]
-        starts = [np.frombuffer(x, dtype="<i4").tolist() for x in pdf["starts"]]
-        merged = LoserTree(list(zip(pdf["shared"], pdf["rest"], strict=True)))
+        blobs = {c: [unpacked(x) for x in pdf[c]] for c in _BLOBS}
+        docs = [np.frombuffer(x, dtype="<i8").tolist() for x in blobs["docs"]]
+        starts = [np.frombuffer(x, dtype="<i4").tolist() for x in blobs["starts"]]
+        merged = LoserTree(list(zip(blobs["shared"], blobs["rest"], strict=True)))
         out = []
         if pdf["windows"].iloc[0]:
             first = None
@@ -451,7 +465,7 @@ def repeated_places(runs: DataFrame) -> DataFrame:
                     first, again = (here, first) if here < first else (first, here)
                     out.append((again[0], again[1] * STEP + 1))
         else:
-            behind, before, befores = (pdf[c].tolist() for c in ("behind", "before", "befores"))
+            behind, before, befores = (blobs[c] for c in ("behind", "before", "befores"))
             group, contexts = [], {}
             for shared, r, i in merged:
                 if shared < GRAM and group:
@@ -518,7 +532,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            for d, s, n in zip(*(b.column(c).to_pylist() for c in ("docs", "starts", "behind")), strict=True):
+            for d, s, n in zip(*(map(unpacked, b.column(c).to_pylist()) for c in ("docs", "starts", "behind")), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(d, dtype="<i8")), pa.array(np.frombuffer(s, dtype="<i4").astype(np.int64) * STEP + np.frombuffer(n, dtype=np.uint8))], names=["doc", "stretch"])
 
     again = runs.where("range < 0").select("docs", "starts", "behind").mapInArrow(places, "doc long, stretch long")
