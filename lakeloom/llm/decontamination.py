@@ -30,6 +30,8 @@ WINDOW, LITERALS = 8, 5
 #: Share of an item's tokens that consistent alignments must cover.
 COVERED = 0.6
 ROW = "_row_of_leaks"
+#: Words whose codes a Python worker holds before it starts anew (about 200 bytes each).
+WORDS = 500_000
 #: With more window hashes than this in the benchmark (8 bytes each), documents' windows are joined without a filter.
 FILTER_HASHES = 4_000_000
 
@@ -49,6 +51,8 @@ _NUMBER = re.compile(r"[$€£+-]?\d[\d.,:/]*(%|[^\W\d_]*)$")
 
 def template_token(word: str) -> tuple[str, str]:
     """(type, value) of a word: ``num``, ``unit``, ``name``, or ``word`` with its lower-cased core; an empty type for signs alone."""
+    if word.isascii() and word.isalpha() and word.islower():  # most words, told at once
+        return ("unit" if word in UNITS else "word"), word
     core = word.strip("".join(c for c in {word[0], word[-1]} if not c.isalnum())) if word and not (word[0].isalnum() and word[-1].isalnum()) else word
     while core and not (core[0].isalnum() and core[-1].isalnum()):
         core = core[0 if core[0].isalnum() else 1 : len(core) if core[-1].isalnum() else -1]
@@ -83,7 +87,7 @@ class _Codes(dict):
         """The codes of both kinds."""
         import numpy as np
 
-        if len(self) > 150_000:
+        if len(self) > WORDS:
             self.clear()
             self.__init__()
         at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
