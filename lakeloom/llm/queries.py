@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import decontamination, html_text, media, packing, pii, quality, sharding, simhash, suffixes, token_files
+from lakeloom.llm import decontamination, html_text, lexical, media, packing, pii, quality, sharding, simhash, suffixes, token_files, topk
 
 #: Key of the surrogates. Production jobs pass one of their own.
 PII_KEY = "lakeloom"
@@ -68,10 +68,36 @@ def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_norm_bucketed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
+def op13_two_level_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     own = sys.modules[__name__]
     return {k: getattr(own, k) for k in sorted(vars(own), key=lambda k: (len(k.split("_")[0]), k)) if k.startswith("op") and k[2].isdigit()}
 
 
+TOPK_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS e FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS "rank", vec_id, score FROM s
+QUALIFY "rank" <= 10"""
+
+
+_TERMS = f"regexp_extract_all(translate(text, '{lexical.UPPER}', '{lexical.LOWER}'), '{lexical.TERM}')"
+SEARCH_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_TERMS} AS terms FROM documents), c AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0),
+i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+p AS (SELECT doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY term),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score FROM i JOIN p USING (term) JOIN w USING (term), c GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS "rank", doc_id, score FROM s WHERE score > 0 QUALIFY "rank" <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_norm_bucketed_topk": TOPK_SQL, "op13_two_level_lexical_search": SEARCH_SQL}

@@ -29,16 +29,16 @@ def shared_folder(spark: SparkSession) -> str:
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd", rows: int = 1000) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    While it is written, Arrow batches hold at most 1000 rows: rows here are whole texts.
+    While it is written, Arrow batches hold at most ``rows`` rows: rows here are whole texts, or blocks of many.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(BATCH)
     try:
-        spark.conf.set(BATCH, min(1000, int(before)) if int(before) > 0 else 1000)
+        spark.conf.set(BATCH, min(rows, int(before)) if int(before) > 0 else rows)
         df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(BATCH, before)
