@@ -27,9 +27,6 @@ GAIN, UNIT, LENGTH_WEIGHT, FLAT, SLOPE = 1_000_000_000, 1000, 8, 10, 90
 STEP = -(-GAIN // UNIT // 255)
 #: Documents of a block, and pairs of item and term that one pass over the index takes along.
 BLOCK, PAIRS = 512, 1_000_000
-#: Items scored at once in a block.
-ITEMS = 256
-
 _LOWERED = str.maketrans(UPPER, LOWER)
 _terms = re.compile(TERM).findall
 
@@ -127,19 +124,18 @@ class _Block:
         self.largest = np.frombuffer(row["largest"], "u1")[own].astype(np.float64)
         self.row = row
 
-    def table(self, name: str, kind: str, of):
-        """The postings' values of some of the terms (by place) as a dense table, terms by documents."""
+    def table(self, name: str, kind: str):
+        """The postings' values as a dense table, terms by documents."""
         import numpy as np
 
-        out = np.zeros((len(of), len(self.documents)), dtype=np.float64 if kind == "u1" else np.int64)
-        sizes = self.sizes[of]
-        at = np.repeat(self.first[of] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        out[np.repeat(np.arange(len(of)), sizes), np.frombuffer(self.row["places"], "<u2")[at]] = np.frombuffer(self.row[name], kind)[at]
+        out = np.zeros((len(self.terms), len(self.documents)), dtype=np.float64 if kind == "u1" else np.int64)
+        at = np.repeat(self.first - np.concatenate([[0], np.cumsum(self.sizes)])[: len(self.sizes)], self.sizes) + np.arange(self.sizes.sum())
+        out[np.repeat(np.arange(len(self.terms)), self.sizes), np.frombuffer(self.row["places"], "<u2")[at]] = np.frombuffer(self.row[name], kind)[at]
         return out
 
 
 class Asked:
-    """Items' terms and weights: for each item its term numbers and the weights of these, as integers."""
+    """Items' terms and weights, item after item: term numbers, the weights of these as integers, and whose they are."""
 
     def __init__(self, items: list[list[str]], df: dict[str, int], documents: int):
         import numpy as np
@@ -147,27 +143,24 @@ class Asked:
         held = sorted({t for own in items for t in own if t in df})
         self.terms = {t: k for k, t in enumerate(held)}
         weights = np.array([weight(documents, df[t]) for t in held], dtype=np.int64)
-        self.items = [np.array(sorted({self.terms[t] for t in own if t in df}), dtype=np.int64) for own in items]
-        self.weights = [weights[own] for own in self.items]
+        own = [sorted({self.terms[t] for t in o if t in df}) for o in items]
+        self.n, self.numbers = len(items), np.array([t for o in own for t in o], dtype=np.int64)
+        self.of = np.repeat(np.arange(len(items)), [len(o) for o in own])
+        self.weights = weights[self.numbers]
 
-    def matrices(self, block: _Block):
-        """Parts of the items: their numbers, the block's terms that they ask for (by place), and weights, items by terms."""
+    def reaching(self, block: _Block, least):
+        """By the first level: the items that some document of the block may bring to ``least``, each with its terms' places in the block and their weights."""
         import numpy as np
 
         place = np.full(len(self.terms), -1, dtype=np.int64)
         place[block.terms] = np.arange(len(block.terms))
-        for start in range(0, len(self.items), ITEMS):
-            some = range(start, min(start + ITEMS, len(self.items)))
-            own = [place[self.items[i]] for i in some]
-            used = np.unique(np.concatenate(own)) if own else np.array([], dtype=np.int64)
-            used = used[used >= 0]
-            if not len(used):
-                continue
-            w = np.zeros((len(some), len(used)))
-            for k, i in enumerate(some):
-                ok = own[k] >= 0
-                w[k, np.searchsorted(used, own[k][ok])] = self.weights[i][ok]
-            yield np.array(some), used, w
+        at = place[self.numbers]
+        held = at >= 0
+        at, of, w = at[held], self.of[held], self.weights[held]
+        most = STEP * np.bincount(of, weights=w * block.largest[at], minlength=self.n)
+        live = np.nonzero(most >= least)[0]
+        first, last = np.searchsorted(of, live), np.searchsorted(of, live, side="right")
+        return [(i, at[a:b], w[a:b]) for i, a, b in zip(live.tolist(), first.tolist(), last.tolist(), strict=True)]
 
 
 def _bounds(asked: Asked, k: int):
@@ -177,23 +170,24 @@ def _bounds(asked: Asked, k: int):
         import numpy as np
         import pyarrow as pa
 
-        best: dict[int, np.ndarray] = {}
+        best, least = {}, np.ones(asked.n)
         for batch in batches:
             for row in batch.to_pylist():
                 block = _Block(row, asked.terms)
-                for some, used, w in asked.matrices(block):
-                    reach = STEP * (w @ block.largest[used])  # first level
-                    least = np.array([best[i][-1] if i in best and len(best[i]) == k else 0 for i in some])
-                    live = reach > least
-                    if not live.any():
-                        continue
-                    steps = block.table("bytes", "u1", used)
-                    low = w[live] @ np.where(steps > 0, (steps - 1) * STEP + 1, 0.0)
-                    top = -np.sort(-low, axis=1)[:, :k] if low.shape[1] <= 4 * k else -np.sort(-np.partition(low, low.shape[1] - k, axis=1)[:, -k:], axis=1)
-                    for i, values in zip(some[live].tolist(), top, strict=True):
-                        values = values[values > 0]
-                        best[i] = np.sort(np.concatenate([best[i], values]))[::-1][:k] if i in best else values
-        items = sorted(i for i in best if len(best[i]))
+                live = asked.reaching(block, least)
+                if not live:
+                    continue
+                steps = block.table("bytes", "u1")
+                low = np.where(steps > 0, (steps - 1) * STEP + 1, 0.0)
+                for i, at, w in live:
+                    values = w @ low[at]
+                    values = values[values >= least[i]]
+                    if len(values):
+                        own = np.concatenate([best[i], values]) if i in best else values
+                        best[i] = own if len(own) <= k else np.partition(own, len(own) - k)[-k:]
+                        if len(best[i]) == k:
+                            least[i] = max(1, best[i].min())
+        items = sorted(best)
         sizes = [len(best[i]) for i in items]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(items, dtype=np.int64), sizes), pa.int64()), pa.array(np.concatenate([best[i] for i in items]).astype(np.int64) if items else [], pa.int64())], names=["item", "low"])
 
@@ -207,30 +201,26 @@ def _scored(asked: Asked, least: dict[int, int], k: int):
         import numpy as np
         import pyarrow as pa
 
-        needed = np.array([max(1, least.get(i, 1)) for i in range(len(asked.items))], dtype=np.float64)
+        needed = np.array([max(1, least.get(i, 1)) for i in range(asked.n)], dtype=np.float64)
         out: dict[int, list[tuple]] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 block = _Block(row, asked.terms)
-                m = np.array(row["m"], dtype=np.int64)
-                for some, used, w in asked.matrices(block):
-                    live = np.nonzero(STEP * (w @ block.largest[used]) >= needed[some])[0]  # first level
-                    if not len(live):
+                live = asked.reaching(block, needed)
+                if not live:
+                    continue
+                steps, m, frequencies = block.table("bytes", "u1"), np.array(row["m"], dtype=np.int64), None
+                for i, at, w in live:
+                    docs = np.nonzero(STEP * (w @ steps[at]) >= needed[i])[0]
+                    if not len(docs):
                         continue
-                    high = STEP * (w[live] @ block.table("bytes", "u1", used))
-                    frequencies = None
-                    for at, i in zip(live.tolist(), some[live].tolist(), strict=True):
-                        docs = np.nonzero(high[live == at][0] >= needed[i])[0]
-                        if not len(docs):
-                            continue
-                        frequencies = block.table("frequencies", "<u4", used) if frequencies is None else frequencies
-                        own = np.nonzero(w[at])[0]
-                        tf = frequencies[np.ix_(own, docs)]
-                        scores = w[at, own].astype(np.int64) @ np.where(tf > 0, _impacts(tf, m[docs]), 0)
-                        rows = out.setdefault(i, [])
-                        rows += [(-s, row["documents"][d] is None, row["documents"][d] or 0) for s, d in zip(scores.tolist(), docs.tolist(), strict=True) if s > 0]
-                        if len(rows) > 16 * k:
-                            out[i] = sorted(rows)[:k]
+                    frequencies = block.table("frequencies", "<u4") if frequencies is None else frequencies
+                    tf = frequencies[np.ix_(at, docs)]
+                    scores = w @ np.where(tf > 0, _impacts(tf, m[docs]), 0)
+                    rows = out.setdefault(i, [])
+                    rows += [(-s, row["documents"][d] is None, row["documents"][d] or 0) for s, d in zip(scores.tolist(), docs.tolist(), strict=True) if s > 0]
+                    if len(rows) > 16 * k:
+                        out[i] = sorted(rows)[:k]
         rows = [(i, -s, None if gone else d) for i, own in out.items() for s, gone, d in sorted(own)[:k]]
         columns = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item", "score", "doc_id"])

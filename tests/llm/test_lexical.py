@@ -42,9 +42,9 @@ def test_equals_plain_scores_on_the_tables(spark, small_docs):
     assert found(lexical.ranked(small_docs, items)) == want
 
 
-@pytest.mark.parametrize("block, pairs, items", [(3, 7, 2), (512, 10**6, 256)])
-def test_edges_in_blocks_and_passes_of_any_size(spark, edge_docs, monkeypatch, block, pairs, items):
-    for name, n in (("BLOCK", block), ("PAIRS", pairs), ("ITEMS", items)):
+@pytest.mark.parametrize("block, pairs", [(3, 7), (512, 10**6)])
+def test_edges_in_blocks_and_passes_of_any_size(spark, edge_docs, monkeypatch, block, pairs):
+    for name, n in (("BLOCK", block), ("PAIRS", pairs)):
         monkeypatch.setattr(lexical, name, n)
     asked = [(1, "one two three"), (1, "one two three"), (1, "word"), (2, None), (3, ""), (4, "..."), (None, "SAME text"), (5, "日本語のテキスト ÉTÉ été DON'T"), (6, "absent"), (7, "a A x " * 50)]
     asked_df = spark.createDataFrame([(*i, "x", None) for i in asked], ITEM)
@@ -58,7 +58,7 @@ def test_ties_beyond_k_and_a_word_of_every_document(spark, monkeypatch):
     docs = [(i, "common passage here") for i in range(100, 0, -1)] + [(i, "common " + " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=rng.randint(1, 30)))) for i in range(200, 300)]
     items = [(1, "passage"), (2, "common"), (3, "alpha beta"), (4, "gamma common")]
     want = plain(docs, items)
-    assert [r[2] for r in want if r[0] == 1] == [1, 10, 2, 3, 4, 5, 6, 7, 8, 9] or sorted(r[2] for r in want if r[0] == 1) == list(range(1, 11))
+    assert sorted(r[2] for r in want if r[0] == 1) == list(range(1, 11))
     assert found(lexical.ranked(*frames(spark, docs, items))) == want
 
 
