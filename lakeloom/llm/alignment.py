@@ -15,14 +15,12 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.shared import text_batches, written
+from lakeloom.llm.shared import PieceEncoder, text_batches, written
 
 #: A block ends beyond so many different groups, or pairs of document and group.
 GROUPS, ENTRIES = 100_000, 1_000_000
-#: Segments of texts that a worker holds, about.
-SEGMENTS = 400_000
-#: Neither tokenizer has a token across the end of a word before a blank, so a text is cut there; other white space ends nothing.
-_SEGMENTS = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*").findall
+#: Texts encoded at once: documents and characters.
+TEXTS, CHARS = 200, 1_000_000
 #: Between the ids of A and of B in a group's key.
 _BETWEEN = 0xFFFFFFFF
 
@@ -34,20 +32,39 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class _Vocabulary:
+    """The bytes of all entries, end to end."""
+
+    def __init__(self, entries: list[bytes]):
+        import numpy as np
+
+        self.sizes = np.array([len(e) for e in entries], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(entries), dtype=np.uint8)
+
+    def joined(self, ids):
+        """The bytes of a sequence of entries."""
+        import numpy as np
+
+        sizes = self.sizes[ids]
+        return self.flat[np.repeat(self.starts[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
 class Aligner:
     """Groups of texts by a byte-level file of the ``tokenizers`` library (A) and a ``sentencepiece`` model with byte fallback and a leading blank (B)."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        self.a = PieceEncoder.shared(path_a, keeps_blanks=True, keep=200_000)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        alphabet = _byte_alphabet()
-        self.bytes_a = {i: bytes(alphabet[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in alphabet for c in t)}
-        self.bytes_b = [self._piece(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
-        self.known: dict[str, tuple[int, int, list[bytes], str] | None] = {}
+        alphabet, held = _byte_alphabet(), self.a.tokenizer.get_vocab(with_added_tokens=False)
+        entries = [b""] * (max(held.values()) + 1)
+        for t, i in held.items():
+            entries[i] = bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else b""
+        pieces = [self._piece(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
+        self.vocabularies = _Vocabulary(entries), _Vocabulary(pieces)
+        self.bits = max(1, (len(entries) - 1).bit_length()), max(1, (len(pieces) - 1).bit_length())
 
     @classmethod
     def shared(cls, path_a: str, path_b: str) -> Aligner:
@@ -61,114 +78,123 @@ class Aligner:
         m = re.fullmatch(r"<0x([0-9A-F]{2})>", piece)
         return bytes([int(m[1], 16)]) if m else piece.replace("▁", " ").encode()
 
-    def _learn(self, segments: list[str]) -> None:
-        if len(self.known) > SEGMENTS:
-            self.known.clear()
-        ids_a = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
-        # A letter before the segment takes the blank that B adds; its piece goes.
-        ids_b = [ids[1:] for ids in self.b.encode(["x" + s for s in segments], num_threads=1)]
-        for s, a, b in zip(segments, ids_a, ids_b, strict=True):
-            self.known[s] = self._groups(s.encode(), a, b)
-
-    def _groups(self, data: bytes, a: list[int], b: list[int]) -> tuple[int, int, list[bytes], str] | None:
-        """Numbers of tokens, keys of the groups and their text; None where A's or B's bytes differ from the segment's."""
-        if b"".join(self.bytes_b[i] for i in b) != data or b"".join(self.bytes_a.get(i, b"") for i in a) != data:
-            return None
-        keys, texts, i, j = [], [], 0, 0
-        while i < len(a):
-            first, second, end_a, end_b = i, j, len(self.bytes_a[a[i]]), len(self.bytes_b[b[j]])
-            while end_a != end_b:
-                if end_a < end_b:
-                    i += 1
-                    end_a += len(self.bytes_a[a[i]])
-                else:
-                    j += 1
-                    end_b += len(self.bytes_b[b[j]])
-            i, j = i + 1, j + 1
-            own_a, own_b = a[first:i], b[second:j]
-            keys.append(b"".join(x.to_bytes(4, "little") for x in (*own_a, _BETWEEN, *own_b)))
-            texts.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-        return len(a), len(b), keys, ";".join(texts)
-
-    def __call__(self, texts: list[str | None]) -> list[list[tuple[int, int, list[bytes], str]] | None]:
-        """The aligned segments of each text; None: no tokens."""
-        cut = [_SEGMENTS(" " + t) if t else [] for t in texts]
-        known = self.known
-        new = list({s for own in cut for s in own if s not in known})
-        if new and len(known) + len(new) > SEGMENTS:
-            known.clear()
-            new = list({s for own in cut for s in own})
-        if new:
-            self._learn(new)
-        out = []
-        for own in cut:
-            parts = [known[s] for s in own]
-            out.append(None if not parts or None in parts else parts)
+    def encoded(self, texts: list[str | None]):
+        """Ids of A and of B for each text, as arrays; None where the text is null or empty or some bytes differ from a blank and the text."""
+        import numpy as np
+
+        present = [k for k, t in enumerate(texts) if t]
+        own = [" " + texts[k] for k in present]
+        out: list = [None] * len(texts)
+        for k, text, a, b in zip(present, own, self.a(own), self.b.encode([t[1:] for t in own], num_threads=1), strict=True):
+            a, b, data = np.frombuffer(a, dtype="<u4").astype(np.int64), np.array(b, dtype=np.int64), np.frombuffer(text.encode(), dtype=np.uint8)
+            if all(v.sizes[ids].sum() == len(data) and np.array_equal(v.joined(ids), data) for v, ids in zip(self.vocabularies, (a, b), strict=True)):
+                out[k] = a, b
         return out
 
+    def cuts(self, a, b):
+        """Of texts' ids one after another: first token and number of tokens of each group, in A and in B."""
+        import numpy as np
+
+        ends_a, ends_b = (np.cumsum(v.sizes[ids]) for v, ids in zip(self.vocabularies, (a, b), strict=True))
+        at = np.searchsorted(ends_b, ends_a)  # the last ends agree, so there is always one
+        last_a = np.nonzero(ends_b[at] == ends_a)[0]
+        last_b = at[last_a]
+        first_a, first_b = (np.concatenate([[0], last[:-1] + 1]) for last in (last_a, last_b))
+        return first_a, last_a - first_a + 1, first_b, last_b - first_b + 1
+
+    def keys(self, a, b, first_a, n_a, first_b, n_b):
+        """Numbers of the groups among the different ones, and the keys of these."""
+        import numpy as np
+
+        number, keys = np.empty(len(n_a), dtype=np.int64), []
+        bits_a, bits_b = self.bits
+        key_of = lambda i: np.concatenate([a[first_a[i] : first_a[i] + n_a[i]], [_BETWEEN], b[first_b[i] : first_b[i] + n_b[i]]]).astype("<u4").tobytes()
+        small = (n_a * bits_a + n_b * bits_b <= 63) & (n_b < 64)
+        shapes = np.where(small, n_a * 64 + n_b, 0)
+        for shape in np.unique(shapes).tolist():
+            at = np.nonzero(shapes == shape)[0]
+            if not shape:  # long groups one by one
+                known: dict[bytes, int] = {}
+                number[at] = [known.setdefault(key_of(i), len(keys) + len(known)) for i in at.tolist()]
+                keys += known
+                continue
+            packed = np.zeros(len(at), dtype=np.int64)
+            for ids, first, n, bits in ((a, first_a, shape // 64, bits_a), (b, first_b, shape % 64, bits_b)):
+                for k in range(n):
+                    packed = packed << bits | ids[first[at] + k]
+            _, first, back = np.unique(packed, return_index=True, return_inverse=True)
+            number[at] = back + len(keys)
+            keys += [key_of(i) for i in at[first].tolist()]
+        return number, keys
+
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 _BLOCK = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, starts binary, groups binary, times binary, keys array<binary>, pairs binary, pair_documents binary"
 
 
-def links_of(key: bytes):
-    """The different links of a group: ids of A, ids of B, and how often each pair of occurrences is that link."""
+def _split(key: bytes):
+    """The ids of A and of B of a group."""
     import numpy as np
 
     ids = np.frombuffer(key, "<u4")
     between = int(np.nonzero(ids == _BETWEEN)[0][0])
-    a, n = np.unique(ids[:between], return_counts=True)
-    b, m = np.unique(ids[between + 1 :], return_counts=True)
+    return ids[:between], ids[between + 1 :]
+
+
+def links_of(key: bytes):
+    """The different links of a group: ids of A, ids of B, and how often each pair of occurrences is that link."""
+    import numpy as np
+
+    (a, n), (b, m) = (np.unique(ids, return_counts=True) for ids in _split(key))
     return np.repeat(a, len(b)), np.tile(b, len(a)), np.outer(n, m).ravel()
 
 
 class _Interned:
-    """A block: its documents, their groups by number, and the groups' keys and links."""
+    """A block: its documents, their groups by number, and the groups' keys, texts and links."""
 
     def __init__(self):
         self.numbers: dict[bytes, int] = {}
-        self.segments: dict[int, tuple] = {}  # by the identity of a segment's groups: the groups' numbers, and links in all
-        self.held, self.rows, self.of, self.entries = [], [], [], 0
+        self.texts: list[str] = []
         self.pair_numbers: dict[int, int] = {}
-        self.pairs: list = []  # of each group: numbers of its different pairs
-
-    def _segment(self, part: tuple):
-        import numpy as np
-
-        known = self.segments.get(id(part))
-        if known is None:
-            own, links = [], 0
-            for key in part[2]:
-                n = self.numbers.get(key)
-                if n is None:
-                    n = self.numbers[key] = len(self.pairs)
-                    a, b, _ = links_of(key)
-                    pairs = (a.astype(np.uint64) << np.uint64(32) | b).tolist()
-                    self.pairs.append([self.pair_numbers.setdefault(p, len(self.pair_numbers)) for p in pairs])
-                own.append(n)
-                at = key.index(b"\xff\xff\xff\xff") // 4
-                links += at * (len(key) // 4 - at - 1)
-            known = self.segments[id(part)] = own, links
-            self.held.append(part)  # so that no other object takes its identity
-        return known
-
-    def add(self, doc_id, parts) -> None:
+        self.pairs: list[list[int]] = []  # of each group: numbers of its different pairs
+        self.rows, self.of, self.entries = [], [], 0
+
+    def _number(self, key: bytes) -> int:
+        n = self.numbers.get(key)
+        if n is None:
+            n = self.numbers[key] = len(self.pairs)
+            a, b = (ids.tolist() for ids in _split(key))
+            self.pairs.append([self.pair_numbers.setdefault(x << 32 | y, len(self.pair_numbers)) for x in set(a) for y in set(b)])
+            self.texts.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
+        return n
+
+    def add(self, aligner: Aligner, doc_ids: list, texts: list[str | None]) -> None:
         import numpy as np
 
-        if parts is None:
-            self.rows.append((doc_id, 0, 0, 0, 0, ""))
-            self.of.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
-            return
-        own, links = [], 0
-        for part in parts:
-            numbers, n = self._segment(part)
-            own += numbers
-            links += n
-        digest = hashlib.sha256(";".join([p[3] for p in parts]).encode()).hexdigest()
-        self.rows.append((doc_id, sum(p[0] for p in parts), sum(p[1] for p in parts), len(own), links, digest))
-        self.of.append(np.unique(np.array(own, dtype=np.int64), return_counts=True))
-        self.entries += len(self.of[-1][0])
+        encoded = aligner.encoded(texts)
+        held = [x for x in encoded if x is not None]
+        number = ends = links = np.zeros(0, dtype=np.int64)
+        if held:
+            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            first_a, n_a, first_b, n_b = aligner.cuts(a, b)
+            number, keys = aligner.keys(a, b, first_a, n_a, first_b, n_b)
+            number = np.array([self._number(k) for k in keys], dtype=np.int64)[number]
+            ends = np.searchsorted(first_a, np.cumsum([len(x) for x, _ in held]))  # groups up to each text's end
+            links = np.concatenate([[0], np.cumsum(n_a * n_b)])
+        start, at = 0, 0
+        for doc_id, x in zip(doc_ids, encoded, strict=True):
+            if x is None:
+                self.rows.append((doc_id, 0, 0, 0, 0, ""))
+                self.of.append((number[:0], number[:0]))
+                continue
+            end = int(ends[at])
+            own = number[start:end]
+            digest = hashlib.sha256(";".join(map(self.texts.__getitem__, own.tolist())).encode()).hexdigest()
+            self.rows.append((doc_id, len(x[0]), len(x[1]), len(own), int(links[end] - links[start]), digest))
+            self.of.append(np.unique(own, return_counts=True))
+            self.entries += len(self.of[-1][0])
+            start, at = end, at + 1
 
     def batch(self, block: int):
         import numpy as np
@@ -198,9 +224,8 @@ def interned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         from pyspark import TaskContext
 
         aligner, part, number, block = Aligner.shared(path_a, path_b), TaskContext.get().partitionId(), 0, _Interned()
-        for batch in text_batches(batches, 200, 2_000_000):
-            for doc_id, parts in zip(batch.column("doc_id").to_pylist(), aligner(batch.column("text").to_pylist()), strict=True):
-                block.add(doc_id, parts)
+        for batch in text_batches(batches, TEXTS, CHARS):
+            block.add(aligner, batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
             if len(block.numbers) > GROUPS or block.entries > ENTRIES:
                 yield block.batch((part << 32) + number)
                 number, block = number + 1, _Interned()

@@ -54,9 +54,9 @@ def rows_of(df):
     return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
 
 
-@pytest.mark.parametrize("groups, entries, segments", [(alignment.GROUPS, alignment.ENTRIES, alignment.SEGMENTS), (5, 5, 3)])
-def test_edges_equal_whole_texts_in_blocks_of_any_size(spark, edge_docs, monkeypatch, groups, entries, segments):
-    for name, n in (("GROUPS", groups), ("ENTRIES", entries), ("SEGMENTS", segments)):
+@pytest.mark.parametrize("groups, entries, texts", [(alignment.GROUPS, alignment.ENTRIES, alignment.TEXTS), (5, 5, 3)])
+def test_edges_equal_whole_texts_in_blocks_of_any_size(spark, edge_docs, monkeypatch, groups, entries, texts):
+    for name, n in (("GROUPS", groups), ("ENTRIES", entries), ("TEXTS", texts)):
         monkeypatch.setattr(alignment, name, n)
     more = ["a▁b", "▁", "x ▁ y", " ", "   ", "a ", "a  ", "\n", " \n a\n\n  b \t c", "<s> </s> <unk> <0x41>", "a  b  c", "\x1c \x1d d", "́ é", "don't  we'll\n's", "  two", "tab\t\tx \n", "﻿", "\U0001f600 \U0001f600"]
     docs = edge_docs.select("doc_id", "text", "start", "rank").unionByName(spark.createDataFrame([(1000 + i, t, "x", "y") for i, t in enumerate(more)], "doc_id long, text string, start string, rank string"))
