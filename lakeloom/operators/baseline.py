@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.operators.lineage import cut
 from lakeloom.operators.running import exact_quantiles, slice_edges
 
 
@@ -12,15 +13,17 @@ def fit_medians(train: DataFrame, coarse: str, middle: str, fine: Column, value:
     """One table of three levels: (coarse, middle, fine), (coarse), (): level, keys, median and rows.
 
     Each level counts its rows by slices of the value and looks closer at the slice of the median. Rows whose keys are null don't form classes of their own.
+    Keys and values are written once, so ``train`` is computed once, and so is the table.
     """
     keys = ["k1", "k2", "k3"]
     t = train.select(F.col(coarse).alias("k1"), F.col(middle).alias("k2"), fine.alias("k3"), F.col(value).cast("double").alias("v")).where("v is not null")
+    t = cut(t, "median-rows")
     edges, out = slice_edges(t, "v"), None
     for level, by in (("bucket", keys), ("make", ["k1"]), ("all", [])):
         m = exact_quantiles(t.dropna(subset=by) if by else t, "v", [0.5], by, edges).withColumnRenamed("q0", "median")
         part = m.select(F.lit(level).alias("level"), *[F.col(k) if k in by else F.lit(None).cast(t.schema[k].dataType).alias(k) for k in keys], "median", "n")
         out = part if out is None else out.unionByName(part)
-    return out
+    return cut(out, "medians")
 
 
 def predict_medians(df: DataFrame, medians: DataFrame, coarse: str, middle: str, fine: Column, name: str = "predicted") -> DataFrame:

@@ -3,20 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.expressions import relative_error
+from lakeloom.operators.lineage import cut
+from lakeloom.operators.running import exact_quantiles
 
 
-def point_metrics(actual: str, predicted: str) -> list[Column]:
-    """n, median and mean relative error, shares within 10 and 20 percent (inclusive), and mean absolute error."""
+def error_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
+    """``by``, n, median and mean relative error, shares within 10 and 20 percent (inclusive), and mean absolute error of each class (null keys are a class).
+
+    Errors are written once; their medians are found by counting, so a class of any size has no task to itself.
+    """
     e = relative_error(F.col(actual), F.col(predicted))
-    return [
-        F.count("*").alias("n"), F.round(F.median(e), 6).alias("mdape"), F.round(F.avg((e <= 0.1).cast("double")), 6).alias("within_10pct"), F.round(F.avg((e <= 0.2).cast("double")), 6).alias("within_20pct"),
-        F.round(F.avg(F.abs(F.col(predicted) - F.col(actual))), 4).alias("mae"), F.round(F.avg(e), 6).alias("mape"),
-    ]
+    rows = cut(df.select(*by, F.abs(F.col(predicted) - F.col(actual)).alias("_a"), e.alias("_e")), "errors")
+    means = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.round(F.avg((F.col("_e") <= 0.1).cast("double")), 6).alias("within_10pct"), F.round(F.avg((F.col("_e") <= 0.2).cast("double")), 6).alias("within_20pct"),
+        F.round(F.avg("_a"), 4).alias("mae"), F.round(F.avg("_e"), 6).alias("mape"),
+    )
+    medians = exact_quantiles(rows, "_e", [0.5], by).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.round("q0", 6).alias("mdape"))
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]) if by else None
+    joined = means.join(medians, on, "left") if by else means.join(F.broadcast(medians), how="left")  # without classes one row each
+    return joined.select(*by, "n", "mdape", "within_10pct", "within_20pct", "mae", "mape")
 
 
 def check_pairs(df: DataFrame, actual: str, predicted: str) -> None:
@@ -30,7 +41,7 @@ def segment_metrics(df: DataFrame, actual: str, predicted: str, segments: Sequen
     """A row for each segment and level, and whether it counts: enough rows and no placeholder."""
     e = F.array(*[F.struct(F.lit(s).alias("segment"), F.coalesce(F.col(s).cast("string"), F.lit("(missing)")).alias("level")) for s in segments])
     rows = df.select(F.explode(e).alias("e"), actual, predicted).select("e.*", actual, predicted)
-    out = rows.groupBy("segment", "level").agg(*point_metrics(actual, predicted))
+    out = error_metrics(rows, actual, predicted, ["segment", "level"])
     why = F.when(F.col("level").isin(list(excluded)), "placeholder").when(F.col("n") < least, "too few rows")
     return out.withColumn("counts", why.isNull()).withColumn("excluded_because", why)
 
@@ -56,7 +67,8 @@ def omission_scenarios(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
 
 def masking_sweep(scored: DataFrame, actual: str, predicted: str, limit: float = 1.5) -> DataFrame:
     """Median error of each scenario against that of ``(none)``."""
-    m = scored.groupBy("scenario").agg(F.median(relative_error(F.col(actual), F.col(predicted))).alias("m"))
+    errors = cut(scored.select("scenario", relative_error(F.col(actual), F.col(predicted)).alias("_e")), "errors")
+    m = exact_quantiles(errors, "_e", [0.5], ["scenario"]).select("scenario", F.col("q0").alias("m"))
     base = F.max(F.when(F.col("scenario") == "(none)", F.col("m"))).over(Window.partitionBy(F.lit(1)))  # one row for each scenario
     return m.select("scenario", F.round("m", 6).alias("mdape"), F.round(F.col("m") / base, 6).alias("ratio"), (F.col("m") / base <= limit).alias("passed"))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.operators.running import exact_quantiles
+
 
 class IntegrityError(ValueError):
     """Two sides that must match one to one don't."""
@@ -80,7 +82,9 @@ def runner_up(df: DataFrame, by: Sequence[str], value: str, name: str, bound: fl
 
 def pivoted(df: DataFrame, row: str, column: str, levels: Sequence[str], value: str) -> DataFrame:
     """Medians of a value, one column for each level."""
-    return df.groupBy(row).pivot(column, list(levels)).agg(F.round(F.median(value), 6))
+    medians = exact_quantiles(df.select(row, column, value), value, [0.5], [row, column])  # a row for each cell
+    cells = medians.select(row, column, "q0").unionByName(df.select(row).distinct().select(row, F.lit(None).cast(df.schema[column].dataType).alias(column), F.lit(None).cast("double").alias("q0")))
+    return cells.groupBy(row).pivot(column, list(levels)).agg(F.round(F.max("q0"), 6))
 
 
 def release_values(versions: DataFrame, points: DataFrame, ranges: DataFrame) -> DataFrame:

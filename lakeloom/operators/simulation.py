@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.expressions import relative_error
+from lakeloom.operators.lineage import cut
+from lakeloom.operators.running import exact_quantiles
 
 
 def trial_samples(df: DataFrame, key: str, trials: int, n: int, seed: str) -> DataFrame:
@@ -24,14 +26,14 @@ def trial_samples(df: DataFrame, key: str, trials: int, n: int, seed: str) -> Da
 
 def median_ceiling(errors: DataFrame, key: str, error: str, draws: int, n: int, seed: str, share: float = 0.99) -> DataFrame:
     """The ratio of a sample's median error to the whole median that a share of draws stays under."""
-    whole = errors.agg(F.median(error).alias("_w"))
+    whole = exact_quantiles(errors, error, [0.5]).select(F.col("q0").alias("_w"))
     per = trial_samples(errors, key, draws, n, seed).groupBy("trial").agg(F.median(error).alias("_m"))
     return per.join(F.broadcast(whole)).agg(F.count("*").alias("draws"), F.percentile(F.col("_m") / F.col("_w"), share).alias("ceiling"))
 
 
 def power(errors: DataFrame, key: str, error: str, factor: float, ceiling: float, draws: int, n: int, seed: str) -> DataFrame:
     """False alarms of equal samples, and misses of samples whose errors are ``factor`` times as large."""
-    whole = errors.agg(F.median(error).alias("_w"))
+    whole = exact_quantiles(errors, error, [0.5]).select(F.col("q0").alias("_w"))
     per = trial_samples(errors, key, draws, n, seed).groupBy("trial").agg(F.median(error).alias("_m"))
     r = F.col("_m") / F.col("_w")
     return per.join(F.broadcast(whole)).agg(F.avg((r > ceiling).cast("double")).alias("false_alarms"), F.avg((r * factor <= ceiling).cast("double")).alias("misses"))
@@ -66,8 +68,8 @@ def sweep(train: DataFrame, test: DataFrame, grid: dict[str, Sequence], score: C
     points = points if reference in points else [reference, *points]
     out = None
     for p in points:
-        e = F.median(relative_error(F.col(actual), F.col(predicted)))
-        r = score(train, test, **p).agg(e.alias("_e")).select(F.lit(",".join(f"{k}={v}" for k, v in p.items())).alias("point"), F.lit(p == reference).alias("reference"), F.col("_e"))
+        errors = cut(score(train, test, **p).select(relative_error(F.col(actual), F.col(predicted)).alias("_e")), "errors")
+        r = exact_quantiles(errors, "_e", [0.5]).select(F.lit(",".join(f"{k}={v}" for k, v in p.items())).alias("point"), F.lit(p == reference).alias("reference"), F.col("q0").alias("_e"))
         out = r if out is None else out.unionByName(r)
     base = F.max(F.when(F.col("reference"), F.col("_e"))).over(Window.partitionBy(F.lit(1)))  # one row for each point
     return out.select("point", "reference", F.round("_e", 6).alias("mdape"), (F.col("_e") < base).alias("better"))

@@ -15,32 +15,83 @@ def weighted(df: DataFrame, value: str, weight: str, by: list[str]) -> DataFrame
     return df.groupBy(*by).agg(F.round(F.sum(F.col(value) * F.col(weight)) / F.sum(weight), 6).alias("mean"), F.round(F.percentile(value, 0.5, F.col(weight).cast("long")), 6).alias("median"))
 
 
-def poisson_weight(seed: str, *keys: Column) -> Column:
-    """A Poisson(1) draw that depends on the seed and the keys alone."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    out, total, p = F.lit(12), 0.0, math.exp(-1)
-    edges = []
+#: Draws that one digest gives weights for: 52 bits each.
+PER_DIGEST = 4
+
+
+def poisson_weight(seed: str, key: Column, draw: Column) -> Column:
+    """A Poisson(1) draw, from 0 to 12, that depends on the seed, the key and the number of the draw (from 0) alone.
+
+    The digest of ``seed|key|draw div 4`` (SHA-256) holds the uniform numbers of four draws, 13 hexadecimal digits each.
+    """
+    digest = F.sha2(F.concat_ws("|", F.lit(seed), key.cast("string"), F.floor(draw / PER_DIGEST).cast("string")), 256)
+    u = F.conv(F.substring(digest, F.lit(1) + (draw % PER_DIGEST) * 13, F.lit(13)), 16, 10).cast("long") / float(1 << 52)
+    return poisson_of(u)
+
+
+def poisson_edges() -> list[float]:
+    """The probabilities of at most 0, 1, ..., 11 of a Poisson(1) number."""
+    total, p, edges = 0.0, math.exp(-1), []
     for k in range(12):
         total += p
-        edges.append((k, total))
+        edges.append(total)
         p /= k + 1
-    for k, edge in reversed(edges):
+    return edges
+
+
+def poisson_of(u: Column) -> Column:
+    out = F.lit(12)
+    for k, edge in reversed(list(enumerate(poisson_edges()))):
         out = F.when(u < edge, k).otherwise(out)
     return out
 
 
-def cluster_bootstrap(df: DataFrame, group: str, difference: str, draws: int, seed: str, confidence: float = 0.95) -> DataFrame:
-    """Interval of a mean when whole groups are drawn again: Poisson weights by group and draw.
+def bootstrap_draws(df: DataFrame, group: str, values: dict[str, Column], draws: int, seed: str) -> DataFrame:
+    """draw and the weighted mean of each of ``values`` when whole groups are drawn again.
 
-    Groups are summed first, and the draws are made from one row for each group; every statistic in the table uses
-    the same draws.
+    Groups are summed once. Each group's weight in each draw is made once and shared by all values, so differences of values have their noise in common.
+    Rows where any value is null are left out, as pairs must be whole; null groups are one group.
     """
-    sums = df.groupBy(group).agg(F.sum(difference).alias("s"), F.count(difference).alias("n"))
-    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", poisson_weight(seed, F.col(group), F.col("draw")))
-    stats = drawn.groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("x"))
+    whole = df.select(F.col(group).alias("_g"), *[c.cast("double").alias(f"_v{i}") for i, c in enumerate(values.values())]).dropna(subset=[f"_v{i}" for i in range(len(values))])
+    sums = whole.groupBy("_g").agg(F.count("*").alias("_n"), *[F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(values))])
+    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_w", poisson_weight(seed, F.coalesce(F.col("_g").cast("string"), F.lit("")), F.col("draw")))
+    n = F.nullif(F.sum(F.col("_w") * F.col("_n")), F.lit(0))
+    return drawn.groupBy("draw").agg(*[(F.sum(F.col("_w") * F.col(f"_s{i}")) / n).alias(name) for i, name in enumerate(values)])
+
+
+def cluster_bootstrap(df: DataFrame, group: str, difference: str, draws: int, seed: str, confidence: float = 0.95) -> DataFrame:
+    """Interval of a mean when whole groups are drawn again: Poisson weights by group and draw."""
+    stats = bootstrap_draws(df, group, {"x": F.col(difference)}, draws, seed)
     a = (1 - confidence) / 2
     whole = df.agg(F.avg(difference).alias("estimate"))
-    return stats.agg(F.percentile("x", a).alias("lower"), F.percentile("x", 1 - a).alias("upper"), F.stddev_samp("x").alias("std_error")).crossJoin(whole)
+    return stats.agg(F.percentile("x", a).alias("lower"), F.percentile("x", 1 - a).alias("upper"), F.stddev_samp("x").alias("std_error")).join(F.broadcast(whole))
+
+
+def paired_comparisons(df: DataFrame, group: str, values: dict[str, Column], reference: str, draws: int, seed: str, confidence: float = 0.95) -> DataFrame:
+    """A row for each candidate of ``values`` but the reference: how its mean differs from the reference's, alone and jointly.
+
+    ``lower`` and ``upper`` are the percentiles of its own differences. For the joint interval each candidate's difference is studentised by its spread over the draws;
+    the ``confidence`` percentile of a draw's largest deviation over all candidates is the multiplier. ``joint_lower`` and ``joint_upper`` hold for all
+    candidates together, and ``better`` says that the joint interval lies under zero. A candidate that never differs deviates by nothing. No candidate: no rows.
+    """
+    others = [k for k in values if k != reference]
+    per_draw = bootstrap_draws(df, group, values, draws, seed)
+    melt = lambda frame: frame.select(*[c for c in frame.columns if c == "draw"], F.explode(F.array(*[F.struct(F.lit(k).alias("candidate"), (F.col(k) - F.col(reference)).alias("d")) for k in others])).alias("_x")).select(*[c for c in frame.columns if c == "draw"], "_x.*")
+    if not others:
+        return df.sparkSession.createDataFrame([], "candidate string, difference double, lower double, upper double, share_better double, multiplier double, joint_lower double, joint_upper double, better boolean")
+    whole = df.select(*[c.cast("double").alias(k) for k, c in values.items()]).dropna().agg(*[F.avg(k).alias(k) for k in values])
+    observed = melt(whole).withColumnRenamed("d", "difference")  # one row for each candidate
+    differences = melt(per_draw).join(F.broadcast(observed), "candidate")  # draws times candidates
+    a = (1 - confidence) / 2
+    each = differences.groupBy("candidate").agg(
+        F.first("difference").alias("difference"), F.percentile("d", a).alias("lower"), F.percentile("d", 1 - a).alias("upper"), F.avg((F.col("d") < 0).cast("double")).alias("share_better"), F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("_spread"),
+    )
+    deviation = F.when(F.col("_spread") > 0, F.abs(F.col("d") - F.col("difference")) / F.col("_spread")).otherwise(0.0)
+    largest = differences.join(F.broadcast(each.select("candidate", "_spread")), "candidate").groupBy("draw").agg(F.max(deviation).alias("_m"))
+    multiplier = largest.agg(F.percentile("_m", confidence).alias("multiplier"))
+    half = F.col("multiplier") * F.col("_spread")
+    out = each.join(F.broadcast(multiplier)).withColumns({"joint_lower": F.col("difference") - half, "joint_upper": F.col("difference") + half})
+    return out.select("candidate", "difference", "lower", "upper", "share_better", "multiplier", "joint_lower", "joint_upper", (F.col("joint_upper") < 0).alias("better"))
 
 
 def conformal_offsets(calibration: DataFrame, actual: str, lower: str, upper: str, level: float = 0.9) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions import expressions as X
-from lakeloom.operators import baseline, comparables, evaluation, expectations, ledger, models, monitoring, profile, reports, requests, rules, simulation, splitting, statistics
+from lakeloom.operators import baseline, boosting, comparables, counters, drift, evaluation, expectations, fields, folds, ledger, models, monitoring, profile, reports, requests, rules, simulation, splitting, statistics
 from lakeloom.operators.expectations import Expectation
 from lakeloom.operators.requests import FieldCheck
 from lakeloom.operators.rules import RowRule
@@ -344,7 +344,7 @@ _METRICS = "count(*) AS n, round(median(e), 6) AS mdape, round(avg((e <= 0.1)::I
 
 @query(f"WITH {_FIT} SELECT {_METRICS} FROM scored")
 def point_metrics(t):
-    return _scored(t).agg(*evaluation.point_metrics("price", "predicted"))
+    return evaluation.error_metrics(_scored(t), "price", "predicted")
 
 
 def _segment_sql(segment, level, source):
@@ -380,6 +380,13 @@ def _offsets(t):
     return statistics.conformal_offsets(own.where("pos >= 0.6 AND pos < 0.8").join(r, ["make", "model"]), "price", "lower", "upper")
 
 
+def _calibrated(t):
+    """Test rows with their conformal range."""
+    own, r = _ranges(t)
+    off = _offsets(t).agg(F.max(F.when(F.col("side") == "lower", F.col("offset"))).alias("dl"), F.max(F.when(F.col("side") == "upper", F.col("offset"))).alias("du"))
+    return own.where("pos >= 0.8").join(r, ["make", "model"]).join(F.broadcast(off)).select("make", "price", "typical", (F.col("lower") - F.col("dl")).alias("lower"), (F.col("upper") + F.col("du")).alias("upper"))
+
+
 @query(f'WITH {_RANGES} SELECT side, n, round(off, 6) AS "offset" FROM offs')
 def conformal_offsets(t):
     return _offsets(t).withColumn("offset", F.round("offset", 6))
@@ -390,21 +397,23 @@ WITH {_RANGES}, t AS (SELECT make, price, lower - (SELECT off FROM offs WHERE si
 g AS (SELECT coalesce(make, '(all)') AS make, count(*) AS n, avg((price BETWEEN lo AND hi)::INT) AS c, avg((hi - lo) / typical) AS w FROM t GROUP BY ROLLUP (make))
 SELECT make, n, round(c, 6) AS coverage, round(sqrt(0.9::DOUBLE * 0.1::DOUBLE / n), 6) AS std_error, round(w, 6) AS mean_relative_width, CASE WHEN c < 0.88 THEN 'too narrow' WHEN c > 0.92 THEN 'too wide' ELSE 'in band' END AS judgement FROM g""")
 def interval_coverage_by_make(t):
-    own, r = _ranges(t)
-    off = _offsets(t).agg(F.max(F.when(F.col("side") == "lower", F.col("offset"))).alias("dl"), F.max(F.when(F.col("side") == "upper", F.col("offset"))).alias("du"))
-    test = own.where("pos >= 0.8").join(r, ["make", "model"]).join(F.broadcast(off)).select("make", "price", "typical", (F.col("lower") - F.col("dl")).alias("lower"), (F.col("upper") + F.col("du")).alias("upper"))
-    return evaluation.range_coverage(test, "price", "lower", "upper", "typical", "make")
+    return evaluation.range_coverage(_calibrated(t), "price", "lower", "upper", "typical", "make")
 
 
 @query(f"""
-WITH {_FIT}, m AS (SELECT median(e) AS a, avg((e <= 0.2)::INT) AS b FROM scored), c AS (SELECT 'mdape' AS criterion, a <= 0.4 AS passed FROM m UNION ALL SELECT 'within_20pct', b >= 0.85 FROM m UNION ALL SELECT 'coverage', NULL UNION ALL SELECT 'segments', false)
+WITH {_FIT}, {_RANGES.removeprefix(LISTINGS + ", ")}, m AS (SELECT median(e) AS a, avg((e <= 0.2)::INT) AS b FROM scored),
+v AS (SELECT avg((price BETWEEN lower - (SELECT off FROM offs WHERE side = 'lower') AND upper + (SELECT off FROM offs WHERE side = 'upper'))::INT) AS c FROM listings JOIN r USING (make, model) WHERE pos >= 0.8),
+g AS (SELECT bool_and(x <= 0.3) AS d FROM (SELECT median(e) AS x FROM scored GROUP BY make HAVING count(*) >= 30)),
+c AS (SELECT 'mdape' AS criterion, a <= 0.4 AS passed FROM m UNION ALL SELECT 'within_20pct', b >= 0.85 FROM m UNION ALL SELECT 'coverage', c BETWEEN 0.88 AND 0.92 FROM v UNION ALL SELECT 'segments', d FROM g)
 SELECT count(*) AS criteria, count(*) FILTER (WHERE criterion = 'segments') AS waived, count(*) FILTER (WHERE criterion <> 'segments' AND coalesce(passed, false)) AS passed,
  coalesce(string_agg(criterion, ',' ORDER BY criterion) FILTER (WHERE criterion <> 'segments' AND NOT coalesce(passed, false)), '') AS blocking, bool_and(criterion = 'segments' OR coalesce(passed, false)) AS deployable FROM c""")
 def gate_verdict(t):
-    e = X.relative_error(F.col("price"), F.col("predicted"))
-    m = _scored(t).agg(F.median(e).alias("a"), F.avg((e <= 0.2).cast("double")).alias("b"))
-    rows = [F.struct(F.lit(n).alias("criterion"), p.alias("passed")) for n, p in (("mdape", F.col("a") <= 0.4), ("within_20pct", F.col("b") >= 0.85), ("coverage", F.lit(None).cast("boolean")), ("segments", F.lit(False)))]
-    return evaluation.verdict(m.select(F.explode(F.array(*rows)).alias("r")).select("r.*"), waived=["segments"])
+    scored = _scored(t)
+    whole = evaluation.error_metrics(scored, "price", "predicted").select(F.lit("mdape").alias("criterion"), (F.col("mdape") <= 0.4).alias("passed"), (F.col("within_20pct") >= 0.85).alias("near"))
+    whole = whole.select(F.explode(F.array(F.struct("criterion", "passed"), F.struct(F.lit("within_20pct").alias("criterion"), F.col("near").alias("passed")))).alias("r")).select("r.*")
+    coverage = evaluation.range_coverage(_calibrated(t), "price", "lower", "upper", "typical", "make").where("make = '(all)'").select(F.lit("coverage").alias("criterion"), F.col("coverage").between(0.88, 0.92).alias("passed"))
+    segments = evaluation.segment_metrics(scored, "price", "predicted", ["make"], least=30).where("counts").agg(F.every(F.col("mdape") <= 0.3).alias("passed")).select(F.lit("segments").alias("criterion"), "passed")
+    return evaluation.verdict(whole.unionByName(coverage).unionByName(segments), waived=["segments"])
 
 
 @query(f"""
@@ -601,6 +610,48 @@ def drift_verdicts(t):
     return monitoring.drift_verdicts(tests).where("feature = 'value'").select("feature", "drifted")
 
 
+def _drift_features():
+    numbers = {"value": F.col("value"), "hour": F.hour("ts"), "day": F.dayofmonth("ts")}
+    return numbers, {"event_type": F.col("event_type"), "weekday": F.dayofweek("ts"), "key_rest": F.get_json_object("props", "$.k").cast("int") % 3}
+
+
+_DRIFT_SQL = f"""{_WINDOWS}, full_windows AS (SELECT run, "window" FROM windowed GROUP BY ALL HAVING count(*) = 1000),
+tested AS (SELECT w.* FROM windowed w JOIN full_windows USING (run, "window") WHERE event_id % 4 <> 0), fixed AS (SELECT * FROM events WHERE event_id % 4 = 0),
+wn AS (SELECT run, "window", unnest(['value', 'hour', 'day']) AS feature, unnest([value, hour(ts), day(ts)]) AS v FROM tested), rn AS (SELECT unnest(['value', 'hour', 'day']) AS feature, unnest([value, hour(ts), day(ts)]) AS v FROM fixed),
+wc AS (SELECT run, "window", feature, v, count(*) AS b FROM wn GROUP BY ALL), rc AS (SELECT feature, v, count(*) AS a FROM rn GROUP BY ALL),
+grid AS (SELECT run, "window", feature, v FROM (SELECT DISTINCT run, "window", feature FROM wc) JOIN (SELECT feature, v FROM wc UNION SELECT feature, v FROM rc) USING (feature)),
+cum AS (SELECT g.*, sum(coalesce(b, 0)) OVER o AS fb, sum(coalesce(a, 0)) OVER o AS fa, sum(coalesce(b, 0)) OVER p AS m, sum(coalesce(a, 0)) OVER p AS n FROM grid g LEFT JOIN wc USING (run, "window", feature, v) LEFT JOIN rc USING (feature, v)
+ WINDOW p AS (PARTITION BY run, "window", feature), o AS (PARTITION BY run, "window", feature ORDER BY v ROWS UNBOUNDED PRECEDING)),
+ks AS (SELECT run, "window", feature, max(m)::BIGINT AS m, max(n)::BIGINT AS n, max(abs(fa / n::DOUBLE - fb / m::DOUBLE)) AS s FROM cum GROUP BY ALL),
+wl AS (SELECT run, "window", unnest(['event_type', 'weekday', 'key_rest']) AS feature, unnest([event_type, (dayofweek(ts) + 1)::VARCHAR, ((props->>'$.k')::INT % 3)::VARCHAR]) AS v FROM tested),
+rl AS (SELECT unnest(['event_type', 'weekday', 'key_rest']) AS feature, unnest([event_type, (dayofweek(ts) + 1)::VARCHAR, ((props->>'$.k')::INT % 3)::VARCHAR]) AS v FROM fixed),
+lw AS (SELECT run, "window", feature, v, count(*) AS b FROM wl GROUP BY ALL), lr AS (SELECT feature, v, count(*) AS a FROM rl GROUP BY ALL),
+lg AS (SELECT run, "window", feature, v FROM (SELECT DISTINCT run, "window", feature FROM lw) JOIN (SELECT feature, v FROM lw UNION SELECT feature, v FROM lr) USING (feature)),
+lt AS (SELECT g.*, coalesce(a, 0) AS a, coalesce(b, 0) AS b, sum(coalesce(a, 0)) OVER p AS n, sum(coalesce(b, 0)) OVER p AS m FROM lg g LEFT JOIN lw USING (run, "window", feature, v) LEFT JOIN lr USING (feature, v) WINDOW p AS (PARTITION BY run, "window", feature)),
+le AS (SELECT *, (a + b) * n / (n + m)::DOUBLE AS ea, (a + b) * m / (n + m)::DOUBLE AS eb FROM lt),
+chi AS (SELECT run, "window", feature, max(m)::BIGINT AS m, count(*) - 1 AS degrees, sum((a - ea) * (a - ea) / ea + (b - eb) * (b - eb) / eb) AS s FROM le GROUP BY ALL),
+tests AS (SELECT run, "window", feature, 'ks' AS test, m AS n_values, s AS statistic, NULL::BIGINT AS degrees,
+  CASE WHEN sqrt(n * m / (n + m)::DOUBLE) * s < 0.2 THEN 1.0::DOUBLE ELSE least(1.0, greatest(0.0, 2 * list_sum([(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * s * s * n * m / (n + m)::DOUBLE) for k in range(1, 101)]))) END AS p FROM ks
+ UNION ALL SELECT run, "window", feature, 'chi2', m, s, degrees, exp(-s / 2) * list_sum([power(s / 2, k) / gamma(k + 1) for k in range(0, degrees // 2)]) FROM chi)"""
+
+
+def _drift_tests(t):
+    log = _windowed(t)
+    full = monitoring.window_states(log, "event_id", 1000).where("state = 'tested'").select("run", "window")
+    tested = log.join(full, ["run", "window"]).where("event_id % 4 <> 0")
+    return drift.window_drift(tested, t.events.where("event_id % 4 = 0"), *_drift_features())
+
+
+@query(f"WITH {_DRIFT_SQL} SELECT run, \"window\", feature, test, n_values, round(statistic, 6) AS statistic, degrees, round(p, 6) AS p FROM tests")
+def window_drift(t):
+    return _drift_tests(t).withColumns({"statistic": F.round("statistic", 6), "p": F.round("p", 6)})
+
+
+@query(f"WITH {_DRIFT_SQL} SELECT run, \"window\", count(*) AS features, 0.005::DOUBLE / 6 AS threshold, count(*) FILTER (WHERE p < 0.005::DOUBLE / 6) AS drifted_features, bool_or(p < 0.005::DOUBLE / 6) AS flagged FROM tests GROUP BY ALL")
+def window_drift_flags(t):
+    return drift.window_flags(_drift_tests(t), sum(map(len, _drift_features())))
+
+
 # ---- ledger
 
 
@@ -667,10 +718,39 @@ def weighted_median(t):
     return statistics.weighted(t.orders.withColumn("w", F.col("o_orderkey") % 4), "o_totalprice", "w", ["o_orderpriority"])
 
 
-@query()
+def _weight_sql(seed: str, key: str, draw: str) -> str:
+    """The Poisson weights of ``statistics.poisson_weight``."""
+    cases = " ".join(f"WHEN u < {e!r}::DOUBLE THEN {k}" for k, e in enumerate(statistics.poisson_edges()))
+    return f"(SELECT CASE {cases} ELSE 12 END FROM (SELECT ('0x' || substr(sha256('{seed}|' || {key} || '|' || ({draw} // 4)), (1 + ({draw} % 4) * 13)::INT, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u))"
+
+
+@query(f"""
+WITH g AS (SELECT o_custkey, sum(o_totalprice / 1000) AS s, count(*) AS n FROM orders GROUP BY o_custkey), d AS (SELECT draw, sum(w * s) / sum(w * n)::DOUBLE AS x FROM (SELECT *, {_weight_sql("20251108", "o_custkey", "draw")} AS w FROM g, range(200) r(draw)) GROUP BY draw)
+SELECT round(quantile_cont(x, 0.025::DOUBLE), 6) AS lower, round(quantile_cont(x, 0.975::DOUBLE), 6) AS upper, round(stddev_samp(x), 6) AS std_error, round((SELECT avg(o_totalprice / 1000) FROM orders), 6) AS estimate FROM d""")
 def cluster_bootstrap(t):
     d = t.orders.select("o_custkey", (F.col("o_totalprice") / 1000).alias("d"))
-    return statistics.cluster_bootstrap(d, "o_custkey", "d", 200, "20251108")
+    r = statistics.cluster_bootstrap(d, "o_custkey", "d", 200, "20251108")
+    return r.select(*[F.round(c, 6).alias(c) for c in ("lower", "upper", "std_error", "estimate")])
+
+
+@query(f"""
+WITH {_FIT}, b1r AS (SELECT make, median(price) AS q FROM listings WHERE pos < 0.8 GROUP BY make),
+e AS (SELECT l_orderkey AS k, e AS hierarchy, abs(b1r.q - price) / price AS make, abs(m0 - price) / price AS overall FROM scored JOIN b1r USING (make), b0), g AS (SELECT k, count(*) AS n, sum(hierarchy) AS h, sum(make) AS m, sum(overall) AS a FROM e GROUP BY k),
+d AS (SELECT draw, sum(w * h) / sum(w * n) AS h, sum(w * m) / sum(w * n) AS m, sum(w * a) / sum(w * n) AS a FROM (SELECT *, {_weight_sql("pairs", "k", "draw")} AS w FROM g, range(100) r(draw)) GROUP BY draw),
+x AS (SELECT draw, unnest(['make', 'overall']) AS candidate, unnest([m - h, a - h]) AS d FROM d), o AS (SELECT unnest(['make', 'overall']) AS candidate, unnest([avg(make) - avg(hierarchy), avg(overall) - avg(hierarchy)]) AS difference FROM e),
+p AS (SELECT candidate, any_value(difference) AS difference, quantile_cont(d, 0.025::DOUBLE) AS lo, quantile_cont(d, 0.975::DOUBLE) AS hi, avg((d < 0)::INT) AS better, stddev_samp(d) AS spread FROM x JOIN o USING (candidate) GROUP BY candidate),
+m AS (SELECT quantile_cont(mm, 0.95::DOUBLE) AS multiplier FROM (SELECT draw, max(abs(d - difference) / spread) AS mm FROM x JOIN p USING (candidate) GROUP BY draw))
+SELECT candidate, round(difference, 6) AS difference, round(lo, 6) AS lower, round(hi, 6) AS upper, better AS share_better, round(multiplier, 6) AS multiplier, round(difference - multiplier * spread, 6) AS joint_lower, round(difference + multiplier * spread, 6) AS joint_upper,
+ difference + multiplier * spread < 0 AS better FROM p, m""")
+def paired_comparisons(t):
+    scored = _scored(t)
+    own = listings(t).where("pos < 0.8")
+    make = exact_quantiles(own, "price", [0.5], ["make"]).select("make", F.col("q0").alias("_make"))
+    overall = exact_quantiles(own, "price", [0.5]).select(F.col("q0").alias("_all"))  # one row
+    error = lambda c: F.abs(F.col(c) - F.col("price")) / F.col("price")
+    rows = scored.join(make, "make").join(F.broadcast(overall))
+    r = statistics.paired_comparisons(rows, "l_orderkey", {"hierarchy": error("predicted"), "make": error("_make"), "overall": error("_all")}, "hierarchy", 100, "pairs")
+    return r.select("candidate", "share_better", "better", *[F.round(c, 6).alias(c) for c in ("difference", "lower", "upper", "multiplier", "joint_lower", "joint_upper")])
 
 
 # ---- models
@@ -680,14 +760,119 @@ def cluster_bootstrap(t):
 def ridge_fit(t):
     own = listings(t)
     m = models.fit_ridge(own.where("pos < 0.8"), "price", ["mileage"], ["make"])
-    return models.predict(m, own.where("pos >= 0.8"), ["mileage"], ["make"]).agg(*evaluation.point_metrics("price", "predicted"))
+    return evaluation.error_metrics(models.predict(m, own.where("pos >= 0.8"), ["mileage"], ["make"]), "price", "predicted")
 
 
 @query()
 def gbt_fit(t):
     own = listings(t)
     m = models.fit_trees(own.where("pos < 0.8"), "price", ["mileage"], ["make"], rounds=5, depth=3)
-    return models.predict(m, own.where("pos >= 0.8"), ["mileage"], ["make"]).agg(*evaluation.point_metrics("price", "predicted"))
+    return evaluation.error_metrics(models.predict(m, own.where("pos >= 0.8"), ["mileage"], ["make"]), "price", "predicted")
+
+
+def _quantile_trees(t, share: float = 0.5, rounds: int = 3):
+    own = listings(t)
+    return own, boosting.fit(own.where("pos < 0.6"), "price", ["mileage"], ["make", "model"], share, rounds, depth=3, rate=0.5, validation=own.where("pos >= 0.6 AND pos < 0.7"), patience=2)
+
+
+@query()
+def quantile_trees(t):
+    """Pinball loss on held-out rows of boosted trees for the 0.9 quantile, and of that quantile of each make."""
+    own, model = _quantile_trees(t, 0.9)
+    test = boosting.predict(model, own.where("pos >= 0.8"))
+    classes = exact_quantiles(own.where("pos < 0.6"), "price", [0.9], ["make"]).select("make", F.col("q0").alias("class"))
+    losses = [F.round(F.avg(boosting.pinball(F.col("price"), F.col(c), 0.9)), 6).alias(n) for c, n in (("predicted", "trees_loss"), ("class", "class_loss"))]
+    return test.join(classes, "make").agg(F.count("*").alias("n"), *losses, F.lit(len(model.trees)).alias("trees"))
+
+
+@query()
+def learning_curve(t):
+    """Errors of the first n trees on held-out rows."""
+    own, model = _quantile_trees(t)
+    return evaluation.error_metrics(boosting.staged(model, own.where("pos >= 0.8"), range(len(model.trees) + 1)), "price", "predicted", ["n_trees"])
+
+
+@query()
+def tree_contributions(t):
+    """Mean size of each feature's contribution, and how far base and contributions are from the prediction at most."""
+    own, model = _quantile_trees(t)
+    parts = {f: F.col(f"contribution_{f}") for f in model.features}
+    rows = boosting.contributions(model, boosting.predict(model, own.where("pos >= 0.8").select("price", "mileage", "make", "model")))
+    gap = F.abs(F.col("base") + sum(parts.values()) - F.col("predicted"))
+    wide = rows.agg(F.max(gap).alias("gap"), *[F.avg(F.abs(c)).alias(f) for f, c in parts.items()])
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.round(f, 4).alias("mean_size"), F.round("gap", 6).alias("gap")) for f in parts])).alias("r")).select("r.*")
+
+
+@query()
+def stratified_folds(t):
+    """Orders dealt to five folds with alike shares of return flags: rows of each fold and flag."""
+    dealt = folds.stratified_group_folds(t.lineitem, "l_orderkey", "l_returnflag", ["A", "N", "R"], 5)
+    return t.lineitem.join(dealt, "l_orderkey").groupBy("fold", "l_returnflag").agg(F.count("*").alias("rows"), F.count_distinct("l_orderkey").alias("orders"))
+
+
+# ---- counters and alerts
+
+
+def _counter(t):
+    return t.events.select("event_type", "ts", "event_id", (F.col("event_id") % 500).alias("count"))
+
+
+_COUNTER = """sm AS (SELECT event_type, ts, event_id, event_id % 500 AS v, lag(event_id % 500) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events),
+inc AS (SELECT event_type, time_bucket(INTERVAL 360 MINUTE, ts, TIMESTAMP '1970-01-01') AS s, count(*) AS samples, sum(CASE WHEN p IS NULL THEN 0 WHEN v < p THEN v ELSE v - p END)::BIGINT AS increase, count(*) FILTER (WHERE v <> p) AS changes, count(*) FILTER (WHERE v < p) AS resets FROM sm GROUP BY ALL)"""
+_STAMP = "yyyy-MM-dd HH:mm:ss"
+
+
+@query(f"WITH {_COUNTER} SELECT event_type, strftime(s, '%Y-%m-%d %H:%M:%S') AS start, samples, increase, round(increase / 21600.0::DOUBLE, 9) AS rate, changes, resets FROM inc")
+def counter_increases(t):
+    return counters.increases(_counter(t), ["event_type"], "ts", "count", 360, "event_id").withColumns({"start": F.date_format("start", _STAMP), "rate": F.round("rate", 9)})
+
+
+@query(f"""
+WITH {_COUNTER}, b AS (SELECT *, increase > 80 AS a, coalesce(lag(increase > 80) OVER (PARTITION BY event_type ORDER BY s), false) AS was FROM inc),
+c AS (SELECT *, max(CASE WHEN a AND NOT was THEN s END) OVER (PARTITION BY event_type ORDER BY s ROWS UNBOUNDED PRECEDING) AS st FROM b)
+SELECT event_type, strftime(s, '%Y-%m-%d %H:%M:%S') AS start, increase, CASE WHEN a THEN strftime(st, '%Y-%m-%d %H:%M:%S') END AS since, CASE WHEN NOT a THEN 'inactive' WHEN s >= st + INTERVAL 720 MINUTE THEN 'firing' ELSE 'pending' END AS state FROM c""")
+def held_alerts(t):
+    windows = counters.increases(_counter(t), ["event_type"], "ts", "count", 360, "event_id").select("event_type", "start", "increase")
+    out = counters.alerts(windows, ["event_type"], "start", F.col("increase") > 80, 720)
+    return out.withColumns({"start": F.date_format("start", _STAMP), "since": F.date_format("since", _STAMP)})
+
+
+@query("""
+WITH g AS (SELECT * FROM (SELECT DISTINCT event_type FROM events), (SELECT unnest(generate_series(TIMESTAMP '2023-12-31 18:00:00', TIMESTAMP '2024-02-01 00:00:00', INTERVAL 180 MINUTE)) AS step)),
+l AS (SELECT g.event_type, step, max(ts) AS seen FROM g LEFT JOIN events e ON e.event_type = g.event_type AND e.ts <= step GROUP BY g.event_type, step)
+SELECT event_type, strftime(step, '%Y-%m-%d %H:%M:%S') AS "at", strftime(seen, '%Y-%m-%d %H:%M:%S') AS "last", coalesce(seen < step - INTERVAL 40 MINUTE, true) AS silent FROM l""")
+def silent_series(t):
+    out = counters.silences(t.events, ["event_type"], "ts", "2023-12-31 18:00:00", "2024-02-01 00:00:00", 180, 40)
+    return out.withColumns({"at": F.date_format("at", _STAMP), "last": F.date_format("last", _STAMP)})
+
+
+# ---- request fields
+
+_BODY = ("o_totalprice", "o_orderpriority")
+
+
+@query("""
+SELECT o_orderkey, round(date_diff('day', date_trunc('month', o_orderdate)::DATE, DATE '2000-01-01') / 365.25::DOUBLE, 6) AS age_years, CASE WHEN o_orderkey % 7 > 0 THEN round(o_totalprice, 2) END AS o_totalprice,
+ CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority ELSE '__MISSING__' END AS o_orderpriority, 'present' AS age_years__missing, CASE WHEN o_orderkey % 7 > 0 THEN 'present' ELSE 'missing' END AS o_totalprice__missing FROM orders""")
+def body_features(t):
+    sent = t.orders.select("o_orderkey", F.to_json(F.struct(
+        F.date_format("o_orderdate", "yyyy-MM").alias("registered"), F.when(F.col("o_orderkey") % 7 > 0, F.round("o_totalprice", 2)).alias("o_totalprice"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderpriority")).alias("o_orderpriority"),
+    )).alias("body"))
+    out = fields.body_features(sent, "body", F.to_date(F.lit(REFERENCE)), ["o_totalprice"], ["o_orderpriority"], "registered", "age_years")
+    return out.drop("body").withColumn("age_years", F.round("age_years", 6))
+
+
+_PLACES = ", ".join(f"('0x' || substr(sha256('omit|{n}|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey), 1, 13))::BIGINT AS p{i}" for i, n in enumerate(("", "name", "mileage", "sold")))
+
+
+@query(f"""
+WITH {LISTINGS}, p AS (SELECT *, {_PLACES} FROM listings), c AS (SELECT *, list_sort([p1, p2, p3])[(p0 % 3 + 1)::INT] AS cutoff FROM p)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN p1 > cutoff THEN make END AS make, CASE WHEN p1 > cutoff THEN model END AS model, CASE WHEN p2 > cutoff THEN mileage END AS mileage, p3 > cutoff AND date IS NOT NULL AS sold FROM c""")
+def omitted_fields(t):
+    rows = listings(t).select(*ID, "make", "model", "mileage", F.col("date").isNotNull().alias("sold"))
+    names = ["name", "mileage", "sold"]
+    own = fields.FieldMap(("make", "model", "mileage", "sold"), {"name": ("make", "model")}, {}).expanded()
+    return fields.omit(rows, own, names, fields.random_flags([F.col(c) for c in ID], names, "omit"))
 
 
 # ---- Spark-native extras: event-time windows, cubes, sketches
@@ -856,7 +1041,7 @@ def trial_ceilings(t):
 def sparse_requests(t):
     own = simulation.sparse_requests(listings(t).where("pos >= 0.8"), ID, ["make", "model", "date"], [0, 1, 2, 3], "20251108")
     scored = baseline.predict_medians(own, _medians(t), "make", "model", _age())
-    return scored.groupBy("kept").agg(*evaluation.point_metrics("price", "predicted"))
+    return evaluation.error_metrics(scored, "price", "predicted", ["kept"])
 
 
 @query("SELECT event_id, event_type, value FROM events WHERE event_id IN (1, 17, 400)")

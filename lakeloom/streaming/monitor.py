@@ -1,20 +1,22 @@
 """The monitor as a stream: count windows with reset, late labels and drift, over a log that grows.
 
 The log's order is its sequence number and a window depends on all rows of its run, so each micro-batch
-re-reads the open remainder, closes what is full, and writes tables keyed by window. A repeated batch
-writes the same rows again, so a restart loses and doubles nothing.
+re-reads the open remainder, closes what is full, and commits windows and remainder together. A batch that
+was committed isn't run again, and one that failed left nothing that readers see, so a restart loses and doubles nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lakeloom.operators.ledger import latest_wins
 from lakeloom.operators.monitoring import count_windows, window_states
+from lakeloom.sources.manifests import ManifestTables
 
 
 class LogRestartError(RuntimeError):
@@ -30,32 +32,24 @@ class Monitor:
     seq: str = "seq"
     version: str = "model_version"
 
-    def _table(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
-        try:
-            return spark.read.parquet(f"{self.folder}/{name}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return spark.createDataFrame([], schema)
+    @property
+    def tables(self) -> ManifestTables:
+        return ManifestTables(self.folder, {"windows": "first_seq long, last_seq long, rows long, state string", "open": "path string"})
 
     def windows(self, spark: SparkSession) -> DataFrame:
         """Closed windows: first_seq, last_seq, rows and state."""
-        return self._table(spark, "windows", "first_seq long, last_seq long, rows long, state string")
+        return self.tables.read(spark, "windows").drop("batch")
 
     def open_rows(self, spark: SparkSession) -> DataFrame | None:
         """What the last batch left unfinished, for the batch after."""
-        try:
-            marks = spark.read.parquet(f"{self.folder}/current")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
-        return spark.read.parquet(marks.agg(F.max_by("path", "batch")).first()[0])
+        last = self.tables.read(spark, "open").agg(F.max_by("path", "batch")).first()[0]
+        return None if last is None else spark.read.parquet(last)
 
     def step(self, batch: DataFrame, number: int) -> None:
-        """Add a batch to what is open, close windows, and keep the rest."""
+        """Add a batch to what is open, close windows, and keep the rest: windows and remainder are committed together, once for each batch number."""
         spark = batch.sparkSession
-        # A window of a batch that runs again is in the table already and drops out below.
+        if self.tables.committed(spark, number):
+            return
         closed = self.windows(spark)
         last = closed.agg(F.max("last_seq")).first()[0]
         before = self.open_rows(spark)
@@ -70,10 +64,9 @@ class Monitor:
         states = window_states(windowed, self.seq, self.size).persist()
         done = states.where("state <> 'open'").select("first_seq", "last_seq", "rows", "state")
         remainder = windowed.join(states.where("state = 'open'").select("run", "window"), ["run", "window"], "left_semi").select(batch.columns)
-        path = f"{self.folder}/open/{number}"
-        remainder.write.mode("overwrite").parquet(path)
-        done.join(closed.select("first_seq"), "first_seq", "left_anti").select("first_seq", "last_seq", "rows", "state").write.mode("append").parquet(f"{self.folder}/windows")
-        spark.createDataFrame([(number, path)], "batch long, path string").write.mode("append").parquet(f"{self.folder}/current")
+        path = f"{self.folder}/remainders/{number}-{uuid.uuid4().hex}"
+        remainder.write.parquet(path)
+        self.tables.write(number, {"windows": done, "open": spark.createDataFrame([(path,)], "path string")})
         states.unpersist()
 
     def start(self, log: DataFrame, available_now: bool = True) -> StreamingQuery:
@@ -126,8 +119,3 @@ def compact(spark: SparkSession, path: str, keys: list[str], order: str, into: s
     """Rewrite an append-only table with the latest row of each key."""
     df = spark.read.parquet(path)
     latest_wins(df.limit(0), df, keys, order).write.mode("overwrite").parquet(into)
-
-
-def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-    return df.withColumn("_n", n).where("_n = 1").drop("_n")
