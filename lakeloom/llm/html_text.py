@@ -5,12 +5,13 @@ length and punctuation for each of its blocks. The ratios are smoothed along the
 Gaussian window over neighbouring blocks of one section and fused into one score, which links alone, menus, headers and footers
 lower. Paths whose mean score reaches a share of the scores' deviation are content, and their blocks are content nodes. The
 main text is what stands in the smallest section that holds all content nodes, or in the article or main element that holds most
-of their text: content nodes, and what belongs to them there. Menus, headers and footers in it go unless nothing else is content;
-sections beside the content nodes' own go if they hold links alone or lie before the first or behind the last one without a heading.
+of their text: content nodes, and what belongs to them there. Menus, headers and footers in it go unless nothing else is content. In an article or main
+element, paths go that score far under what is usual there, such as lists of links; elsewhere sections beside the content nodes' own go if they hold links
+alone or lie before the first or behind the last one without a heading. The page's only h1 is kept where it stands before the content.
 
 Parts that ratios can't tell from an article, as they hold prose too, are a second guard: what tag, class, id or role call
-sidebars, notices, adverts, forms or readers' comments is left out. Such a name drops neither what holds the page
-(most of its text and its article, main or h1) nor everything.
+sidebars, notices, adverts, forms or readers' comments is left out, and what stands under a heading of comments. Inside article and main elements doubtful names (share,
+related, notice) only leave out what doesn't score as prose. Such a name drops neither what holds the page (most of its text and its article, main or h1) nor everything.
 """
 
 from __future__ import annotations
@@ -43,12 +44,19 @@ ENDED_BY = {
 _RAW = "script|style|noscript|template|textarea|title|iframe|svg"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-#: Words of a class, id or role that mark a part as not of the article.
+# Words of a class, id or role. The first mark a part as not of the article wherever it stands; the second only outside article and main, and
+# inside them where the part's path doesn't score as prose.
 _MARKS = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|notification\w*|alert|sidebars?|side|rail|widget\w*|menus?|nav|navbar|navigation|breadcrumbs?"
-    r"|comments?|commentlist|disqus|discussion|replies|reply|respond|share|sharing|social|related|recommend\w*|footers?|headers?|masthead|newsletter\w*|subscribe\w*|subscription|paywall|popup\w*|modal|overlay|login|signup|register|search|pagination|pager|toc|tags|complementary|contentinfo|hidden)(?=$|[-_\s\d])",
+    r"(?:^|[-_\s])(?:ads?|adv|advert\w*|adsense|sponsor\w*|cookies?|consent|gdpr|sidebars?|nav|navbar|navigation|menus?|breadcrumbs?|comments?|commentlist|disqus|replies|reply|masthead"
+    r"|newsletter\w*|popup\w*|modal|overlay|login|signup|pagination|pager|complementary|contentinfo|hidden)(?=$|[-_\s\d])",
     re.I,
-)
+)
+_SOFT_MARKS = re.compile(
+    r"(?:^|[-_\s])(?:promo\w*|banner\w*|notices?|notification\w*|alert|side|rail|widget\w*|discussion|respond|share|sharing|social|related|recommend\w*|footers?|headers?|subscribe\w*|subscription|paywall|register|search|toc|tags)(?=$|[-_\s\d])",
+    re.I,
+)
+#: A heading that opens readers' comments.
+_COMMENTS = re.compile(r"(?:\d+\s+)?(?:comments?|responses?|replies|reactions|kommentare?|antworten|comentarios?|respuestas?|commentaires?|réponses?)(?:\s*\(?\d+\)?)?|leave a (?:comment|reply)", re.I)
 #: Names in a class that tell what a part has beside it, not what it is.
 _BESIDE = re.compile(r"(?<!\S)(?:\S*[-_])?(?:has|no|with|without)[-_]\S*", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -56,10 +64,12 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 REACH, WIDTH, SHARE = 2, 1.0, 0.5
 #: What is left of the score of a block that is links alone, and of one in a menu, header or footer.
 LOWERED = 0.1
+#: Inside article and main, the share of the section's usual score (weighted by length) under which a path goes, and that under which one goes whose name is doubtful.
+LEAST, DOUBTFUL = 0.04, 0.5
 
 
 class Block(NamedTuple):
-    """Text with its path (tags and classes), the tags and numbers of the elements around it, whether links alone hold it, and whether a menu, header or footer does."""
+    """Text with its path (tags and classes), the tags and numbers of the elements around it, whether links alone hold it, whether a menu, header or footer does, and whether an element in its article or main has a doubtful name."""
 
     path: tuple[str, ...]
     tags: tuple[str, ...]
@@ -67,6 +77,7 @@ class Block(NamedTuple):
     text: str
     linked: bool
     weak: bool
+    doubtful: bool = False
 
     @property
     def section(self) -> int:
@@ -74,13 +85,15 @@ class Block(NamedTuple):
         return next((n for t, n in zip(reversed(self.tags), reversed(self.numbers), strict=True) if t in SECTIONS or t in WEAK), 0)
 
 
-def _marked(tag: str, attributes: str) -> bool:
-    """Whether tag, class, id or role mark an element as not of the article."""
+def _marked(tag: str, attributes: str, told: bool) -> tuple[bool, bool]:
+    """Whether tag, class, id or role mark an element as not of the article, and whether they make it doubtful. ``told``: it stands in an article or main element."""
     if tag in GUARDED:
-        return True
+        return True, False
     if tag in ("html", "body", "main", "article") or tag in WEAK or "=" not in attributes:
-        return False
-    return any(_MARKS.search(_BESIDE.sub(" ", m[2] or m[3] or m[4] or "")) for m in _NAMES.finditer(attributes))
+        return False, False
+    names = [_BESIDE.sub(" ", m[2] or m[3] or m[4] or "") for m in _NAMES.finditer(attributes)]
+    soft = any(map(_SOFT_MARKS.search, names))
+    return any(map(_MARKS.search, names)) or (soft and not told), soft and told
 
 
 def _class(attributes: str) -> str:
@@ -104,7 +117,7 @@ def _wrappers(out, landmarks) -> set[int]:
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of text outside guarded parts, in page order."""
-    stack: list[tuple[str, int, bool, tuple[int, ...], str]] = []  # tag, number, inside a dropped part, marked elements around, tag and class
+    stack: list[tuple[str, int, bool, tuple[int, ...], str, bool]] = []  # tag, number, inside a dropped part, marked elements around, tag and class, inside a doubtful part
     landmarks = []  # each article, main and h1: tag, number, marked elements around
     out, parts, home, number, at, linked = [], [], None, 0, 0, 0
 
@@ -114,7 +127,7 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             own, marks = home
             weak = any(s[0] in WEAK for s in own)
-            out.append((Block(tuple(s[4] for s in own), tuple(s[0] for s in own), tuple(s[1] for s in own), text, linked == sum(map(len, map(str.strip, parts))), weak), marks))
+            out.append((Block(tuple(s[4] for s in own), tuple(s[0] for s in own), tuple(s[1] for s in own), text, linked == sum(map(len, map(str.strip, parts))), weak, any(s[5] for s in own)), marks))
         parts, linked = [], 0
 
     def add(text: str) -> None:
@@ -156,19 +169,34 @@ def blocks_of(page: str) -> list[Block]:
             continue
         number += 1
         gone, marks = (stack[-1][2] or tag in DROPPED, stack[-1][3]) if stack else (tag in DROPPED, ())
-        if not gone and _marked(tag, m["attr"]):
+        hard, soft = (False, False) if gone else _marked(tag, m["attr"], any(s[0] in ("article", "main") for s in stack))
+        if hard:
             marks = (*marks, number)
         if tag in ("article", "main", "h1") and not gone:
             landmarks.append((tag, number, marks))
-        stack.append((tag, number, gone, marks, f"{tag}.{_class(m['attr'])}"))
+        stack.append((tag, number, gone, marks, f"{tag}.{_class(m['attr'])}", soft))
     add(page[at:])
     close()
     kept = _wrappers(out, landmarks) if any(marks for _, marks in out) else set()
     # Where marks would leave nothing but menus, headers and footers, they tell nothing.
     left = [block for block, marks in out if kept.issuperset(marks)]
+    left = _without_comments(left)
     return left if any(not b.weak for b in left) else [block for block, _ in out]
 
 
+def _without_comments(blocks: list[Block]) -> list[Block]:
+    """The blocks but those from a heading of readers' comments to the end of its section."""
+    out, gone = [], None
+    for b in blocks:
+        if gone is not None and gone not in b.numbers:
+            gone = None
+        if gone is None and b.tags and b.tags[-1] in HEADINGS and b.tags[-1] != "h1" and _COMMENTS.fullmatch(b.text.strip(" :.")):
+            gone = b.section
+        if gone is None:
+            out.append(b)
+    return out
+
+
 def block_scores(blocks: list[Block]) -> list[float]:
     """The smoothed and fused tag-path ratios of each block."""
     sums: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0])
@@ -189,25 +217,51 @@ def block_scores(blocks: list[Block]) -> list[float]:
     return out
 
 
-def content_nodes(blocks: list[Block], scores: list[float]) -> list[bool]:
-    """Whether each block's path is content: its mean score reaches the share of the deviation of all scores. Menus, headers and footers are so only where nothing else is."""
-    mean = sum(scores) / len(scores)
-    least = SHARE * math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
+def path_scores(blocks: list[Block], scores: list[float]) -> list[float]:
+    """The mean score of each block's path."""
     sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0])
     for b, s in zip(blocks, scores, strict=True):
         sums[b.path][0] += s
         sums[b.path][1] += 1
-    reached = [sums[b.path][0] >= least * sums[b.path][1] for b in blocks]
+    return [sums[b.path][0] / sums[b.path][1] for b in blocks]
+
+
+def content_nodes(blocks: list[Block], scores: list[float], paths: list[float]) -> list[bool]:
+    """Whether each block's path is content: its mean score reaches the share of the deviation of all scores. Menus, headers and footers are so only where nothing else is."""
+    mean = sum(scores) / len(scores)
+    least = SHARE * math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
+    reached = [p >= least for p in paths]
     plain = [r and not b.weak for r, b in zip(reached, blocks, strict=True)]
     return plain if any(plain) else reached
 
 
+def _scoring(blocks: list[Block], paths: list[float], inside: list[int]) -> list[int]:
+    """Those of the blocks inside an article or main element whose paths score: not far under the usual score there, and not under half of it where a name makes them doubtful.
+
+    Headings stay, but for doubtful ones, as they are short and without punctuation; so do all if nothing scores.
+    """
+    size = sum(len(blocks[i].text) for i in inside)
+    usual = sum(paths[i] * len(blocks[i].text) for i in inside) / max(1, size)
+    out = [i for i in inside if (paths[i] >= DOUBTFUL * usual if blocks[i].doubtful else paths[i] >= LEAST * usual or HEADINGS.intersection(blocks[i].tags))]
+    return out or inside
+
+
+def _with_title(blocks: list[Block], inside: list[int]) -> list[int]:
+    """With the page's only h1, where it stands before the content and outside of it."""
+    titles = [i for i, b in enumerate(blocks) if "h1" in b.tags and not b.weak and not b.linked]
+    numbers = {blocks[i].numbers[blocks[i].tags.index("h1")] for i in titles}
+    before = [i for i in titles if i < inside[0]] if inside else []
+    return before + inside if len(numbers) == 1 and len(before) == len(titles) else inside
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, white space inside each turned into one blank, joined by one blank."""
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    chosen = content_nodes(blocks, block_scores(blocks))
+    scores = block_scores(blocks)
+    paths = path_scores(blocks, scores)
+    chosen = content_nodes(blocks, scores, paths)
     content = [len(b.text) if c else 0 for b, c in zip(blocks, chosen, strict=True)]
     total, inside = sum(content), list(range(len(blocks)))
     depth, top = 0, ""
@@ -234,9 +288,8 @@ def main_text(page: str | None) -> str:
             break
         depth += 1
     inside = [i for i in inside if chosen[i] or not blocks[i].weak]
-    if top not in ("article", "main"):
-        inside = _belonging(blocks, chosen, inside, depth)
-    return " ".join(blocks[i].text for i in inside)
+    inside = _scoring(blocks, paths, inside) if top in ("article", "main") else _belonging(blocks, chosen, inside, depth)
+    return " ".join(blocks[i].text for i in _with_title(blocks, inside))
 
 
 def _belonging(blocks: list[Block], chosen: list[bool], inside: list[int], depth: int) -> list[int]:

@@ -169,3 +169,55 @@ def test_sections_that_belong_to_the_article():
     assert main_text(page) == WANT.replace("Short one.", "A figure Short one.")
     assert main_text(f"<body><article>{BODY}<nav><p>On, and on.</p></nav><footer>Tags</footer></article></body>") == WANT
     assert main_text("<nav><a href=1>one</a></nav><footer>All, that is here.</footer>") != ""
+
+
+PROSE = "A reader of this, in turn, may want to know more, and so it goes on, at length, to the end."
+
+
+@pytest.mark.parametrize("part", [
+    f"<p class='search-result'>{PROSE}</p>", f"<p class='related-work'>{PROSE}</p>", f"<p class='notice'>{PROSE}</p>", f"<section class='discussion'><p>{PROSE}</p></section>", f"<div class='share'><p>{PROSE}</p></div>", f"<div class='toc'><p>{PROSE}</p></div>", f"<div class='register'><p>{PROSE}</p></div>",
+])
+def test_prose_in_an_article_stays_whatever_its_name(part):
+    for tag in ("article", "main"):
+        assert main_text(f"<body><{tag}>{BODY}{part}</{tag}><footer>x</footer></body>") == f"{WANT} {PROSE}"
+    # Outside of it the same name marks it as something else.
+    assert main_text(f"<body><article>{BODY}</article>{part}</body>") == WANT
+
+
+def test_doubtful_parts_and_lists_of_links_in_an_article_go_by_their_score():
+    share, more = "<div class='share'><span>Share</span> <span>Tweet</span></div>", "<ul><li><a href=1>More of it</a><li><a href=2>And this</a></ul>"
+    assert main_text(f"<article>{BODY}{share}{more}</article>") == WANT
+    listed = "<ul><li>Flour<li>Two eggs<li>Sugar</ul>"
+    assert main_text(f"<article>{BODY}{listed}</article>") == f"{WANT} Flour Two eggs Sugar"
+
+
+def test_the_only_title_before_the_content_stays():
+    page = "<body><h1>The Title</h1><div><a href=1>one</a> <a href=2>two</a></div><div class=post>" + BODY.replace("<h1>The Title</h1>", "") + "</div></body>"
+    assert main_text(page) == WANT
+    assert main_text(f"<body><h1>Site</h1><div class=post>{BODY}</div></body>") == WANT
+
+
+@pytest.mark.parametrize("heading", ["3 responses", "Comments", "Comments (12)", "Leave a reply", "2 Kommentare", "Comentarios"])
+def test_comments_under_a_heading_that_tells_them_go(heading):
+    comments = f"<h3>{heading}</h3><p>{PROSE}</p><p>{PROSE}</p>"
+    for page in (f"<body><div class=c1>{BODY}</div><div class=c2>{comments}</div></body>", f"<body><article>{BODY}</article><div class=c2>{comments}</div></body>", f"<article>{BODY}{comments}</article>"):
+        assert main_text(page) == WANT
+
+
+def without_names(page):
+    """The page's article and boilerplate in plain divisions, without classes."""
+    return re.sub(r"(</?)(?:article|nav|footer)\b", r"\1div", re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page))
+
+
+def test_ratios_decide_without_names(spark, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    links = "".join(f"<li><a href=1>{w}</a>" for w in ("News", "Sport", "World", "Money", "Travel"))
+    small = [f"<div><div><ul>{links * n}</ul></div><div>{BODY}</div><div>Imprint</div></div>" for n in range(1, 5)] + [f"<article>{BODY}<ul>{links}</ul></article>", f"<main>{BODY}<div class=share>Share</div></main>"]
+    right = lambda: (sum(main_text(without_names(h)) == article_of(h) for h in pages), sum(main_text(h) == WANT for h in small))
+    by_ratio, small_by_ratio = right()
+    texts = [main_text(without_names(h)) for h in pages]
+    monkeypatch.setattr(html_text, "block_scores", lambda blocks: [1.0] * len(blocks))
+    constant, small_constant = right()
+    changed = sum(a != main_text(without_names(h)) for a, h in zip(texts, pages))
+    assert changed > 0.1 * len(pages) and by_ratio > constant
+    assert small_by_ratio == len(small) and small_constant <= 0.9 * len(small)
