@@ -1,7 +1,8 @@
 """Personal data replaced by keyed surrogates, in DataFrame operations alone.
 
-Detected: e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers, IBANs, US social
-security numbers, secret tokens, and names behind a form of address, with their other mentions in the same text. A surrogate has its entity's
+Detected: e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, payment card numbers, IBANs, US social
+security numbers, secret tokens, and names behind a form of address, with their other mentions in the same text (a surname
+that is also a word, such as May, is replaced wherever that text has it with a capital). Particles such as von stay. A surrogate has its entity's
 type and format: letters stand for letters of the same case and script, digits for digits, signs and
 spacing stay; a card number passes its check digit, an IBAN keeps its country, a telephone number
 its international prefix, and a given name the gender that a form of address before it tells anywhere (female, where they
@@ -16,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.shared import written
+from lakeloom.llm.shared import fresh, written
 
 # Forms of address by the gender that they tell.
 FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Sra", "Srta", "Signora", "Госпожа"]
@@ -35,23 +36,32 @@ ENDINGS = {
     "greek": {"given_f": ["α", "ινα"], "given_m": ["ος", "ης"], "given_n": ["ι", "υ"], "surname": ["ιδης", "ακης"]},
 }
 
-_TITLE = "(?:" + "|".join(FEMALE + MALE + NEUTRAL) + r")\.?\x20"
-_NAME = r"\p{Lu}[\p{Ll}'-]++"
+# Small words inside of surnames, which stay as they are.
+PARTICLES = ["von", "vom", "van", "de", "der", "den", "del", "della", "di", "da", "dos", "du", "la", "le", "zu", "zur", "ter", "ten", "bin", "ibn", "al", "el"]
+
+_TITLES = "(?:" + "|".join(FEMALE + MALE + NEUTRAL) + ")"
+#: A form of address, with a full stop or a blank behind it.
+_TITLE = rf"{_TITLES}(?:\.\x20{{0,3}}|\x20{{1,3}})"
+#: A capital and letters, also behind an apostrophe or hyphen if that starts with a capital again; a form of address is none.
+_NAME = rf"(?!{_TITLES}(?![\p{{L}}]))(?=\p{{Lu}}[\p{{L}}'’-])\p{{Lu}}\p{{L}}*+(?:['’-]\p{{Lu}}\p{{L}}*+)*+"
+_SURNAME = rf"(?:(?:{'|'.join(PARTICLES)})\x20{{1,3}}){{0,3}}{_NAME}"
 _PREFIX = "(?:sk|pk|ghp|gho|xox[bp])[-_]"
+_WEB_TOKEN = r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
 #: What is an entity. Every alternative starts where its run of characters starts, so scanning is linear in the text.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+(?![A-Za-z0-9-])",
-    "token": rf"(?<![A-Za-z0-9])(?:(?=[A-Fa-f]*+[0-9])[A-Fa-f0-9]{{32,}}+|AKIA[0-9A-Z]{{16}}|{_PREFIX}[A-Za-z0-9_-]{{16,}}+)(?![A-Za-z0-9])",
+    "token": rf"(?<![A-Za-z0-9])(?:(?=[A-Fa-f]*+[0-9])[A-Fa-f0-9]{{32,}}+|AKIA[0-9A-Z]{{16}}|{_WEB_TOKEN}|{_PREFIX}[A-Za-z0-9_-]{{16,}}+)(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ipv6": r"(?<![\p{L}0-9:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*+[0-9])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){1,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,4})?)(?![\p{L}0-9:]|\.[0-9])",
     "ip": r"(?<![\p{L}0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}0-9]|\.[0-9])",
     "ssn": r"(?<![\p{L}0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}0-9]|-[0-9])",
     "card": r"(?<![\p{L}0-9.,-])[0-9]{4}(?:[\x20-]?[0-9]{4}){2}[\x20-]?[0-9]{1,7}(?![\p{L}0-9]|[.,-][0-9])",
-    "phone": r"(?<![\p{L}0-9.,-])(?:\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,5}\)[\x20.-]?)?[0-9]{2,5}(?:[\x20./-]?[0-9]{2,5}){1,4}|\([0-9]{2,5}\)[\x20.-]?[0-9]{2,5}(?:[\x20.-]?[0-9]{2,5}){1,3}|[0-9]{3}[.\x20-][0-9]{3}[.\x20-][0-9]{4}|0[0-9]{1,4}[\x20/-][0-9]{3,4}(?:[\x20-]?[0-9]{2,4}){1,3})(?![\p{L}0-9]|[.,-][0-9])",
-    "name": rf"(?<![\p{{L}}0-9]){_TITLE}{_NAME}(?:\x20{_NAME})?(?![\p{{L}}0-9])",
+    "phone": r"(?<![\p{L}0-9.,-])(?:\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,5}\)[\x20.-]?)?[0-9]{2,5}(?:[\x20./-]?[0-9]{2,5}){1,4}|\([0-9]{2,5}\)[\x20.-]?[0-9]{2,5}(?:[\x20.-]?[0-9]{2,5}){1,3}|[0-9]{3}[.\x20-][0-9]{3}[.\x20-][0-9]{4}|[2-9][0-9]{2}[2-9][0-9]{6}|0[0-9]{1,4}[\x20/-][0-9]{3,4}(?:[\x20-]?[0-9]{2,4}){1,3})(?![\p{L}0-9]|[.,-][0-9])",
+    "name": rf"(?<![\p{{L}}0-9]){_TITLE}(?:{_NAME}\x20{{1,3}}(?={_SURNAME}(?![\p{{L}}0-9])))?{_SURNAME}(?![\p{{L}}0-9])",
 }
 ANY = "|".join(PATTERNS.values())
 #: Each pattern needs a digit or @, the start of a token or a form of address; a text without them needs no more than this test.
-HINT = rf"[0-9@]|AKIA|{_PREFIX}|(?<![\p{{L}}0-9]){_TITLE}"
+HINT = rf"[0-9@]|AKIA|eyJ|{_PREFIX}|(?<![\p{{L}}0-9]){_TITLE}"
 
 _ALNUM_ELSE = r"[^\p{L}\p{N}]"
 STREAM = 512
@@ -130,7 +140,7 @@ def luhn(number: Column) -> Column:
 
 
 def made_name(kind: Column, raw: Column, hexes: Column, attempt: Column) -> Column:
-    """A name in the script of ``raw``: two syllables, more after some attempts, and the ending of the kind."""
+    """A name in the script of ``raw``: two syllables (a surname three), more after some attempts, and the ending of the kind."""
 
     def pick(values: list[str], i: int) -> Column:
         return F.element_at(F.array(*map(F.lit, values)), (F.pmod(_byte(hexes, F.lit(2 * i)) * 256 + _byte(hexes, F.lit(2 * i + 1)), F.lit(len(values))) + 1).cast("int"))
@@ -138,7 +148,7 @@ def made_name(kind: Column, raw: Column, hexes: Column, attempt: Column) -> Colu
     def of(script: str) -> Column:
         s = SYLLABLES[script]
         end = reduce(lambda a, k: a.when(kind == k, pick(ENDINGS[script][k], 9)), list(ENDINGS[script])[1:], F.when(kind == "given_f", pick(ENDINGS[script]["given_f"], 9)))
-        more = [F.when((kind == "surname") | (attempt >= k), pick(s, 2 + k)).otherwise("") for k in (1, 3, 5, 9, 20)]
+        more = [F.when(attempt >= F.when(kind == "surname", early).otherwise(late), pick(s, 2 + late)).otherwise("") for early, late in ((0, 1), (1, 3), (2, 5), (3, 9), (5, 20))]
         return F.initcap(F.concat(pick(s, 0), pick(s, 1), *more, end))
 
     return F.when(raw.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(raw.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
@@ -156,15 +166,17 @@ def surrogate(kind: Column, value: Column, gender: Column, attempt: Column, key:
     skip = (
         F.when(kind == "card", 1).when(kind == "iban", 2)
         .when((kind == "phone") & value.startswith("+"), F.length(F.regexp_extract(value, r"^\+(1|7|[0-9]{2})", 1)))
-        .when(kind == "token", F.length(F.regexp_extract(value, "^(AKIA|sk|pk|gh[po]|xox[bp])(?=[A-Z0-9_-])", 1))).otherwise(0)
+        .when(kind == "token", F.length(F.regexp_extract(value, "^(AKIA|eyJ|sk|pk|gh[po]|xox[bp])(?=[A-Za-z0-9_-])", 1))).otherwise(0)
     )
-    part = F.when(kind == "email", local).when(kind == "card", value.substr(F.lit(1), F.length(value) - 1)).otherwise(value)
-    new = masked(part, h, (kind == "token") & value.rlike("^[a-f0-9]+$"), skip)
+    # A short address has few others of its form; after some attempts it grows.
+    grown = F.concat(local, F.repeat(F.lit("x"), F.floor(attempt / 8).cast("int")))
+    part = F.when(kind == "email", grown).when(kind == "card", value.substr(F.lit(1), F.length(value) - 1)).otherwise(value)
+    new = masked(part, h, (kind == "ipv6") | (kind == "token") & value.rlike("^[a-f0-9]+$"), skip)
     return (
         F.when(kind == "email", F.concat(new, F.lit("@"), masked(named, domain_stream, F.lit(False), F.lit(0)), top))
         .when(kind == "ip", F.concat_ws(".", *octets))
         .when(kind == "card", _bound(new, lambda card: F.concat(card, luhn(card))))
-        .when(kind.isin("iban", "phone", "token", "ssn"), new)
+        .when(kind.isin("iban", "phone", "token", "ssn", "ipv6"), new)
         .otherwise(made_name(F.when(kind == "given", F.concat(F.lit("given_"), F.coalesce(gender, F.lit("n")))).otherwise(kind), value, h, attempt))
     )
 
@@ -199,29 +211,37 @@ def parts_of(match: Column) -> Column:
     name = match.substr(F.length(title) + 1, F.length(match))
     bare = F.regexp_replace(title, r"[.\x20]", "")
     gender = F.when(bare.isin(FEMALE), "f").when(bare.isin(MALE), "m")
-    first, last = F.substring_index(name, " ", 1), F.substring_index(name, " ", -1)
+    last = F.regexp_extract(name, f"{_NAME}$", 0)
+    first = F.when(F.length(name) > F.length(last), F.regexp_extract(name, f"^{_NAME}(?=\\x20)", 0)).otherwise("")
+    # Blanks and particles.
+    between = name.substr(F.length(first) + 1, F.length(name) - F.length(first) - F.length(last))
     keep = F.lit("keep")
-    two = F.array(part(keep, title), part(F.lit("given"), first, gender), part(keep, F.lit(" ")), part(F.lit("surname"), last))
-    one = F.array(part(keep, title), part(F.lit("surname"), name))
+    two = F.array(part(keep, title), part(F.lit("given"), first, gender), part(keep, between), part(F.lit("surname"), last))
+    one = F.array(part(keep, title), part(keep, between), part(F.lit("surname"), last))
     kind = kind_of(match)
-    return F.when(F.coalesce(kind, F.lit("name")) == "name", F.when(name.contains(" "), two).otherwise(one)).otherwise(F.array(part(kind, match)))
+    return F.when(F.coalesce(kind, F.lit("name")) == "name", F.when(first != "", two).otherwise(one)).otherwise(F.array(part(kind, match)))
 
 
 def pattern_of(text: Column) -> Column:
     """What is an entity in this text: ``ANY``, and the full names and surnames that stand behind a form of address somewhere in it."""
     names = F.transform(F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0)), lambda m: F.regexp_replace(m, f"^{_TITLE}", ""))
-    known = F.array_distinct(F.concat(names, F.transform(names, lambda m: F.substring_index(m, " ", -1))))
+    known = F.array_distinct(F.concat(names, F.transform(names, lambda m: F.regexp_extract(m, f"{_NAME}$", 0))))
     # Longer names first, so that a full name isn't taken for its surname.
     longest = F.transform(F.array_sort(F.transform(known, lambda m: F.struct((-F.length(m)).alias("n"), m.alias("m")))), lambda x: x["m"])
     return F.when(F.size(known) == 0, ANY).otherwise(F.concat(F.lit(ANY + r"|(?<![\p{L}0-9])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}0-9])")))
 
 
+def national_of_one(raw: Column) -> Column:
+    """Whether a telephone number is written as ten digits, which is what follows the international prefix 1."""
+    return ~raw.startswith("+") & F.regexp_replace(raw, "[^0-9]", "").rlike("^[2-9][0-9]{9}$")
+
+
 def canonical(kind: Column, raw: Column) -> Column:
     """What all spellings of an entity share."""
     digits = F.regexp_replace(raw, "[^0-9]", "")
     return (
-        F.when(kind == "email", F.lower(raw)).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.regexp_replace(raw, " ", ""))
-        .when(kind == "phone", F.concat(F.when(raw.startswith("+"), "+").otherwise(""), digits)).when((kind == "token") & raw.rlike("^[A-Fa-f0-9]+$"), F.lower(raw)).when(kind.isin("token", "ip"), raw).otherwise(F.initcap(F.lower(raw)))
+        F.when(kind.isin("email", "ipv6"), F.lower(raw)).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.regexp_replace(raw, " ", ""))
+        .when(kind == "phone", F.concat(F.when(raw.startswith("+"), "+").when(national_of_one(raw), "+1").otherwise(""), digits)).when((kind == "token") & raw.rlike("^[A-Fa-f0-9]+$"), F.lower(raw)).when(kind.isin("token", "ip"), raw).otherwise(F.initcap(F.lower(raw)))
     )
 
 
@@ -259,15 +279,17 @@ def replace_pii(docs: DataFrame, key: str, count: str = "n_entities") -> DataFra
     """
     text = F.col("text")
     has = F.coalesce(text.rlike(HINT) & text.rlike(ANY), F.lit(False))
-    own, news, seen = "_row_of_pii", "_surrogates_of_pii", "_pattern_of_pii"
+    own, news, seen = (fresh(n, docs) for n in ("_row_of_pii", "_surrogates_of_pii", "_pattern_of_pii"))
     clean = docs.where(~has).withColumn(count, F.lit(0))
     hits = written(docs.where(has).withColumn(own, F.monotonically_increasing_id()).withColumn(seen, pattern_of(text)), "with-entities")
     found = hits.select(own, F.posexplode(F.regexp_extract_all("text", seen, F.lit(0))).alias("i", "match"))
     parts = found.select(own, "i", F.posexplode(parts_of(F.col("match"))).alias("j", "part")).select(own, "i", "j", "part.kind", "part.raw", "part.gender")
     parts = written(parts.withColumn("value", canonical(F.col("kind"), F.col("raw"))), "entity-parts")
     given = assign(parts.where("kind <> 'keep'").select("kind", "value", "gender"), key)
-    raw, kind, laid = F.col("raw"), F.col("kind"), laid_out(F.col("raw"), F.col("surrogate"))
-    cased = (kind == "email") | (kind == "token") & raw.rlike("^[A-Fa-f0-9]+$")
+    raw, kind = F.col("raw"), F.col("kind")
+    national = (kind == "phone") & national_of_one(raw)
+    laid = laid_out(raw, F.when(national, F.col("surrogate").substr(3, 10)).otherwise(F.col("surrogate")))
+    cased = ((kind == "email") & (F.length("surrogate") == F.length(raw))) | (kind == "ipv6") | (kind == "token") & raw.rlike("^[A-Fa-f0-9]+$")
     shouted = kind.isin("given", "surname") & (F.length("raw") > 1) & (raw == F.upper("raw"))
     new = (
         F.when(F.col("surrogate").isNull(), raw)

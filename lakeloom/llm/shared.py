@@ -26,6 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` doesn't have, whatever the letter case: ``name``, with underscores behind it if need be."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
