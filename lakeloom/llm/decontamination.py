@@ -26,7 +26,7 @@ from lakeloom.llm.shared import text_batches, written
 
 #: Tokens in a window (shorter items are one window), and how many plain words an alignment of typed windows must cover.
 WINDOW, LITERALS = 8, 5
-#: An item of fewer tokens than LITERALS identifies no passage and counts where it is a whole document; a character of a script without blanks counts as half a token.
+#: An item of fewer tokens than LITERALS identifies no passage and counts where it is a whole document, line or sentence; a character of a script without blanks counts as half a token.
 #: Share of an item's tokens that consistent alignments must cover.
 COVERED = 0.6
 ROW = "_row_of_leaks"
@@ -46,6 +46,9 @@ _WORD = re.compile(r"\S+").findall
 _UNSPACED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 _HAS_UNSPACED = re.compile(f"[{_UNSPACED}]").search
 _PIECE = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+").findall
+_WORD_AT, _PIECE_AT = re.compile(r"\S+").finditer, re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+").finditer
+# What ends a line or a sentence, or quotes one.
+_ENDS = frozenset('\n\r\u2028.!?:;。．！？；："“”„«»')
 _NUMBER = re.compile(r"[$€£+-]?\d[\d.,:/]*(%|[^\W\d_]*)$")
 
 
@@ -135,13 +138,39 @@ def window_hashes(codes, size: int, literal: int = 0):
     return np.where(plain[size:] > plain[:-size], h, np.uint64(0))
 
 
+def _is_short(words, here) -> bool:
+    return len(here) < 2 * LITERALS and identifying(words, here) < LITERALS  # a token is half a one at least
+
+
 def _windows(words, here, codes, literal, sizes):
-    """(size, hashes, codes) of the windows of a text; a text of fewer tokens than LITERALS is one literal window, which only such texts share, under a negative size."""
-    if len(here) < 2 * LITERALS and identifying(words, here) < LITERALS:  # a token is half a one at least
+    """(size, hashes, codes) of the windows of an item; one of fewer tokens than LITERALS is one literal window under a negative size."""
+    if _is_short(words, here):
         return [(-len(literal), window_hashes(literal, len(literal), 2), literal)] if len(literal) else []
     return [(size, window_hashes(own, size, own is literal), own) for size in sizes for own in (codes, literal)]
 
 
+def _document_windows(words, here, codes, literal, sizes):
+    """As ``_windows``, for a document: with literal windows of the short items' sizes (negative) at every place."""
+    long = [] if _is_short(words, here) else [size for size in sizes if size > 0]
+    return [(size, window_hashes(own, size, own is literal), own) for size in long for own in (codes, literal)] + [(size, window_hashes(literal, -size, 2), literal) for size in sizes if size < 0]
+
+
+def _delimited(text: str, here, at: int, size: int) -> bool:
+    """Whether tokens ``at`` to ``at + size`` are whole sentences or lines: before and after them the text begins, ends, or has a line feed, the end of a sentence or quotation marks."""
+    spans = [m.span() for m in (_WORD_AT if text.isascii() or not _HAS_UNSPACED(text) else _PIECE_AT)(text)]
+
+    def open_(left: int | None, right: int | None) -> bool:
+        if left is None or right is None:
+            return True
+        a, b = spans[here[left]], spans[here[right]]
+        last = max((k for k in range(*a) if text[k].isalnum()), default=a[0])
+        first = min((k for k in range(*b) if text[k].isalnum()), default=b[1])
+        return any(c in _ENDS for c in text[last + 1 : first])
+
+    end = at + size
+    return open_(at - 1 if at else None, at) and open_(end - 1, end if end < len(here) else None)
+
+
 def _plain(codes, at: int, size: int) -> int:
     """The places of plain words in a window, a bit for each."""
     return sum((int(codes[at + k]) & 1) << k for k in range(size))
@@ -191,7 +220,7 @@ def document_windows(docs: DataFrame, sizes: list[int], hashes) -> DataFrame:
             out = {c: [] for c in ("row", "size", "at", "h", "slots")}
             for row, text in zip(b.column(ROW).to_pylist(), b.column("text").to_pylist(), strict=True):
                 words, here, codes, literal = template_codes(text)
-                for size, h, own in _windows(words, here, codes, literal, sizes):
+                for size, h, own in _document_windows(words, here, codes, literal, sizes):
                     if known is None:
                         found = np.flatnonzero(h)
                     else:
@@ -200,6 +229,8 @@ def document_windows(docs: DataFrame, sizes: list[int], hashes) -> DataFrame:
                             among = h[found]
                             found = found[known[np.minimum(np.searchsorted(known, among), len(known) - 1)] == among]
                     for at in found.tolist():
+                        if size < 0 and not _delimited(text, here, at, -size):
+                            continue
                         slots = [] if own is literal else _slots(words, here, codes, at, size)
                         for c, v in (("row", row), ("size", size), ("at", at), ("h", int(h[at].view(np.int64))), ("slots", slots)):
                             out[c].append(v)
@@ -213,7 +244,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id") -> DataFr
     import numpy as np
 
     items = written(item_windows(benchmark, key).dropDuplicates(["id", "at", "h"]), "item-windows")
-    sizes = sorted(r["size"] for r in items.select("size").where("size > 0").distinct().collect())  # at most WINDOW
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW, and under 2 * LITERALS negative ones
     distinct = items.select("h").distinct()
     shared = None
     if distinct.count() <= FILTER_HASHES:
@@ -245,8 +276,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, ``contaminated``, ``items`` (the leaked items' ids, ascending) and the largest ``share`` covered.
 
     A document is contaminated if consistent alignments and literal windows cover COVERED of an item's tokens. An item of
-    fewer than LITERALS tokens (twice as many characters in a script without blanks) contaminates documents that are this item, in any
-    letter case, and nothing else. Items without tokens, null items and items with null ids are passed over. Null and empty texts are clean.
+    fewer than LITERALS tokens (twice as many characters in a script without blanks) contaminates documents of which it is a whole line or
+    sentence, or more of them, in any letter case, and nothing else. Items without tokens, null items and items with null ids are passed over. Null and empty texts are clean.
     Repeated rows share one answer and keep their rows. Empty tables give clean documents, or no rows. Columns other than doc_id and text are left out.
     """
     rows = with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))

@@ -72,9 +72,15 @@ def test_scripts_without_blanks_are_checked(spark):
     assert run(spark, docs, [(10, chinese), (11, thai), (12, japanese), (13, "ประเทศ"), (14, "天气")])[0] == {(1, (10,)), (2, (11,)), (3, (12,))}
 
 
-def test_short_items_are_found_as_whole_documents_only(spark):
-    docs = [(1, "What is gravity?"), (2, "what IS Gravity"), (3, "what is gravity now"), (4, FILL + "What is gravity?"), (5, "天气"), (6, "天气很")]
-    assert run(spark, docs, [(10, "What is gravity?"), (11, "天气"), (12, "***"), (13, "")])[0] == {(1, (10,)), (2, (10,)), (5, (11,))}
+@pytest.mark.parametrize("bound", [4_000_000, 0])
+def test_short_items_are_found_as_whole_sentences_or_lines(spark, monkeypatch, bound):
+    monkeypatch.setattr(d, "FILTER_HASHES", bound)
+    docs = [
+        (1, "What is gravity?"), (2, "what IS Gravity"), (3, "what is gravity now"), (4, FILL + "What is gravity?"), (5, "天气"), (6, "天气很"), (7, FILL + "\nwhat is gravity\n" + FILL), (8, FILL + "so what is gravity? " + FILL),
+        (9, f'{FILL}He asked: "What is GRAVITY?" and {FILL}'), (10, "很好。天气。今天很好我们去公园散步"), (11, FILL + "What is 2 + 2? " + FILL), (12, FILL + "we know what is 2 + 2? " + FILL), (13, "No. What is gravity?"), (14, FILL + "***\n"),
+    ]
+    items = [(10, "What is gravity?"), (11, "天气"), (12, "***"), (13, ""), (14, "What is 2 + 2?")]
+    assert run(spark, docs, items)[0] == {(1, (10,)), (2, (10,)), (4, (10,)), (5, (11,)), (7, (10,)), (9, (10,)), (10, (11,)), (11, (14,)), (13, (10,))}
 
 
 def test_columns_of_any_name(spark):
