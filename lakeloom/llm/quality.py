@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.shared import text_batches, written
+from lakeloom.llm.shared import fresh, text_batches, written
 
 ORDER = 4
 #: Tables of more rows than this (16 bytes each) are joined, not broadcast.
@@ -395,11 +395,12 @@ def _judged(docs: DataFrame, labels: DataFrame, quantile: float, peak_quantile:
     limits = written(limits, "limits")
     pooled = limits.where("lang is null").first()
     pooled = (pooled["ppl_limit"], pooled["peak_limit"]) if pooled else (None, None)
-    table = limits.join(means, "lang").select(F.col("lang").alias("_lang_of_quality"), F.col("mean").alias("_mean_of_quality"), F.col("ppl_limit").alias("_p_of_quality"), F.col("peak_limit").alias("_q_of_quality"))
-    out = scored(docs, of_fold(models, FOLDS), method).join(F.broadcast(written(table, "languages")), F.col("lang") == F.col("_lang_of_quality"), "left")
+    lang_of, mean_of, p_of, q_of = (fresh(n, docs) for n in ("_lang_of_quality", "_mean_of_quality", "_p_of_quality", "_q_of_quality"))
+    table = limits.join(means, "lang").select(F.col("lang").alias(lang_of), F.col("mean").alias(mean_of), F.col("ppl_limit").alias(p_of), F.col("peak_limit").alias(q_of))
+    out = scored(docs, of_fold(models, FOLDS), method).join(F.broadcast(written(table, "languages")), F.col("lang") == F.col(lang_of), "left")
     some = F.col(SCORED) > 0
-    p, q = F.when(some, perplexity(F.coalesce("_mean_of_quality", F.lit(whole).cast("double")))), F.when(some, F.exp(WORST))
-    p_limit, q_limit = (F.coalesce(c, F.lit(x).cast("double")) for c, x in zip(("_p_of_quality", "_q_of_quality"), pooled, strict=True))
+    p, q = F.when(some, perplexity(F.coalesce(F.col(mean_of), F.lit(whole).cast("double")))), F.when(some, F.exp(WORST))
+    p_limit, q_limit = (F.coalesce(c, F.lit(x).cast("double")) for c, x in zip((F.col(p_of), F.col(q_of)), pooled, strict=True))
     keep = F.coalesce((p <= p_limit) & (q <= q_limit), F.lit(True))
     return out.select(*docs.columns, *[c.alias(f"_{n}_of_quality") for n, c in (("perplexity", p), ("limit", p_limit), ("peak", q), ("peak_limit", q_limit), ("keep", keep))])
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.graph import connected_components, hinted, links_inside
-from lakeloom.llm.shared import text_batches, written
+from lakeloom.llm.shared import fresh, text_batches, written
 
 BITS = 64
 #: Tables in the first step, over all fingerprints of an item; each later step takes eight times as many.
@@ -226,7 +226,7 @@ def keep_one(docs: DataFrame, words: int = 1, radius: int = 6, repeats: bool = F
     are all alike. Rows that repeat doc_id and text count once; rows that share a doc_id only are documents of their own.
     Empty tables give no rows; other columns stay as they are.
     """
-    th = "_text_of_near"
+    th, gone_id, gone_th = (fresh(n, docs) for n in ("_text_of_near", "_gone_id", "_gone_th"))
     names = [f"p{k}" for k in range(prints)]
     profiles = written(_profiles(docs.where("doc_id is not null"), words, repeats, shingle, names), "profiles")
     nodes = profiles.groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("rep"), *[F.min(p).alias(p) for p in names])
@@ -249,10 +249,10 @@ def keep_one(docs: DataFrame, words: int = 1, radius: int = 6, repeats: bool = F
     joined = written(nodes.select("key", "doc_id", "th", "node").join(hinted(groups), "node", "left").withColumn("top", F.coalesce("top", "node")), "joined")
     kept = joined.groupBy("top").agg(F.min(F.struct("doc_id", "th")).alias("kept"))
     known = joined.join(kept, "top").select("key", F.col("kept.doc_id").alias("kept_id"), F.col("kept.th").alias("kept_th"))
-    gone = written(profiles.join(known, "key").where("doc_id <> kept_id or th <> kept_th").select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct(), "gone")
+    gone = written(profiles.join(known, "key").where("doc_id <> kept_id or th <> kept_th").select(F.col("doc_id").alias(gone_id), F.col("th").alias(gone_th)).distinct(), "gone")
     twice = written(profiles.groupBy("doc_id", "th").count().where("count > 1").select("doc_id", F.col("th").alias(th)), "repeated")
     rows = docs.withColumn(th, F.xxhash64("text"))
-    left = rows.join(hinted(gone), (F.col("doc_id") == F.col("_gone_id")) & (F.col(th) == F.col("_gone_th")), "left_anti")
+    left = rows.join(hinted(gone), (F.col("doc_id") == F.col(gone_id)) & (F.col(th) == F.col(gone_th)), "left_anti")
     if not twice.head(1):
         return left.select(docs.columns)
     once = left.join(twice, ["doc_id", th], "left_semi").dropDuplicates(["doc_id", th])
