@@ -7,11 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
 class Expectation:
-    """A rule on a column: ``kind`` is not_null, between or in_set; ``mostly`` is the share that must meet it."""
+    """A rule: ``kind`` is not_null, between (either bound may be missing) or in_set, on a column, with ``mostly``, the share that must meet it; or
+    columns (the table has just these ``values`` in order), type (the column's type is one of ``values``, in DDL), or rows (at least ``low``)."""
 
     name: str
     column: str
@@ -26,12 +28,54 @@ class Expectation:
         if self.kind == "not_null":
             return c.isNull()
         if self.kind == "between":
-            return c.isNotNull() & ~c.between(F.lit(self.low), F.lit(self.high))
+            low = F.lit(False) if self.low is None else c < F.lit(self.low)
+            high = F.lit(False) if self.high is None else c > F.lit(self.high)
+            return c.isNotNull() & (low | high)
         if self.kind == "in_set":
             return c.isNotNull() & ~c.isin(list(self.values))
         raise ValueError(self.kind)
 
 
+#: Kinds that look at the schema or the number of rows, not at values.
+TABLE_KINDS = ("columns", "type", "rows")
+
+
+def check_suite(df: DataFrame, suite: Sequence[Expectation]) -> DataFrame:
+    """A row for each expectation, in one aggregate over the table: rule, column, kind, elements, missing, unexpected, unexpected_percent (4 decimals) and passed.
+
+    A rule on a column that the table doesn't have fails, with all rows unexpected. An empty suite, two rules of one name and a run
+    that gives another number of results than the suite has rules are refused.
+    """
+    if not suite:
+        raise ValueError("an empty suite proves nothing")
+    if len({e.name for e in suite}) != len(suite):
+        raise ValueError("two rules have one name")
+    types, aggregates = dict(df.dtypes), [F.count("*").alias("rows")]
+    on_values = [e.kind not in TABLE_KINDS and e.column in types for e in suite]
+    for i, e in enumerate(suite):
+        if on_values[i]:
+            aggregates += [F.sum(F.col(e.column).isNull().cast("long")).alias(f"m{i}"), F.sum(e.unexpected().cast("long")).alias(f"u{i}")]
+    rows, out = F.col("rows"), []
+    none = F.lit(0).cast("long")
+    for i, e in enumerate(suite):
+        if on_values[i]:
+            missing, bad = F.coalesce(F.col(f"m{i}"), none), F.coalesce(F.col(f"u{i}"), none)
+            base = rows if e.kind == "not_null" else rows - missing
+            share = F.when(base > 0, bad / base).otherwise(0.0)
+            passed = 1 - share >= e.mostly
+        else:
+            good = tuple(df.columns) == e.values if e.kind == "columns" else e.kind == "type" and types.get(e.column) in [T.DataType.fromDDL(v).simpleString() for v in e.values]
+            passed = rows >= e.low if e.kind == "rows" else F.lit(good)
+            missing, bad = none, F.greatest(F.lit(e.low) - rows, none).cast("long") if e.kind == "rows" else none if good or e.kind in TABLE_KINDS else rows
+            share = F.when((rows > 0) & ~passed & F.lit(e.kind not in TABLE_KINDS), 1.0).otherwise(0.0)
+        out.append(F.struct(
+            F.lit(e.name).alias("rule"), F.lit(e.column).alias("column"), F.lit(e.kind).alias("kind"), rows.alias("elements"), missing.alias("missing"), bad.alias("unexpected"), F.round(share * 100, 4).alias("unexpected_percent"), passed.alias("passed"),
+        ))
+    if len(out) != len(suite):
+        raise ValueError(f"{len(out)} results for {len(suite)} rules")
+    return df.agg(*aggregates).select(F.explode(F.array(*out)).alias("r")).select("r.*")
+
+
 def run_suite(df: DataFrame, suite: Sequence[Expectation], min_rows: int = 0) -> DataFrame:
     """A row for each expectation: elements, missing, unexpected, unexpected percent (4 decimals) and passed.
 

@@ -12,12 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.contract import Column, Contract
 from lakeloom.functions import expressions as X
 from lakeloom.operators import baseline, boosting, comparables, counters, drift, evaluation, expectations, fields, folds, ledger, models, monitoring, profile, reports, requests, rules, simulation, splitting, statistics
 from lakeloom.operators.expectations import Expectation
 from lakeloom.operators.requests import FieldCheck
 from lakeloom.operators.rules import RowRule
 from lakeloom.operators.running import exact_quantiles
+from lakeloom.plans import suites
 from lakeloom.sources.tables import Tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,6 +197,47 @@ def quality_suite_results(t):
     return expectations.run_suite(t.lineitem, _SUITE, min_rows=1000)
 
 
+_LISTED = Contract("listed", (Column("l_orderkey", "bigint", False), Column("l_linenumber", "int", False), Column("price", "double", False), Column("mileage", "double"), Column("date", "timestamp_ntz"), Column("make", "string"), Column("model", "string")))
+_SUITE_PARAMETERS = suites.SuiteParameters("1998-06-01", 2000.0, 80000.0, 1.0, 45.0, 1000, mileage_mostly=0.85, date="date", mileage="mileage", price="price", required=("make", "model"))
+_LISTED_SQL = f"WITH {LISTINGS}, listed AS (SELECT l_orderkey, l_linenumber, price, mileage, date, make, model FROM listings)"
+
+
+def _listed(t):
+    return listings(t).select(*_LISTED.names)
+
+
+def _expectation_sql(e: Expectation) -> str:
+    """An expectation of ``check_suite`` over the table ``listed``, whose columns and types are as the contract has them."""
+    column = "NULL" if e.column is None else f"'{e.column}'"
+    head = f"SELECT '{e.name}' AS rule, {column} AS \"column\", '{e.kind}' AS kind, count(*) AS elements"
+    if e.kind in ("columns", "type"):
+        return f"{head}, 0::BIGINT AS missing, 0::BIGINT AS unexpected, 0.0::DOUBLE AS unexpected_percent, true AS passed FROM {{table}}"
+    if e.kind == "rows":
+        return f"{head}, 0::BIGINT, greatest({e.low} - count(*), 0)::BIGINT, 0.0::DOUBLE, count(*) >= {e.low} FROM {{table}}"
+    missing = f"count(*) FILTER (WHERE {e.column} IS NULL)"
+    tests = [f"{e.column} {sign} {b!r}" for sign, b in (("<", e.low), (">", e.high)) if b is not None]
+    bad, base = (missing, "count(*)") if e.kind == "not_null" else (f"count(*) FILTER (WHERE {' OR '.join(tests)})", f"count({e.column})")
+    return f"{head}, {missing}::BIGINT, {bad}::BIGINT, round({bad} / {base}::DOUBLE * 100, 4), 1 - {bad} / {base}::DOUBLE >= {e.mostly} FROM {{table}}"
+
+
+def _suite_sql(suite: list[Expectation], table: str) -> str:
+    return " UNION ALL ".join(map(_expectation_sql, suite)).format(table=table)
+
+
+@query(f"{_LISTED_SQL} {_suite_sql(suites.raw_suite(_LISTED, _SUITE_PARAMETERS), 'listed')}")
+def raw_suite_results(t):
+    return expectations.check_suite(_listed(t), suites.raw_suite(_LISTED, _SUITE_PARAMETERS))
+
+
+_CLEANED = "(SELECT * FROM listed WHERE (date IS NULL OR date <= '1998-06-01') AND price BETWEEN 2000 AND 80000)"
+
+
+@query(f"{_LISTED_SQL} {_suite_sql(suites.interim_suite(_LISTED, _SUITE_PARAMETERS), _CLEANED)}")
+def interim_suite_results(t):
+    cleaned = _listed(t).where((F.col("date").isNull() | (F.col("date") <= "1998-06-01")) & F.col("price").between(2000, 80000))
+    return expectations.check_suite(cleaned, suites.interim_suite(_LISTED, _SUITE_PARAMETERS))
+
+
 def _labelled(t):
     return t.documents.join(t.labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")), "doc_id", "left")
 

@@ -58,7 +58,8 @@ def supported(train: DataFrame, df: DataFrame, p: Parameters) -> DataFrame:
 
 
 def features(df: DataFrame, p: Parameters) -> DataFrame:
-    """Age, weight and first trim token beside the raw columns."""
+    """Age, weight and first trim token beside the raw columns. A weight that can't be read is refused, not lost."""
+    rules.refuse_unparsed(df, "weight_kg", X.parsed_weight(F.col("weight_kg")))
     return df.select("*", X.age_years(F.col("registration_date").cast("date"), p.reference).alias("age"), X.parsed_weight(F.col("weight_kg")).alias("weight"), X.text_tokens(F.col("model_version"), 1).alias("trim"), X.parsed_list(F.col("equipment_comfort")).alias("comfort"))
 
 
