@@ -213,6 +213,80 @@ def _alike(similarity: float):
     return near
 
 
+#: Shingles of large groups that are counted to tell frequent ones; the order they decide is for balance only.
+SAMPLED = 1_000_000
+#: Places of prefixes that are joined in each step, up to the last of all.
+STEPS = (1, 2, 4, 8, 16)
+
+
+def _frequent(sets: DataFrame) -> dict[int, int]:
+    """Shingles that a bounded sample of the sets holds three times or more, with their counts."""
+    total = sets.agg(F.sum(F.size("s"))).first()[0] or 0
+    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(max(1, -(-total // SAMPLED)))) == 0)
+    return dict(map(tuple, some.select(F.explode("s").alias("x")).groupBy("x").count().where("count > 2").collect()))
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """group, node, ``at`` and ``token`` of each set's prefix: two sets alike by ``similarity`` share a token of their prefixes.
+
+    Of n shingles in one order for all sets, rarer ones first, the prefix is the first n - ceil(similarity * n) + 1.
+    """
+    counts = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
+
+    def run(batches):
+        import math
+
+        import numpy as np
+        import pyarrow as pa
+
+        known = counts.value
+        tokens = np.array(sorted(known), dtype=np.int64)
+        often = np.array([known[t] for t in tokens.tolist()], dtype=np.int64)
+        for b in batches:
+            out = []
+            for s in b.column("s").to_pylist():
+                s = np.array(s, dtype=np.int64)
+                n = np.zeros(len(s), dtype=np.int64)
+                if len(tokens):
+                    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+                    n = np.where(tokens[at] == s, often[at], 0)
+                out.append(s[np.lexsort((s, n))][: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1])
+            sizes = [len(x) for x in out]
+            take = pa.array(np.repeat(np.arange(len(out)), sizes))
+            column = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
+            yield pa.RecordBatch.from_arrays([b.column("group").take(take), b.column("node").take(take), column([np.arange(n) for n in sizes], pa.int32()), column(out, pa.int64())], names=["group", "node", "at", "token"])
+
+    return sets.select("group", "node", "s").mapInArrow(run, "group long, node long, at int, token long")
+
+
+def similar_links(sets: DataFrame, similarity: float, texts: int = TEXTS) -> DataFrame:
+    """Links (a, b) that join up just what chains of alike sets join, of ``sets`` (group, node, s) inside each group.
+
+    Groups of up to ``texts`` sets are compared in one task. In larger ones only sets that share a token of their prefixes are compared,
+    bucket by bucket of tokens, so the work follows what sets have in common and not the square of the group. Tokens are taken in steps from the rarest on; after
+    each what was found is contracted, and buckets that hang together already are not looked at again. A bucket is a 64-bit hash of group and
+    token; two that share a hash only add comparisons.
+    """
+    large = written(sets.groupBy("group").count().where(F.col("count") > texts).select("group"), "large-candidates")
+    if not large.head(1):
+        return links_inside(sets, _alike(similarity), texts)
+    links = links_inside(sets.join(hinted(large), "group", "left_anti"), _alike(similarity), texts)
+    sets = written(sets.join(hinted(large), "group", "left_semi"), "large-sets")
+    tokens = written(prefixes(sets, similarity).select("node", "at", F.xxhash64("group", "token").alias("group")), "prefixes")
+    labelled = sets.select("node", F.col("node").alias("root"))
+    for end in (*STEPS, None):
+        keys = (tokens if end is None else tokens.where(F.col("at") < end)).join(labelled, "node").select("group", "node", "root")
+        open_ = keys.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("group")
+        open_ = written(open_, "token-buckets")
+        if not open_.head(1):
+            continue
+        held = keys.join(hinted(open_, BUCKETS), "group").distinct()
+        members = written(held.join(sets.select("node", "s"), "node").select("group", F.col("root").alias("node"), "s"), "token-members")
+        found = connected_components(links_inside(members, _alike(similarity), texts)).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+        labelled = written(labelled.join(hinted(found), F.col("root") == F.col("_node"), "left").select("node", F.coalesce("_root", "root").alias("root")), "labelled")
+    return links.unionByName(labelled.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
+
+
 def keep_one(docs: DataFrame, words: int = 1, radius: int = 6, repeats: bool = False, shingle: int = 5, similarity: float = 0.8, prints: int = 2, texts: int = TEXTS) -> DataFrame:
     """One document of each group of near copies, the one of the smallest doc_id.
 
@@ -220,7 +294,7 @@ def keep_one(docs: DataFrame, words: int = 1, radius: int = 6, repeats: bool = F
     within ``radius`` bits. Fingerprints are of the set of words: of two texts whose shingles are alike, words differ less
     than shingles do. Inside a component texts are linked if the Jaccard similarity of their sets of five-word shingles is at
     least ``similarity``; groups are what links join. Texts of one set of shingles are one node, however many they are;
-    one task compares up to ``texts`` nodes of a component (and as many of another slice of it).
+    up to ``texts`` nodes of a component are compared in one task, in larger ones those that share a shingle of their prefixes (``similar_links``).
 
     Rows with null doc_ids stay and are no reason for others to go. Null texts count as texts without words, which
     are all alike. Rows that repeat doc_id and text count once; rows that share a doc_id only are documents of their own.
@@ -245,7 +319,7 @@ def keep_one(docs: DataFrame, words: int = 1, radius: int = 6, repeats: bool = F
             yield pa.RecordBatch.from_arrays([b.column("root"), b.column("node"), pa.array(sets, type=pa.list_(pa.int64()))], names=["group", "node", "s"])
 
     sets = written(rows.mapInArrow(run, "group long, node long, s array<long>").dropDuplicates(["node"]), "shingle-sets")
-    groups = connected_components(links_inside(sets, _alike(similarity), texts)).select("node", F.col("root").alias("top"))
+    groups = connected_components(similar_links(sets, similarity, texts)).select("node", F.col("root").alias("top"))
     joined = written(nodes.select("key", "doc_id", "th", "node").join(hinted(groups), "node", "left").withColumn("top", F.coalesce("top", "node")), "joined")
     kept = joined.groupBy("top").agg(F.min(F.struct("doc_id", "th")).alias("kept"))
     known = joined.join(kept, "top").select("key", F.col("kept.doc_id").alias("kept_id"), F.col("kept.th").alias("kept_th"))

@@ -206,3 +206,57 @@ def test_two_prints_find_nine_of_ten_alike_pairs_of_all_documents(spark):
     alike = [(i, j) for (i, j), n in both.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)]
     near = [any((s.fingerprint(texts[i], 1, False, seed) ^ s.fingerprint(texts[j], 1, False, seed)).bit_count() <= 6 for seed in (42, 43)) for i, j in alike]
     assert len(alike) >= 40 and sum(near) >= 0.9 * len(alike)
+
+
+def families(n, seed, texts, common):
+    """Sets of shingles in one group: unlike ones with ``common`` shingles in all, and families in which one shingle of 40 differs from the first."""
+    rng = random.Random(seed)
+    shared, rows, want = [rng.getrandbits(60) for _ in range(common)], [], {}
+    for i in range(texts):
+        own = shared + [rng.getrandbits(60) for _ in range(40 - common)]
+        rows.append((7, len(rows), sorted(own)))
+        if i < n:
+            for k in range(5):
+                rows.append((7, len(rows), sorted(own[:-1] + [rng.getrandbits(60)])))
+                want[len(rows) - 1] = len(rows) - 2 - k
+    return rows, want
+
+
+def test_large_groups_are_joined_by_prefixes_and_not_all_with_all(spark, monkeypatch):
+    rows, want = families(300, 1, 8000, 12)
+    sets = spark.createDataFrame(rows, "group long, node long, s array<long>")
+    moved, plain = {}, s.written
+
+    def counted(df, name, *a, **b):
+        out = plain(df, name, *a, **b)
+        moved[name] = moved.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(s, "written", counted)
+    roots = {r["node"]: r["root"] for r in s.connected_components(s.similar_links(sets, 0.8, 256)).collect()}
+    assert roots == want
+    assert moved["prefixes"] == 9 * len(rows) and moved["token-members"] + moved["prefixes"] < 20 * len(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_prefix_joins_equal_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    pool = [rng.getrandbits(60) for _ in range(60)]
+    rows = []
+    for i in range(400):
+        base = rng.sample(pool, rng.choice([1, 2, 5, 10, 25])) if not rows or rng.random() < 0.4 else [x for x in rng.choice(rows)[2] if rng.random() < 0.95] or pool[:1]
+        rows.append((rng.randrange(2), i, sorted(set(base))))
+    top = {i: i for _, i, _ in rows}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for g, i, x in rows:
+        for h, j, y in rows[:i]:
+            if g == h and len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y)):
+                a, b = sorted((find(i), find(j)))
+                top[b] = a
+    links = s.similar_links(spark.createDataFrame(rows, "group long, node long, s array<long>"), 0.8, 16)
+    assert {r["node"]: r["root"] for r in s.connected_components(links).collect()} == {i: find(i) for i in top if find(i) != i}
