@@ -209,3 +209,18 @@ def json_pointer(*parts: Column) -> Column:
 def typical_price(complete: Column, point: Column, median: Column) -> Column:
     """A complete request has the point estimate, any other the median of its range; the other one where that is null."""
     return F.when(complete, F.coalesce(point, median)).otherwise(F.coalesce(median, point))
+
+
+#: Metric horsepower in a kilowatt.
+HORSEPOWER = 1.35962
+
+
+def horsepower(kilowatts: Column) -> Column:
+    """Whole metric horsepower, halves to even."""
+    return F.rint(kilowatts * HORSEPOWER).cast("long")
+
+
+def same_power(text: Column, kilowatts: Column) -> Column:
+    """Whether the digits of a text are the horsepower of a number of kilowatts; null where either is missing or the text has no digit."""
+    digits = F.regexp_replace(text, r"\D", "")
+    return F.nullif(digits, F.lit("")).try_cast("long") == horsepower(kilowatts)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,3 +73,8 @@ def level_difference(left: DataFrame, right: DataFrame, column: str) -> DataFram
     """Levels of one side only, both ways."""
     a, b = left.select(F.col(column).alias("level")).where("level is not null").distinct(), right.select(F.col(column).alias("level")).where("level is not null").distinct()
     return a.join(b, "level", "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, "level", "left_anti").withColumn("side", F.lit("right")))
+
+
+def latest_under(df: DataFrame, keep: Column, order: Sequence[str], n: int = 1) -> DataFrame:
+    """The last ``n`` rows in ``order`` (unique) among those that ``keep`` holds for; nulls come first."""
+    return df.where(keep).orderBy(*[F.col(c).desc_nulls_last() for c in order]).limit(n)

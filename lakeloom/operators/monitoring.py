@@ -148,3 +148,9 @@ def level_share(windowed: DataFrame, column: str, level: str, by: Sequence[str]
 def pooled(windowed: DataFrame, metrics: Sequence[Column], by: Sequence[str] = ("run", "window")) -> DataFrame:
     """The metrics of each window, and of all windows together under null keys."""
     return windowed.groupingSets([list(by), []], *by).agg(*metrics).select(*by, *[m for m in windowed.groupBy(*by).agg(*metrics).columns if m not in by])
+
+
+def quantile_over(df: DataFrame, ts: str, value: str, minutes: int, limit: float, share: float = 0.05, least: int = 20) -> DataFrame:
+    """Tumbling windows with at least ``least`` values: how many lie above the limit, and whether that is over the share, which says that the (1 - share) quantile is above it."""
+    g = df.where(F.col(value).isNotNull()).groupBy(F.window(ts, f"{minutes} minutes").alias("w")).agg(F.count("*").alias("events"), F.sum((F.col(value) > limit).cast("long")).alias("above"))
+    return g.where(F.col("events") >= least).select(F.col("w.start").alias("start"), "events", "above", (F.col("above") > share * F.col("events")).alias("alert"))

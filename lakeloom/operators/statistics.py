@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.operators.running import running_sums
@@ -126,3 +126,10 @@ def blanked_copies(df: DataFrame, key: list[str], fields: list[str], seed: str)
     order = F.array_sort(F.array(*rank.values()))
     cut = F.element_at(order, size.cast("int"))
     return copies.select(*[F.when((F.col("copy") == "full") | ((F.col("copy") == "random") & (rank[c] > cut)), F.col(c)).alias(c) if c in fields else F.col(c) for c in df.columns], "copy")
+
+
+def histogram_2d(df: DataFrame, row: str, column: str, weight: str) -> DataFrame:
+    """Rows and summed weight of each pair of a row's and a column's class, with the shares of the weight in its row and in all. Null classes are classes; null weights count nothing."""
+    cells = df.groupBy(row, column).agg(F.count("*").alias("rows"), F.coalesce(F.sum(weight), F.lit(0.0)).alias("weight"))
+    all_of = F.sum("weight").over(Window.partitionBy(F.lit(1)))  # one row for each cell
+    return cells.withColumns({"row_share": F.col("weight") / F.nullif(F.sum("weight").over(Window.partitionBy(row)), F.lit(0.0)), "share": F.col("weight") / F.nullif(all_of, F.lit(0.0))})

@@ -46,6 +46,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+_STAMP = "yyyy-MM-dd HH:mm:ss"
 ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 RATIOS = [("train", 0.6), ("validation", 0.1), ("calibration", 0.1), ("test", 0.2)]
 REFERENCE = "2000-01-01"
@@ -853,6 +854,44 @@ def stratified_folds(t):
     return t.lineitem.join(dealt, "l_orderkey").groupBy("fold", "l_returnflag").agg(F.count("*").alias("rows"), F.count_distinct("l_orderkey").alias("orders"))
 
 
+_LOG_RANGES = _RANGES.replace("lower - price AS score", "ln(lower) - ln(price) AS score").replace("price - upper FROM cal", "ln(price) - ln(upper) FROM cal")
+
+
+@query(f'WITH {_LOG_RANGES} SELECT side, n, round(off, 9) AS "offset" FROM offs')
+def log_conformal_offsets(t):
+    """Offsets in log price: the lower range is divided and the upper multiplied by their exponentials."""
+    own, r = _ranges(t)
+    logs = own.where("pos >= 0.6 AND pos < 0.8").join(r, ["make", "model"]).select(*[F.log(c).alias(c) for c in ("price", "lower", "upper")])
+    return statistics.conformal_offsets(logs, "price", "lower", "upper").withColumn("offset", F.round("offset", 9))
+
+
+@query("""
+WITH c AS (SELECT l_returnflag, l_linestatus, count(*) AS rows, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, l_linestatus, rows, round(weight, 2) AS weight, round(weight / sum(weight) OVER (PARTITION BY l_returnflag), 6) AS row_share, round(weight / sum(weight) OVER (), 6) AS share FROM c""")
+def weighted_cells(t):
+    return statistics.histogram_2d(t.lineitem, "l_returnflag", "l_linestatus", "l_quantity").withColumns({"weight": F.round("weight", 2), "row_share": F.round("row_share", 6), "share": F.round("share", 6)})
+
+
+@query("""
+WITH g AS (SELECT time_bucket(INTERVAL 720 MINUTE, ts, TIMESTAMP '1970-01-01') AS s, count(value) AS events, count(*) FILTER (WHERE value > 150) AS above FROM events GROUP BY 1)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, events, above, above > 0.05::DOUBLE * events AS alert FROM g WHERE events >= 20""")
+def quantile_alerts(t):
+    return monitoring.quantile_over(t.events, "ts", "value", 720, 150.0).withColumn("start", F.date_format("start", _STAMP))
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE event_type = 'error' AND value > 20 ORDER BY event_id DESC LIMIT 5")
+def latest_errors(t):
+    return ledger.latest_under(t.events, (F.col("event_type") == "error") & (F.col("value") > 20), ["event_id"], 5).select("event_id", "user_id", "value")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size, 'about ' || CASE WHEN p_partkey % 3 = 0 THEN round_even(p_size * 1.35962::DOUBLE, 0)::BIGINT ELSE p_size END || ' hp' AS label FROM part)
+SELECT p_partkey, round_even(p_size * 1.35962::DOUBLE, 0)::BIGINT AS power, regexp_replace(label, '\\D', '', 'g')::BIGINT = round_even(p_size * 1.35962::DOUBLE, 0)::BIGINT AS same FROM p""")
+def power_labels(t):
+    p = t.part.select("p_partkey", "p_size", F.concat(F.lit("about "), F.when(F.col("p_partkey") % 3 == 0, X.horsepower(F.col("p_size"))).otherwise(F.col("p_size")).cast("string"), F.lit(" hp")).alias("label"))
+    return p.select("p_partkey", X.horsepower(F.col("p_size")).alias("power"), X.same_power(F.col("label"), F.col("p_size")).alias("same"))
+
+
 # ---- counters and alerts
 
 
@@ -862,7 +901,6 @@ def _counter(t):
 
 _COUNTER = """sm AS (SELECT event_type, ts, event_id, event_id % 500 AS v, lag(event_id % 500) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events),
 inc AS (SELECT event_type, time_bucket(INTERVAL 360 MINUTE, ts, TIMESTAMP '1970-01-01') AS s, count(*) AS samples, sum(CASE WHEN p IS NULL THEN 0 WHEN v < p THEN v ELSE v - p END)::BIGINT AS increase, count(*) FILTER (WHERE v <> p) AS changes, count(*) FILTER (WHERE v < p) AS resets FROM sm GROUP BY ALL)"""
-_STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
 @query(f"WITH {_COUNTER} SELECT event_type, strftime(s, '%Y-%m-%d %H:%M:%S') AS start, samples, increase, round(increase / 21600.0::DOUBLE, 9) AS rate, changes, resets FROM inc")
