@@ -227,9 +227,11 @@ def _frequent(sets: DataFrame) -> dict[int, int]:
 
 
 def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """group, node, ``at`` and ``token`` of each set's prefix: two sets alike by ``similarity`` share a token of their prefixes.
+    """group, node, ``at``, ``token``, ``n`` and ``short`` of each set's prefix: two sets alike by ``similarity`` share a token of their prefixes.
 
-    Of n shingles in one order for all sets, rarer ones first, the prefix is the first n - ceil(similarity * n) + 1.
+    Of n shingles in one order for all sets, rarer ones first, the prefix is the first n - ceil(similarity * n) + 1. Alike sets share at
+    least 2 * similarity / (1 + similarity) of the smaller one's shingles, so they even share a token that is in the smaller one's
+    shorter prefix by that measure (``short``).
     """
     counts = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
 
@@ -238,12 +240,13 @@ def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
 
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         known = counts.value
         tokens = np.array(sorted(known), dtype=np.int64)
         often = np.array([known[t] for t in tokens.tolist()], dtype=np.int64)
         for b in batches:
-            out = []
+            out, short = [], []
             for s in b.column("s").to_pylist():
                 s = np.array(s, dtype=np.int64)
                 n = np.zeros(len(s), dtype=np.int64)
@@ -251,12 +254,15 @@ def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     n = np.where(tokens[at] == s, often[at], 0)
                 out.append(s[np.lexsort((s, n))][: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1])
+                short.append(np.arange(len(out[-1])) < len(s) - math.ceil(2 * similarity / (1 + similarity) * len(s) - 1e-9) + 1)
             sizes = [len(x) for x in out]
             take = pa.array(np.repeat(np.arange(len(out)), sizes))
             column = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
-            yield pa.RecordBatch.from_arrays([b.column("group").take(take), b.column("node").take(take), column([np.arange(n) for n in sizes], pa.int32()), column(out, pa.int64())], names=["group", "node", "at", "token"])
+            n = pc.list_value_length(b.column("s")).take(take).cast(pa.int32())
+            places = [column([np.arange(k) for k in sizes], pa.int32()), column(out, pa.int64()), n, column(short, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([b.column("group").take(take), b.column("node").take(take), *places], names=["group", "node", "at", "token", "n", "short"])
 
-    return sets.select("group", "node", "s").mapInArrow(run, "group long, node long, at int, token long")
+    return sets.select("group", "node", "s").mapInArrow(run, "group long, node long, at int, token long, n int, short boolean")
 
 
 def similar_links(sets: DataFrame, similarity: float, texts: int = TEXTS) -> DataFrame:
@@ -264,23 +270,25 @@ def similar_links(sets: DataFrame, similarity: float, texts: int = TEXTS) -> Dat
 
     Groups of up to ``texts`` sets are compared in one task. In larger ones only sets that share a token of their prefixes are compared,
     bucket by bucket of tokens, so the work follows what sets have in common and not the square of the group. Tokens are taken in steps from the rarest on; after
-    each what was found is contracted, and buckets that hang together already are not looked at again. A bucket is a 64-bit hash of group and
-    token; two that share a hash only add comparisons.
+    each what was found is contracted, and buckets that hang together already, or got no set since they were compared, are not looked at again.
+    A set that holds the token outside its short prefix is compared only if a set no larger holds it inside: any alike pair meets so in some bucket.
+    A bucket is a 64-bit hash of group and token; two that share a hash only add comparisons.
     """
     large = written(sets.groupBy("group").count().where(F.col("count") > texts).select("group"), "large-candidates")
     if not large.head(1):
         return links_inside(sets, _alike(similarity), texts)
     links = links_inside(sets.join(hinted(large), "group", "left_anti"), _alike(similarity), texts)
     sets = written(sets.join(hinted(large), "group", "left_semi"), "large-sets")
-    tokens = written(prefixes(sets, similarity).select("node", "at", F.xxhash64("group", "token").alias("group")), "prefixes")
-    labelled = sets.select("node", F.col("node").alias("root"))
+    tokens = written(prefixes(sets, similarity).select("node", "at", "n", "short", F.xxhash64("group", "token").alias("group")), "prefixes")
+    begin, labelled = 0, sets.select("node", F.col("node").alias("root"))
     for end in (*STEPS, None):
-        keys = (tokens if end is None else tokens.where(F.col("at") < end)).join(labelled, "node").select("group", "node", "root")
-        open_ = keys.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("group")
-        open_ = written(open_, "token-buckets")
+        keys = (tokens if end is None else tokens.where(F.col("at") < end)).join(labelled, "node").select("group", "node", "root", "at", "n", "short")
+        open_ = keys.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("at").alias("last"), F.min(F.when(F.col("short"), F.col("n"))).alias("least"))
+        open_ = written(open_.where((F.col("a") < F.col("b")) & (F.col("last") >= begin) & F.col("least").isNotNull()).select("group", "least"), "token-buckets")
+        begin = end
         if not open_.head(1):
             continue
-        held = keys.join(hinted(open_, BUCKETS), "group").distinct()
+        held = keys.join(hinted(open_, BUCKETS), "group").where("short or n >= least").select("group", "node", "root").distinct()
         members = written(held.join(sets.select("node", "s"), "node").select("group", F.col("root").alias("node"), "s"), "token-members")
         found = connected_components(links_inside(members, _alike(similarity), texts)).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
         labelled = written(labelled.join(hinted(found), F.col("root") == F.col("_node"), "left").select("node", F.coalesce("_root", "root").alias("root")), "labelled")
