@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.operators.lineage import dealt
+
 
 @dataclass(frozen=True)
 class FieldCheck:
@@ -70,12 +72,15 @@ def unseen_levels(df: DataFrame, levels: dict[str, Sequence[str]], name: str = "
     return df.withColumn(name, F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & ~F.col(c).isin(list(v)), F.lit(c)) for c, v in levels.items()])))
 
 
-def explained(contributions: DataFrame, row: str, field: str, effect: str, k: int = 5) -> DataFrame:
-    """For each row its k fields of largest summed effect and the rest as ``(other)``, in percent of a log effect."""
-    sums = contributions.groupBy(row, field).agg(F.sum(effect).alias("_e"))
+def explained(contributions: DataFrame, row: str, field: str, effect: str, k: int = 5, unit: float = 1.0) -> DataFrame:
+    """For each row its k fields of largest summed effect and the rest as ``(other)``, in percent of a log effect, which is the effect over ``unit``.
+
+    Rows are dealt out once, into parts of a fixed size, and then summed, ranked and folded where they are.
+    """
+    sums = dealt(contributions, row).groupBy(row, field).agg(F.sum(effect).alias("_e"))
     n = F.row_number().over(Window.partitionBy(row).orderBy(F.desc(F.abs("_e")), field))
     folded = sums.withColumn("_n", n).groupBy(row, F.when(F.col("_n") <= k, F.col(field)).otherwise("(other)").alias(field)).agg(F.sum("_e").alias("_e"))
-    return folded.select(row, field, (F.expm1("_e") * 100).alias("percent"))
+    return folded.select(row, field, (F.expm1(F.col("_e") / unit) * 100).alias("percent"))
 
 
 def first_accepted(df: DataFrame, key: str, seed: str, accepted_: Column, n: int) -> DataFrame:
