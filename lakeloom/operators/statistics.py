@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.operators.lineage import cut
 from lakeloom.operators.running import running_sums
 
 
@@ -75,11 +76,13 @@ def paired_comparisons(df: DataFrame, group: str, values: dict[str, Column], ref
     candidates together, and ``better`` says that the joint interval lies under zero. A candidate that never differs deviates by nothing. No candidate: no rows.
     """
     others = [k for k in values if k != reference]
-    per_draw = bootstrap_draws(df, group, values, draws, seed)
     melt = lambda frame: frame.select(*[c for c in frame.columns if c == "draw"], F.explode(F.array(*[F.struct(F.lit(k).alias("candidate"), (F.col(k) - F.col(reference)).alias("d")) for k in others])).alias("_x")).select(*[c for c in frame.columns if c == "draw"], "_x.*")
     if not others:
         return df.sparkSession.createDataFrame([], "candidate string, difference double, lower double, upper double, share_better double, multiplier double, joint_lower double, joint_upper double, better boolean")
-    whole = df.select(*[c.cast("double").alias(k) for k, c in values.items()]).dropna().agg(*[F.avg(k).alias(k) for k in values])
+    df = cut(df.select(F.col(group).alias("_group"), *[c.cast("double").alias(k) for k, c in values.items()]), "paired-rows")
+    # A row for each draw, read three times: the draws are made once.
+    per_draw = cut(bootstrap_draws(df, "_group", {k: F.col(k) for k in values}, draws, seed), "paired-draws")
+    whole = df.select(*values).dropna().agg(*[F.avg(k).alias(k) for k in values])
     observed = melt(whole).withColumnRenamed("d", "difference")  # one row for each candidate
     differences = melt(per_draw).join(F.broadcast(observed), "candidate")  # draws times candidates
     a = (1 - confidence) / 2
