@@ -5,22 +5,28 @@ for the same bytes. Texts share few different groups, so each block of documents
 corpus each different group is expanded once into its links (id of A, id of B) and gets the sums over them; the sums go back to
 the blocks by the group's key and are multiplied there by how often each document has the group. A link's count is of documents: each
 block sends, for each pair of ids, how many of its documents hold it.
+
+A block tokenizes each different piece of its texts once, where neither tokenizer merges across the pieces' ends: both have an end there,
+so a text's groups are those of its pieces, one after another.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.shared import PieceEncoder, text_batches, written
+from lakeloom.llm.shared import PieceEncoder, _is_odd, text_batches, written
 
-#: A block ends beyond so many different groups, or pairs of document and group.
-GROUPS, ENTRIES = 100_000, 1_000_000
+#: A block ends beyond so many different groups, pairs of document and group, or different pieces.
+GROUPS, ENTRIES, PIECES = 100_000, 1_000_000, 300_000
 #: Texts encoded at once: documents and characters.
 TEXTS, CHARS = 200, 1_000_000
+#: Pieces that the tokenizers get at once.
+TOGETHER = 20_000
 #: Between the ids of A and of B in a group's key.
 _BETWEEN = 0xFFFFFFFF
 
@@ -65,6 +71,9 @@ class Aligner:
         pieces = [self._piece(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.vocabularies = _Vocabulary(entries), _Vocabulary(pieces)
         self.bits = max(1, (len(entries) - 1).bit_length()), max(1, (len(pieces) - 1).bit_length())
+        merged = [self.b.id_to_piece(i).replace("▁", " ") for i in range(self.b.get_piece_size()) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        plain = [] if any(len(p) > 1 and "\n" in p for p in merged) else [p for p in merged if not _is_odd(p)]
+        self.finds = [f if plain and all(len(f(p)) < 2 for p in plain) else None for f in (self.a.fine, self.a.coarse)]
 
     @classmethod
     def shared(cls, path_a: str, path_b: str) -> Aligner:
@@ -78,6 +87,38 @@ class Aligner:
         m = re.fullmatch(r"<0x([0-9A-F]{2})>", piece)
         return bytes([int(m[1], 16)]) if m else piece.replace("▁", " ").encode()
 
+    def pieces(self, text: str) -> list[str] | None:
+        """The pieces of a text, between which A cuts and no entry of B reaches; None where that isn't known."""
+        fine, coarse = self.finds
+        find = coarse if fine is None or "'" in text else fine
+        return None if find is None or _is_odd(text) else find(text)
+
+    def tokens(self, pieces: list[str]):
+        """Ids of A and of B of pieces one after another, and how many of each piece; None where some bytes differ from the pieces'."""
+        import numpy as np
+
+        raw = [p.encode() for p in pieces]
+        sizes, data = np.array(list(map(len, raw))), np.frombuffer(b"".join(raw), dtype=np.uint8)
+        # Words with a blank before them stay apart in A; other pieces may not, so each is a text of its own.
+        words = all(map(self.a.word, pieces))
+        encoded = self.a.tokenizer.encode_batch_fast(["".join(pieces)] if words else pieces, add_special_tokens=False)
+        a = np.array([i for e in encoded for i in e.ids], dtype=np.int64)
+        # A line feed is in no longer entry of B, so it keeps the pieces apart; a blank comes before the first.
+        b, joined = np.array(self.b.encode("\n" + "\n".join(pieces)), dtype=np.int64), np.frombuffer(b" \n" + b"\n".join(raw), dtype=np.uint8)
+        if not all(v.sizes[x].sum() == len(y) and np.array_equal(v.joined(x), y) for v, x, y in zip(self.vocabularies, (a, b), (data, joined), strict=True)):
+            return None
+        ends_a, ends_b = (np.cumsum(v.sizes[x]) for v, x in zip(self.vocabularies, (a, b), strict=True))
+        last = np.cumsum(sizes + 1) + 1  # byte ends of the pieces in what B got
+        own = np.cumsum(sizes)
+        last_a = np.searchsorted(ends_a, own)
+        at = np.searchsorted(ends_b, last)
+        before = np.searchsorted(ends_b, last - sizes)  # the line feeds before them
+        if not (np.array_equal(ends_a[last_a], own) and np.array_equal(ends_b[at], last) and np.array_equal(ends_b[before], last - sizes)):
+            return None
+        apart = np.ones(len(b), dtype=bool)
+        apart[0], apart[before] = False, False
+        return a, np.diff(last_a, prepend=-1), b[apart], at - before
+
     def encoded(self, texts: list[str | None]):
         """Ids of A and of B for each text, as arrays; None where the text is null or empty or some bytes differ from a blank and the text."""
         import numpy as np
@@ -124,7 +165,10 @@ class Aligner:
                     packed = packed << bits | ids[first[at] + k]
             _, first, back = np.unique(packed, return_index=True, return_inverse=True)
             number[at] = back + len(keys)
-            keys += [key_of(i) for i in at[first].tolist()]
+            first = at[first]
+            columns = [a[first_a[first] + k] for k in range(shape // 64)] + [np.full(len(first), _BETWEEN)] + [b[first_b[first] + k] for k in range(shape % 64)]
+            data, size = np.stack(columns, axis=1).astype("<u4").tobytes(), 4 * len(columns)
+            keys += [data[k : k + size] for k in range(0, len(data), size)]
         return number, keys
 
 
@@ -151,50 +195,135 @@ def links_of(key: bytes):
 
 
 class _Interned:
-    """A block: its documents, their groups by number, and the groups' keys, texts and links."""
+    """A block: its documents, their groups by number, and the groups' keys, texts and links; of each different piece the groups, text and figures."""
 
     def __init__(self):
+        import numpy as np
+
         self.numbers: dict[bytes, int] = {}
         self.texts: list[str] = []
         self.pair_numbers: dict[int, int] = {}
         self.pairs: list[list[int]] = []  # of each group: numbers of its different pairs
         self.rows, self.of, self.entries = [], [], 0
+        self.pieces: dict[str, int] = {}
+        self.piece_texts: list[str] = []
+        # Of each piece: tokens of A and of B, groups, links, and where its groups start in ``flat``.
+        self.figures, self.flat = np.zeros((5, 0), dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def _number(self, key: bytes) -> int:
         n = self.numbers.get(key)
         if n is None:
             n = self.numbers[key] = len(self.pairs)
-            a, b = (ids.tolist() for ids in _split(key))
+            ids = memoryview(key).cast("I").tolist()
+            between = ids.index(_BETWEEN)
+            a, b = ids[:between], ids[between + 1 :]
             self.pairs.append([self.pair_numbers.setdefault(x << 32 | y, len(self.pair_numbers)) for x in set(a) for y in set(b)])
             self.texts.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
         return n
 
-    def add(self, aligner: Aligner, doc_ids: list, texts: list[str | None]) -> None:
+    def _grouped(self, aligner: Aligner, a, b):
+        """Of texts' or pieces' ids one after another: the groups' numbers, first tokens in A, and links."""
+        import numpy as np
+
+        first_a, n_a, first_b, n_b = aligner.cuts(a, b)
+        number, keys = aligner.keys(a, b, first_a, n_a, first_b, n_b)
+        return np.array([self._number(k) for k in keys], dtype=np.int64)[number], first_a, n_a * n_b
+
+    def _learn(self, aligner: Aligner, new: list[str]) -> None:
+        """Tokens, groups and links of pieces that the block lacks."""
+        import numpy as np
+
+        figures, flat = [self.figures], [self.flat]
+        sorts: tuple[list, list] = [], []
+        for p in new:
+            sorts[aligner.a.word(p) is None].append(p)
+        for part in (x[k : k + TOGETHER] for x in sorts for k in range(0, len(x), TOGETHER)):
+            found = aligner.tokens(part)
+            if found is None:  # their texts are encoded whole
+                self.pieces.update(dict.fromkeys(part, -1))
+                continue
+            a, n_a, b, n_b = found
+            number, first_a, links = self._grouped(aligner, a, b)
+            ends = np.searchsorted(first_a, np.cumsum(n_a))
+            starts = np.concatenate([[0], ends[:-1]])
+            self.pieces.update(zip(part, range(len(self.piece_texts), len(self.piece_texts) + len(part)), strict=True))
+            texts = list(map(self.texts.__getitem__, number.tolist()))
+            self.piece_texts += [texts[x] if y == x + 1 else ";".join(texts[x:y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
+            figures.append(np.stack([n_a, n_b, ends - starts, np.add.reduceat(links, starts), starts + sum(map(len, flat))]))
+            flat.append(number)
+        self.figures, self.flat = np.concatenate(figures, axis=1), np.concatenate(flat)
+
+    def _of_pieces(self, held: list[list[int]]) -> list[tuple]:
+        """Figures, digest, groups and how often each, of texts that are cut into pieces of these numbers."""
+        import numpy as np
+
+        sizes = np.array(list(map(len, held)))
+        doc, piece = np.repeat(np.arange(len(held)), sizes), np.concatenate([np.array(x, dtype=np.int64) for x in held])
+        sums = np.add.reduceat(self.figures[:4, piece], np.cumsum(sizes) - sizes, axis=1).T.tolist()
+        both, times = np.unique(doc * len(self.piece_texts) + piece, return_counts=True)
+        doc, piece = both // len(self.piece_texts), both % len(self.piece_texts)
+        n, first = self.figures[2, piece], self.figures[4, piece]
+        group = self.flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        both, back = np.unique(np.repeat(doc, n) * len(self.pairs) + group, return_inverse=True)
+        times = np.bincount(back, weights=np.repeat(times, n)).astype(np.int64)
+        ends = np.searchsorted(both, np.arange(1, len(held) + 1) * len(self.pairs)).tolist()
+        groups = both % len(self.pairs)
+        digest = lambda x: hashlib.sha256(";".join(map(self.piece_texts.__getitem__, x)).encode()).hexdigest()
+        return [(*s, digest(x), groups[i:j], times[i:j]) for s, x, i, j in zip(sums, held, [0, *ends], ends, strict=False)]
+
+    def _of_whole(self, aligner: Aligner, texts: list[str]) -> list[tuple | None]:
+        """The same of texts that are encoded whole; None for those without tokens."""
         import numpy as np
 
         encoded = aligner.encoded(texts)
         held = [x for x in encoded if x is not None]
-        number = ends = links = np.zeros(0, dtype=np.int64)
-        if held:
-            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-            first_a, n_a, first_b, n_b = aligner.cuts(a, b)
-            number, keys = aligner.keys(a, b, first_a, n_a, first_b, n_b)
-            number = np.array([self._number(k) for k in keys], dtype=np.int64)[number]
-            ends = np.searchsorted(first_a, np.cumsum([len(x) for x, _ in held]))  # groups up to each text's end
-            links = np.concatenate([[0], np.cumsum(n_a * n_b)])
-        start, at = 0, 0
-        for doc_id, x in zip(doc_ids, encoded, strict=True):
-            if x is None:
-                self.rows.append((doc_id, 0, 0, 0, 0, ""))
-                self.of.append((number[:0], number[:0]))
-                continue
-            end = int(ends[at])
+        if not held:
+            return encoded
+        number, first_a, each = self._grouped(aligner, *(np.concatenate(x) for x in zip(*held, strict=True)))
+        ends = np.searchsorted(first_a, np.cumsum([len(x) for x, _ in held])).tolist()  # groups up to each text's end
+        links, out = np.concatenate([[0], np.cumsum(each)]), []
+        for (a, b), start, end in zip(held, [0, *ends], ends, strict=False):
             own = number[start:end]
             digest = hashlib.sha256(";".join(map(self.texts.__getitem__, own.tolist())).encode()).hexdigest()
-            self.rows.append((doc_id, len(x[0]), len(x[1]), len(own), int(links[end] - links[start]), digest))
-            self.of.append(np.unique(own, return_counts=True))
-            self.entries += len(self.of[-1][0])
-            start, at = end, at + 1
+            out.append((len(a), len(b), len(own), int(links[end] - links[start]), digest, *np.unique(own, return_counts=True)))
+        rest = iter(out)
+        return [None if x is None else next(rest) for x in encoded]
+
+    def add(self, aligner: Aligner, doc_ids: list, texts: list[str | None]) -> None:
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, as in PieceEncoder
+        try:
+            self._add(aligner, doc_ids, texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _add(self, aligner: Aligner, doc_ids: list, texts: list[str | None]) -> None:
+        import numpy as np
+
+        known, out = self.pieces, [None] * len(texts)
+        cut, open_ = {}, []
+        for k, t in enumerate(texts):
+            if t:
+                pieces = aligner.pieces(" " + t)
+                cut[k] = ids = pieces and list(map(known.get, pieces))
+                if ids and None in ids:
+                    open_ += [(ids, at, p) for at, (i, p) in enumerate(zip(ids, pieces, strict=True)) if i is None]
+        self._learn(aligner, list(dict.fromkeys(p for *_, p in open_)))
+        for ids, at, p in open_:
+            ids[at] = known[p]
+        whole = [k for k, x in cut.items() if x is None or -1 in x]
+        for k in whole:
+            del cut[k]
+        for at, found in ((cut, self._of_pieces(list(cut.values())) if cut else []), (whole, self._of_whole(aligner, [texts[k] for k in whole]) if whole else [])):
+            for k, x in zip(at, found, strict=True):
+                out[k] = x
+        none = np.zeros(0, dtype=np.int64)
+        for doc_id, x in zip(doc_ids, out, strict=True):
+            *figures, groups, times = x or (0, 0, 0, 0, "", none, none)
+            self.rows.append((doc_id, *figures))
+            self.of.append((groups, times))
+            self.entries += len(groups)
 
     def batch(self, block: int):
         import numpy as np
@@ -226,7 +355,7 @@ def interned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         aligner, part, number, block = Aligner.shared(path_a, path_b), TaskContext.get().partitionId(), 0, _Interned()
         for batch in text_batches(batches, TEXTS, CHARS):
             block.add(aligner, batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
-            if len(block.numbers) > GROUPS or block.entries > ENTRIES:
+            if len(block.numbers) > GROUPS or block.entries > ENTRIES or len(block.pieces) > PIECES:
                 yield block.batch((part << 32) + number)
                 number, block = number + 1, _Interned()
         if block.rows:

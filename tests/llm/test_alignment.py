@@ -77,3 +77,40 @@ def test_empty_tables_and_texts_without_tokens(spark, no_docs):
 def test_links_count_documents_once(spark):
     docs = spark.createDataFrame([(1, "the the the"), (2, "the"), (3, "a the")], "doc_id long, text string")
     assert {r["documents"] for r in alignment.links(docs, A, B).collect() if r["best"]} == {3, 1}
+
+
+def test_a_block_tokenizes_each_different_piece_once():
+    aligner = alignment.Aligner(A, B)
+    own, sent = aligner.b, []
+
+    class Counting:
+        def encode(self, text, **more):
+            sent.extend([text] if isinstance(text, str) else text)
+            return own.encode(text, **more)
+
+    aligner.b = Counting()
+    block = alignment._Interned()
+    for k in range(40):
+        block.add(aligner, [k, k], ["Many words, the same again: words of 12 lines.\nThe end " * 5, None])
+    assert sum(map(len, sent)) < 200 and len(block.rows) == 80 and len({r[1:] for r in block.rows}) == 2
+
+
+def test_texts_in_pieces_equal_whole_texts(monkeypatch):
+    """Also where a piece's tokens don't give its bytes back, and where B is known to reach over pieces' ends."""
+    texts = ["It's one text, of 2 words-and more…", "plain words,  with\n\n blanks ", "пример и text", "été\n\tune", "the the the -- (a) b_c x=1;\ny", "a", "x ▁ y", "broken piece here", None, ""] * 3
+
+    def rows(finds=None, broken=False):
+        aligner, block = alignment.Aligner(A, B), alignment._Interned()
+        aligner.finds = finds or aligner.finds
+        if broken:
+            whole = aligner.tokens
+            aligner.tokens = lambda pieces: None if " broken" in pieces else whole(pieces)
+        for k in range(0, len(texts), 4):
+            block.add(aligner, list(range(len(texts)))[k : k + 4], texts[k : k + 4])
+        keys = list(block.numbers)
+        return block.rows, [sorted((keys[g], n) for g, n in zip(groups.tolist(), times.tolist(), strict=True)) for groups, times in block.of]
+
+    monkeypatch.setattr(alignment, "TOGETHER", 3)
+    fine, coarse = alignment.Aligner(A, B).finds
+    assert fine and coarse
+    assert rows() == rows([None, None]) == rows([None, coarse]) == rows(broken=True)
