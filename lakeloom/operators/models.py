@@ -8,6 +8,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.operators.lineage import dealt
+
 
 def prepared(df: DataFrame, numbers: list[str], categories: list[str]) -> DataFrame:
     """Numbers as doubles with indicators of what is missing; missing categories as a level of their own."""
@@ -31,10 +33,15 @@ def fit_ridge(train: DataFrame, target: str, numbers: list[str], categories: lis
 
 
 def fit_trees(train: DataFrame, target: str, numbers: list[str], categories: list[str], rounds: int = 20, depth: int = 5, validation: str | None = None, seed: int = 20251108) -> PipelineModel:
-    """Boosted trees on the log target, stopped early on the rows that ``validation`` marks."""
+    """Boosted trees on the log target, stopped early on the rows that ``validation`` marks.
+
+    The trees hold their rows in memory, by partition; these are dealt out into parts of a fixed size, so that no task's part grows with the table.
+    """
     df = prepared(train, numbers, categories).withColumn("label", F.log(target))
     trees = GBTRegressor(featuresCol="assembled", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.1, maxBins=64, seed=seed, **({"validationIndicatorCol": validation} if validation else {}))
-    return Pipeline(stages=[*_stages(numbers, categories, False), trees]).fit(df)
+    features = Pipeline(stages=_stages(numbers, categories, False)).fit(df)
+    rows = dealt(features.transform(df).select("assembled", "label", *([validation] if validation else [])))
+    return PipelineModel([*features.stages, trees.fit(rows)])
 
 
 def predict(model: PipelineModel, df: DataFrame, numbers: list[str], categories: list[str], name: str = "predicted") -> DataFrame:
