@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.shared import written
+from lakeloom.llm.shared import counted, known, seen, written
 
 #: Rows of a few longs that are broadcast at most.
 SMALL = 500_000
 
 
 def hinted(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """``df`` to be broadcast if it is counted to have few enough rows."""
-    return F.broadcast(df) if df.count() <= most else df
+    """``df`` to be broadcast if it has few enough rows (``seen``)."""
+    return F.broadcast(df) if seen(df) <= most else df
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -26,19 +26,19 @@ def connected_components(links: DataFrame) -> DataFrame:
     links costs a row for each task; the join that hands minima out can be split by AQE. Each round
     is written to the shared folder. Rounds grow with the logarithm of the longest path and end with a star for each component.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    edges = counted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     while True:
         # Settled: every node hangs on one other, which hangs on none.
         ends = edges.select("u", F.lit(1).alias("on"), F.lit(0).alias("under")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("on"), F.lit(1).alias("under")))
-        if not ends.groupBy("u").agg(F.sum("on").alias("on"), F.max("under").alias("under")).where("on > 1 or (on = 1 and under = 1)").head(1):
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        if not seen(edges) or not ends.groupBy("u").agg(F.sum("on").alias("on"), F.max("under").alias("under")).where("on > 1 or (on = 1 and under = 1)").head(1):
+            return known(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), rows=seen(edges))
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, "links")
+        edges = counted(small, "links")
 
 
 def _stars(table, near: Callable):
@@ -77,12 +77,12 @@ def links_inside(members: DataFrame, near: Callable, limit: int, leaders: int =
     missed and no task holds more than two slices.
     """
     own = [c for c in members.columns if c != "group"]
-    counted = members.groupBy("group").agg(F.count("*").alias("_n"), F.min("node").alias("_lo"), F.max("node").alias("_hi"))
-    counted = written(counted.where("_lo < _hi").select("group", "_n"), "groups")
-    t = members.join(hinted(counted), "group")
+    groups = members.groupBy("group").agg(F.count("*").alias("_n"), F.min("node").alias("_lo"), F.max("node").alias("_hi"))
+    groups = counted(groups.where("_lo < _hi").select("group", "_n"), "groups", large=F.col("_n") > limit)
+    t = members.join(hinted(groups), "group")
     stars = lambda df, *by: df.groupBy("group", *by).applyInArrow(lambda table: _stars(table, near), "a long, b long")
     links = stars(t.where(F.col("_n") <= limit).select("group", *own))
-    if not counted.where(F.col("_n") > limit).head(1):
+    if not seen(groups, "large"):
         return links
     slices = F.ceil(F.col("_n") / limit).cast("int")
     large = written(t.where(F.col("_n") > limit).withColumn("_all", slices).withColumn("_h", F.xxhash64(*own)).withColumn("_j", F.pmod("_h", "_all")), "large-groups")
@@ -90,13 +90,13 @@ def links_inside(members: DataFrame, near: Callable, limit: int, leaders: int =
     first = large.where(F.pmod(F.xxhash64("_h"), F.ceil(F.col("_n") / leaders)) == 0).withColumn("_j", everywhere)
     near_leaders = written(stars(large.unionByName(first).select("group", "_j", *own), "_j"), "links-of-slices")
     roots = connected_components(near_leaders)
-    joined = large.join(hinted(roots.select(F.col("node").alias("_node"), "root")), F.col("node") == F.col("_node"), "left")
+    joined = large.join(hinted(roots).select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left")
     joined = written(joined.withColumn("node", F.coalesce("root", "node")).drop("_node", "root"), "joined-groups")
     sizes = joined.groupBy("group", "node").agg(F.count("*").alias("k"))
     most = sizes.groupBy("group").agg(F.max(F.struct("k", "node")).alias("top"), F.sum("k").alias("k")).where("top.k < k")
-    most = written(most.select("group", F.col("top.node").alias("_most"), (F.col("k") - F.col("top.k")).alias("_out")), "largest-components")
+    most = counted(most.select("group", F.col("top.node").alias("_most"), (F.col("k") - F.col("top.k")).alias("_out")), "largest-components")
     links = links.unionByName(near_leaders)
-    if not most.head(1):
+    if not seen(most):
         return links
     rest = joined.join(hinted(most), "group").withColumn("_outs", F.ceil(F.col("_out") / limit).cast("int"))
     asked = rest.where("node <> _most").withColumn("_i", F.pmod(F.xxhash64("_h"), "_outs")).withColumn("_j", everywhere).withColumn("asks", F.lit(True))

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.shared import fresh, written
+from lakeloom.llm.shared import counted, fresh, seen, written
 
 # Forms of address by the gender that they tell.
 FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Sra", "Srta", "Signora", "Госпожа"]
@@ -142,21 +142,33 @@ def luhn(number: Column) -> Column:
 def made_name(kind: Column, raw: Column, hexes: Column, attempt: Column) -> Column:
     """A name in the script of ``raw``: two syllables (a surname three), more after some attempts, and the ending of the kind."""
 
-    def pick(values: list[str], i: int) -> Column:
-        return F.element_at(F.array(*map(F.lit, values)), (F.pmod(_byte(hexes, F.lit(2 * i)) * 256 + _byte(hexes, F.lit(2 * i + 1)), F.lit(len(values))) + 1).cast("int"))
+    def by_script(of) -> Column:
+        return F.when(raw.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(raw.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
 
-    def of(script: str) -> Column:
-        s = SYLLABLES[script]
-        end = reduce(lambda a, k: a.when(kind == k, pick(ENDINGS[script][k], 9)), list(ENDINGS[script])[1:], F.when(kind == "given_f", pick(ENDINGS[script]["given_f"], 9)))
+    def ends(script: str) -> Column:
+        return reduce(lambda a, k: a.when(kind == k, words(ENDINGS[script][k])), list(ENDINGS[script])[1:], F.when(kind == "given_f", words(ENDINGS[script]["given_f"])))
+
+    def pick(values: Column, i: int) -> Column:
+        return F.element_at(values, (F.pmod(_byte(hexes, F.lit(2 * i)) * 256 + _byte(hexes, F.lit(2 * i + 1)), F.size(values)) + 1).cast("int"))
+
+    def of(given: Column) -> Column:
+        s = given["syllables"]
         more = [F.when(attempt >= F.when(kind == "surname", early).otherwise(late), pick(s, 2 + late)).otherwise("") for early, late in ((0, 1), (1, 3), (2, 5), (3, 9), (5, 20))]
-        return F.initcap(F.concat(pick(s, 0), pick(s, 1), *more, end))
+        return F.initcap(F.concat(pick(s, 0), pick(s, 1), *more, pick(given["ends"], 9)))
 
-    return F.when(raw.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(raw.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
+    words = lambda values: F.split(F.lit(" ".join(values)), " ")
+    return _bound(F.struct(by_script(lambda script: words(SYLLABLES[script])).alias("syllables"), by_script(ends).alias("ends")), of)
 
 
 def surrogate(kind: Column, value: Column, gender: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a canonical value, as a canonical value; ``gender`` (f, m or null) matters to given names."""
-    h = stream(key, kind, value, attempt)
+    """The surrogate of a canonical value, as a canonical value; ``gender`` (f, m or null) matters to given names.
+
+    Its stream and masked value are bound, so the expression names each once: the driver holds and rewrites it in every plan.
+    """
+    return _bound(stream(key, kind, value, attempt), lambda h: _surrogate(kind, value, gender, attempt, key, h))
+
+
+def _surrogate(kind: Column, value: Column, gender: Column, attempt: Column, key: str, h: Column) -> Column:
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
     named = domain.substr(F.lit(1), F.length(domain) - F.length(top))
@@ -171,14 +183,16 @@ def surrogate(kind: Column, value: Column, gender: Column, attempt: Column, key:
     # A short address has few others of its form; after some attempts it grows.
     grown = F.concat(local, F.repeat(F.lit("x"), F.floor(attempt / 8).cast("int")))
     part = F.when(kind == "email", grown).when(kind == "card", value.substr(F.lit(1), F.length(value) - 1)).otherwise(value)
-    new = masked(part, h, (kind == "ipv6") | (kind == "token") & value.rlike("^[a-f0-9]+$"), skip)
-    return (
+    spelled = kind.isin("email", "card", "iban", "phone", "token", "ssn", "ipv6")
+    made = F.when(spelled, masked(part, h, (kind == "ipv6") | (kind == "token") & value.rlike("^[a-f0-9]+$"), skip))
+    name = made_name(F.when(kind == "given", F.concat(F.lit("given_"), F.coalesce(gender, F.lit("n")))).otherwise(kind), value, h, attempt)
+    whole = lambda new: (
         F.when(kind == "email", F.concat(new, F.lit("@"), masked(named, domain_stream, F.lit(False), F.lit(0)), top))
         .when(kind == "ip", F.concat_ws(".", *octets))
-        .when(kind == "card", _bound(new, lambda card: F.concat(card, luhn(card))))
-        .when(kind.isin("iban", "phone", "token", "ssn", "ipv6"), new)
-        .otherwise(made_name(F.when(kind == "given", F.concat(F.lit("given_"), F.coalesce(gender, F.lit("n")))).otherwise(kind), value, h, attempt))
+        .when(kind == "card", F.concat(new, luhn(new)))
+        .when(spelled, new).otherwise(name)
     )
+    return _bound(made, whole)
 
 
 def laid_out(raw: Column, canonical: Column) -> Column:
@@ -252,7 +266,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     entity's value or taken already, or if a smaller value proposes it too. Those that fall try
     again with the next attempt; a round leaves few. A given name has the smallest ``gender`` that is known of it.
     """
-    entities = written(entities.groupBy("kind", "value").agg(F.min("gender").alias("gender")), "entities")
+    entities = counted(entities.groupBy("kind", "value").agg(F.min("gender").alias("gender")), "entities")
     real = entities.select("kind", F.col("value").alias("surrogate"))
     todo, done, attempt = entities, None, 0
     while True:
@@ -261,10 +275,10 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         first = tried.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
         good = first.join(taken, ["kind", "surrogate"], "left_anti").select("kind", "value", "surrogate")
         good = good if done is None else done.unionByName(good)
-        done = written(good, "surrogates")
-        todo = written(entities.join(done, ["kind", "value"], "left_anti"), "open-entities")
-        if not todo.head(1):
+        done = counted(good, "surrogates")
+        if seen(done) == seen(entities):
             return done
+        todo = written(entities.join(done, ["kind", "value"], "left_anti"), "open-entities")
         attempt += 1
         if attempt > 200:
             raise ValueError("no free surrogates are left")

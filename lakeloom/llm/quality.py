@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.shared import fresh, text_batches, written
+from lakeloom.llm.graph import hinted
+from lakeloom.llm.shared import counted, fresh, text_batches, written
 
 ORDER = 4
 #: Tables of more rows than this (16 bytes each) are joined, not broadcast.
@@ -133,19 +134,22 @@ def build_model(counts: DataFrame) -> dict[int, dict[str, DataFrame]]:
     Discounts come from the counts of counts of their order; where those are too thin for the
     formula (a few grams in all), 0.5, 1 and 1.5 stand in. Single characters are interpolated with a uniform
     share over the characters seen and one unseen character. Counts with a column ``fold`` give a model for each fold, in the same tables.
+    One query counts the counts of all orders, and one table holds the contexts of all.
     """
     by = [c for c in ("fold",) if c in counts.columns]
     tables = {ORDER: counts}
     for n in range(ORDER - 1, 0, -1):
         tables[n] = written(tables[n + 1].select(*by, _suffix(F.col("gram"), n).alias("gram")).groupBy(*by, "gram").agg(F.count("*").alias("c")), f"grams{n}")
     of_fold = lambda values: reduce(lambda a, k: a.when(F.col("fold") == k, values[k]), values, F.when(F.lit(False), 0.0)) if by else F.lit(values[0])
-    characters = of_fold({r["fold"] if by else 0: float(r["n"]) for r in tables[1].groupBy(*by).agg(F.count("*").alias("n")).collect()} or {0: 0.0})
-    out: dict[int, dict[str, DataFrame]] = {}
-    below: DataFrame | None = None
+    every = reduce(DataFrame.unionByName, [t.select(*by, F.lit(n).alias("n"), "c") for n, t in tables.items()])
+    of_counts = every.groupBy(*by, "n").agg(F.count("*").alias("all"), *[F.sum((F.col("c") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]).collect()  # a row for each order and fold
+    characters = of_fold({r["fold"] if by else 0: float(r["all"]) for r in of_counts if r["n"] == 1} or {0: 0.0})
+    cuts, parts = {}, []
     for n in range(1, ORDER + 1):
-        t = tables[n]
         discounts = {}
-        for r in t.groupBy(*by).agg(*[F.sum((F.col("c") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]).collect():  # a row for each fold
+        for r in of_counts:
+            if r["n"] != n:
+                continue
             n1, n2, n3, n4 = (r[f"n{k}"] or 0 for k in (1, 2, 3, 4))
             d = [0.5, 1.0, 1.5]
             if n1 and n2 and n3:
@@ -154,17 +158,23 @@ def build_model(counts: DataFrame) -> dict[int, dict[str, DataFrame]]:
                 d = [x if 0 < x < k + 1 else (k + 1) / 2 for k, x in enumerate(d)]
             discounts[r["fold"] if by else 0] = d
         d = [of_fold({f: x[k] for f, x in discounts.items()} or {0: 0.5}) for k in range(3)]
-        cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        t = t.withColumn("context", F.shiftrightunsigned("gram", 16) if n > 1 else F.lit(0).cast("long"))
-        contexts = t.groupBy(*by, "context").agg(F.sum("c").alias("total"), F.sum(cut).alias("freed")).select(*by, "context", "total", (F.col("freed") / F.col("total")).alias("gamma"))
-        joined = t.join(contexts, [*by, "context"]).withColumn("alpha", (F.col("c") - cut) / F.col("total"))
+        cuts[n] = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        tables[n] = tables[n].withColumn("context", F.shiftrightunsigned("gram", 16) if n > 1 else F.lit(0).cast("long"))
+        parts.append(tables[n].select(*by, F.lit(n).alias("n"), "context", "c", cuts[n].alias("cut")))
+    sums = reduce(DataFrame.unionByName, parts).groupBy(*by, "n", "context").agg(F.sum("c").alias("total"), F.sum("cut").alias("freed"))
+    sums = written(sums.select(*by, "n", "context", "total", (F.col("freed") / F.col("total")).alias("gamma")), "contexts")
+    out: dict[int, dict[str, DataFrame]] = {}
+    below: DataFrame | None = None
+    for n in range(1, ORDER + 1):
+        contexts = sums.where(F.col("n") == n).drop("n")
+        joined = tables[n].join(contexts, [*by, "context"]).withColumn("alpha", (F.col("c") - cuts[n]) / F.col("total"))
         if n == 1:
             grams = joined.select(*by, "gram", (F.col("alpha") + F.col("gamma") / (characters + 1)).alias("p"))
         else:
             lower = below.select(*by, F.col("gram").alias("suffix"), F.col("p").alias("lower_p"))
             grams = joined.withColumn("suffix", _suffix(F.col("gram"), n - 1)).join(lower, [*by, "suffix"]).select(*by, "gram", (F.col("alpha") + F.col("gamma") * F.col("lower_p")).alias("p"))
         below = written(grams, f"model{n}")
-        out[n] = {"grams": below, "contexts": written(contexts.select(*by, "context", "gamma"), f"contexts{n}")}
+        out[n] = {"grams": below, "contexts": contexts.select(*by, "context", "gamma")}
     return out
 
 
@@ -235,20 +245,31 @@ def _collected(model) -> dict:
     import numpy as np
 
     out: dict = {}
-    for n, both in model.items():
-        for what, df in both.items():
-            table = df.toArrow()
-            k, v = (table.column(i).to_numpy() for i in (-2, -1))
-            folds = table.column("fold").to_numpy() if "fold" in table.column_names else np.zeros(len(k), dtype=np.int64)
-            for fold in np.unique(folds).tolist() or [0]:
-                own = np.flatnonzero(folds == fold)
-                own = own[np.argsort(k[own], kind="stable")]
-                out.setdefault(fold, {}).setdefault(n, {})[what] = (k[own].astype(np.int64), v[own].astype(float))
+    for orders in ([ORDER], [n for n in model if n != ORDER]):  # about half of the rows each
+        whole = _in_one({n: model[n] for n in orders}).toArrow()
+        fold, table, k, v = (whole.column(c).to_numpy() for c in ("fold", "at", "k", "v"))
+        del whole
+        for f in np.unique(fold).tolist() or [0]:
+            for n in orders:
+                for at, what in ((2 * n, "grams"), (2 * n + 1, "contexts")):
+                    own = np.flatnonzero((fold == f) & (table == at))
+                    own = own[np.argsort(k[own], kind="stable")]
+                    out.setdefault(f, {}).setdefault(n, {})[what] = (k[own], v[own])
     return {fold: (tables, len(tables[1]["grams"][0])) for fold, tables in out.items()}
 
 
+def _in_one(model) -> DataFrame:
+    """All tables of a model in one, so that one query reads them: ``fold`` (0 if there are none), ``at`` (twice the order, contexts one more), ``k`` and ``v``."""
+
+    def of(df: DataFrame, at: int) -> DataFrame:
+        fold = F.col("fold") if "fold" in df.columns else F.lit(0)
+        return df.select(fold.cast("tinyint").alias("fold"), F.lit(at).cast("tinyint").alias("at"), *[F.col(c).alias(x) for c, x in zip(df.columns[-2:], "kv", strict=True)])
+
+    return reduce(DataFrame.unionByName, [of(df, 2 * n + j) for n, both in model.items() for j, df in enumerate((both["grams"], both["contexts"]))])
+
+
 def table_rows(model) -> int:
-    return sum(df.count() for both in model.values() for df in both.values())
+    return _in_one(model).count()
 
 
 def scored(docs: DataFrame, model, method: str | None = None) -> DataFrame:
@@ -344,8 +365,7 @@ def _scored_by_join(docs: DataFrame, model) -> DataFrame:
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """doc_ids that no label calls low quality or toxic and some label calls good."""
     ids = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("doc_id")
-    ids = written(ids, "trusted")
-    return F.broadcast(ids) if ids.count() <= TRUSTED_IDS else ids
+    return hinted(counted(ids, "trusted"), TRUSTED_IDS)
 
 
 def quantile_of(values: DataFrame, by: str, value: str, share: float) -> DataFrame:
@@ -381,7 +401,8 @@ def _judged(docs: DataFrame, labels: DataFrame, quantile: float, peak_quantile:
     trusted = docs.join(ids, "doc_id", "left_semi").where("text is not null").select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
     trusted = written(trusted, "trusted-texts")
     models = build_model(written(held_out_counts(count_grams(trusted)), f"grams{ORDER}"))
-    known = scored(trusted, models, method).where(F.col(SCORED) > 0).select("lang", LOSS, SCORED, WORST)
+    every = method or ("tables" if table_rows(models) <= TABLE_ROWS else "join")
+    known = scored(trusted, models, every).where(F.col(SCORED) > 0).select("lang", LOSS, SCORED, WORST)
     known = written(known, "trusted-loss")
     mean = (F.sum(LOSS) / F.sum(SCORED)).alias("mean")
     whole = known.agg(mean).first()["mean"]
@@ -397,7 +418,8 @@ def _judged(docs: DataFrame, labels: DataFrame, quantile: float, peak_quantile:
     pooled = (pooled["ppl_limit"], pooled["peak_limit"]) if pooled else (None, None)
     lang_of, mean_of, p_of, q_of = (fresh(n, docs) for n in ("_lang_of_quality", "_mean_of_quality", "_p_of_quality", "_q_of_quality"))
     table = limits.join(means, "lang").select(F.col("lang").alias(lang_of), F.col("mean").alias(mean_of), F.col("ppl_limit").alias(p_of), F.col("peak_limit").alias(q_of))
-    out = scored(docs, of_fold(models, FOLDS), method).join(F.broadcast(written(table, "languages")), F.col("lang") == F.col(lang_of), "left")
+    # Where all tables are few enough, those of one model are.
+    out = scored(docs, of_fold(models, FOLDS), "tables" if every == "tables" else method).join(F.broadcast(written(table, "languages")), F.col("lang") == F.col(lang_of), "left")
     some = F.col(SCORED) > 0
     p, q = F.when(some, perplexity(F.coalesce(F.col(mean_of), F.lit(whole).cast("double")))), F.when(some, F.exp(WORST))
     p_limit, q_limit = (F.coalesce(c, F.lit(x).cast("double")) for c, x in zip((F.col(p_of), F.col(q_of)), pooled, strict=True))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.graph import connected_components, hinted, links_inside
-from lakeloom.llm.shared import fresh, text_batches, written
+from lakeloom.llm.shared import counted, fresh, known, seen, text_batches, written
 
 BITS = 64
 #: Tables in the first step, over all fingerprints of an item; each later step takes eight times as many.
@@ -123,7 +123,7 @@ def near_components(items: DataFrame, prints: list[str], radius: int = 4, middle
     masks = covering_masks(radius)
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labelled = items.select("node", *prints, F.col("node").alias("root"))
-    done, step = 0, max(1, FIRST // len(prints))
+    done, step, rows = 0, max(1, FIRST // len(prints)), 0
     while done < len(masks):
         tables = list(enumerate(masks))[done : done + step]
         done, step = done + step, step * 8
@@ -132,15 +132,21 @@ def near_components(items: DataFrame, prints: list[str], radius: int = 4, middle
         # The items may lie in one file; their buckets are many.
         keys = labelled.repartition(parts, "node").select("root", *prints, F.posexplode(buckets).alias("_at", "group")).select("group", "root", word.alias("fp"))
         found = keys.groupBy("group").agg(F.count("*").alias("n"), F.min("fp").alias("p"), F.max("fp").alias("q"), F.min("root").alias("a"), F.max("root").alias("b"))
-        found = written(found.where("a < b"), "buckets")
+        found = counted(found.where("a < b"), "buckets", larger=F.col("n") > 2)
+        if not seen(found):
+            continue
         links = found.where(f"n = 2 and bit_count(p ^ q) <= {radius}").select("a", "b")
-        larger = found.where("n > 2").select("group")
-        members = written(keys.join(hinted(larger, BUCKETS), "group").select("group", F.col("root").alias("node"), "fp").distinct(), "members")
-        links = links.unionByName(links_inside(members, _within(radius), middle))
-        roots = connected_components(links).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-        joined = labelled.join(hinted(roots), F.col("root") == F.col("_node"), "left")
-        labelled = written(joined.select("node", *prints, F.coalesce("_root", "root").alias("root")), "labelled")
-    return labelled.where("node <> root").select("node", "root")
+        if seen(found, "larger"):
+            larger = known(found.where("n > 2").select("group"), rows=seen(found, "larger"))
+            members = written(keys.join(hinted(larger, BUCKETS), "group").select("group", F.col("root").alias("node"), "fp").distinct(), "members")
+            links = links.unionByName(links_inside(members, _within(radius), middle))
+        roots = connected_components(links)
+        if not seen(roots):
+            continue
+        joined = labelled.join(hinted(roots).select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col("root") == F.col("_node"), "left")
+        labelled = counted(joined.select("node", *prints, F.coalesce("_root", "root").alias("root")), "labelled", joined=F.col("node") != F.col("root"))
+        rows = seen(labelled, "joined")
+    return known(labelled.where("node <> root").select("node", "root"), rows=rows)
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, repeats: bool = True) -> DataFrame:
@@ -156,8 +162,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, repeats: b
     roots = near_components(nodes.select(F.col("fp").alias("node"), "fp"), ["fp"], radius)
     rooted = written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = rooted.join(firsts, "root").select("fp", "component_id")
-    return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = rooted.join(firsts, "root").select("fp", "component_id")
+    return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: str | None, words: int = 5):
@@ -274,8 +280,8 @@ def similar_links(sets: DataFrame, similarity: float, texts: int = TEXTS) -> Dat
     A set that holds the token outside its short prefix is compared only if a set no larger holds it inside: any alike pair meets so in some bucket.
     A bucket is a 64-bit hash of group and token; two that share a hash only add comparisons.
     """
-    large = written(sets.groupBy("group").count().where(F.col("count") > texts).select("group"), "large-candidates")
-    if not large.head(1):
+    large = counted(sets.groupBy("group").count().where(F.col("count") > texts).select("group"), "large-candidates")
+    if not seen(large):
         return links_inside(sets, _alike(similarity), texts)
     links = links_inside(sets.join(hinted(large), "group", "left_anti"), _alike(similarity), texts)
     sets = written(sets.join(hinted(large), "group", "left_semi"), "large-sets")
@@ -284,14 +290,16 @@ def similar_links(sets: DataFrame, similarity: float, texts: int = TEXTS) -> Dat
     for end in (*STEPS, None):
         keys = (tokens if end is None else tokens.where(F.col("at") < end)).join(labelled, "node").select("group", "node", "root", "at", "n", "short")
         open_ = keys.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("at").alias("last"), F.min(F.when(F.col("short"), F.col("n"))).alias("least"))
-        open_ = written(open_.where((F.col("a") < F.col("b")) & (F.col("last") >= begin) & F.col("least").isNotNull()).select("group", "least"), "token-buckets")
+        open_ = counted(open_.where((F.col("a") < F.col("b")) & (F.col("last") >= begin) & F.col("least").isNotNull()).select("group", "least"), "token-buckets")
         begin = end
-        if not open_.head(1):
+        if not seen(open_):
             continue
         held = keys.join(hinted(open_, BUCKETS), "group").where("short or n >= least").select("group", "node", "root").distinct()
         members = written(held.join(sets.select("node", "s"), "node").select("group", F.col("root").alias("node"), "s"), "token-members")
-        found = connected_components(links_inside(members, _alike(similarity), texts)).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-        labelled = written(labelled.join(hinted(found), F.col("root") == F.col("_node"), "left").select("node", F.coalesce("_root", "root").alias("root")), "labelled")
+        found = connected_components(links_inside(members, _alike(similarity), texts))
+        if not seen(found):
+            continue
+        labelled = written(labelled.join(hinted(found).select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col("root") == F.col("_node"), "left").select("node", F.coalesce("_root", "root").alias("root")), "labelled")
     return links.unionByName(labelled.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
 
 
@@ -315,8 +323,8 @@ def keep_one(docs: DataFrame, words: int = 1, radius: int = 6, repeats: bool = F
     nodes = written(nodes.select("key", "rep.doc_id", "rep.th", *names, F.monotonically_increasing_id().alias("node")), "nodes")  # numbers stay as they were written
     roots = near_components(nodes.select("node", *names), names, radius)
     rooted = written(nodes.select("node", "doc_id", F.col("th").alias(th)).join(hinted(roots), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    several = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    asked = written(rooted.join(hinted(several), "root", "left_semi").withColumnRenamed("doc_id", "id"), "candidates")
+    several = known(roots.select("root").distinct(), rows=seen(roots))  # at most
+    asked = counted(rooted.join(hinted(several), "root", "left_semi").withColumnRenamed("doc_id", "id"), "candidates")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias(th), "text").join(hinted(asked), ["id", th]).select("root", "node", "text")
 
     def run(batches):
@@ -327,15 +335,15 @@ def keep_one(docs: DataFrame, words: int = 1, radius: int = 6, repeats: bool = F
             yield pa.RecordBatch.from_arrays([b.column("root"), b.column("node"), pa.array(sets, type=pa.list_(pa.int64()))], names=["group", "node", "s"])
 
     sets = written(rows.mapInArrow(run, "group long, node long, s array<long>").dropDuplicates(["node"]), "shingle-sets")
-    groups = connected_components(similar_links(sets, similarity, texts)).select("node", F.col("root").alias("top"))
-    joined = written(nodes.select("key", "doc_id", "th", "node").join(hinted(groups), "node", "left").withColumn("top", F.coalesce("top", "node")), "joined")
+    groups = connected_components(similar_links(sets, similarity, texts))
+    joined = written(nodes.select("key", "doc_id", "th", "node").join(hinted(groups).select("node", F.col("root").alias("top")), "node", "left").withColumn("top", F.coalesce("top", "node")), "joined")
     kept = joined.groupBy("top").agg(F.min(F.struct("doc_id", "th")).alias("kept"))
-    known = joined.join(kept, "top").select("key", F.col("kept.doc_id").alias("kept_id"), F.col("kept.th").alias("kept_th"))
-    gone = written(profiles.join(known, "key").where("doc_id <> kept_id or th <> kept_th").select(F.col("doc_id").alias(gone_id), F.col("th").alias(gone_th)).distinct(), "gone")
-    twice = written(profiles.groupBy("doc_id", "th").count().where("count > 1").select("doc_id", F.col("th").alias(th)), "repeated")
+    tops = joined.join(kept, "top").select("key", F.col("kept.doc_id").alias("kept_id"), F.col("kept.th").alias("kept_th"))
+    gone = counted(profiles.join(tops, "key").where("doc_id <> kept_id or th <> kept_th").select(F.col("doc_id").alias(gone_id), F.col("th").alias(gone_th)).distinct(), "gone")
+    twice = counted(profiles.groupBy("doc_id", "th").count().where("count > 1").select("doc_id", F.col("th").alias(th)), "repeated")
     rows = docs.withColumn(th, F.xxhash64("text"))
     left = rows.join(hinted(gone), (F.col("doc_id") == F.col(gone_id)) & (F.col(th) == F.col(gone_th)), "left_anti")
-    if not twice.head(1):
+    if not seen(twice):
         return left.select(docs.columns)
     once = left.join(twice, ["doc_id", th], "left_semi").dropDuplicates(["doc_id", th])
     return left.join(twice, ["doc_id", th], "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
